@@ -25,14 +25,15 @@ def _n(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-_ALL = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def accuracy(trials: DataFrame) -> DataFrame:
     """Per (system, variant), per system and overall; ``all`` marks a total."""
     return (
         trials.rollup("system", "variant")
-        .agg(_ALL.alias("n"), _n(F.col("correct")).alias("n_correct"))
+        .agg(_rows().alias("n"), _n(F.col("correct")).alias("n_correct"))
         .select(
             F.coalesce("system", F.lit("all")).alias("system"),
             F.coalesce("variant", F.lit("all")).alias("variant"),
@@ -45,7 +46,7 @@ def accuracy(trials: DataFrame) -> DataFrame:
 
 def load_summary(trials: DataFrame) -> DataFrame:
     """Problem counts and accuracy of every system with the number of variants and the grand total."""
-    out = trials.groupBy("system", "variant").agg(_ALL.alias("n"), _n(F.col("correct")).alias("k"))
+    out = trials.groupBy("system", "variant").agg(_rows().alias("n"), _n(F.col("correct")).alias("k"))
     return (
         out.rollup("system")
         .agg(
@@ -70,7 +71,7 @@ def run_summary(trials: DataFrame, by: Sequence[str] = ("system", "variant")) ->
     return (
         trials.groupBy(*by)
         .agg(
-            _ALL.alias("total_problems"),
+            _rows().alias("total_problems"),
             _n(ok).alias("correct_count"),
             F.count("error_type").alias("error_count"),
             F.sum("tokens_input").alias("total_tokens_input"),
@@ -180,7 +181,7 @@ def cost_summary(trials: DataFrame, variant: str | None = None, prices=None, mod
     return (
         rows.groupBy("system")
         .agg(
-            _ALL.alias("n_problems"),
+            _rows().alias("n_problems"),
             _n(F.col("correct")).alias("n_correct"),
             F.sum("tokens_input").alias("total_input_tokens"),
             F.sum("tokens_output").alias("total_output_tokens"),
@@ -220,7 +221,7 @@ def cost_summary(trials: DataFrame, variant: str | None = None, prices=None, mod
 
 def error_breakdown(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
     """Failures per category with their share of all problems of the group."""
-    counts = map_error_category(trials).groupBy(*by, "category").agg(_ALL.alias("rows"))
+    counts = map_error_category(trials).groupBy(*by, "category").agg(_rows().alias("rows"))
     group = Window.partitionBy(*by)  # at most a dozen rows per group by now
     failed = F.sum(F.when(F.col("category").isNotNull(), F.col("rows")).otherwise(F.lit(0))).over(group)
     total = F.sum("rows").over(group)
@@ -244,7 +245,7 @@ def error_matrix(trials: DataFrame) -> DataFrame:
     """System by category, in percent of all problems; one column per known category, in name order."""
     names = sorted([*lx.ERROR_CATEGORIES, lx.WRONG_ANSWER, lx.UNKNOWN_ERROR])
     counted = map_error_category(trials).groupBy("system").agg(
-        _ALL.alias("n"), *[_n(F.col("category") == c).alias(c) for c in names]
+        _rows().alias("n"), *[_n(F.col("category") == c).alias(c) for c in names]
     )
     return counted.select("system", *[(ratio(F.col(c), F.col("n")) * 100).alias(c) for c in names])
 
@@ -259,7 +260,7 @@ def self_correction(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataF
         trials.withColumn("rounds", _rounds())
         .groupBy(*by)
         .agg(
-            _ALL.alias("total_problems"),
+            _rows().alias("total_problems"),
             _n(ok).alias("n_correct"),
             _n(single).alias("single_iteration"),
             _n(~single).alias("multi_iteration"),
@@ -288,7 +289,7 @@ def self_correction(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataF
 
 
 def iteration_histogram(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
-    return trials.groupBy(*by, _rounds().alias("iterations")).agg(_ALL.alias("n"))
+    return trials.groupBy(*by, _rounds().alias("iterations")).agg(_rows().alias("n"))
 
 
 def routing_summary(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
@@ -300,7 +301,7 @@ def routing_summary(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataF
     return (
         trials.groupBy(*by)
         .agg(
-            _ALL.alias("total_problems"),
+            _rows().alias("total_problems"),
             _n(fast).alias("fast_path_count"),
             _n(slow).alias("slow_path_count"),
             _n(fast & ok).alias("fast_correct"),
@@ -357,7 +358,7 @@ def oracle_stats(labels: DataFrame) -> DataFrame:
     n = F.col("total")
     return (
         labels.rollup("variant")
-        .agg(_ALL.alias("total"), *[c.alias(k) for k, c in cells.items()])
+        .agg(_rows().alias("total"), *[c.alias(k) for k, c in cells.items()])
         .select(
             F.coalesce("variant", F.lit("overall")).alias("variant"),
             "total",
@@ -372,7 +373,7 @@ def oracle_rates(labels: DataFrame) -> DataFrame:
     """Overall rates in one row, with a map of counts per variant."""
     fast, slow = F.col("fast_correct"), F.col("slow_correct")
     per_variant = labels.groupBy("variant").agg(
-        _ALL.alias("total"),
+        _rows().alias("total"),
         _n(fast).alias("fast_correct"),
         _n(slow).alias("slow_correct"),
         _n(~(slow & ~fast)).alias("oracle_fast"),
@@ -403,7 +404,7 @@ def decision_metrics(log: DataFrame, alpha: float = fc.ALPHA, beta: float = fc.B
     )
     fast = F.col("action") == fc.FAST
     out = log.agg(
-        _ALL.alias("total"),
+        _rows().alias("total"),
         _n(F.col("correct")).alias("k"),
         _n(fast).alias("fast"),
         F.sum(fc.loss(F.col("correct"), F.col("action"), alpha, beta)).alias("loss"),
@@ -430,7 +431,7 @@ def cost_saved(fast_rate: Column, slow_rate: Column) -> Column:
 def majority_vote(samples: DataFrame) -> DataFrame:
     """The most frequent non-null answer per problem, the earliest sampled one on a tie."""
     per_answer = samples.groupBy("problem_id", "answer").agg(
-        _ALL.alias("votes"),
+        _rows().alias("votes"),
         F.min("sample_idx").alias("seen"),
         F.sum("tokens_input").alias("tokens_input"),
         F.sum("tokens_output").alias("tokens_output"),
@@ -483,8 +484,8 @@ def generation_stats(requested: DataFrame, generated: DataFrame, invalid: DataFr
     asked = requested.groupBy("variant").agg(
         F.count_distinct("template_id").alias("templates_loaded"), F.sum("instances").alias("instances_requested")
     )
-    made = generated.groupBy("variant").agg(_ALL.alias("instances_generated"))
-    bad = invalid.groupBy("variant").agg(_ALL.alias("validation_errors"))
+    made = generated.groupBy("variant").agg(_rows().alias("instances_generated"))
+    bad = invalid.groupBy("variant").agg(_rows().alias("validation_errors"))
     return (
         asked.join(made, "variant", "left")
         .join(bad, "variant", "left")
@@ -499,7 +500,7 @@ def dataset_metadata(records: DataFrame) -> DataFrame:
 
     bad = F.size(record_errors()) > 0
     base = records.withColumn("__bad", bad).groupBy("variant", "template_id").agg(
-        _ALL.alias("n"), _n(F.col("__bad")).alias("bad"), _n(F.col("is_noop")).alias("noop")
+        _rows().alias("n"), _n(F.col("__bad")).alias("bad"), _n(F.col("is_noop")).alias("noop")
     )
     return (
         base.rollup("variant")
@@ -518,7 +519,7 @@ pipeline_summary = dataset_metadata
 
 def dimension_counts(names: DataFrame) -> DataFrame:
     """Entries and distinct names per block and in total."""
-    per_name = names.groupBy("block", "name").agg(_ALL.alias("n"))
+    per_name = names.groupBy("block", "name").agg(_rows().alias("n"))
     return per_name.rollup("block").agg(
         F.sum("n").alias("entries"), F.count_distinct("name").alias("distinct_names")
     ).select(F.coalesce(F.col("block").cast("string"), F.lit("total")).alias("block"), "entries", "distinct_names")
@@ -533,7 +534,7 @@ def project_cost(
 ) -> DataFrame:
     """Dollars of a full run from the average tokens of a pilot: two baselines and the verified runs."""
     avg = trials.agg(
-        F.sum("tokens_input").alias("i"), F.sum("tokens_output").alias("o"), _ALL.alias("n")
+        F.sum("tokens_input").alias("i"), F.sum("tokens_output").alias("o"), _rows().alias("n")
     ).select(ratio(F.col("i"), F.col("n")).alias("avg_input"), ratio(F.col("o"), F.col("n")).alias("avg_output"))
     i, o = F.col("avg_input"), F.col("avg_output")
 
@@ -560,7 +561,7 @@ def pilot_summary(log: DataFrame) -> DataFrame:
     return (
         log.rollup("variant")
         .agg(
-            _ALL.alias("total"), _n(F.col("correct")).alias("correct"), _n(fast).alias("fast"), _n(slow).alias("slow")
+            _rows().alias("total"), _n(F.col("correct")).alias("correct"), _n(fast).alias("fast"), _n(slow).alias("slow")
         )
         .select(
             F.coalesce("variant", F.lit("overall")).alias("variant"),

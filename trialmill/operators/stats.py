@@ -38,15 +38,19 @@ def _interval(replicates: DataFrame, by: Sequence[str], level: float) -> DataFra
     )
 
 
-def _binomial_means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for row in pdf.to_dict("records"):
-            n, k, size = int(row["__n"]), int(row["__k"]), int(row["__size"])
-            draws = np.random.default_rng(int(row["__seed"])).binomial(n, k / n, size)
-            out = pd.DataFrame({"replicate": row["__start"] + np.arange(size), "value": draws / n})
-            for c in [c for c in pdf.columns if not c.startswith("__")]:
-                out[c] = row[c]
-            yield out
+def _binomial_means():
+    # a closure travels to the workers by value, so they need numpy but not this package
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                n, k, size = int(row["__n"]), int(row["__k"]), int(row["__size"])
+                draws = np.random.default_rng(int(row["__seed"])).binomial(n, k / n, size)
+                out = pd.DataFrame({"replicate": row["__start"] + np.arange(size), "value": draws / n})
+                for c in [c for c in pdf.columns if not c.startswith("__")]:
+                    out[c] = row[c]
+                yield out
+
+    return run
 
 
 def accuracy_replicates(
@@ -64,7 +68,7 @@ def _replicates_of_counts(counts: DataFrame, by: Sequence[str], resamples: int,
         "__seed", _seed(by, seed, "__start")
     )
     kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
-    return ready.mapInPandas(_binomial_means, f"{kinds}, replicate long, value double")
+    return ready.mapInPandas(_binomial_means(), f"{kinds}, replicate long, value double")
 
 
 def bootstrap_accuracy(
@@ -142,9 +146,8 @@ def portable_mean_replicates(
     """
     draws = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     u = uniform(F.col(key), "boot", F.col("replicate"))
-    weight = sum((F.when(u >= F.lit(s), F.lit(1)).otherwise(F.lit(0)) for s in _POISSON_STEPS[1:]),
-                 F.when(u >= F.lit(_POISSON_STEPS[0]), F.lit(1)).otherwise(F.lit(0)))
-    weighted = draws.withColumn("__w", weight)
+    steps = F.array(*[F.lit(s) for s in _POISSON_STEPS])
+    weighted = draws.withColumn("__u", u).withColumn("__w", F.size(F.filter(steps, lambda s: s <= F.col("__u"))))
     return weighted.groupBy(*by, "replicate").agg(
         F.try_divide(F.sum(F.col("__w") * F.col(value)).cast("double"), F.sum("__w").cast("double")).alias("value")
     )

@@ -1,0 +1,207 @@
+"""Statistics queries: bootstrap, paired tests, effect sizes, intervals and the full report."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics, stats
+from . import report
+from .fixtures import cte, view
+from .q_metrics import _ROB
+from .q_routing import _u
+from .registry import add, rounded
+
+T = cte("trials")
+BY = ["system", "variant"]
+
+
+def trials(spark, sf):
+    return view(spark, sf, "trials")
+
+
+add("f1_bootstrap_accuracy", lambda s, d: stats.bootstrap_accuracy(trials(s, d), resamples=2000))
+add(
+    "f2_bootstrap_mean",
+    lambda s, d: stats.bootstrap_mean(
+        trials(s, d).withColumn("tokens", F.col("tokens_input") + F.col("tokens_output")), "tokens", BY, resamples=500
+    ),
+)
+
+_STEPS = stats._POISSON_STEPS
+_W = " + ".join(f"(CASE WHEN u >= {x!r} THEN 1 ELSE 0 END)" for x in _STEPS)
+_KEYED = "concat_ws('/', system, variant, problem_id)"
+
+
+def _draws(value: str, where: str = "true") -> str:
+    u = f"(CAST(('0x' || substr(md5({_KEYED} || '-boot-' || b), 1, 8)) AS BIGINT) / 4294967296e0)"
+    return f"""(SELECT system, variant, CAST(b AS INT) AS replicate, v, {_W} AS w FROM (
+      SELECT system, variant, {value} AS v, b, {u} AS u FROM trials, range(20) r(b) WHERE {where}))"""
+
+
+def keyed(df):
+    return df.withColumn("key", F.concat_ws("/", "system", "variant", "problem_id"))
+
+
+def _replicates(s, d):
+    t = keyed(trials(s, d)).withColumn("tokens", F.col("tokens_input") + F.col("tokens_output"))
+    return stats.portable_mean_replicates(t, "tokens", "key", BY)
+
+
+add(
+    "f2_mean_replicates",
+    _replicates,
+    f"""{T} SELECT system, variant, replicate, CAST(sum(w * v) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS value
+    FROM {_draws("tokens_input + tokens_output")} GROUP BY 1, 2, 3""",
+)
+_INT = """SELECT system, variant, round(quantile_cont(value, 0.025), 9) AS ci_lower,
+    round(quantile_cont(value, 0.975), 9) AS ci_upper, round(stddev_pop(value), 9) AS std_error, count(*) AS n_bootstrap"""
+add(
+    "f2_mean_interval",
+    lambda s, d: rounded(stats._interval(_replicates(s, d), BY, 0.95)),
+    f"""{T}, m AS (SELECT system, variant, replicate, CAST(sum(w * v) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS value
+    FROM {_draws("tokens_input + tokens_output")} GROUP BY 1, 2, 3) {_INT} FROM m GROUP BY 1, 2""",
+)
+
+
+def _difference(s, d):
+    t = keyed(trials(s, d)).withColumn("hit", F.col("correct").cast("int"))
+    parts = [
+        stats.portable_mean_replicates(t.filter(F.col("variant") == v), "hit", "key", ["system"]) for v in ("base", "noop")
+    ]
+    return rounded(stats._interval(stats.replicate_difference(*parts, ["system"]), ["system"], 0.95))
+
+
+def _side(v: str) -> str:
+    return f"""(SELECT system, replicate, CAST(sum(w * v) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS value
+      FROM {_draws("CAST(correct AS INT)", f"variant = '{v}'")} GROUP BY 1, 2)"""
+
+
+add(
+    "f3_difference_interval",
+    _difference,
+    f"""{T}, m AS (SELECT a.system, a.value - b.value AS value FROM {_side("base")} a JOIN {_side("noop")} b
+      ON a.system = b.system AND a.replicate = b.replicate)
+    {_INT.replace("variant, ", "")} FROM m GROUP BY 1""",
+)
+add(
+    "f3_bootstrap_difference",
+    lambda s, d: stats.bootstrap_difference(
+        trials(s, d).filter("variant = 'base'"), trials(s, d).filter("variant = 'noop'"), "correct", ["system"], 2000
+    ),
+)
+_ERFC = """(t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806
+    + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))))"""
+_MCN = """mc AS (SELECT a.variant, count(*) FILTER (a.correct AND b.correct) AS n_both_correct,
+      count(*) FILTER (a.correct AND NOT b.correct) AS n_sys1_only,
+      count(*) FILTER (NOT a.correct AND b.correct) AS n_sys2_only,
+      count(*) FILTER (NOT a.correct AND NOT b.correct) AS n_both_wrong
+      FROM trials a JOIN trials b ON a.variant = b.variant AND a.problem_id = b.problem_id
+      WHERE a.system = 'fixed_slow' AND b.system = 'baseline_large' GROUP BY 1),
+    st AS (SELECT *, CASE WHEN n_sys1_only + n_sys2_only = 0 THEN 0 ELSE power(abs(n_sys1_only - n_sys2_only) - 1e0, 2)
+      / (n_sys1_only + n_sys2_only) END AS statistic FROM mc),
+    zz AS (SELECT *, sqrt(statistic / 2) AS z, 1 / (1 + 0.5e0 * sqrt(statistic / 2)) AS t FROM st)"""
+add(
+    "f4_mcnemar",
+    lambda s, d: rounded(stats.mcnemar(trials(s, d), "fixed_slow", "baseline_large")),
+    f"""{T}, {_MCN} SELECT variant, n_both_correct, n_sys1_only, n_sys2_only, n_both_wrong,
+    round(statistic, 9) AS statistic, round({_ERFC}, 9) AS p_value, statistic > 3.841458820694124 AS significant FROM zz""",
+)
+
+
+def _effects(s, d):
+    acc = trials(s, d).groupBy("variant").agg(
+        F.avg(F.when(F.col("system") == "fixed_slow", F.col("correct").cast("int"))).alias("p1"),
+        F.avg(F.when(F.col("system") == "baseline_small", F.col("correct").cast("int"))).alias("p2"),
+    )
+    h = stats.cohens_h(F.col("p1"), F.col("p2"))
+    return rounded(acc.select("variant", h.alias("cohens_h"), stats.effect_size(h).alias("interpretation")))
+
+
+add(
+    "f5_cohens_h",
+    _effects,
+    f"""{T}, a AS (SELECT variant, avg(CAST(correct AS INT)) FILTER (system = 'fixed_slow') AS p1,
+      avg(CAST(correct AS INT)) FILTER (system = 'baseline_small') AS p2 FROM trials GROUP BY 1),
+    h AS (SELECT variant, 2 * asin(sqrt(p1)) - 2 * asin(sqrt(p2)) AS h FROM a)
+    SELECT variant, round(h, 9) AS cohens_h, CASE WHEN abs(h) < 0.2 THEN 'negligible' WHEN abs(h) < 0.5 THEN 'small'
+    WHEN abs(h) < 0.8 THEN 'medium' ELSE 'large' END AS interpretation FROM h""",
+)
+
+
+def _overlaps(s, d):
+    """Whether each system's base interval meets its distractor interval."""
+    ci = stats._interval(_replicates(s, d), BY, 0.95)
+    both = ci.groupBy("system").agg(
+        *[
+            F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{c}")
+            for v in ("base", "noop")
+            for c in ("ci_lower", "ci_upper")
+        ]
+    )
+    return both.select(
+        "system",
+        stats.ci_overlap(
+            F.col("base_ci_lower"), F.col("base_ci_upper"), F.col("noop_ci_lower"), F.col("noop_ci_upper")
+        ).alias("overlap"),
+    )
+
+
+add(
+    "f6_ci_overlap",
+    _overlaps,
+    f"""{T}, m AS (SELECT system, variant, replicate, CAST(sum(w * v) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS value
+      FROM {_draws("tokens_input + tokens_output")} GROUP BY 1, 2, 3),
+    c AS (SELECT system, variant, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM m GROUP BY 1, 2)
+    SELECT a.system, a.lo <= b.hi AND b.lo <= a.hi AS overlap FROM c a JOIN c b ON a.system = b.system
+    WHERE a.variant = 'base' AND b.variant = 'noop'""",
+)
+add(
+    "f7_improvement_factor",
+    lambda s, d: metrics.robustness(trials(s, d)).select(
+        "system", metrics.improvement_factor(F.col("rrr")).alias("improvement_factor")
+    ),
+    f"{T}, {_ROB} SELECT system, rrr / 0.35e0 AS improvement_factor FROM robust",
+)
+
+
+def _with_intervals(s, d):
+    t = trials(s, d)
+    tables = {"robustness": metrics.robustness(t), "complexity": metrics.complexity_decay(t), "cost": metrics.cost_summary(t),
+              "self_correction": metrics.self_correction(t), "routing": metrics.routing_summary(t)}
+    out = stats.attach_intervals(t, tables, 500)
+    wide = out["robustness"]
+    for name in ("complexity", "cost", "self_correction", "routing"):
+        cis = [c for c in out[name].columns if "_ci_" in c]
+        wide = wide.join(out[name].select("system", *[F.col(c).alias(f"{name}_{c}") for c in cis]), "system")
+    return wide
+
+
+add("f8_attach_intervals", _with_intervals)
+
+
+def _full(s, d):
+    """Every table of the report as (table, row) with the row in JSON."""
+    tables = report.full_report(trials(s, d), "fixed_slow", "baseline_large", deduplicate=False)
+    out = None
+    for name, df in tables.items():
+        if name == "trials":
+            continue
+        part = df.select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+add("e26_full_report", _full)
+add(
+    "e26_headline",
+    lambda s, d: rounded(report.headline(trials(s, d), "baseline_large")),
+    f"""{T}, {_ROB}, mc AS (SELECT a.system, count(*) FILTER (a.correct AND NOT b.correct) AS x,
+      count(*) FILTER (NOT a.correct AND b.correct) AS y FROM trials a JOIN trials b ON a.problem_id = b.problem_id
+      WHERE a.variant = 'base' AND b.variant = 'base' AND b.system = 'baseline_large' AND a.system <> 'baseline_large' GROUP BY 1),
+    st AS (SELECT *, power(abs(x - y) - 1e0, 2) / (x + y) AS statistic FROM mc),
+    zz AS (SELECT *, sqrt(statistic / 2) AS z, 1 / (1 + 0.5e0 * sqrt(statistic / 2)) AS t FROM st)
+    SELECT r.system, n_base, n_noop, round(base_accuracy, 9) AS base_accuracy, round(noop_accuracy, 9) AS noop_accuracy,
+    round(accuracy_drop, 9) AS accuracy_drop, round(accuracy_drop_pct, 9) AS accuracy_drop_pct, round(rrr, 9) AS rrr,
+    round(statistic, 9) AS statistic, round({_ERFC}, 9) AS p_value, statistic > 3.841458820694124 AS significant
+    FROM robust r LEFT JOIN zz ON r.system = zz.system""",
+)

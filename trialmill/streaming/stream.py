@@ -55,7 +55,7 @@ def stream_resume(
 # --- policy learning --------------------------------------------------------------------
 
 
-def _moments(width: int):
+def _moments():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for action, part in pdf.groupby("logged_action"):
@@ -68,10 +68,10 @@ def _moments(width: int):
     return run
 
 
-def policy_moments(logged: DataFrame, width: int) -> DataFrame:
+def policy_moments(logged: DataFrame) -> DataFrame:
     """Per action, the sums X'X and X'c (last column) of (features, logged_cost) with an intercept."""
     rows = logged.select(F.col("logged_action").cast("int"), "features", F.col("logged_cost").cast("double"))
-    partial = rows.mapInPandas(_moments(width), "action int, i int, j int, total double")
+    partial = rows.mapInPandas(_moments(), "action int, i int, j int, total double")
     return partial.groupBy("action", "i", "j").agg(F.sum("total").alias("total"))
 
 
@@ -88,7 +88,7 @@ def fit_from_moments(moments: DataFrame, width: int, l2: float = 1e-6) -> dict[i
     return out
 
 
-def stream_policy(logged: DataFrame, state: str, checkpoint: str, width: int, enabled: bool = True) -> StreamingQuery:
+def stream_policy(logged: DataFrame, state: str, checkpoint: str, enabled: bool = True) -> StreamingQuery:
     """Add each micro-batch's moments to a state table.
 
     A batch overwrites its own partition, so a replayed batch counts once.
@@ -96,7 +96,7 @@ def stream_policy(logged: DataFrame, state: str, checkpoint: str, width: int, en
 
     def learn(batch: DataFrame, batch_id: int) -> None:
         if enabled:
-            policy_moments(batch, width).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+            policy_moments(batch).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
     return (
         logged.writeStream.option("checkpointLocation", checkpoint)
