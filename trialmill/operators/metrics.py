@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost as fc
 from ..functions import lexicon as lx
+from .checks import record_errors
 from .pairs import map_error_category
 
 
@@ -479,16 +480,16 @@ def answer_status(solutions: DataFrame, problems: DataFrame) -> DataFrame:
     )
 
 
-def generation_stats(requested: DataFrame, generated: DataFrame, invalid: DataFrame) -> DataFrame:
+def generation_stats(requested: DataFrame, records: DataFrame) -> DataFrame:
     """Templates, requested, generated, failed and invalid instances of a corpus job per variant."""
     asked = requested.groupBy("variant").agg(
         F.count_distinct("template_id").alias("templates_loaded"), F.sum("instances").alias("instances_requested")
     )
-    made = generated.groupBy("variant").agg(_rows().alias("instances_generated"))
-    bad = invalid.groupBy("variant").agg(_rows().alias("validation_errors"))
+    made = records.groupBy("variant").agg(
+        _rows().alias("instances_generated"), _n(F.size(record_errors()) > 0).alias("validation_errors")
+    )
     return (
         asked.join(made, "variant", "left")
-        .join(bad, "variant", "left")
         .fillna(0)
         .withColumn("instances_failed", F.col("instances_requested") - F.col("instances_generated"))
     )
@@ -496,8 +497,6 @@ def generation_stats(requested: DataFrame, generated: DataFrame, invalid: DataFr
 
 def dataset_metadata(records: DataFrame) -> DataFrame:
     """Record, template and validity counts per variant and overall."""
-    from .checks import record_errors
-
     bad = F.size(record_errors()) > 0
     base = records.withColumn("__bad", bad).groupBy("variant", "template_id").agg(
         _rows().alias("n"), _n(F.col("__bad")).alias("bad"), _n(F.col("is_noop")).alias("noop")

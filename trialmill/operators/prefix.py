@@ -41,7 +41,7 @@ def running(
     local = Window.partitionBy(_SLICE, *keys).orderBy(*order_cols)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
-    out = sliced.withColumn("__rank", F.row_number().over(local).cast("long"))
+    out = sliced.withColumn("__local_rank", F.row_number().over(local).cast("long"))
     for name, source in sums.items():
         out = out.withColumn(name, F.sum(source).over(upto))
     for name, source in best_before.items():
@@ -67,5 +67,5 @@ def running(
     for name in best_before:
         out = out.withColumn(name, F.greatest(F.col(name), F.col(f"__off_{name}")))
     if rank:
-        out = out.withColumn(rank, F.col("__rank") + F.col("__off_n"))
-    return out.drop(_SLICE, "__rank", "__off_n", *[f"__off_{n}" for n in [*sums, *best_before]])
+        out = out.withColumn(rank, F.col("__local_rank") + F.col("__off_n"))
+    return out.drop(_SLICE, "__local_rank", "__off_n", *[f"__off_{n}" for n in [*sums, *best_before]])

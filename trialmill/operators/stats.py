@@ -8,6 +8,7 @@ aggregated counts: the shuffle holds groups x replicates, never rows x replicate
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -146,8 +147,8 @@ def portable_mean_replicates(
     """
     draws = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     u = uniform(F.col(key), "boot", F.col("replicate"))
-    steps = F.array(*[F.lit(s) for s in _POISSON_STEPS])
-    weighted = draws.withColumn("__u", u).withColumn("__w", F.size(F.filter(steps, lambda s: s <= F.col("__u"))))
+    passed = [F.when(u >= F.lit(s), F.lit(1)).otherwise(F.lit(0)) for s in _POISSON_STEPS]
+    weighted = draws.withColumn("__w", reduce(lambda a, b: a + b, passed))
     return weighted.groupBy(*by, "replicate").agg(
         F.try_divide(F.sum(F.col("__w") * F.col(value)).cast("double"), F.sum("__w").cast("double")).alias("value")
     )

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -123,7 +125,7 @@ horizon AS (SELECT problem_id, MAX(step) + 1 AS max_step FROM ops GROUP BY probl
 _TRANSFERS = """
 transfers AS (
   SELECT user_id % 30 AS problem_id, user_id AS src, (user_id * 7 + 1) % 150 AS dst, event_type AS item,
-       CAST(ROUND(value * 100) AS BIGINT) AS amount, event_id % 8 AS step
+       CAST(ROUND(value * 100) AS BIGINT) AS amount, event_id % 499 AS step
   FROM {events})"""
 
 _GIVEN = """
@@ -199,8 +201,13 @@ def cte(*names: str, recursive: bool = False) -> str:
     return head + re.sub(r"\{(\w+)\}", r"\1", body)
 
 
+# tables whose rows are long texts or vectors
+_HEAVY = {"documents", "conversations", "embeddings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _HEAVY else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

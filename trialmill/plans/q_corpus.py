@@ -1,0 +1,303 @@
+"""Corpus queries: sampling, generation, rendering, names, distractors and lineage."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import checks, corpus, metrics
+from ..operators.corpus import Template, Variable
+from ..operators.distractors import SENTENCES
+from ..session import spread
+from .fixtures import cte, table, view
+from .q_text import _topics_sql, lx, objects_sql
+from .registry import add
+
+TEMPLATES = [
+    Template(
+        "t1",
+        "{name} has {x} pens and buys {y} more. How many pens?",
+        [Variable("x", "range", 5, 60), Variable("y", "range", 1, 40), Variable("name", "sample", items=["names"])],
+        "x + y",
+    ),
+    Template(
+        "t2",
+        "{n} boxes share {x} pens equally. How many per box?",
+        [Variable("x", "range", 10, 90), Variable("n", "range", 2, 9)],
+        "x / n",
+        ["divides(n, x)"],
+    ),
+    Template(
+        "t3",
+        "A bag of {x} loses {p} percent. How many stay?",
+        [Variable("x", "range", 10, 200, 10), Variable("p", "sample", items=[10, 20, 50])],
+        "x - x * p / 100",
+        ["is_int(x * p / 100)"],
+    ),
+    Template(
+        "t4",
+        "{x} birds leave from {y}. How many stay?",
+        [Variable("x", "range", 1, 50), Variable("y", "range", 1, 50)],
+        "y - x",
+        ["y > x"],
+        "{y} - {x} = {y - x}",
+    ),
+]
+SEED = 42
+
+
+def instances(s, d):
+    """Every part is an instance of every template."""
+    ids = F.array(*[F.lit(t.template_id) for t in TEMPLATES])
+    parts = spread(table(s, d, "part").select("p_partkey"))
+    return parts.select(F.explode(ids).alias("template_id"), F.col("p_partkey").alias("instance"))
+
+
+def _u(key: str, *salt: str) -> str:
+    parts = " || '-' || ".join([key, *salt])
+    return f"(CAST(('0x' || substr(md5({parts}), 1, 8)) AS BIGINT) / 4294967296e0)"
+
+
+def _at(n: int, var: str) -> str:
+    return f"floor({_u('key', repr(var), 'CAST(a AS VARCHAR)')} * {n})"
+
+
+_NAME_LIST = "[" + ", ".join(f"'{n}'" for n in corpus.DEFAULT_NAMES) + "]"
+_INST = f"""WITH ins AS (SELECT t AS template_id, p_partkey AS instance, '{SEED}/' || t || '/' || p_partkey AS key
+      FROM part, (VALUES ('t1'), ('t2'), ('t3'), ('t4')) v(t))"""
+_X = f"""CASE template_id WHEN 't1' THEN 5 + {_at(56, "x")} WHEN 't2' THEN 10 + {_at(81, "x")}
+    WHEN 't3' THEN 10 + 10 * {_at(20, "x")} ELSE 1 + {_at(50, "x")} END"""
+_Y = f"""CASE template_id WHEN 't1' THEN 1 + {_at(40, "y")} WHEN 't2' THEN 2 + {_at(8, "n")}
+    WHEN 't3' THEN [10, 20, 50][CAST({_at(3, "p")} AS INT) + 1] ELSE 1 + {_at(50, "y")} END"""
+_DRAWN = f"""dr AS (SELECT *, {_X} AS x, {_Y} AS y, {_NAME_LIST}[CAST({_at(10, "name")} AS INT) + 1] AS name FROM tries),
+    ok AS (SELECT *, CASE template_id WHEN 't1' THEN true WHEN 't2' THEN x % y = 0 WHEN 't3' THEN x * y % 100 = 0
+      ELSE y > x END AS fits, CASE template_id WHEN 't1' THEN x + y WHEN 't2' THEN x / y WHEN 't3' THEN x - x * y / 100
+      ELSE y - x END AS answer FROM dr)"""
+_GEN = f"""{_INST}, tries AS (SELECT *, r.a FROM ins, range(500) r(a)), {_DRAWN},
+    gen AS (SELECT template_id, instance, arg_min(x, a) AS x, arg_min(y, a) AS y, arg_min(name, a) AS name,
+      arg_min(answer, a) AS answer, CAST(min(a) AS INT) AS attempt FROM ok WHERE fits GROUP BY 1, 2)"""
+
+
+def generated(s, d):
+    return corpus.generate_instances(instances(s, d), TEMPLATES, SEED)
+
+
+def _shown(df):
+    pairs = F.transform(F.map_entries("variables"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return df.withColumn("variables", F.array_join(F.array_sort(pairs), ","))
+
+
+_VARS = """CASE template_id WHEN 't1' THEN concat('name=', name, ',x=', CAST(x AS BIGINT), ',y=', CAST(y AS BIGINT))
+    WHEN 't2' THEN concat('n=', CAST(y AS BIGINT), ',x=', CAST(x AS BIGINT))
+    WHEN 't3' THEN concat('p=', CAST(y AS BIGINT), ',x=', CAST(x AS BIGINT))
+    ELSE concat('x=', CAST(x AS BIGINT), ',y=', CAST(y AS BIGINT)) END"""
+add(
+    "h2_sample_variables",
+    lambda s, d: _shown(corpus.sample_variables(instances(s, d), TEMPLATES, SEED)),
+    f"{_INST}, tries AS (SELECT *, 0 AS a FROM ins), {_DRAWN} SELECT template_id, instance, {_VARS} AS variables FROM ok",
+)
+add(
+    "h3_generate_instances",
+    lambda s, d: _shown(generated(s, d)),
+    f"{_GEN} SELECT template_id, instance, attempt, {_VARS} AS variables, CAST(answer AS DOUBLE) AS final_answer FROM gen",
+)
+_N = {v: f"CAST({v} AS BIGINT)" for v in ("x", "y", "answer")}
+_RENDER = f"""ren AS (SELECT template_id, instance, CASE template_id
+    WHEN 't1' THEN concat(name, ' has ', {_N["x"]}, ' pens and buys ', {_N["y"]}, ' more. How many pens?')
+    WHEN 't2' THEN concat({_N["y"]}, ' boxes share ', {_N["x"]}, ' pens equally. How many per box?')
+    WHEN 't3' THEN concat('A bag of ', {_N["x"]}, ' loses ', {_N["y"]}, ' percent. How many stay?')
+    ELSE concat({_N["x"]}, ' birds leave from ', {_N["y"]}, '. How many stay?') END AS question,
+    CASE template_id WHEN 't4' THEN concat({_N["y"]}, ' - ', {_N["x"]}, ' = ', {_N["answer"]}, chr(10), '#### ', {_N["answer"]})
+    ELSE concat('#### ', {_N["answer"]}) END AS answer, CAST({_N["answer"]} AS VARCHAR) AS final_answer FROM gen)"""
+add(
+    "h4_render",
+    lambda s, d: corpus.render(generated(s, d), TEMPLATES, SEED).select("template_id", "instance", "question", "answer"),
+    f"{_GEN}, {_RENDER} SELECT template_id, instance, question, answer FROM ren",
+)
+
+
+def base(s, d):
+    return corpus.build_variant(instances(s, d), TEMPLATES, "base", SEED)[0]
+
+
+add(
+    "h9_build_base",
+    lambda s, d: base(s, d).select("id", "question", "answer", "final_answer", "variant"),
+    f"""{_GEN}, {_RENDER} SELECT concat('base_', template_id, '_', printf('%04d', instance)) AS id, question, answer,
+    final_answer, 'base' AS variant FROM ren""",
+)
+
+
+def _stats(s, d):
+    inst = instances(s, d)
+    asked = inst.groupBy("template_id").agg(F.count(F.lit(1)).alias("instances")).withColumn("variant", F.lit("base"))
+    return metrics.generation_stats(asked, base(s, d))
+
+
+add(
+    "e21_generation_stats",
+    _stats,
+    f"""{_GEN} SELECT 'base' AS variant, (SELECT count(DISTINCT template_id) FROM ins) AS templates_loaded,
+    (SELECT count(*) FROM ins) AS instances_requested, count(*) AS instances_generated, CAST(0 AS BIGINT) AS validation_errors,
+    (SELECT count(*) FROM ins) - count(*) AS instances_failed FROM gen""",
+)
+
+# --- names --------------------------------------------------------------------------------------
+
+
+def _named(s, d):
+    return corpus.assign_names(view(s, d, "slots"), view(s, d, "names"))
+
+
+add(
+    "h5_assign_names",
+    lambda s, d: _named(s, d).select("problem_id", "slot", "position", "block", "name"),
+    f"""{cte("slots", "names")}, o AS (SELECT name, min(block) % 10 AS block FROM names GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY name) - 1 AS idx, count(*) OVER (PARTITION BY block) AS size FROM o),
+    dk AS (SELECT block, idx AS turn, size, row_number() OVER (ORDER BY idx, block) AS position FROM r),
+    p AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY slot) AS position FROM slots),
+    m AS (SELECT p.problem_id, p.slot, p.position, dk.block, size, turn,
+      CAST(floor({_u("CAST(p.problem_id AS VARCHAR)", "CAST(dk.block AS VARCHAR)")} * size) AS BIGINT) AS start
+      FROM p LEFT JOIN dk ON p.position = dk.position)
+    SELECT m.problem_id, slot, position, CAST(m.block AS INT) AS block, name FROM m LEFT JOIN r
+      ON m.block = r.block AND (start + turn) % m.size = r.idx""",
+)
+
+# --- distractors --------------------------------------------------------------------------------
+
+P = cte("problems")
+
+
+def problems(s, d):
+    return view(s, d, "problems")
+
+
+_FLAT = [(t, i, r, x.replace("'", "''")) for t in sorted(SENTENCES) for i, (r, x) in enumerate(SENTENCES[t])]
+_DIM = "dim(topic, pos, rule, sentence) AS (VALUES " + ", ".join(f"('{t}', {i}, '{r}', '{x}')" for t, i, r, x in _FLAT) + ")"
+_PICKS = f"""{_DIM}, base AS (SELECT *, {_topics_sql(lx.TOPIC_WORDS, "question")} AS topics, {objects_sql("question")} AS objects,
+      list_max(list_transform(regexp_extract_all(question, '\\b([0-9]+)\\b', 1), lambda x: CAST(x AS BIGINT))) AS q FROM problems),
+    opts AS (SELECT id, list(struct_pack(rule := rule, sentence := sentence) ORDER BY topic, pos) AS o
+      FROM base JOIN dim ON contains(',' || topics || ',', ',' || topic || ',') GROUP BY id),
+    ch AS (SELECT b.*, i, o[CAST(floor({_u("b.id", "'42'", "'sentence'", "CAST(i AS VARCHAR)")} * len(o)) AS INT) + 1] AS c,
+      {_u("b.id", "'42'", "'number'", "CAST(i AS VARCHAR)")} AS un,
+      objects[CAST(floor({_u("b.id", "'42'", "'object'", "CAST(i AS VARCHAR)")} * len(objects)) AS INT) + 1] AS noun
+      FROM base b JOIN opts ON b.id = opts.id, range(3) r(i)),
+    rg AS (SELECT *, CASE c.rule WHEN 'smaller' THEN 1 WHEN 'percentage' THEN 5 WHEN 'time' THEN 1 ELSE 2 END AS lo,
+      CASE c.rule WHEN 'smaller' THEN greatest(2, least(q - 1, q // 2)) WHEN 'percentage' THEN 95 WHEN 'time' THEN 12 ELSE 50 END AS hi FROM ch),
+    ds AS (SELECT id, i, replace(replace(c.sentence, '{{N}}', CAST(lo + CAST(floor(un * (hi - lo + 1)) AS BIGINT) AS VARCHAR)),
+      '{{object}}', noun) AS sentence FROM rg),
+    dl AS (SELECT id, list(sentence ORDER BY i) AS d FROM ds GROUP BY id)"""
+add(
+    "h6_pick_distractors",
+    lambda s, d: corpus.pick_distractors(problems(s, d), 3).select("id", F.array_join("distractors", "|").alias("distractors")),
+    f"{P}, {_PICKS} SELECT id, array_to_string(d, '|') AS distractors FROM dl",
+)
+
+# the sentence split without lookbehind: a sentinel marks the gap after a terminator
+_SPLIT = r"string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def _sum_first(k: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_slice(ss, 1, {k}), lambda s: length(s) + 1)), 0)"
+
+
+_ASK = "regexp_matches(lower(s), '^(how|what|when|where|who|which|if)')"
+
+
+def _point(position: str) -> str:
+    """Insertion point in text t with sentences ss."""
+    last = "(len(ss) - list_position(list_reverse(list_transform(ss, lambda s: " + _ASK + ")), true))"
+    return f"""CAST(CASE {position} WHEN 'start' THEN CASE WHEN len(ss) > 1 THEN length(ss[1]) + 1 ELSE 0 END
+      WHEN 'end' THEN CASE WHEN len(list_filter(ss, lambda s: {_ASK})) > 0 THEN greatest(0, {_sum_first(last)} - 1)
+        WHEN len(ss) > 1 THEN length(t) - length(ss[-1]) ELSE length(t) END
+      ELSE CASE WHEN len(ss) > 2 THEN {_sum_first("len(ss) // 2")} ELSE length(t) // 2 END END AS BIGINT)"""
+
+
+def _insert(source: str, name: str, i: int) -> str:
+    return f"""{name}a AS (SELECT *, {_SPLIT.format("t")} AS ss FROM {source}), {name}b AS (SELECT *, {_point(f"pos[{i + 1}]")} AS at_ FROM {name}a),
+    {name} AS (SELECT id, pos, d, concat(regexp_replace(substr(t, 1, at_), '\\s+$', ''), ' ', d[{i + 1}], ' ',
+      regexp_replace(substr(t, at_ + 1), '^\\s+', '')) AS t FROM {name}b)"""
+
+
+def _places(n: int) -> str:
+    names = ["middle", "start", "end"][:n]
+    tagged = ", ".join(f"struct_pack(u := {_u('p.id', repr('42'), repr('place'), repr(x))}, p := '{x}')" for x in names)
+    return f"list_transform(list_sort([{tagged}]), lambda z: z.p)"
+
+
+def _injected(n: int) -> str:
+    steps = [f"s0 AS (SELECT p.id, {_places(n)} AS pos, d, question AS t FROM problems p JOIN dl ON p.id = dl.id)"]
+    steps += [_insert(f"s{i}", f"s{i + 1}", i) for i in range(n)]
+    return ", ".join(steps)
+
+
+def _inject(s, d, n):
+    out = corpus.inject(corpus.pick_distractors(problems(s, d), n), n)
+    return out.select("id", F.array_join("injection_positions", ",").alias("positions"), "modified_question")
+
+
+for _n in (1, 3):
+    add(
+        f"h7_inject_{_n}",
+        lambda s, d, n=_n: _inject(s, d, n),
+        f"""{P}, {_PICKS}, {_injected(_n)} SELECT id, array_to_string(pos, ',') AS positions,
+        trim(t) AS modified_question FROM s{_n}""",
+    )
+
+
+def noop(s, d):
+    return corpus.build_noop(problems(s, d))
+
+
+add(
+    "h8_build_noop",
+    lambda s, d: noop(s, d).select(
+        "id", "question", "answer", "template_id", "is_noop", "instance", "final_answer", "original_question", "base_id"
+    ),
+    f"""{P}, {_PICKS}, {_injected(1)} SELECT concat('noop_', template_id, '_', printf('%04d', instance)) AS id,
+    trim(t) AS question, answer, template_id, true AS is_noop, instance, final_answer, p.question AS original_question,
+    p.id AS base_id FROM problems p JOIN s1 ON p.id = s1.id""",
+)
+add(
+    "c3_noop_invariant",
+    lambda s, d: checks.noop_invariant(
+        problems(s, d), noop(s, d).withColumn("final_answer", F.when(F.col("instance") % 7 > 0, F.col("final_answer")))
+    ).select("template_id", "instance", "holds"),
+    f"""{P} SELECT template_id, instance, final_answer IS NOT DISTINCT FROM CASE WHEN instance % 7 > 0 THEN final_answer END AS holds
+    FROM problems""",
+)
+add(
+    "d11_noop_lineage",
+    lambda s, d: corpus.noop_lineage(problems(s, d), noop(s, d)).select("id", "base_id", "base_question", "base_answer"),
+    f"""{P} SELECT concat('noop_', template_id, '_', printf('%04d', instance)) AS id, id AS base_id, question AS base_question,
+    answer AS base_answer FROM problems""",
+)
+add(
+    "h1_parse_templates",
+    lambda s, d: _parsed(s, d),
+    """SELECT concat('p1_part', p_partkey) AS template_id, concat('A ', p_type, ' costs {x,3}. {who} buys {n,2}.') AS question_template,
+    'x:range:1:' || p_size || ':1;who:sample:::;n:literal:::' AS variables, 'x > ' || p_size % 9 || '|n < 5' AS conditions,
+    'x * n' AS formula FROM part""",
+)
+
+
+def _parsed(s, d):
+    """Parts worded as annotated template files, parsed back into their pieces."""
+    p = table(s, d, "part")
+    annotated = F.concat(
+        F.lit("A "), "p_type", F.lit(" costs {x,3}. {who} buys {n,2}.\n\n#init:\n- $x = range(1, "),
+        F.col("p_size").cast("string"), F.lit(")\n- who = sample(names)\n\n#conditions:\n- x > "),
+        (F.col("p_size") % 9).cast("string"), F.lit("\n- n < 5\n\n#answer: x * n"),
+    )
+    raw = p.select(
+        F.concat(F.lit("/templates/part"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("file"),
+        annotated.alias("question_annotated"), F.lit(None).cast("string").alias("answer_annotated"),
+        F.col("p_name").alias("question"), F.col("p_brand").alias("answer"),
+    )
+    shown = F.transform(
+        "variables",
+        lambda v: F.concat_ws(":", v["name"], v["kind"], *[F.coalesce(v[c].cast("string"), F.lit("")) for c in ("lo", "hi", "step")]),
+    )
+    return corpus.parse_templates(raw, "p1").select(
+        "template_id", "question_template", F.array_join(shown, ";").alias("variables"),
+        F.array_join("conditions", "|").alias("conditions"), "formula",
+    )

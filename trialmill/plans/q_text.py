@@ -87,9 +87,7 @@ def _sparse_sql(vector: str, prefix: str) -> str:
 
 add(
     "b4_format_features",
-    lambda s, d: _with_vectors(s, d).select(
-        "doc_id", tx.format_features(F.col("text"), F.col("embedding")).alias("features")
-    ),
+    lambda s, d: tx.with_feature_line(_with_vectors(s, d)).select("doc_id", "features"),
     f"""{_explicit("documents", "doc_id")}, h AS (SELECT doc_id, concat('|x len_chars:', printf('%.3f', len_chars / 1000e0),
       ' len_tokens:', printf('%.3f', len_tokens / 500e0), ' n_sentences:', n_sentences, ' n_numbers:', n_numbers,
       ' has_fraction:', CAST(has_fraction AS INT), ' has_percentage:', CAST(has_percentage AS INT),
@@ -100,9 +98,9 @@ add(
 )
 add(
     "b5_format_warm_features",
-    lambda s, d: _with_vectors(s, d)
-    .filter(F.col("embedding").isNotNull())
-    .select("doc_id", tx.format_warm_features(F.col("text"), F.col("embedding")).alias("features")),
+    lambda s, d: tx.with_feature_line(_with_vectors(s, d).filter(F.col("embedding").isNotNull()), warm=True).select(
+        "doc_id", "features"
+    ),
     f"""WITH {_SEM}, v AS (SELECT sem.*, list_transform(embedding,
       lambda x: greatest(least(CAST(x AS DOUBLE), 5e0), -5e0) / 5e0) AS e FROM sem JOIN embeddings ON vec_id = doc_id)
     SELECT doc_id, concat('|x ', {_sparse_sql("e", "pca_")}, ' |e token_cnt:', printf('%.4f', token_cnt), ' has_neg:', has_neg,
@@ -327,15 +325,13 @@ def _topics_sql(words: dict, text: str) -> str:
 
 add(
     "b24_detect_topics",
-    lambda s, d: table(s, d, "documents").select(
-        "doc_id", F.array_join(tx.detect_topics(F.col("text")), ",").alias("topics")
-    ),
+    lambda s, d: tx.with_topics(table(s, d, "documents")).select("doc_id", F.array_join("topics", ",").alias("topics")),
     f"SELECT doc_id, {_topics_sql(lx.TOPIC_WORDS, 'text')} AS topics FROM documents",
 )
 add(
     "b25_detect_template_topics",
-    lambda s, d: table(s, d, "documents").select(
-        "doc_id", F.array_join(tx.detect_template_topics(F.col("text")), ",").alias("topics")
+    lambda s, d: tx.with_topics(table(s, d, "documents"), words=lx.TEMPLATE_TOPIC_WORDS).select(
+        "doc_id", F.array_join("topics", ",").alias("topics")
     ),
     f"SELECT doc_id, {_topics_sql(lx.TEMPLATE_TOPIC_WORDS, 'text')} AS topics FROM documents",
 )
