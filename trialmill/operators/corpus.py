@@ -252,9 +252,10 @@ def sample_variables(
 
 def _acceptance(t: Template, names: Sequence[str], seed: int) -> Callable[[Column], Column]:
     key = _instance_key(seed)
+    drawn_names = list(_values(t, key, F.lit(0), names))
 
     def fits(drawn: Column) -> Column:
-        values = {v.name: drawn[v.name] for v in t.variables}
+        values = {n: drawn[n] for n in drawn_names}
         answer = checks.template_expression(t.formula, values) if t.formula else F.lit(None).cast("double")
         ok = F.coalesce(answer.between(0, checks.MAX_ANSWER), F.lit(False))
         for c in t.conditions:
