@@ -437,16 +437,8 @@ def pick_distractors(
 _QUESTION_STARTS = ["how", "what", "when", "where", "who", "which", "if"]
 
 
-def injection_point(text: Column, position: Column, compat: bool = False) -> Column:
-    """Characters before the place named start, middle or end.
-
-    ``compat`` measures the end place from the end of the text by the length of the
-    question sentence, which is off whenever another sentence follows it.
-    """
-    sentences = F.split(text, r"(?<=[.!?])\s+")
-    count = F.size(sentences)
-    lengths = F.transform(sentences, lambda s: F.char_length(s))
-    total = F.char_length(text)
+def _point(text: Column, lengths: Column, asks: Column, position: Column, compat: bool) -> Column:
+    count, total = F.size(lengths), F.char_length(text)
 
     def length_of_first(n: Column) -> Column:
         return F.aggregate(F.slice(lengths, 1, n), F.lit(0), lambda a, x: a + x + 1)
@@ -454,16 +446,35 @@ def injection_point(text: Column, position: Column, compat: bool = False) -> Col
     start = F.when(count > 1, F.get(lengths, 0) + 1).otherwise(F.lit(0))
     half = F.floor(count / 2).cast("int")
     middle = F.when(count > 2, length_of_first(half)).otherwise(F.floor(total / 2).cast("int"))
-    asks = F.transform(
-        sentences, lambda s: F.regexp_like(F.lower(s), F.lit("^(" + "|".join(_QUESTION_STARTS) + ")"))
-    )
     last_ask = count - F.array_position(F.reverse(asks), True).cast("int")  # zero-based when one asks
-    found = F.exists(asks, lambda a: a)
     at = (total - F.get(lengths, last_ask)) if compat else length_of_first(last_ask)
-    end = F.when(found, F.greatest(F.lit(0), at - 1)).when(count > 1, total - F.get(lengths, count - 1)).otherwise(total)
+    end = (
+        F.when(F.array_contains(asks, True), F.greatest(F.lit(0), at - 1))
+        .when(count > 1, total - F.get(lengths, count - 1))
+        .otherwise(total)
+    )
     return F.when(position == "start", start).when(position == "end", end).otherwise(middle).cast("int")
 
 
+def with_injection_point(
+    df: DataFrame, text: str, position: Column, out: str = "injection_point", compat: bool = False
+) -> DataFrame:
+    """Add the number of characters before the place named start, middle or end.
+
+    ``compat`` measures the end place from the end of the text by the length of the
+    question sentence, which is off whenever another sentence follows it.
+    """
+    opening = "^(" + "|".join(_QUESTION_STARTS) + ")"
+    # each step is read several times by the next, so each is its own projection
+    return (
+        df.withColumn("__sentences", F.split(text, r"(?<=[.!?])\s+"))
+        .withColumn("__lengths", F.transform("__sentences", lambda s: F.char_length(s)))
+        .withColumn("__asks", F.transform("__sentences", lambda s: F.regexp_like(F.lower(s), F.lit(opening))))
+        .withColumn(out, _point(F.col(text), F.col("__lengths"), F.col("__asks"), position, compat))
+        .drop("__sentences", "__lengths", "__asks")
+    )
+
+
 def insertion_order(key: Column, n: int, seed: int = 42) -> Column:
     """A shuffled subset of the three places; a single insertion is always in the middle."""
     places = ["middle", "start", "end"][: max(1, min(3, n))]
@@ -481,7 +492,7 @@ def inject(
     )
     for i in range(n):
         text = F.col("modified_question")
-        out = out.withColumn("__at", injection_point(text, F.get("injection_positions", i), compat))
+        out = with_injection_point(out, "modified_question", F.get("injection_positions", i), "__at", compat)
         head = F.regexp_replace(F.substring(text, F.lit(1), F.col("__at")), r"(?U)\s+$", "")
         tail = F.regexp_replace(F.substring(text, F.col("__at") + 1, F.char_length(text)), r"(?U)^\s+", "")
         out = out.withColumn(

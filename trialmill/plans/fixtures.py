@@ -201,8 +201,8 @@ def cte(*names: str, recursive: bool = False) -> str:
     return head + re.sub(r"\{(\w+)\}", r"\1", body)
 
 
-# tables whose rows are long texts or vectors
-_HEAVY = {"documents", "conversations", "embeddings"}
+# tables with costly rows or large joins and windows on top
+_HEAVY = {"documents", "conversations", "embeddings", "lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

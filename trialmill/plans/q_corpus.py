@@ -168,7 +168,7 @@ P = cte("problems")
 
 
 def problems(s, d):
-    return view(s, d, "problems")
+    return spread(view(s, d, "problems"))
 
 
 _FLAT = [(t, i, r, x.replace("'", "''")) for t in sorted(SENTENCES) for i, (r, x) in enumerate(SENTENCES[t])]
