@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
-from .metrics import ratio
 from .pairs import paired
 
 RESAMPLES = 10_000
@@ -28,14 +27,20 @@ def _seed(by: Sequence[str], seed: int, *extra: str) -> Column:
     return F.abs(F.xxhash64(F.lit(seed), *[F.col(c) for c in [*by, *extra]]) % F.lit(2**62))
 
 
+# number of the row that carries the point estimate among the replicates of a group
+POINT = -1
+
+
 def _interval(replicates: DataFrame, by: Sequence[str], level: float) -> DataFrame:
     """Percentile interval (linear between order statistics) of the ``value`` of each group's replicates."""
     tail = (1 - level) / 2
+    drawn = F.when(F.col("replicate") != POINT, F.col("value"))
     return replicates.groupBy(*by).agg(
-        F.percentile("value", F.lit(tail)).alias("ci_lower"),
-        F.percentile("value", F.lit(1 - tail)).alias("ci_upper"),
-        F.stddev_pop("value").alias("std_error"),
-        F.count("value").alias("n_bootstrap"),
+        F.max(F.when(F.col("replicate") == POINT, F.col("value"))).alias("point_estimate"),
+        F.percentile(drawn, F.lit(tail)).alias("ci_lower"),
+        F.percentile(drawn, F.lit(1 - tail)).alias("ci_upper"),
+        F.stddev_pop(drawn).alias("std_error"),
+        F.count(drawn).alias("n_bootstrap"),
     )
 
 
@@ -46,7 +51,10 @@ def _binomial_means():
             for row in pdf.to_dict("records"):
                 n, k, size = int(row["__n"]), int(row["__k"]), int(row["__size"])
                 draws = np.random.default_rng(int(row["__seed"])).binomial(n, k / n, size)
-                out = pd.DataFrame({"replicate": row["__start"] + np.arange(size), "value": draws / n})
+                number, value = row["__start"] + np.arange(size), draws / n
+                if row["__start"] == 0:
+                    number, value = np.append(number, POINT), np.append(value, k / n)
+                out = pd.DataFrame({"replicate": number, "value": value})
                 for c in [c for c in pdf.columns if not c.startswith("__")]:
                     out[c] = row[c]
                 yield out
@@ -57,11 +65,8 @@ def _binomial_means():
 def accuracy_replicates(
     trials: DataFrame, by: Sequence[str], resamples: int = RESAMPLES, seed: int = 42, hit: str = "correct"
 ) -> DataFrame:
+    """Accuracy of each group's resamples; row ``POINT`` holds the accuracy itself."""
     counts = trials.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(hit)).alias("__k"))
-    return _replicates_of_counts(counts, by, resamples, seed)
-
-
-def _replicates_of_counts(counts: DataFrame, by: Sequence[str], resamples: int, seed: int) -> DataFrame:
     blocks = counts.filter("__n > 0").withColumn(
         "__start", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(_BLOCK)))
     )
@@ -81,9 +86,7 @@ def bootstrap_accuracy(
     hit: str = "correct",
 ) -> DataFrame:
     """Percentile interval of the accuracy of each group."""
-    counts = trials.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(hit)).alias("__k"))
-    point = counts.select(*by, ratio(F.col("__k"), F.col("__n")).alias("point_estimate"))
-    return point.join(_interval(_replicates_of_counts(counts, by, resamples, seed), by, level), list(by))
+    return _interval(accuracy_replicates(trials, by, resamples, seed, hit), by, level)
 
 
 def _poisson_sums(by: list[str], value: str, resamples: int):
@@ -91,12 +94,13 @@ def _poisson_sums(by: list[str], value: str, resamples: int):
         # one B-vector per group of this batch, so the memory is groups x resamples
         for pdf in batches:
             for key, part in pdf.groupby(by, dropna=False, sort=False):
-                weight, total = np.zeros(resamples), np.zeros(resamples)
+                # the last place keeps the plain counts: they give the point estimate
+                weight, total = np.zeros(resamples + 1), np.zeros(resamples + 1)
                 for v, n, s in zip(part[value], part["__n"], part["__seed"]):
-                    w = np.random.default_rng(int(s)).poisson(float(n), resamples)
+                    w = np.append(np.random.default_rng(int(s)).poisson(float(n), resamples), n)
                     weight += w
                     total += w * float(v)
-                out = pd.DataFrame({"replicate": np.arange(resamples), "w": weight, "wv": total})
+                out = pd.DataFrame({"replicate": np.append(np.arange(resamples), POINT), "w": weight, "wv": total})
                 for c, k in zip(by, key if isinstance(key, tuple) else (key,)):
                     out[c] = k
                 yield out
@@ -162,8 +166,7 @@ def bootstrap_mean(
     level: float = LEVEL,
     seed: int = 42,
 ) -> DataFrame:
-    point = df.groupBy(*by).agg(F.avg(value).alias("point_estimate"))
-    return point.join(_interval(mean_replicates(df, value, by, resamples, seed), by, level), list(by))
+    return _interval(mean_replicates(df, value, by, resamples, seed), by, level)
 
 
 def replicate_difference(first: DataFrame, second: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -186,15 +189,10 @@ def bootstrap_difference(
     if first.schema[value].dataType.simpleString() == "boolean":
         a = accuracy_replicates(first, by, resamples, seed, hit=value)
         b = accuracy_replicates(second, by, resamples, seed + 1, hit=value)
-        as_number = F.col(value).cast("int")
     else:
         a = mean_replicates(first, value, by, resamples, seed)
         b = mean_replicates(second, value, by, resamples, seed + 1)
-        as_number = F.col(value)
-    pa = first.groupBy(*by).agg(F.avg(as_number).alias("pa"))
-    pb = second.groupBy(*by).agg(F.avg(as_number).alias("pb"))
-    point = pa.join(pb, list(by)).select(*by, (F.col("pa") - F.col("pb")).alias("point_estimate"))
-    return point.join(_interval(replicate_difference(a, b, by), by, level), list(by))
+    return _interval(replicate_difference(a, b, by), by, level)
 
 
 # --- paired test and effect size -------------------------------------------------------

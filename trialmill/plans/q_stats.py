@@ -57,7 +57,7 @@ _INT = """SELECT system, variant, round(quantile_cont(value, 0.025), 9) AS ci_lo
     round(quantile_cont(value, 0.975), 9) AS ci_upper, round(stddev_pop(value), 9) AS std_error, count(*) AS n_bootstrap"""
 add(
     "f2_mean_interval",
-    lambda s, d: rounded(stats._interval(_replicates(s, d), BY, 0.95)),
+    lambda s, d: rounded(stats._interval(_replicates(s, d), BY, 0.95).drop("point_estimate")),
     f"""{T}, m AS (SELECT system, variant, replicate, CAST(sum(w * v) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS value
     FROM {_draws("tokens_input + tokens_output")} GROUP BY 1, 2, 3) {_INT} FROM m GROUP BY 1, 2""",
 )
@@ -68,7 +68,7 @@ def _difference(s, d):
     parts = [
         stats.portable_mean_replicates(t.filter(F.col("variant") == v), "hit", "key", ["system"]) for v in ("base", "noop")
     ]
-    return rounded(stats._interval(stats.replicate_difference(*parts, ["system"]), ["system"], 0.95))
+    return rounded(stats._interval(stats.replicate_difference(*parts, ["system"]), ["system"], 0.95).drop("point_estimate"))
 
 
 def _side(v: str) -> str:
