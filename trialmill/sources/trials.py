@@ -69,7 +69,8 @@ def read_trials(
     """Trials of the known systems and variants.
 
     ``layout="files"`` reads ``<system>/<variant>.jsonl``; ``"table"`` the partitioned
-    folders of ``write_trials``.  Blank and malformed lines are left to ``quarantined_trials``.
+    folders of ``write_trials``.  Blank lines are skipped and malformed ones left to
+    ``quarantined_trials``; a field of the wrong type makes a line malformed where it is read.
     """
     rows = _raw_trials(spark, root, systems, variants, layout)
     return _checked(rows.filter(F.col(_BAD).isNull() & F.col("problem_id").isNotNull()).drop(_BAD))
@@ -82,10 +83,9 @@ def quarantined_trials(
     variants: Sequence[str] = tuple(lx.VARIANTS),
     layout: str = "table",
 ) -> DataFrame:
+    """Malformed lines next to the fields that could be read from them."""
     rows = _raw_trials(spark, root, systems, variants, layout)
-    return rows.filter(F.col(_BAD).isNotNull() & (F.trim(F.col(_BAD)) != "")).select(
-        "system", "variant", F.col(_BAD).alias("line")
-    )
+    return rows.filter(F.col(_BAD).isNotNull() & (F.trim(F.col(_BAD)) != "")).withColumnRenamed(_BAD, "line")
 
 
 def write_trials(trials: DataFrame, root: str, append: bool = False) -> None:
