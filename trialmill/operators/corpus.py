@@ -349,21 +349,46 @@ def render(
 # --- names -----------------------------------------------------------------------------
 
 
+def _deal(sizes: dict[int, int], position: Column) -> Column:
+    """(block, turn, size) of a position in the deck of blocks of the given sizes.
+
+    The deck runs turn by turn through the blocks that still have names; between two
+    neighbouring sizes the set of such blocks is fixed, so a position is found by division.
+    """
+    out, dealt, level = None, 0, 0
+    for size in sorted(set(sizes.values())):
+        active = sorted(b for b, n in sizes.items() if n >= size)
+        at = position - 1 - dealt
+        spot = F.pmod(at, F.lit(len(active))).cast("int")
+        card = F.struct(
+            F.get(F.array(*[F.lit(b) for b in active]), spot).alias("block"),
+            (F.floor(at / len(active)) + level).alias("turn"),
+            F.get(F.array(*[F.lit(sizes[b]) for b in active]), spot).alias("size"),
+        )
+        dealt += (size - level) * len(active)
+        level = size
+        out = F.when(position <= dealt, card) if out is None else out.when(position <= dealt, card)
+    return out
+
+
 def assign_names(slots: DataFrame, names: DataFrame, blocks: int = 10) -> DataFrame:
     """A different name for every slot of a problem, the blocks taking turns.
 
-    Names are dealt from a deck: rank within the block first, block second, so an
-    exhausted block is skipped and a slot beyond the deck has no name.  Each problem
-    starts at its own hashed place in every block.
+    Names are dealt turn by turn, so an exhausted block is skipped and a slot beyond the
+    last name has none.  Each problem starts at its own hashed place in every block.
+    Only the block sizes reach the driver; positions, which repeat in every problem, are
+    resolved by arithmetic and never joined on.
     """
-    once = names.groupBy("name").agg((F.min("block") % blocks).alias("block"))
+    once = names.groupBy("name").agg((F.min("block") % blocks).cast("int").alias("block"))
     ranked = running(once, ["block"], ["name"], rank="__rank").withColumn("__idx", F.col("__rank") - 1)
-    sizes = ranked.groupBy("block").agg(F.count(F.lit(1)).alias("__size"))
-    deck = running(ranked.select("block", "__idx"), [], ["__idx", "block"], rank="position")
-    deck = deck.join(sizes, "block").withColumnRenamed("__idx", "__turn")
-    placed = running(slots, ["problem_id"], ["slot"], rank="position").join(deck, "position", "left")
-    start = pick(F.col("__size"), F.col("problem_id"), F.col("block"))
-    spot = placed.withColumn("__idx", (start + F.col("__turn")) % F.col("__size"))
+    sizes = {r["block"]: r["count"] for r in ranked.groupBy("block").count().collect()}
+    placed = running(slots, ["problem_id"], ["slot"], rank="position").withColumn(
+        "__card", _deal(sizes, F.col("position"))
+    )
+    block, size = F.col("__card.block"), F.col("__card.size")
+    spot = placed.withColumn("block", block).withColumn(
+        "__idx", (pick(size, F.col("problem_id"), block) + F.col("__card.turn")) % size
+    )
     return spot.join(ranked.select("block", "__idx", "name"), ["block", "__idx"], "left").select(
         *slots.columns, "position", "block", "name"
     )

@@ -162,11 +162,13 @@ def rate_totals(rates: DataFrame, durations: DataFrame, quantities: DataFrame) -
 def derive_relations(relations: DataFrame, values: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Values reachable through multiple/percent relations, to the fixpoint.
 
-    Each round joins only the values found in the round before and is cut off by a
-    reliable checkpoint; rounds grow with the longest chain of relations, not with
+    Each round joins only the values found in the round before and ends in a written
+    table; rounds grow with the longest chain of relations, not with
     the rows.  A cycle that keeps producing new values raises after ``max_rounds``.
     """
-    rel = relations.select("problem_id", "kind", "entity", F.col("other").alias("__from"), "amount").distinct()
+    rel = cut_lineage(
+        relations.select("problem_id", "kind", "entity", F.col("other").alias("__from"), "amount").distinct()
+    )
     known = cut_lineage(values.select("problem_id", "entity", "val").distinct())
     fresh = known
     found = [known]

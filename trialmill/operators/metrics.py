@@ -1,7 +1,8 @@
 """Aggregates over trial logs, label tables, vote samples and name lists.
 
 Each metric is one conditional aggregation: counts and sums are kept whole and
-divided once, so the result does not depend on how rows were partitioned.
+divided once, so the result does not depend on how rows were partitioned.  Totals roll up the
+per-group rows, not the log.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ def _rows() -> Column:
 def accuracy(trials: DataFrame) -> DataFrame:
     """Per (system, variant), per system and overall; ``all`` marks a total."""
     return (
-        trials.rollup("system", "variant")
-        .agg(_rows().alias("n"), _n(F.col("correct")).alias("n_correct"))
+        trials.groupBy("system", "variant")
+        .agg(_rows().alias("n"), _n(F.col("correct")).alias("k"))
+        .rollup("system", "variant")
+        .agg(F.sum("n").alias("n"), F.sum("k").alias("n_correct"))
         .select(
             F.coalesce("system", F.lit("all")).alias("system"),
             F.coalesce("variant", F.lit("all")).alias("variant"),
@@ -358,8 +361,10 @@ def oracle_stats(labels: DataFrame) -> DataFrame:
     cells = _cells()
     n = F.col("total")
     return (
-        labels.rollup("variant")
+        labels.groupBy("variant")
         .agg(_rows().alias("total"), *[c.alias(k) for k, c in cells.items()])
+        .rollup("variant")
+        .agg(*[F.sum(c).alias(c) for c in ("total", *cells)])
         .select(
             F.coalesce("variant", F.lit("overall")).alias("variant"),
             "total",
@@ -558,10 +563,12 @@ def pilot_summary(log: DataFrame) -> DataFrame:
     fast, slow = F.col("path_taken") == "fast", F.col("path_taken") == "slow"
     n = F.col("total")
     return (
-        log.rollup("variant")
+        log.groupBy("variant")
         .agg(
             _rows().alias("total"), _n(F.col("correct")).alias("correct"), _n(fast).alias("fast"), _n(slow).alias("slow")
         )
+        .rollup("variant")
+        .agg(*[F.sum(c).alias(c) for c in ("total", "correct", "fast", "slow")])
         .select(
             F.coalesce("variant", F.lit("overall")).alias("variant"),
             "total",

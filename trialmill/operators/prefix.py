@@ -25,8 +25,9 @@ def running(
     rank: str | None = None,
     sums: dict[str, str] | None = None,
     best_before: dict[str, str] | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Add a 1-based rank, inclusive running sums and exclusive running maxima within each group.
+    """Add a 1-based rank, inclusive running sums, exclusive running maxima and the row count of each group.
 
     ``sums`` and ``best_before`` map a new column to the source column.  ``order``
     must be a total order within a group for the result to be unique.
@@ -58,6 +59,7 @@ def running(
         F.col(_SLICE),
         *keys,
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off_n"),
+        *([F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []),
         *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__off_{n}") for n in sums],
         *[F.max(f"__max_{n}").over(earlier).alias(f"__off_{n}") for n in best_before],
     )

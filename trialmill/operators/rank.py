@@ -57,14 +57,15 @@ def top_errors(breakdown: DataFrame, n: int, per_system: bool = True) -> DataFra
 def detect_cycles(attempts: DataFrame) -> DataFrame:
     """Flag attempts whose code repeats an earlier attempt of the same problem.
 
-    The earliest attempt per code is aggregated and joined back, so a code repeated
-    in a large share of the rows is never gathered in one task.
+    The first attempt per code comes from a combining aggregate.  It is matched back on
+    the attempt number as well, so the join key is unique and a code repeated in a large
+    share of the rows does not gather in one task.
     """
     hashed = attempts.withColumn("code_hash", F.md5("code"))
-    first = hashed.groupBy("problem_id", "code_hash").agg(F.min("attempt").alias("__first"))
+    first = hashed.groupBy("problem_id", "code_hash").agg(F.min("attempt").alias("attempt"))
     return (
-        hashed.join(first, ["problem_id", "code_hash"])
-        .withColumn("is_cycle", F.col("attempt") > F.col("__first"))
+        hashed.join(first.withColumn("__first", F.lit(True)), ["problem_id", "code_hash", "attempt"], "left")
+        .withColumn("is_cycle", F.col("__first").isNull())
         .drop("__first")
     )
 
@@ -113,11 +114,8 @@ def progress(
 ) -> DataFrame:
     """Cumulative accuracy of each run after every ``batch`` problems and at its end."""
     hits = trials.select(*keys, *order, F.col("correct").cast("int").alias("hit"))
-    totals = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running(hits, keys, order, rank="done", sums={"correct_so_far": "hit"})
-    marks = ranked.join(totals, list(keys)).filter(
-        (F.col("done") % batch == 0) | (F.col("done") == F.col("__n"))
-    )
+    ranked = running(hits, keys, order, rank="done", sums={"correct_so_far": "hit"}, total="__n")
+    marks = ranked.filter((F.col("done") % batch == 0) | (F.col("done") == F.col("__n")))
     return marks.select(
         *keys, "done", "correct_so_far", ratio(F.col("correct_so_far"), F.col("done")).alias("accuracy")
     )

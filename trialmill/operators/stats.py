@@ -299,10 +299,11 @@ def attach_intervals(
         out["complexity"] = tiers
     if "cost" in out:
         tokens = trials.select("system", (F.col("tokens_input") + F.col("tokens_output")).alias("tokens"))
-        used = tokens.join(
-            tokens.groupBy("system").agg(F.max("tokens").alias("most")).filter("most > 0").select("system"), "system"
+        cost = with_interval(out["cost"], bootstrap_mean(tokens, "tokens", by, resamples, seed=seed), by, "tokens")
+        # a system without any token has no token interval
+        cost = cost.withColumns(
+            {c: F.when(F.col("has_cost"), F.col(c)) for c in ("tokens_ci_lower", "tokens_ci_upper")}
         )
-        cost = with_interval(out["cost"], bootstrap_mean(used, "tokens", by, resamples, seed=seed), by, "tokens")
         times = bootstrap_mean(trials, "execution_time_ms", by, resamples, seed=seed)
         out["cost"] = with_interval(cost, times, by, "time")
     if "self_correction" in out:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.prefix import running
 from ..session import spread
 
 TABLES = (
@@ -210,8 +212,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in _HEAVY else df
 
 
+# views that number the events of a user: key columns of the numbering and what follows from the number ``n``
+_NUMBERED = {
+    "vote_samples": (
+        ["user_id", "day"],
+        """SELECT concat(CAST(user_id AS VARCHAR(20)), '-', CAST(day AS VARCHAR(4))) AS problem_id, n AS sample_idx,
+           CASE WHEN event_type <> 'error' THEN CAST(FLOOR(value / 25) AS INT) END AS answer,
+           CAST(event_id % 300 + 20 AS INT) AS tokens_input, CAST(event_id % 90 + 5 AS INT) AS tokens_output FROM {e}""",
+    ),
+    "attempts": (
+        ["user_id"],
+        """SELECT user_id AS problem_id, n AS attempt, props AS code,
+           CASE event_type WHEN 'purchase' THEN 'success' ELSE event_type END AS result, ts FROM {e}""",
+    ),
+    "ops": (
+        ["user_id", "event_type"],
+        """SELECT user_id % 30 AS problem_id, user_id AS entity, event_type AS attr, n - 1 AS step,
+           CASE event_id % 5 WHEN 0 THEN 'add_to' WHEN 1 THEN 'sub_from' WHEN 2 THEN 'mul_by' WHEN 3 THEN 'div_by'
+                ELSE 'set_to' END AS op,
+           CASE event_id % 5 WHEN 2 THEN event_id % 3 + 1 WHEN 3 THEN event_id % 4 + 1
+                ELSE CAST(ROUND(value * 100) AS BIGINT) END AS amount FROM {e}""",
+    ),
+}
+
+
+def _numbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The SQL views' ``ROW_NUMBER`` by distributed rank: one user may hold a third of the events."""
+    keys, text = _NUMBERED[name]
+    events = table(spark, sf_dir, "events").selectExpr("*", "EXTRACT(DAY FROM ts) AS day")
+    return spark.sql(text, e=running(events, keys, ["ts", "event_id"], rank="n"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the parquet tables of ``sf_dir``."""
+    if name in _NUMBERED:
+        return _numbered(spark, sf_dir, name)
+    if name == "horizon":
+        return _numbered(spark, sf_dir, "ops").groupBy("problem_id").agg((F.max("step") + 1).alias("max_step"))
     texts = [VIEWS[n][1].strip() for n in _closure((name,)) if VIEWS[n][1]]
     body = ",\n".join(texts)
     inputs = {t: table(spark, sf_dir, t) for t in sorted(set(re.findall(r"\{(\w+)\}", body)))}
