@@ -36,6 +36,12 @@ def test_running_matches_plain_windows(spark, skewed, parts):
     np.testing.assert_array_equal(got.fillna(-1).to_numpy(), want.fillna(-1).to_numpy())
 
 
+def test_running_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "k string, o int")
+    got = {(r["k"], r["o"], r["r"], r["n"]) for r in running(rows, ["k"], ["o"], rank="r", total="n").collect()}
+    assert got == {(None, 1, 1, 2), (None, 2, 2, 2), ("a", 5, 1, 1)}
+
+
 def test_running_spreads_a_hot_key(spark, skewed):
     """The hot group's slices are several, none holding all of it."""
     sliced = skewed.repartitionByRange(8, F.col("k"), F.col("o")).groupBy(F.spark_partition_id().alias("p"), "k").count()

@@ -56,18 +56,23 @@ def running(
     # one row per slice and key: a group contributes at most as many rows as there are slices
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
-        F.col(_SLICE),
-        *keys,
+        F.col(_SLICE).alias("__off_slice"),
+        *[F.col(k).alias(f"__off_key_{k}") for k in keys],
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off_n"),
         *([F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []),
         *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__off_{n}") for n in sums],
         *[F.max(f"__max_{n}").over(earlier).alias(f"__off_{n}") for n in best_before],
     )
-    out = out.join(offsets, [_SLICE, *keys])
+    # null-safe: a null key is a group like any other
+    same = F.col(_SLICE) == F.col("__off_slice")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__off_key_{k}"))
+    out = out.join(offsets, same)
     for name in sums:
         out = out.withColumn(name, F.col(name) + F.col(f"__off_{name}"))
     for name in best_before:
         out = out.withColumn(name, F.greatest(F.col(name), F.col(f"__off_{name}")))
     if rank:
         out = out.withColumn(rank, F.col("__local_rank") + F.col("__off_n"))
-    return out.drop(_SLICE, "__local_rank", "__off_n", *[f"__off_{n}" for n in [*sums, *best_before]])
+    helpers = ["__off_slice", "__off_n", *[f"__off_key_{k}" for k in keys], *[f"__off_{n}" for n in [*sums, *best_before]]]
+    return out.drop(_SLICE, "__local_rank", *helpers)

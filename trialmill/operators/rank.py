@@ -61,7 +61,7 @@ def detect_cycles(attempts: DataFrame) -> DataFrame:
     the attempt number as well, so the join key is unique and a code repeated in a large
     share of the rows does not gather in one task.
     """
-    hashed = attempts.withColumn("code_hash", F.md5("code"))
+    hashed = attempts.withColumn("code_hash", F.md5(F.coalesce("code", F.lit(""))))
     first = hashed.groupBy("problem_id", "code_hash").agg(F.min("attempt").alias("attempt"))
     return (
         hashed.join(first.withColumn("__first", F.lit(True)), ["problem_id", "code_hash", "attempt"], "left")
