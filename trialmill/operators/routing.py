@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cost as fc
@@ -125,8 +126,6 @@ def tune_policy(
         grid = grid.filter(F.col("accuracy") >= min_accuracy)
     # rounding keeps equal losses equal whatever the order of summation; the grid has a few dozen rows
     order = [F.round("avg_loss", 9), "alpha", "beta", "policy_fast_rate"]
-    from pyspark.sql import Window
-
     return grid.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn(
         "is_best", F.col("rank") == 1
     )
@@ -320,14 +319,19 @@ def train_policy_dr(
             featuresCol=features, labelCol=label, regParam=l2, maxIter=passes, solver="auto"
         ).fit(rows)
 
-    direct = RoutingPolicy([fit(logged.filter(F.col("logged_action") == a), "logged_cost") for a in (0, 1)])
-    guessed = direct.predict(logged, features)
-    models = []
-    for a, name in enumerate(("fast_cost", "slow_cost")):
-        fix = F.when(
-            F.col("logged_action") == a, (F.col("logged_cost") - F.col(name)) / F.col("propensity")
-        ).otherwise(F.lit(0.0))
-        models.append(fit(guessed.withColumn("__target", F.col(name) + fix), "__target"))
+    # four fits read these columns
+    rows = logged.select(features, "logged_action", "logged_cost", "propensity").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        direct = RoutingPolicy([fit(rows.filter(F.col("logged_action") == a), "logged_cost") for a in (0, 1)])
+        guessed = direct.predict(rows, features)
+        models = []
+        for a, name in enumerate(("fast_cost", "slow_cost")):
+            fix = F.when(
+                F.col("logged_action") == a, (F.col("logged_cost") - F.col(name)) / F.col("propensity")
+            ).otherwise(F.lit(0.0))
+            models.append(fit(guessed.withColumn("__target", F.col(name) + fix), "__target"))
+    finally:
+        rows.unpersist()
     return RoutingPolicy(models)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from ..session import cut_lineage
 from .pairs import paired
 
 RESAMPLES = 10_000
@@ -67,6 +68,10 @@ def accuracy_replicates(
 ) -> DataFrame:
     """Accuracy of each group's resamples; row ``POINT`` holds the accuracy itself."""
     counts = trials.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(hit)).alias("__k"))
+    return _replicates_of_counts(counts, by, resamples, seed)
+
+
+def _replicates_of_counts(counts: DataFrame, by: Sequence[str], resamples: int, seed: int) -> DataFrame:
     blocks = counts.filter("__n > 0").withColumn(
         "__start", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(_BLOCK)))
     )
@@ -278,19 +283,27 @@ def attach_intervals(
     """Intervals for the robustness, complexity, cost, self-correction and routing tables, where given."""
     by = ["system"]
     out = dict(summaries)
-    ok = F.col("correct")
+    # every accuracy interval is drawn from these few counts, taken in one pass over the log
+    cells = cut_lineage(
+        trials.groupBy("system", "variant", "path_taken", (F.col("iterations") > 1).alias("multi")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("correct")).alias("k")
+        )
+    )
+
+    def draws(condition: Column, salt: int = 0) -> DataFrame:
+        counts = cells.filter(condition).groupBy(*by).agg(F.sum("n").alias("__n"), F.sum("k").alias("__k"))
+        return _replicates_of_counts(counts, by, resamples, seed + salt)
 
     def at(condition: Column) -> DataFrame:
-        return bootstrap_accuracy(trials.filter(condition), by, resamples, seed=seed)
+        return _interval(draws(condition), by, LEVEL)
 
     variant = F.col("variant")
     if "robustness" in out:
         both = out["robustness"]
         for t in ("base", "noop"):
             both = with_interval(both, at(variant == t), by, t)
-        drop = bootstrap_difference(
-            trials.filter(variant == "base"), trials.filter(variant == "noop"), "correct", by, resamples, seed=seed
-        )
+        drops = replicate_difference(draws(variant == "base"), draws(variant == "noop", 1), by)
+        drop = _interval(drops, by, LEVEL)
         out["robustness"] = with_interval(both, drop, by, "drop")
     if "complexity" in out:
         tiers = out["complexity"]
@@ -307,10 +320,10 @@ def attach_intervals(
         times = bootstrap_mean(trials, "execution_time_ms", by, resamples, seed=seed)
         out["cost"] = with_interval(cost, times, by, "time")
     if "self_correction" in out:
-        out["self_correction"] = with_interval(out["self_correction"], at(F.col("iterations") > 1), by, "correction")
+        out["self_correction"] = with_interval(out["self_correction"], at(F.col("multi")), by, "correction")
     if "routing" in out:
         routed = out["routing"]
         for p in ("fast", "slow"):
-            routed = with_interval(routed, at((F.col("path_taken") == p) & ok.isNotNull()), by, p)
+            routed = with_interval(routed, at(F.col("path_taken") == p), by, p)
         out["routing"] = routed
     return out

@@ -128,7 +128,8 @@ add(
 def spans(s, d):
     """Conversation turns as trace spans, dated by their number."""
     c = table(s, d, "conversations")
-    start = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 43200 + F.col("turn") * 60)
+    # wall-clock time, so the session's time zone does not matter
+    start = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, conv_id * 43200 + turn * 60)")
     return c.select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         F.col("role").alias("name"),
