@@ -329,14 +329,14 @@ def record_id(variant: Column, template: Column, instance: Column) -> Column:
 # --- topics, objects, quantities ---------------------------------------------
 
 
-def _topics(low: Column, words: dict[str, list[str]]) -> Column:
+def topics_of_lowered(low: Column, words: dict[str, list[str]]) -> Column:
     found = F.array_compact(F.array(*[F.when(_contains_any(low, words[t]), t) for t in sorted(words)]))
     return F.coalesce(F.nullif(found, F.array().cast("array<string>")), F.array(F.lit(lx.FALLBACK_TOPIC)))
 
 
 def _bound(text: Column, words: dict[str, list[str]]) -> Column:
     # a one-element transform binds the lowered text, so the keyword tests share it
-    return F.get(F.transform(F.array(F.lower(text)), lambda low: _topics(low, words)), 0)
+    return F.get(F.transform(F.array(F.lower(text)), lambda low: topics_of_lowered(low, words)), 0)
 
 
 def detect_topics(text: Column) -> Column:
@@ -349,7 +349,7 @@ def detect_template_topics(text: Column) -> Column:
 
 
 def with_topics(df: DataFrame, text: str = "text", words: dict[str, list[str]] | None = None) -> DataFrame:
-    return _lowered(df, text, lambda low: {"topics": _topics(low, words or lx.TOPIC_WORDS)})
+    return _lowered(df, text, lambda low: {"topics": topics_of_lowered(low, words or lx.TOPIC_WORDS)})
 
 
 def extract_objects(text: Column) -> Column:

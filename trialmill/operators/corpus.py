@@ -437,9 +437,9 @@ def pick_distractors(
 ) -> DataFrame:
     """Add ``distractors``: one to three filled sentences on the topics of the question."""
     n = max(1, min(3, n))
-    prepared = problems.withColumns(
+    prepared = problems.withColumn("__low", F.lower(F.col(question))).withColumns(
         {
-            "__options": _options(tx.detect_topics(F.col(question)), table or SENTENCES),
+            "__options": _options(tx.topics_of_lowered(F.col("__low"), lx.TOPIC_WORDS), table or SENTENCES),
             "__objects": tx.extract_objects(F.col(question)),
             "__quantity": tx.max_quantity(F.col(question)),
         }
@@ -456,7 +456,7 @@ def pick_distractors(
         return F.replace(with_number, F.lit("{object}"), noun)
 
     out = prepared.withColumn("distractors", F.array(*[filled(i) for i in range(n)]))
-    return out.drop("__options", "__objects", "__quantity", *[f"__pick{i}" for i in range(n)])
+    return out.drop("__low", "__options", "__objects", "__quantity", *[f"__pick{i}" for i in range(n)])
 
 
 _QUESTION_STARTS = ["how", "what", "when", "where", "who", "which", "if"]

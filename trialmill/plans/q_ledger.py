@@ -288,8 +288,14 @@ def initial(s, d):
     return given(s, d).withColumnRenamed("item", "attr")
 
 
+def ops_and_horizon(s, d):
+    """The numbered operations and, from the same rows, the last step of each problem."""
+    ops = view(s, d, "ops")
+    return ops, ops.groupBy("problem_id").agg((F.max("step") + 1).alias("max_step"))
+
+
 def folded(s, d):
-    return ledger.fold_timeline(initial(s, d), view(s, d, "ops"), view(s, d, "horizon"))
+    return ledger.fold_timeline(initial(s, d), *ops_and_horizon(s, d))
 
 
 # states by direct recursion over steps; unmodified states persist to the last step
@@ -318,17 +324,15 @@ add(
 )
 
 
-def _tight(s, d):
-    """A horizon three steps short of the log, so that late operations fall outside it."""
-    return view(s, d, "horizon").withColumn("max_step", F.col("max_step") - 3)
-
-
 def _violations(s, d):
-    ops, moves = view(s, d, "ops"), view(s, d, "transfers")
+    ops, horizon = ops_and_horizon(s, d)
+    moves = view(s, d, "transfers")
+    # a horizon three steps short of the log leaves late operations outside it
+    tight = horizon.withColumn("max_step", F.col("max_step") - 3)
     # only every second chain has a starting value
     start = initial(s, d).filter("entity % 2 = 0")
-    run = ledger.fold_timeline(start, ops, _tight(s, d), moves)
-    return ledger.hard_violations(run, ops, _tight(s, d), moves)
+    run = ledger.fold_timeline(start, ops, tight, moves)
+    return ledger.hard_violations(run, ops, tight, moves)
 
 
 # full set semantics by recursion: every effect on every value of a step, without merging values

@@ -41,7 +41,11 @@ def stream_trials(trials: DataFrame, table: str, checkpoint: str, by: Sequence[s
 def stream_resume(
     trials: DataFrame, output: str, checkpoint: str, keys: Sequence[str] = ("system", "variant", "problem_id")
 ) -> StreamingQuery:
-    """Append each key once across restarts: offsets and seen keys live in the checkpoint."""
+    """Append each key once across restarts: offsets and seen keys live in the checkpoint.
+
+    A key may return at any time, so no watermark can drop it; for long logs choose the
+    RocksDB state store, which keeps the seen keys on disk.
+    """
     return (
         trials.dropDuplicates(list(keys))
         .writeStream.format("parquet")
