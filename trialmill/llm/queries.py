@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, minhash, packing, secrets, toxicity
+from . import bpe, language, minhash, packing, secrets, suffixes, toxicity
 from .common import crc_mod, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -43,6 +47,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_secret_scan": op6_secret_scan,
