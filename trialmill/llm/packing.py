@@ -35,7 +35,7 @@ END_ID = 0
 BUCKET_ROWS = 5_000
 #: Fillings looked at around one longest piece, and alternatives followed by the search.
 FILLINGS = 2_000
-NODES = 200
+NODES = 24
 
 
 def fillings(room: int, sizes: list[int], counts: dict[int, int], waste: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
