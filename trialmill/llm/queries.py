@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, minhash, packing, secrets, suffixes, toxicity
+from . import bpe, knn, language, minhash, packing, secrets, suffixes, toxicity, vectors
 from .common import crc_mod, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_rotation_code_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -46,14 +50,20 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 QUERIES = {
     "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_rotation_code_duplicates": op4_rotation_code_duplicates,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
     "op8_language_mixture": op8_language_mixture,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_voronoi_top_k": op10_voronoi_top_k,
 }
 
 SQL: dict[str, str] = {}
