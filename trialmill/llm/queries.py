@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, language, minhash, packing, secrets, suffixes, toxicity, vectors
+from . import bpe, knn, language, maxent, minhash, packing, secrets, suffixes, toxicity, vectors
 from .common import crc_mod, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = maxent.fit(docs.where(crc_mod("doc_id", 7) != 2))
+    scored = maxent.score(docs, model, counts)
+    return scored.withColumn("held_out", crc_mod("doc_id", 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_rotation_code_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +64,7 @@ def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_maxent_scores": op3_maxent_scores,
     "op4_rotation_code_duplicates": op4_rotation_code_duplicates,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_secret_scan": op6_secret_scan,
