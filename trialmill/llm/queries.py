@@ -74,4 +74,5 @@ QUERIES = {
     "op10_voronoi_top_k": op10_voronoi_top_k,
 }
 
+#: None of the contracts can be stated in SQL in full; all are tested against brute force.
 SQL: dict[str, str] = {}
