@@ -18,6 +18,7 @@ packed as often as they occur; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 
@@ -33,17 +34,18 @@ CAPACITY = 2048
 END_ID = 0
 #: Rows of one (length, bucket) rank window, about.
 BUCKET_ROWS = 5_000
-#: Fillings looked at around one longest piece, and alternatives followed by the search.
+#: Fillings looked at around one longest piece, and bins that the search fills in all its dives together.
 FILLINGS = 2_000
-NODES = 24
+SEARCHED_BINS = 60_000
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], waste: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
+def fillings(room: int, sizes: list[int], counts: dict[int, int], waste: int, limit: int = FILLINGS, enough: int = 0) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` from the given sizes (descending), least waste first.
 
     Depth first, longest pieces first.  A filling is dominated if one of its pieces could
     be swapped for a longer free piece that still fits; such fillings are skipped.  Branches
-    that cannot come below ``waste`` unused tokens are pruned.
+    that cannot come below ``waste`` unused tokens are pruned, and the first filling that
+    leaves at most ``enough`` ends the enumeration.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     smallest = sizes[-1] if sizes else room + 1
@@ -62,7 +64,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], waste: int, li
                     return False
                 best = min(best, left)
                 found.append((left, tuple(stack)))
-            return left == 0 or looked > limit
+            return left <= enough or looked > limit
         # Binary search for the first size that fits.
         lo, hi = start, len(sizes)
         while lo < hi:
@@ -87,7 +89,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], waste: int, li
         if not fitted and left <= best:
             best = min(best, left)
             found.append((left, tuple(stack)))
-            return left == 0
+            return left <= enough
         return False
 
     visit(0, room)
@@ -140,10 +142,12 @@ def lower_bound(histogram: dict[int, int], capacity: int) -> int:
     return best
 
 
-def complete_bins(histogram: dict[int, int], capacity: int, choice: int = 0, most: int | None = None) -> list[tuple[int, tuple[int, ...]]] | None:
+def complete_bins(histogram: dict[int, int], capacity: int, choice: int = 0, most: int | None = None, other: int = 1, share: float = 0.0) -> list[tuple[int, tuple[int, ...]]] | None:
     """One dive of the branch and bound; None if its waste passes what ``most`` bins allow.
 
-    ``choice`` picks another undominated filling at one branching point, for the search.
+    ``choice`` names one branching point where the search takes the ``other``-th alternative.
+    ``share`` of the waste allowed per remaining bin is spent freely: a filling of few long
+    pieces then goes before a tighter one of many short pieces, which fit anywhere later.
     """
     counts = {s: n for s, n in histogram.items() if n}
     total = sum(s * n for s, n in counts.items())
@@ -157,10 +161,14 @@ def complete_bins(histogram: dict[int, int], capacity: int, choice: int = 0, mos
         sizes = sorted(counts, reverse=True)
         room = capacity - longest
         waste = room if allowed is None else min(room, allowed - wasted)
-        found = fillings(room, sizes, counts, waste) if sizes and sizes[-1] <= room else [()] if room <= waste else []
+        enough = 0
+        if share and allowed is not None:
+            left_bins = max(1, most - sum(t for t, _ in runs))
+            enough = int(share * (allowed - wasted) / left_bins)
+        found = fillings(room, sizes, counts, waste, enough=enough) if sizes and sizes[-1] <= room else [()] if room <= waste else []
         if not found:
             return None
-        pick = found[min(len(found) - 1, 1)] if choice and step == choice - 1 else found[0]
+        pick = found[min(len(found) - 1, other)] if choice and step == choice - 1 else found[0]
         step += 1
         bin_ = (longest, *pick)
         need: dict[int, int] = {}
@@ -180,12 +188,13 @@ def complete_bins(histogram: dict[int, int], capacity: int, choice: int = 0, mos
     return runs
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, searched: int = SEARCHED_BINS) -> list[tuple[int, tuple[int, ...]]]:
     """(times, sizes) runs that hold every piece of the histogram in few bins.
 
     The incumbent is best-fit decreasing.  Dives that must beat it follow the least
-    wasteful completion first and then, one branching point at a time, the next one.
-    ``nodes`` bounds the dives; the incumbent stands if none is better.
+    wasteful completion everywhere but at one branching point, where they take another.
+    The search ends at the lower bound or after ``searched`` bins; the incumbent stands if
+    no dive is better.
     """
     histogram = {s: n for s, n in histogram.items() if n}
     if not histogram:
@@ -196,10 +205,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
     first = complete_bins(histogram, capacity)
     if first is not None and (n := sum(t for t, _ in first)) < used:
         incumbent, used = first, n
-    for choice in range(nodes):
+    runs = max(1, len(first or incumbent))
+    shares = [(0, 1, s) for s in (1.0, 0.5, 2.0, 0.25, 4.0)]
+    dives = itertools.chain(shares, ((choice, other, 0.0) for other in range(1, 6) for choice in range(1, runs + 1)))
+    for choice, other, share in itertools.islice(dives, max(len(shares), searched // runs)):
         if used <= bound:
             break
-        dive = complete_bins(histogram, capacity, choice, used - 1)
+        dive = complete_bins(histogram, capacity, choice, used - 1, other, share)
         if dive is not None:
             incumbent, used = dive, sum(t for t, _ in dive)
     return incumbent

@@ -383,10 +383,12 @@ def _finish(docs: DataFrame, length: int, id_column: str, text_column: str, keep
     # Equal texts of ``length`` bytes or more lose everything.
     whole = copies.where((F.col("copies") > 1) & (F.col("size") >= length)).select("key", F.lit(True).alias("_whole"))
     removed = cut(per_text.join(whole, "key", "full"), "spans")
-    names = [id_column, *keep]
-    rows = docs.select(*names, F.col(text_column).alias("_text"), text_key(F.col(text_column)).alias("key"))
+    # Numbered names inside, so that columns of any name pass through.
+    outside = [id_column, *keep]
+    names = [f"_c{i}" for i in range(len(outside))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(outside, names, strict=True)], F.col(text_column).alias("_text"), text_key(F.col(text_column)).alias("key"))
     joined = rows.join(removed, "key", "left").select(*names, "_text", "_spans", "_whole")
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    types = [docs.schema[c].dataType.simpleString() for c in outside]
 
     def run(batches):
         for b in batches:
@@ -413,9 +415,10 @@ def _finish(docs: DataFrame, length: int, id_column: str, text_column: str, keep
             else:
                 yield pa.RecordBatch.from_arrays([*head, pa.array(left, pa.string())], [*names, "_left"])
 
-    head = ", ".join(f"`{c}` {types[c]}" for c in names)
+    head = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
     tail = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" if digest else "_left string"
-    return joined.mapInArrow(run, f"{head}, {tail}")
+    out = joined.mapInArrow(run, f"{head}, {tail}")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(outside, names, strict=True)], *[c for c in out.columns if c not in names])
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -10,8 +10,8 @@ A zstandard block of a few words would be stored raw, so every window is compres
 a short primer that both dictionaries hold: its match pays the block's fixed cost, and each
 further match shows as saved bytes.
 
-Training reads at most ``TRAIN_ROWS`` labelled documents (smallest hash of the id first; half
-for dictionaries, half for the curve) of at most ``TRAIN_CHARS`` characters each.  Scoring
+Training reads at most ``TRAIN_ROWS`` labelled documents (smallest hash of the id first)
+of at most ``TRAIN_CHARS`` characters each.  Scoring
 covers every whole text.
 
 Defined results: null and empty texts get the score of a text without windows; without
@@ -40,7 +40,7 @@ GRAM = 6
 DICTIONARY_BYTES = 16_384
 THRESHOLD = 0.3
 #: A typical stretch: so many toxic documents, so many standard deviations, so many times the ordinary rate.
-LEAST_DOCUMENTS, LEAST_DEVIATIONS, LEAST_RATIO = 5, 4.0, 30.0
+LEAST_DOCUMENTS, LEAST_DEVIATIONS, LEAST_RATIO = 4, 4.0, 30.0
 
 _PRIMER = bytes(random.Random(7).choices(range(128, 256), k=24))
 _WINDOWS = re.compile(rb"(?s).{1,%d}(?=\s|\Z)|.{%d}" % (WINDOW - 1, WINDOW))
@@ -146,36 +146,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """A model from labelled texts; even rows build the dictionaries, odd rows the curve."""
-    if not rows:
-        return Model()
-    share = sum(y for _, y in rows) / len(rows)
-    toxic = [clean(t) for t, y in rows[::2] if y]
-    ordinary = [clean(t) for t, y in rows[::2] if not y]
-    rest = rows[1::2]
-    if not toxic or not ordinary or len({y for _, y in rest}) < 2:
-        return Model(base=share)
+def dictionaries(rows: list[tuple[str | None, int]]) -> Model | None:
+    """A model without a curve: what toxic texts typically hold, and what ordinary ones do."""
+    toxic = [clean(t) for t, y in rows if y]
+    ordinary = [clean(t) for t, y in rows if not y]
+    if not toxic or not ordinary:
+        return None
     content = b""
     for stretch in typical_stretches(toxic, ordinary):
         if len(content) + len(stretch) + 1 > DICTIONARY_BYTES:
             break
         content = b"\x00" + stretch + content  # the most frequent ends up nearest
     if not content:
-        return Model(base=share)
+        return None
     windows = [w for raw in ordinary for w in _WINDOWS.findall(raw)]
     windows = random.Random(11).sample(windows, min(len(windows), 20_000))
     try:
         known = zstandard.train_dictionary(max(4096, len(content)), windows).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         known = b"".join(windows)
-    model = Model(toxic=content, ordinary=known[-len(content) :], base=share)
+    return Model(toxic=content, ordinary=known[-len(content) :])
+
+
+def fit(rows: list[tuple[str | None, int]]) -> Model:
+    """A model from labelled texts.
+
+    The curve must not see texts that the dictionaries were trained on: two rows of three
+    make dictionaries, the third one the curve.
+    """
+    if not rows:
+        return Model()
+    share = sum(y for _, y in rows) / len(rows)
+    model = dictionaries([r for i, r in enumerate(rows) if i % 3 != 2])
+    rest = rows[2::3]
+    if model is None or len({y for _, y in rest}) < 2:
+        return Model(base=share)
     scorer = Scorer(model)
     x = np.array([scorer.features(t) for t, _ in rest])
     y = np.array([float(v) for _, v in rest])
     middle, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     model.weights = [float(v) for v in _logistic((x - middle) / scale, y)]
-    model.middle, model.scale = middle.tolist(), scale.tolist()
+    model.middle, model.scale, model.base = middle.tolist(), scale.tolist(), share
     return model
 
 
