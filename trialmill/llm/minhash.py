@@ -10,12 +10,12 @@ to the sets' similarity, concentrated as if independent.
 Documents with equal sets collapse first.  Bands of ``ROWS`` coordinates form buckets.
 Work never pairs a bucket's members with each other at once:
 
-1. star: each member is verified against the smallest member of its bucket;
-2. rest: in buckets whose members still belong to different components, pairs across
-   components whose sketches agree in ``LEAST_AGREE`` coordinates are verified.
+1. star: each member is verified against its bucket's pivot, the smallest member;
+2. rest: all that share a pivot are its family; members of a family that still belong to
+   different components are compared in blocks, which give back links, not pairs.
 
 Verification compares full sets (64-bit shingle hashes), in groups that share one text and
-are split at ``GROUP_ROWS``.  A pair at similarity 0.8 shares no bucket with probability
+are split at ``GROUP_ROWS``, or in pairs of blocks of ``BLOCK_ROWS``.  A pair at similarity 0.8 shares no bucket with probability
 (1 - 0.8^4)^24 = 3e-6.
 
 Defined results: text without words (null, empty, blanks) has an empty set, links with nothing and is its
@@ -37,10 +37,8 @@ from .components import components
 
 COORDINATES, ROWS = 96, 4
 BANDS = COORDINATES // ROWS
-#: 4.7 standard deviations below the agreement expected at similarity 0.8.
-LEAST_AGREE = 58
 GROUP_ROWS = 200
-BLOCK_ROWS = 1_000
+BLOCK_ROWS = 300
 PERCENT = 80
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -167,41 +165,66 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return members.groupBy("a", "_slot").cogroup(pivots.groupBy("pivot", "pivot_slot")).applyInArrow(compare, "a long, b long")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a < b) of a bucket's members in different components whose sketches agree enough.
+def common_counts(sets: list[np.ndarray], columns: int = 20_000) -> np.ndarray:
+    """(sets x sets) sizes of all intersections, exact, by products of membership matrices.
 
-    ``members``: (key, id, component_id, sketch).  Buckets beyond BLOCK_ROWS are dealt into
-    blocks, and each pair of blocks is one group, so no group outgrows a task.
+    Hashes that one set alone holds cannot count and are dropped; the others come in
+    slices of columns, which bounds memory.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"))
-    dealt = members.join(sizes, "key").withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    sides = dealt.withColumn("_other", other).select(
-        "key", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "id", "component_id", "sketch"
+    n = len(sets)
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    shared = often > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((n, n), np.float64)
+    width = int(shared.sum())
+    for lo in range(0, width, columns):
+        part = slice(*np.searchsorted(column, [lo, lo + columns]))
+        held = np.zeros((n, min(columns, width - lo)), np.float32)
+        held[owner[part], column[part] - lo] = 1
+        total += held @ held.T
+    return total.astype(np.int64)
+
+
+def across(families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a family that are still in different components.
+
+    ``families``: (pivot, id, component_id, home); ``home`` marks the pivot's own component.
+    Members are dealt into blocks of about BLOCK_ROWS; blocks away from home meet each other
+    and the home blocks, and each meeting is one group that compares full sets and gives
+    back a spanning set of its links, so neither rows nor groups grow with the pairs.
+    """
+    sizes = families.groupBy("pivot").agg(
+        F.ceil(F.count_if("home") / BLOCK_ROWS).cast("int").alias("_homes"), F.ceil(F.count_if(~F.col("home")) / BLOCK_ROWS).cast("int").alias("_aways")
     )
+    dealt = families.join(sizes.where("_aways > 0"), "pivot")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at_home = dealt.where("home").withColumn("_i", block("_homes")).withColumn("_j", upto("_aways"))
+    visiting = dealt.where("NOT home").withColumn("_j", block("_aways")).withColumn("_i", upto("_homes"))
+    away = dealt.where("NOT home").withColumn("_mine", block("_aways")).withColumn("_other", upto("_aways"))
+    away = away.withColumn("_i", F.least("_mine", "_other")).withColumn("_j", F.greatest("_mine", "_other"))
+    fields = ["pivot", "_i", "_j", "id", "component_id"]
+    meetings = at_home.select(F.lit(True).alias("_h"), *fields).union(visiting.select(F.lit(True), *fields)).union(away.select(F.lit(False), *fields))
+    meetings = meetings.join(texts, "id")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = np.asarray(group.column("id"))
-        part = np.asarray(group.column("component_id"))
-        mine = np.asarray(group.column("_mine"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(ids), -1)
-        i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-        rows = np.flatnonzero(mine == i)
-        columns = np.flatnonzero(mine == j)
-        a_out, b_out = [], []
-        for r in rows:
-            c = columns[part[columns] != part[r]]
-            if i == j:
-                c = c[ids[c] > ids[r]]
-            if len(c):
-                c = c[(sketch[c] == sketch[r]).sum(1) >= LEAST_AGREE]
-                a_out.append(np.minimum(ids[r], ids[c]))
-                b_out.append(np.maximum(ids[r], ids[c]))
-        a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
-        b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return sides.groupBy("key", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
+        sets = [shingle_set(t, words) for t in group.column("text").to_pylist()]
+        ids, part = np.asarray(group.column("id")), np.asarray(group.column("component_id"))
+        size = np.array([len(x) for x in sets], np.int64)
+        both = common_counts(sets)
+        linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (part[:, None] != part[None, :])
+        a, b = np.nonzero(np.triu(linked, 1))
+        # One link per pair of components is enough.
+        pairs = np.stack([np.minimum(part[a], part[b]), np.maximum(part[a], part[b])])
+        _, first = np.unique(pairs, axis=1, return_index=True)
+        return pa.table({"a": pa.array(ids[a[first]], pa.int64()), "b": pa.array(ids[b[first]], pa.int64())})
+
+    return meetings.groupBy("_h", "pivot", "_i", "_j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -221,12 +244,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_
     )
     links = cut(verified(star, texts, words, percent), "links")
     parts = components(links)
-    # Buckets that still hold several components.
-    placed = shared.join(parts, "id", "left").select("key", "pivot", "id", F.coalesce("component_id", "id").alias("component_id"))
-    open_keys = placed.groupBy("key").agg(F.min("component_id").alias("_lo"), F.max("component_id").alias("_hi")).where("_lo < _hi").select("key")
-    open_rows = placed.join(open_keys, "key").join(nodes.select("id", "sketch"), "id").select("key", "id", "component_id", "sketch")
-    rest = cut(across(open_rows).join(star, ["a", "b"], "left_anti"), "across")
-    more = verified(rest, texts, words, percent)
+    # Two members of a bucket are both in the family of its pivot.
+    place = parts.withColumnRenamed("component_id", "_part")
+    members = star.select(F.col("a").alias("pivot"), F.col("b").alias("id")).union(star.select("a", "a").distinct())
+    members = members.join(place, "id", "left").select("pivot", "id", F.coalesce("_part", "id").alias("component_id"))
+    at = place.select(F.col("id").alias("pivot"), F.col("_part").alias("_home"))
+    families = members.join(at, "pivot", "left").withColumn("home", F.col("component_id") == F.coalesce("_home", "pivot"))
+    families = cut(families.select("pivot", "id", "component_id", "home"), "families")
+    more = across(families, texts, words, percent)
     parts = cut(components(links.union(more)), "parts")
     named = nodes.select("set", F.col("id").alias("node")).join(parts.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("set", F.coalesce("component_id", "node").alias("component_id"))
