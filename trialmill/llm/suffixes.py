@@ -12,8 +12,8 @@ Within an interval the places are ordered by what precedes them, read backwards,
 these finds where left extensions differ.  Each pair of intervals is a maximal repeat with all of its
 places, not only neighbours; those long enough mark their bytes.
 
-Groups beyond ``GROUP_ROWS`` places are not collected.  For them every window around the
-anchor becomes a key, and windows counted twice mark their bytes; the result is the same.
+Groups beyond ``GROUP_ROWS`` places are not collected.  For them windows around the anchor
+become keys, and the outermost windows counted twice mark their bytes; the result is the same.
 
 Texts that are equal as a whole collapse first: all their windows repeat.
 
@@ -318,22 +318,70 @@ def _by_tree(batches, need: int):
         )
 
 
+#: Neighbouring windows of a large group that are first judged by what all of them share.
+CELL = 16
+
+
+def _cells(batches, need: int):
+    """(member, cell, core): the hash of the bytes that all windows of a cell share, per place.
+
+    Window j takes j bytes to the left of the anchor and need - j to the right; cell c holds
+    windows c * CELL up to the next cell.  A window can repeat only if its cell's core does.
+    """
+    for b in batches:
+        member, cells, cores = [], [], []
+        rows = zip(b.column("member").to_pylist(), b.column("anchor").to_pylist(), b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True)
+        for m, anchor, left, right in rows:
+            for c in range(need // CELL + 1):
+                low, high = c * CELL, min(need, (c + 1) * CELL - 1)
+                if len(left) >= low and len(right) >= need - high:
+                    member.append(m)
+                    cells.append(c)
+                    cores.append(xxh3_64_intdigest(b"%d:%d:%b|%b" % (anchor, c, left[:low], right[: need - high])) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(cells, pa.int32()), pa.array(cores, pa.int64())], ["member", "cell", "core"])
+
+
 def _windows(batches, need: int):
-    """One row per window around each place: (anchor, window hash, key, place, bytes to the left)."""
+    """(member, to_left, window) of the windows in the wanted cells of each place."""
     for b in batches:
-        for lo in range(0, b.num_rows, 100):
-            part = b.slice(lo, 100)
-            row, hashes, lefts = [], [], []
-            for i, (a, c) in enumerate(zip(part.column("left").to_pylist(), part.column("right").to_pylist(), strict=True)):
-                for j in range(max(0, need - len(c)), min(need, len(a)) + 1):
-                    row.append(i)
-                    hashes.append(xxh3_64_intdigest(a[:j] + b"|" + c[: need - j], seed=j) - (1 << 63))
+        member, lefts, hashes = [], [], []
+        rows = zip(b.column("member").to_pylist(), b.column("anchor").to_pylist(), b.column("left").to_pylist(), b.column("right").to_pylist(), b.column("cells").to_pylist(), strict=True)
+        for m, anchor, left, right, cells in rows:
+            for c in cells:
+                for j in range(max(c * CELL, need - len(right)), min(need, len(left), (c + 1) * CELL - 1) + 1):
+                    member.append(m)
                     lefts.append(j)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("anchor").take(take), pa.array(hashes, pa.int64()), part.column("key").take(take), part.column("place").take(take), pa.array(lefts, pa.int64())],
-                ["anchor", "window", "key", "place", "to_left"],
-            )
+                    hashes.append(xxh3_64_intdigest(b"%d:%d:%b|%b" % (anchor, j, left[:j], right[: need - j])) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(lefts, pa.int64()), pa.array(hashes, pa.int64())], ["member", "to_left", "window"])
+
+
+def _by_windows(hot: DataFrame, need: int) -> DataFrame:
+    """Reach of the places in groups that are too large to collect: (key, place, to_left, to_right).
+
+    Only a place's outermost repeated windows matter.  Cells whose core is unique hold none;
+    of the others the outermost are opened, and the next ones where these hold none.  A
+    cell is opened for every place that has its core, so counts are whole.
+    """
+    hot = cut(hot.withColumn("member", F.monotonically_increasing_id()), "hot")
+    cells = cut(hot.select("member", "anchor", "left", "right").mapInArrow(lambda b: _cells(b, need), "member long, cell int, core long"), "cells")
+    shared = cells.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
+    cells = cut(cells.join(shared, "core"), "shared")
+    found, waiting = None, cells
+    while waiting.limit(1).count():
+        ends = waiting.groupBy("member").agg(F.max("cell").alias("_top"), F.min("cell").alias("_low"))
+        outer = waiting.join(ends, "member").where("cell = _top OR cell = _low").select("core").distinct()
+        opened = cut(cells.join(outer, "core").groupBy("member").agg(F.collect_set("cell").alias("cells")), "opened")
+        windows = hot.select("member", "anchor", "left", "right").join(opened, "member").mapInArrow(lambda b: _windows(b, need), "member long, to_left long, window long")
+        windows = cut(windows, "windows")
+        twice = windows.groupBy("window").agg(F.count("*").alias("_n")).where("_n > 1").select("window")
+        hits = windows.join(twice, "window").groupBy("member").agg(F.max("to_left").alias("top"), F.min("to_left").alias("low"))
+        found = cut(hits if found is None else found.union(hits).groupBy("member").agg(F.max("top").alias("top"), F.min("low").alias("low")), "hits")
+        # Open cells beyond what is known at either end.
+        left = waiting.join(outer, "core", "left_anti").join(found, "member", "left")
+        waiting = cut(left.where(f"top IS NULL OR cell > top DIV {CELL} OR cell < low DIV {CELL}").select("core", "member", "cell"), "waiting")
+    if found is None:
+        return hot.select("key", "place", F.lit(0).cast("long").alias("to_left"), F.lit(0).cast("long").alias("to_right")).where("false")
+    return hot.select("member", "key", "place").join(found, "member").select("key", "place", F.col("top").alias("to_left"), (F.lit(need) - F.col("low")).alias("to_right"))
 
 
 def covered(docs: DataFrame, length: int = LENGTH, text_column: str = "text", group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -347,20 +395,15 @@ def covered(docs: DataFrame, length: int = LENGTH, text_column: str = "text", gr
     each = once.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("_a")).select(F.col("_a.hashes").alias("anchor"), "key", F.col("_a.places").alias("place"))
     repeated = cut(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
 
-    def around(these: DataFrame) -> DataFrame:
-        wanted = each.join(these, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "n", "place")).alias("found"))
-        return contexts(docs, wanted, length, text_column)
-
-    schema = "key binary, place long, to_left long, to_right long"
-    usual = around(repeated.where(F.col("n") <= group_rows)).repartition("anchor").sortWithinPartitions("anchor")
-    every = usual.mapInArrow(lambda batches: _by_tree(batches, need), schema)
-    if repeated.where(F.col("n") > group_rows).limit(1).count():
-        fields = "anchor long, window long, key binary, place long, to_left long"
-        windows = around(repeated.where(F.col("n") > group_rows)).mapInArrow(lambda batches: _windows(batches, need), fields)
-        windows = cut(windows, "windows")
-        twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor", "window")
-        marked = windows.join(twice, ["anchor", "window"]).groupBy("key", "place")
-        every = every.union(marked.agg(F.max("to_left").alias("to_left"), (F.lit(need) - F.min("to_left")).alias("to_right")))
+    wanted = each.join(repeated, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "n", "place")).alias("found"))
+    around = contexts(docs, wanted, length, text_column)
+    hot = repeated.where(F.col("n") > group_rows).limit(1).count() > 0
+    if hot:
+        around = cut(around, "contexts")
+    usual = around.where(F.col("n") <= group_rows).repartition("anchor").sortWithinPartitions("anchor")
+    every = usual.mapInArrow(lambda batches: _by_tree(batches, need), "key binary, place long, to_left long, to_right long")
+    if hot:
+        every = every.union(_by_windows(around.where(F.col("n") > group_rows), need))
     spans = every.select("key", (F.col("place") - F.col("to_left")).alias("start"), (F.col("place") + gram + F.col("to_right")).alias("end"))
     return copies, spans
 
