@@ -64,12 +64,11 @@ def test_hot_groups_keep_whole_results(spark, skewed):
     assert {r["count"] for r in blocks.collect()} == {100}
 
 
-def test_split_first_both_ways(spark, monkeypatch):
+def test_split_first(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500).alias("problem_id"))
-    short = {(r["problem_id"], r["split"]) for r in rank.split_first(df, 100, 50).collect()}
-    monkeypatch.setattr(rank, "_LIMIT_ROWS", 10)
-    long = {(r["problem_id"], r["split"]) for r in rank.split_first(df, 100, 50).collect()}
-    assert short == long == {(i, "train" if i < 100 else "test") for i in range(150)}
+    split = rank.split_first(df, 100, 50)
+    assert dict(split.dtypes)["position"] == "bigint"
+    assert {(r["problem_id"], r["split"]) for r in split.collect()} == {(i, "train" if i < 100 else "test") for i in range(150)}
 
 
 def test_pareto_by_brute_force(spark):
@@ -204,6 +203,7 @@ def test_doubly_robust_policy_learns_the_split(spark, tmp_path):
 
     labels = spark.range(2000).select(
         F.col("id").cast("string").alias("problem_id"),
+        F.lit("base").alias("variant"),
         (F.col("id") % 2 == 0).alias("fast_correct"),
         (F.col("id") % 10 > 0).alias("slow_correct"),
         array_to_vector(F.array((F.col("id") % 2).cast("double"))).alias("features"),
@@ -214,7 +214,7 @@ def test_doubly_robust_policy_learns_the_split(spark, tmp_path):
     chosen = routing.RoutingPolicy.load(str(tmp_path / "policy")).predict(logged)
     share = chosen.groupBy("fast_correct").agg(F.avg("policy_action").alias("slow")).collect()
     assert {r["fast_correct"]: r["slow"] for r in share} == {True: 0.0, False: 1.0}
-    value = routing.replay_policy(labels, chosen.select("problem_id", F.col("policy_action").alias("action"))).first()
+    value = routing.replay_policy(labels, chosen.select("variant", "problem_id", F.col("policy_action").alias("action"))).first()
     always_slow = metrics.decision_metrics(
         labels.select(F.col("slow_correct").alias("correct"), F.lit(1).alias("action"), "fast_correct", "slow_correct")
     ).first()

@@ -64,11 +64,6 @@ def regret(
     )
 
 
-def price_table(spark: SparkSession, prices: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    rows = [(m, i, o) for m, (i, o) in (prices or lx.PRICES).items()]
-    return spark.createDataFrame(rows, "model string, input_price double, output_price double")
-
-
 def token_cost(tokens_input: Column, tokens_output: Column, model: Column, prices=None) -> Column:
     """Dollars for a token count; models without a price use the default one."""
     table = prices or lx.PRICES

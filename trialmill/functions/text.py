@@ -221,81 +221,35 @@ def scrub_credentials(
 
 
 def classify_message(message: Column) -> dict[str, Column]:
-    """Error type, cleaned message and line number of a solver message; the first rule that fits wins."""
+    """Error type and line number of a solver message; the first rule that fits wins."""
     low = F.lower(message)
+    syntax = _contains_any(low, lx.SYNTAX_HINTS)
+    grounding = _contains_any(low, lx.GROUNDING_HINTS) | F.contains(low, F.lit("undefined"))
+    kind = F.when(syntax, "SYNTAX").when(grounding, "GROUNDING").otherwise("RUNTIME")
     line = _first(message, r"(?U)<string>:(\d+)")
-    rules: list[tuple[Column, str, Column]] = [
-        (
-            _contains_any(low, lx.SYNTAX_HINTS),
-            "SYNTAX",
-            F.coalesce(
-                F.concat(F.lit("Syntax error on line "), line, F.lit(": "), message),
-                F.concat(F.lit("Syntax error: "), message),
-            ),
-        ),
-        (_contains_any(low, lx.GROUNDING_HINTS), "GROUNDING", F.concat(F.lit("Grounding error: "), message)),
-        (F.contains(low, F.lit("undefined")), "GROUNDING", F.concat(F.lit("Undefined predicate: "), message)),
-        (
-            F.contains(low, F.lit("error")) & _contains_any(low, ["python", "script"]),
-            "RUNTIME",
-            F.concat(F.lit("Python hook error: "), message),
-        ),
-        (_contains_any(low, ["division", "zero"]), "RUNTIME", F.concat(F.lit("Division by zero: "), message)),
-    ]
-    kind = reduce(lambda c, r: c.when(r[0], r[1]), rules[1:], F.when(rules[0][0], rules[0][1]))
-    clean = reduce(lambda c, r: c.when(r[0], r[2]), rules[1:], F.when(rules[0][0], rules[0][2]))
-    return {
-        "error_type": kind.otherwise("RUNTIME"),
-        "clean_message": clean.otherwise(message),
-        "error_line": F.when(rules[0][0], line.try_cast("int")),
-    }
-
-
-def message_hints(message: Column) -> Column:
-    """Advice that depends on what a message mentions."""
-    low = F.lower(message)
-    variable = _first(message, r"(?U)'(\w+)'")
-    return F.array_compact(
-        F.array(
-            F.when(F.contains(low, F.lit("line")), "Look at the line the message names."),
-            F.when(F.contains(low, F.lit("undefined")), "Declare the missing atom or fix its spelling."),
-            F.when(
-                F.contains(low, F.lit("unsafe")) & variable.isNotNull(),
-                F.concat(F.lit("Bind variable '"), variable, F.lit("' in a positive body literal.")),
-            ),
-            F.when(_contains_any(low, ["division", "zero"]), "Guard the division against a zero divisor."),
-        )
-    )
-
-
-# one line of advice per error type; pass another table to annotate_errors to replace it
-COACHING = {
-    "SYNTAX": "Check full stops, brackets and predicate names.",
-    "GROUNDING": "Every head variable must occur in the body; check for missing predicates.",
-    "TIMEOUT": "The search is too large: shrink ranges and use the arithmetic hooks.",
-    "UNSAT": "The constraints contradict each other: look for two values of one variable.",
-    "NO_ANSWER": "The program holds but derives no answer: add a target and its value.",
-    "AMBIGUOUS": "More than one answer is derived: add a constraint.",
-    "RUNTIME": "An arithmetic hook failed: check divisors and argument types.",
-}
+    return {"error_type": kind, "error_line": F.when(syntax, line.try_cast("int"))}
 
 
 def annotate_errors(
-    df: DataFrame, error_type: str = "error_type", message: str = "message", coaching: DataFrame | None = None
+    df: DataFrame, rules: DataFrame, error_type: str = "error_type", message: str = "message"
 ) -> DataFrame:
-    """Attach coaching text (unknown types get the RUNTIME text) and hints."""
-    known = F.create_map(*[F.lit(x) for pair in COACHING.items() for x in pair])
-    if coaching is None:
-        text = F.coalesce(F.try_element_at(known, F.col(error_type)), F.lit(COACHING["RUNTIME"]))
-        return df.withColumn("coaching", text).withColumn("hints", message_hints(F.col(message)))
-    fallback = coaching.filter(F.col("error_type") == "RUNTIME").select(F.col("coaching").alias("__fallback"))
-    named = coaching.select(F.col("error_type").alias("__type"), "coaching")
-    joined = df.join(named, F.col(error_type) == F.col("__type"), "left").join(fallback, how="left")
-    return (
-        joined.withColumn("coaching", F.coalesce("coaching", "__fallback"))
-        .withColumn("hints", message_hints(F.col(message)))
-        .drop("__type", "__fallback")
-    )
+    """Attach the texts of all rules that fit an error, in the rules' order, as the array ``advice``.
+
+    ``rules`` is a table (position, error_type, mentions, text): a null ``error_type`` fits every
+    type, a null ``mentions`` every message, any other one messages that contain it in lower case.
+    Rules are gathered per type, so each row of ``df`` stays one row.
+    """
+    rule = F.struct("position", "mentions", "text")
+    any_type = F.coalesce("error_type", F.lit(""))
+    per_type = rules.groupBy(any_type.alias("__type")).agg(F.sort_array(F.collect_list(rule)).alias("__rules"))
+    general = per_type.filter(F.col("__type") == "").select(F.lit(True).alias("__one"), F.col("__rules").alias("__general"))
+    own = per_type.filter(F.col("__type") != "")
+    joined = df.withColumn("__one", F.lit(True)).join(own, F.col(error_type) == F.col("__type"), "left").join(general, "__one", "left")
+    nothing = F.array().cast(per_type.schema["__rules"].dataType)
+    every = F.sort_array(F.concat(F.coalesce("__rules", nothing), F.coalesce("__general", nothing)))
+    low = F.lower(F.col(message))
+    fitting = F.filter(every, lambda r: r["mentions"].isNull() | F.contains(low, r["mentions"]))
+    return joined.withColumn("advice", F.transform(fitting, lambda r: r["text"])).drop("__one", "__type", "__rules", "__general")
 
 
 def extract_code_block(text: Column) -> Column:

@@ -31,16 +31,26 @@ def _rows() -> Column:
     return F.count(F.lit(1))
 
 
+def _total_marks(*keys: str) -> list[Column]:
+    """For the aggregation of a rollup: which keys a row sums over."""
+    return [F.grouping(k).alias(f"__all_{k}") for k in keys]
+
+
+def _or_total(key: str, label: str) -> Column:
+    """A rollup key with its totals labelled; a key that is null in the data stays null."""
+    return F.when(F.col(f"__all_{key}") == 1, F.lit(label)).otherwise(F.col(key).cast("string")).alias(key)
+
+
 def accuracy(trials: DataFrame) -> DataFrame:
-    """Per (system, variant), per system and overall; ``all`` marks a total."""
+    """Per (system, variant), per system and overall; ``all`` marks a total, a null key stays null."""
     return (
         trials.groupBy("system", "variant")
         .agg(_rows().alias("n"), _n(F.col("correct")).alias("k"))
         .rollup("system", "variant")
-        .agg(F.sum("n").alias("n"), F.sum("k").alias("n_correct"))
+        .agg(F.sum("n").alias("n"), F.sum("k").alias("n_correct"), *_total_marks("system", "variant"))
         .select(
-            F.coalesce("system", F.lit("all")).alias("system"),
-            F.coalesce("variant", F.lit("all")).alias("variant"),
+            _or_total("system", "all"),
+            _or_total("variant", "all"),
             "n",
             "n_correct",
             ratio(F.col("n_correct"), F.col("n")).alias("accuracy"),
@@ -57,9 +67,10 @@ def load_summary(trials: DataFrame) -> DataFrame:
             F.count_distinct("variant").alias("n_variants"),
             F.sum("n").alias("total_problems"),
             F.sum("k").alias("total_correct"),
+            *_total_marks("system"),
         )
         .select(
-            F.coalesce("system", F.lit("all")).alias("system"),
+            _or_total("system", "all"),
             "n_variants",
             "total_problems",
             "total_correct",
@@ -117,7 +128,8 @@ def _tier_counts(trials: DataFrame, tiers: Sequence[str]) -> DataFrame:
     for t in tiers:
         here = F.col("variant") == t
         aggs += [_n(here).alias(f"n_{t}"), _n(here & F.col("correct")).alias(f"k_{t}")]
-    return trials.filter(F.col("variant").isin(list(tiers))).groupBy("system").agg(*aggs)
+    # no filter on the tiers: a system without any of them scores zero, as in ``robustness``
+    return trials.groupBy("system").agg(*aggs)
 
 
 def robustness(trials: DataFrame) -> DataFrame:
@@ -364,9 +376,9 @@ def oracle_stats(labels: DataFrame) -> DataFrame:
         labels.groupBy("variant")
         .agg(_rows().alias("total"), *[c.alias(k) for k, c in cells.items()])
         .rollup("variant")
-        .agg(*[F.sum(c).alias(c) for c in ("total", *cells)])
+        .agg(*[F.sum(c).alias(c) for c in ("total", *cells)], *_total_marks("variant"))
         .select(
-            F.coalesce("variant", F.lit("overall")).alias("variant"),
+            _or_total("variant", "overall"),
             "total",
             *cells,
             ratio(n - F.col("only_slow_correct"), n).alias("fast_rate"),
@@ -513,20 +525,18 @@ def dataset_metadata(records: DataFrame) -> DataFrame:
             F.count_distinct("template_id").alias("templates"),
             F.sum("bad").alias("errors"),
             F.sum("noop").alias("noop_records"),
+            *_total_marks("variant"),
         )
-        .withColumn("variant", F.coalesce("variant", F.lit("total")))
+        .select(_or_total("variant", "total"), "generated", "templates", "errors", "noop_records")
     )
 
 
-pipeline_summary = dataset_metadata
-
-
 def dimension_counts(names: DataFrame) -> DataFrame:
     """Entries and distinct names per block and in total."""
     per_name = names.groupBy("block", "name").agg(_rows().alias("n"))
     return per_name.rollup("block").agg(
-        F.sum("n").alias("entries"), F.count_distinct("name").alias("distinct_names")
-    ).select(F.coalesce(F.col("block").cast("string"), F.lit("total")).alias("block"), "entries", "distinct_names")
+        F.sum("n").alias("entries"), F.count_distinct("name").alias("distinct_names"), *_total_marks("block")
+    ).select(_or_total("block", "total"), "entries", "distinct_names")
 
 
 def project_cost(
@@ -568,9 +578,9 @@ def pilot_summary(log: DataFrame) -> DataFrame:
             _rows().alias("total"), _n(F.col("correct")).alias("correct"), _n(fast).alias("fast"), _n(slow).alias("slow")
         )
         .rollup("variant")
-        .agg(*[F.sum(c).alias(c) for c in ("total", "correct", "fast", "slow")])
+        .agg(*[F.sum(c).alias(c) for c in ("total", "correct", "fast", "slow")], *_total_marks("variant"))
         .select(
-            F.coalesce("variant", F.lit("overall")).alias("variant"),
+            _or_total("variant", "overall"),
             "total",
             "correct",
             (ratio(F.col("correct"), n) * 100).alias("accuracy_pct"),

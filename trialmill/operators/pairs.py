@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arithmetic as ar
 from ..functions import cost as fc
@@ -13,56 +14,75 @@ from ..functions import lexicon as lx
 from .prefix import running
 
 
+#: Columns that order the records of a key when none are named; a log has one of them.
+TIMES = ("timestamp", "ts")
+
+
+def time_order(trials: DataFrame, order: Sequence[str | Column] = ()) -> list[Column]:
+    """The given order, else the log's own time column."""
+    named = list(order) or [c for c in TIMES if c in trials.columns]
+    return [F.col(o) if isinstance(o, str) else o for o in named]
+
+
 def latest_by_id(
     trials: DataFrame,
     keys: Sequence[str] = ("system", "variant", "problem_id"),
-    order: Sequence[str | Column] = ("ts",),
+    order: Sequence[str | Column] = (),
 ) -> DataFrame:
-    """The last record of each key.
+    """The last record of each key, by the log's time column unless ``order`` names others.
 
     ``row_number() = 1`` lets Spark keep one row per key and map task before the
     shuffle (WindowGroupLimit), so a key with many copies stays small.
     """
-    newest = Window.partitionBy(*keys).orderBy(*[o.desc() if isinstance(o, Column) else F.desc(o) for o in order])
+    # the content decides between records that the order leaves equal, so every run keeps the same one
+    content = F.xxhash64(*[F.col(f.name) for f in trials.schema if not isinstance(f.dataType, T.MapType)])
+    newest = Window.partitionBy(*keys).orderBy(*[o.desc() for o in time_order(trials, order)], content)
     return trials.withColumn("__rn", F.row_number().over(newest)).filter("__rn = 1").drop("__rn")
 
 
 def side_by_side(
-    trials: DataFrame, systems: dict[str, str], fields: Sequence[str], keys: Sequence[str] = ("variant", "problem_id")
+    trials: DataFrame,
+    systems: dict[str, str],
+    fields: Sequence[str],
+    keys: Sequence[str] = ("variant", "problem_id"),
+    order: Sequence[str | Column] = (),
 ) -> DataFrame:
     """One row per key with the fields of every named system, in a single shuffle.
 
-    Stands for an inner join of the systems on ``keys``.  Needs at most one trial per
-    system and key (see ``latest_by_id``); ``systems`` maps an output prefix to a
-    system name.  Fixed-width fields keep it a hash aggregation.
+    Stands for an inner join of the systems on ``keys``; ``systems`` maps an output prefix
+    to a system name.  Of several records of a system and key the last one counts, as a
+    whole: its fields travel in one struct behind the order, and decide where the order ties.
     """
-    aggs = []
-    for prefix, name in systems.items():
-        mine = F.col("system") == name
-        aggs.append(F.max(F.when(mine, F.lit(True))).alias(f"__{prefix}"))
-        aggs += [F.max(F.when(mine, F.col(f))).alias(f"{prefix}_{f}") for f in fields]
-    wide = trials.filter(F.col("system").isin(list(systems.values()))).groupBy(*keys).agg(*aggs)
+    last = [o.alias(f"__o{i}") for i, o in enumerate(time_order(trials, order))]
+    record = F.struct(*last, *[F.col(f) for f in fields])
+    wide = (
+        trials.filter(F.col("system").isin(list(systems.values())))
+        .groupBy(*keys)
+        .agg(*[F.max(F.when(F.col("system") == name, record)).alias(f"__{prefix}") for prefix, name in systems.items()])
+    )
     for prefix in systems:
-        wide = wide.filter(F.col(f"__{prefix}"))
-    return wide.drop(*[f"__{p}" for p in systems])
+        wide = wide.filter(F.col(f"__{prefix}").isNotNull())
+    return wide.select(*keys, *[F.col(f"__{p}")[f].alias(f"{p}_{f}") for p in systems for f in fields])
 
 
-def paired(trials: DataFrame, first: str, second: str, variant: str | None = None) -> DataFrame:
+def paired(
+    trials: DataFrame, first: str, second: str, variant: str | None = None, order: Sequence[str | Column] = ()
+) -> DataFrame:
     rows = trials if variant is None else trials.filter(F.col("variant") == variant)
-    return side_by_side(rows, {"first": first, "second": second}, ["correct"])
+    return side_by_side(rows, {"first": first, "second": second}, ["correct"], order=order)
 
 
-def oracle_labels(trials: DataFrame, fast: str, slow: str) -> DataFrame:
+def oracle_labels(trials: DataFrame, fast: str, slow: str, order: Sequence[str | Column] = ()) -> DataFrame:
     """Best action per (variant, problem); question data come from the fast side."""
-    wide = side_by_side(trials, {"fast": fast, "slow": slow}, ["ground_truth", "final_answer", "correct"])
+    wide = side_by_side(trials, {"fast": fast, "slow": slow}, ["ground_truth", "final_answer", "correct"], order=order)
     return _labelled(wide, "fast", ["variant", "problem_id"])
 
 
-def oracle_labels_global(trials: DataFrame, fast: str, slow: str) -> DataFrame:
+def oracle_labels_global(trials: DataFrame, fast: str, slow: str, order: Sequence[str | Column] = ()) -> DataFrame:
     """Best action per problem across variants; question data come from the slow side."""
     fields = ["variant", "template_id", "ground_truth", "final_answer", "correct"]
-    newest = latest_by_id(trials, ["system", "problem_id"], ["variant", "ts"])
-    wide = side_by_side(newest, {"fast": fast, "slow": slow}, fields, keys=["problem_id"])
+    newest = ["variant", *time_order(trials, order)]
+    wide = side_by_side(trials, {"fast": fast, "slow": slow}, fields, keys=["problem_id"], order=newest)
     wide = wide.withColumnsRenamed({"slow_variant": "variant", "slow_template_id": "template_id"})
     return _labelled(wide, "slow", ["problem_id", "variant", "template_id"])
 
@@ -89,9 +109,11 @@ def unmatched(trials: DataFrame, fast: str, slow: str) -> DataFrame:
     return s.join(f, "problem_id", "left_anti")
 
 
-def oracle_accuracy(trials: DataFrame, system: str, fast: str, slow: str) -> DataFrame:
+def oracle_accuracy(
+    trials: DataFrame, system: str, fast: str, slow: str, order: Sequence[str | Column] = ()
+) -> DataFrame:
     """Share of a system's problems, among those both baselines saw, that a perfect router solves."""
-    wide = side_by_side(trials, {"own": system, "fast": fast, "slow": slow}, ["correct"])
+    wide = side_by_side(trials, {"own": system, "fast": fast, "slow": slow}, ["correct"], order=order)
     return wide.groupBy("variant").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("fast_correct") | F.col("slow_correct")).alias("oracle_correct"),

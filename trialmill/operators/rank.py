@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import ratio
-from .pairs import latest_by_id
+from .pairs import latest_by_id, time_order
 from .prefix import running
 
 __all__ = [
@@ -93,28 +93,26 @@ def attempt_outcome(attempts: DataFrame, max_retries: int = 5) -> DataFrame:
     )
 
 
-# up to here a sorted limit is cheaper than ranking every row
-_LIMIT_ROWS = 100_000
-
-
 def split_first(df: DataFrame, n_train: int, n_test: int, order: Sequence[str] = ("problem_id",)) -> DataFrame:
-    """The first ``n_train`` rows as train and the next ``n_test`` as test."""
+    """The first ``n_train`` rows as train and the next ``n_test`` as test.
+
+    A sorted limit keeps ``n_train + n_test`` rows; these are ranked by slices.
+    """
     total = n_train + n_test
-    if total <= _LIMIT_ROWS:
-        first = df.orderBy(*order).limit(total)
-        ranked = first.withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    else:
-        ranked = running(df, [], order, rank="position").filter(F.col("position") <= total)
+    first = df.orderBy(*order).limit(total)
+    ranked = running(first, [], order, rank="position")
     return ranked.withColumn("split", F.when(F.col("position") <= n_train, "train").otherwise("test"))
 
 
 def progress(
     trials: DataFrame, batch: int = 50, keys: Sequence[str] = ("system", "variant"),
-    order: Sequence[str] = ("ts", "problem_id"),
+    order: Sequence[str | Column] = (),
 ) -> DataFrame:
-    """Cumulative accuracy of each run after every ``batch`` problems and at its end."""
-    hits = trials.select(*keys, *order, F.col("correct").cast("int").alias("hit"))
-    ranked = running(hits, keys, order, rank="done", sums={"correct_so_far": "hit"}, total="__n")
+    """Cumulative accuracy of each run after every ``batch`` problems and at its end, by time unless ordered otherwise."""
+    by = [*time_order(trials, order), F.col("problem_id"), F.col("correct")]
+    named = [f"__o{i}" for i in range(len(by))]
+    hits = trials.select(*keys, *[o.alias(n) for o, n in zip(by, named)], F.col("correct").cast("int").alias("hit"))
+    ranked = running(hits, keys, named, rank="done", sums={"correct_so_far": "hit"}, total="__n")
     marks = ranked.filter((F.col("done") % batch == 0) | (F.col("done") == F.col("__n")))
     return marks.select(
         *keys, "done", "correct_so_far", ratio(F.col("correct_so_far"), F.col("done")).alias("accuracy")

@@ -134,10 +134,16 @@ def tune_policy(
 # --- logged decisions ---------------------------------------------------------------
 
 
-def simulate_logging(labels: DataFrame, epsilon: float = 0.1, key: str = "problem_id") -> DataFrame:
-    """Log the oracle action, or the other one with probability epsilon, with its cost and propensity."""
+LABEL_KEY = ("variant", "problem_id")
+
+
+def simulate_logging(labels: DataFrame, epsilon: float = 0.1, key: Sequence[str] = LABEL_KEY) -> DataFrame:
+    """Log the oracle action, or the other one with probability epsilon, with its cost and propensity.
+
+    Every label draws on its own whole key, so one problem's variants explore independently.
+    """
     best = fc.oracle_action(F.col("fast_correct"), F.col("slow_correct"))
-    explored = uniform(F.col(key), "log") < epsilon
+    explored = uniform(F.concat_ws("/", *key), "log") < epsilon
     action = F.when(explored, 1 - best).otherwise(best)
     right = fc.chosen_correct(F.col("logged_action"), F.col("fast_correct"), F.col("slow_correct"))
     return (
@@ -245,9 +251,9 @@ def evaluate_logged_policy(
     return logged.agg(*aggs)
 
 
-def replay_policy(labels: DataFrame, decisions: DataFrame, key: str = "problem_id") -> DataFrame:
-    """Decision metrics and saved cost of chosen actions on labelled problems."""
-    chosen = labels.select(key, "fast_correct", "slow_correct").join(decisions.select(key, "action"), key)
+def replay_policy(labels: DataFrame, decisions: DataFrame, key: Sequence[str] = LABEL_KEY) -> DataFrame:
+    """Decision metrics and saved cost of chosen actions on labelled problems, matched on the labels' whole key."""
+    chosen = labels.select(*key, "fast_correct", "slow_correct").join(decisions.select(*key, "action"), list(key))
     log = chosen.withColumn(
         "correct", fc.chosen_correct(F.col("action"), F.col("fast_correct"), F.col("slow_correct"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import routing
 from ..session import scratch_path
@@ -39,6 +40,45 @@ _BACK = f"{T} SELECT {_COLS}, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp FRO
 add("a1_read_trials", lambda s, d: log.read_trials(s, _written(s, d)).select(*COLS, "timestamp"), _BACK)
 
 
+def _files(s, d):
+    """The log in the layout ``<system>/<variant>.jsonl``: each file with a blank line, a broken one, one mistyped and one
+    without an id."""
+    root = scratch_path(s, "files")
+    rows = trial_records(s, d).withColumn("question", F.concat(F.lit("How many? "), F.repeat("problem_id", F.lit(40))))
+    good = rows.select("system", "variant", F.to_json(F.struct("*")).alias("value"))
+    odd = F.array(
+        F.lit(""), F.lit("{broken"), F.lit('{"problem_id": "x", "path_taken": "slow", "tokens_input": "many"}'), F.lit('{"path_taken": "slow"}')
+    )
+    extra = good.select("system", "variant").distinct().select("system", "variant", F.explode(odd).alias("value"))
+    # one folder a file; the reader takes the last two parts of the path
+    both = good.unionByName(extra).withColumn("file", F.concat("variant", F.lit(".jsonl")))
+    both.select(F.col("system").alias("s"), F.col("file").alias("f"), "value").write.partitionBy("s", "f").text(root)
+    return root
+
+
+def _file_log(s, d, read):
+    """Partition folders ``s=<system>/f=<variant>.jsonl`` under the names of the plain layout."""
+    return read(s, _files(s, d), [f"s={x}" for x in lx.SYSTEMS], [f"f={x}" for x in lx.VARIANTS], "files")
+
+
+def _plain(df):
+    return df.withColumn("system", F.substring_index("system", "=", -1)).withColumn("variant", F.substring_index("variant", "=", -1))
+
+
+add(
+    "a1_read_trial_files",
+    lambda s, d: _plain(_file_log(s, d, log.read_trials)).select(*COLS, "timestamp", F.length("question").alias("question_length")),
+    f"""{T} SELECT {_COLS}, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 10 + 40 * length(problem_id) AS question_length
+    FROM trials""",
+)
+add(
+    "a1_quarantined_trials",
+    lambda s, d: _plain(_file_log(s, d, log.quarantined_trials)).groupBy("system", "variant").agg(
+        F.count("*").alias("n_bad"), F.count("problem_id").alias("n_with_id"), F.count_if(F.col("line") == "{broken").alias("n_broken")),
+    f"""{T} SELECT system, variant, 3 AS n_bad, 1 AS n_with_id, 1 AS n_broken FROM trials GROUP BY 1, 2""",
+)
+
+
 def _appended(s, d):
     """Two writes, the second appending the distractor variant."""
     root, rows = scratch_path(s, "trials"), trial_records(s, d)
@@ -77,7 +117,7 @@ def _pilot(s, d):
         "path_taken", F.col("bandit_probability").alias("routing_prob"), F.col("execution_time_ms").alias("latency_ms"),
         F.col("error_type").alias("error"),
     )
-    log.pilot_record(routed).write.json(path)
+    routed.write.json(path)
     both = log.union_logs(t.filter("system = 'random'"), log.read_pilot_log(s, path))
     return both.select("system", "problem_id", "variant", "final_answer", "correct", "path_taken", "bandit_probability",
                        "execution_time_ms", "error_type", "tokens_input")

@@ -148,21 +148,21 @@ def decisions(spark, sf):
     return (
         view(spark, sf, "trials")
         .filter(F.col("system") == "bandit")
-        .select("problem_id", F.when(F.col("path_taken") == "fast", 0).otherwise(1).alias("action"))
+        .select("variant", "problem_id", F.when(F.col("path_taken") == "fast", 0).otherwise(1).alias("action"))
     )
 
 
 def _decision_log(s, d):
     t = view(s, d, "trials").filter(F.col("system") == "bandit")
-    log = t.select("problem_id", "correct", F.when(F.col("path_taken") == "fast", 0).otherwise(1).alias("action"))
-    return log.join(labels(s, d).select("problem_id", "fast_correct", "slow_correct"), "problem_id", "left")
+    log = t.select("variant", "problem_id", "correct", F.when(F.col("path_taken") == "fast", 0).otherwise(1).alias("action"))
+    return log.join(labels(s, d).select(*routing.LABEL_KEY, "fast_correct", "slow_correct"), list(routing.LABEL_KEY), "left")
 
 
 add(
     "e18_decision_metrics",
     lambda s, d: rounded(metrics.decision_metrics(_decision_log(s, d))),
     f"""{L}, log AS (SELECT t.correct, CASE WHEN t.path_taken = 'fast' THEN 0 ELSE 1 END AS action, fast_correct, slow_correct
-      FROM trials t LEFT JOIN labels_v l ON t.problem_id = l.problem_id WHERE t.system = 'bandit'),
+      FROM trials t LEFT JOIN labels_v l ON t.variant = l.variant AND t.problem_id = l.problem_id WHERE t.system = 'bandit'),
     r AS (SELECT *, CASE WHEN fast_correct IS NULL THEN NULL ELSE
       (CASE WHEN action = 0 THEN {_LF} ELSE {_LS} END) - {_LO} END AS regret FROM log)
     SELECT count(*) AS total, round(avg(CAST(correct AS INT)), 9) AS accuracy,
@@ -191,7 +191,7 @@ def _u(key: str, salt: str) -> str:
     return f"(CAST(('0x' || substr(md5({key} || '-' || '{salt}'), 1, 8)) AS BIGINT) / 4294967296e0)"
 
 
-_LOG = f"""lg AS (SELECT *, {_u("problem_id", "log")} < 0.1 AS explored, {_BEST} AS best FROM labels_v),
+_LOG = f"""lg AS (SELECT *, {_u("(variant || '/' || problem_id)", "log")} < 0.1 AS explored, {_BEST} AS best FROM labels_v),
     lg2 AS (SELECT *, CASE WHEN explored THEN 1 - best ELSE best END AS logged_action FROM lg),
     logged AS (SELECT *, CASE WHEN (CASE WHEN logged_action = 0 THEN fast_correct ELSE slow_correct END) THEN 0e0
       ELSE 1e0 END AS logged_cost, CASE WHEN explored THEN 0.1e0 ELSE 0.9e0 END AS propensity FROM lg2)"""
@@ -316,34 +316,58 @@ add(
 # --- model fits: rows and properties only --------------------------------------------------
 
 
-def _reduced(s, d, k=8):
+COMPONENTS = 50
+
+
+def _reduced(s, d, k=COMPONENTS):
     vectors = table(s, d, "embeddings")
     return routing.pca_transform(vectors, routing.pca_fit(vectors, k)), k
 
 
 def _pca_fit(s, d):
-    model = routing.pca_fit(table(s, d, "embeddings"), 8)
+    model = routing.pca_fit(table(s, d, "embeddings"), COMPONENTS)
     ratios = s.createDataFrame(
         [(i, float(r)) for i, r in enumerate(model.stages[1].explainedVariance)], "component int, variance_ratio double"
     )
     return ratios.withColumn("variance_retained", F.lit(routing.variance_retained(model)))
 
 
+def _pca_moments(s, d):
+    """What any correct fit fulfils: shares fall, stay within one, and belong to the data's total variance."""
+    model = routing.pca_fit(table(s, d, "embeddings"), COMPONENTS)
+    shares = [float(x) for x in model.stages[1].explainedVariance]
+    total = float(sum(x * x for x in model.stages[0].std))
+    falling = all(a >= b - 1e-12 for a, b in zip(shares, shares[1:]))
+    row = (len(shares), falling, 0 < sum(shares) <= 1 + 1e-9, round(total, 4))
+    return s.createDataFrame([row], "components int, falling boolean, within_one boolean, total_variance double")
+
+
 def _pca_properties(s, d):
+    """Each reduced component's moments, and its largest covariance with another one."""
     out, k = _reduced(s, d)
-    parts = out.select(F.posexplode("reduced").alias("component", "v"))
-    return parts.groupBy("component").agg(
-        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.var_samp("v"), 6).alias("variance")
+    parts = out.select(F.posexplode("reduced").alias("component", "v"), "reduced")
+    with_all = parts.groupBy("component").agg(
+        F.count("v").alias("n"), F.abs(F.round(F.avg("v"), 6)).alias("mean"), F.round(F.var_samp("v"), 6).alias("variance"),
+        *[F.avg(F.col("v") * F.col("reduced")[i]).alias(f"__c{i}") for i in range(k)],
     )
+    off = F.greatest(*[F.when(F.col("component") != i, F.abs(F.col(f"__c{i}"))).otherwise(F.lit(0.0)) for i in range(k)])
+    return with_all.select("component", "n", "mean", "variance", (off < 1e-6).alias("uncorrelated"))
 
 
 add("i1_pca_fit", _pca_fit)
-# centred and whitened components: mean 0 and variance 1 whatever their sign
+add(
+    "i1_pca_moments",
+    _pca_moments,
+    f"""WITH x AS (SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)
+    SELECT {COMPONENTS} AS components, true AS falling, true AS within_one, round(sum(var), 4) AS total_variance
+    FROM (SELECT i, var_samp(CAST(v AS DOUBLE)) AS var FROM x GROUP BY i)""",
+)
+# centred, whitened and uncorrelated components, whatever their sign
 add(
     "i2_pca_transform",
-    lambda s, d: _pca_properties(s, d).withColumn("mean", F.abs("mean")),
-    """SELECT CAST(c AS INT) AS component, (SELECT count(*) FROM embeddings) AS n, 0e0 AS mean, 1e0 AS variance
-    FROM range(8) t(c)""",
+    _pca_properties,
+    f"""SELECT CAST(c AS INT) AS component, (SELECT count(*) FROM embeddings) AS n, 0e0 AS mean, 1e0 AS variance,
+    true AS uncorrelated FROM range({COMPONENTS}) t(c)""",
 )
 
 
@@ -361,7 +385,7 @@ def _dr(s, d):
     log = logged_features(s, d)
     policy = routing.train_policy_dr(log)
     chosen = policy.predict(log)
-    value = routing.replay_policy(chosen, chosen.select("problem_id", F.col("policy_action").alias("action")))
+    value = routing.replay_policy(chosen, chosen.select("variant", "problem_id", F.col("policy_action").alias("action")))
     slow = chosen.agg(F.avg(fc.loss(F.col("slow_correct"), F.lit(1))).alias("always_slow_loss"))
     return rounded(value.crossJoin(slow), 6)
 

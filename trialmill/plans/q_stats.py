@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, stats
+from ..session import scratch_path
+from ..sources import trials as log
 from . import report
 from .fixtures import cte, view
 from .q_metrics import _ROB
@@ -19,11 +24,11 @@ def trials(spark, sf):
     return view(spark, sf, "trials")
 
 
-add("f1_bootstrap_accuracy", lambda s, d: stats.bootstrap_accuracy(trials(s, d), resamples=2000))
+add("f1_bootstrap_accuracy", lambda s, d: stats.bootstrap_accuracy(trials(s, d)))
 add(
     "f2_bootstrap_mean",
     lambda s, d: stats.bootstrap_mean(
-        trials(s, d).withColumn("tokens", F.col("tokens_input") + F.col("tokens_output")), "tokens", BY, resamples=500
+        trials(s, d).withColumn("tokens", F.col("tokens_input") + F.col("tokens_output")), "tokens", BY
     ),
 )
 
@@ -86,7 +91,7 @@ add(
 add(
     "f3_bootstrap_difference",
     lambda s, d: stats.bootstrap_difference(
-        trials(s, d).filter("variant = 'base'"), trials(s, d).filter("variant = 'noop'"), "correct", ["system"], 2000
+        trials(s, d).filter("variant = 'base'"), trials(s, d).filter("variant = 'noop'"), "correct", ["system"]
     ),
 )
 _ERFC = """(t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806
@@ -168,7 +173,7 @@ def _with_intervals(s, d):
     t = trials(s, d)
     tables = {"robustness": metrics.robustness(t), "complexity": metrics.complexity_decay(t), "cost": metrics.cost_summary(t),
               "self_correction": metrics.self_correction(t), "routing": metrics.routing_summary(t)}
-    out = stats.attach_intervals(t, tables, 500)
+    out = stats.attach_intervals(t, tables)
     wide = out["robustness"]
     for name in ("complexity", "cost", "self_correction", "routing"):
         cis = [c for c in out[name].columns if "_ci_" in c]
@@ -181,7 +186,7 @@ add("f8_attach_intervals", _with_intervals)
 
 def _full(s, d):
     """Every table of the report as (table, row) with the row in JSON."""
-    tables = report.full_report(trials(s, d), "fixed_slow", "baseline_large", deduplicate=False)
+    tables = report.full_report(trials(s, d), "fixed_slow", "baseline_large")
     out = None
     for name, df in tables.items():
         if name == "trials":
@@ -192,6 +197,37 @@ def _full(s, d):
 
 
 add("e26_full_report", _full)
+def _from_log(s, d):
+    """From log files to the report: every record was first logged with the opposite outcome, a day earlier."""
+    rows = trials(s, d).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).drop("ts")
+    early = rows.withColumn("correct", ~F.col("correct")).withColumn("timestamp", F.concat(F.lit("0"), "timestamp"))
+    root = scratch_path(s, "retried")
+    log.write_trials(early.unionByName(rows), root)
+    return report.full_report(log.read_trials(s, root), "fixed_slow", "baseline_large")
+
+
+_LOG_SQL = f"""SELECT 'accuracy' AS tab, system, variant, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k FROM (
+      SELECT CASE WHEN grouping(system) = 1 THEN 'all' ELSE system END AS system,
+        CASE WHEN grouping(variant) = 1 THEN 'all' ELSE variant END AS variant, count(*) AS n,
+        count(*) FILTER (correct) AS k FROM trials GROUP BY ROLLUP (system, variant))
+    UNION ALL SELECT 'significance', '', variant, n_sys1_only, n_sys2_only FROM mc WHERE variant IN ('base', 'noop')
+    UNION ALL SELECT 'errors', system, '', count(*) FILTER (NOT correct), 0 FROM trials GROUP BY system
+    UNION ALL SELECT 'robustness', system, '', n_base, n_noop FROM robust"""
+
+
+def _log_tables(s, d):
+    r = _from_log(s, d)
+    zero, blank = F.lit(0).cast("long"), F.lit("")
+    tables = [
+        r["accuracy"].select(F.lit("accuracy").alias("tab"), "system", "variant", "n", F.col("n_correct").alias("k")),
+        r["significance"].select(F.lit("significance"), blank, "variant", "n_sys1_only", "n_sys2_only"),
+        r["errors"].groupBy("system").agg(F.sum("error_count").alias("n")).select(F.lit("errors"), "system", blank, "n", zero),
+        r["robustness"].select(F.lit("robustness"), "system", blank, "n_base", "n_noop"),
+    ]
+    return reduce(DataFrame.union, tables)
+
+
+add("e26_report_from_log", _log_tables, f"{T}, {_ROB}, {_MCN} {_LOG_SQL}")
 add(
     "e26_headline",
     lambda s, d: rounded(report.headline(trials(s, d), "baseline_large")),

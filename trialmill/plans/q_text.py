@@ -224,34 +224,35 @@ _SYN = " OR ".join(f"contains(low, '{w}')" for w in lx.SYNTAX_HINTS)
 _GRO = " OR ".join(f"contains(low, '{w}')" for w in lx.GROUNDING_HINTS)
 _LINE = "nullif(regexp_extract(message, '<string>:([0-9]+)', 1), '')"
 _CLS = f"""cls AS (SELECT *, CASE WHEN {_SYN} THEN 'SYNTAX' WHEN {_GRO} OR contains(low, 'undefined') THEN 'GROUNDING'
-      ELSE 'RUNTIME' END AS error_type,
-    CASE WHEN {_SYN} THEN coalesce(concat_ws('', 'Syntax error on line ' || {_LINE}, ': ' || message), '')
-      WHEN {_GRO} THEN concat('Grounding error: ', message) WHEN contains(low, 'undefined') THEN concat('Undefined predicate: ', message)
-      WHEN contains(low, 'error') AND (contains(low, 'python') OR contains(low, 'script')) THEN concat('Python hook error: ', message)
-      WHEN contains(low, 'division') OR contains(low, 'zero') THEN concat('Division by zero: ', message)
-      ELSE message END AS clean, CASE WHEN {_SYN} THEN TRY_CAST({_LINE} AS INT) END AS error_line
+      ELSE 'RUNTIME' END AS error_type, CASE WHEN {_SYN} THEN TRY_CAST({_LINE} AS INT) END AS error_line
     FROM (SELECT *, lower(message) AS low FROM msg))"""
 add(
     "b12_classify_message",
     lambda s, d: messages(s, d).select(
         "event_id", *[c.alias(n) for n, c in tx.classify_message(F.col("message")).items()]
     ),
-    f"""{_M}, {_CLS} SELECT event_id, error_type, CASE WHEN clean LIKE ': %' THEN concat('Syntax error', clean) ELSE clean END
-    AS clean_message, error_line FROM cls""",
+    f"{_M}, {_CLS} SELECT event_id, error_type, error_line FROM cls",
 )
-_COACH = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in tx.COACHING.items())
+# rules made of the given tables: one per region for a type, one per event type for every type
+_RULES = """SELECT r_regionkey AS position, CASE r_regionkey % 3 WHEN 0 THEN 'SYNTAX' WHEN 1 THEN 'GROUNDING' ELSE 'RUNTIME' END
+      AS error_type, CAST(NULL AS VARCHAR(20)) AS mentions, r_name AS text FROM {region}
+    UNION ALL SELECT DISTINCT 100 + length(event_type) AS position, CAST(NULL AS VARCHAR(20)) AS error_type, event_type AS mentions,
+      concat('about ', event_type) AS text FROM {events}"""
+
+
+def rules(s, d):
+    return s.sql(_RULES, region=table(s, d, "region"), events=table(s, d, "events"))
+
+
 add(
     "b13_annotate_errors",
     lambda s, d: tx.annotate_errors(
-        messages(s, d).withColumn("error_type", tx.classify_message(F.col("message"))["error_type"])
-    ).select("event_id", "error_type", "coaching", F.array_join("hints", "|").alias("hints")),
-    f"""{_M}, {_CLS} SELECT event_id, error_type, CASE error_type {_COACH} END AS coaching, concat_ws('|',
-      CASE WHEN contains(low, 'line') THEN 'Look at the line the message names.' END,
-      CASE WHEN contains(low, 'undefined') THEN 'Declare the missing atom or fix its spelling.' END,
-      CASE WHEN contains(low, 'unsafe') AND regexp_matches(message, '''([A-Za-z0-9_]+)''') THEN concat('Bind variable ''',
-        regexp_extract(message, '''([A-Za-z0-9_]+)''', 1), ''' in a positive body literal.') END,
-      CASE WHEN contains(low, 'division') OR contains(low, 'zero') THEN 'Guard the division against a zero divisor.' END) AS hints
-    FROM cls""",
+        messages(s, d).withColumn("error_type", tx.classify_message(F.col("message"))["error_type"]), rules(s, d)
+    ).select("event_id", "error_type", F.array_join("advice", "|").alias("advice")),
+    f"""{_M}, {_CLS}, rules AS ({_RULES.replace("{region}", "region").replace("{events}", "events")})
+    SELECT event_id, c.error_type, coalesce(string_agg(r.text, '|' ORDER BY r.position, r.mentions NULLS FIRST, r.text), '') AS advice
+    FROM cls c LEFT JOIN rules r ON (r.error_type IS NULL OR r.error_type = c.error_type)
+      AND (r.mentions IS NULL OR contains(c.low, r.mentions)) GROUP BY 1, 2""",
 )
 _TRIM = r"regexp_replace({0}, '^[\s\x0b\x{{85}}\pZ]+|[\s\x0b\x{{85}}\pZ]+$', '', 'g')"
 

@@ -12,11 +12,6 @@ from ..operators.pairs import latest_by_id
 ROUTED = ["bandit", "random"]
 
 
-def cube(trials: DataFrame) -> DataFrame:
-    """All counts the report needs per (system, variant), from one pass over the log."""
-    return m.run_summary(trials)
-
-
 def full_report(
     trials: DataFrame, first: str, second: str, intervals: bool = False, resamples: int = st.RESAMPLES,
     deduplicate: bool = True,

@@ -28,7 +28,6 @@ PILOT_SCHEMA = (
     "path_taken string, routing_prob double, latency_ms double, error string"
 )
 PATHS = ["fast", "slow", "baseline"]
-QUESTION_PREVIEW = 200
 _BAD = "_corrupt_record"
 
 
@@ -42,21 +41,41 @@ def _checked(rows: DataFrame) -> DataFrame:
     )
 
 
-def _raw_trials(
+def _parsed(
     spark: SparkSession, root: str, systems: Sequence[str], variants: Sequence[str], layout: str
 ) -> DataFrame:
+    """(line, system, variant, rec, bad) of every line that is not blank.
+
+    Lines are read as text and parsed once with the whole schema, so what counts as
+    malformed does not depend on the columns a query selects.  A record without
+    ``problem_id`` is bad too.
+    """
     schema = T.StructType([*TRIAL_SCHEMA.fields, T.StructField(_BAD, _S)])
-    names = "{" + ",".join(systems) + "}", "{" + ",".join(variants) + "}"
     if layout == "files":
         # one glob: combinations that do not exist are skipped
-        where = f"{root}/{names[0]}/{names[1]}.jsonl"
-        rows = spark.read.schema(schema).json(where)
+        names = "{" + ",".join(systems) + "}", "{" + ",".join(variants) + "}"
         at = F.col("_metadata.file_path")
-        return rows.withColumn("system", F.regexp_extract(at, r"([^/]+)/[^/]+\.jsonl$", 1)).withColumn(
-            "variant", F.regexp_extract(at, r"([^/]+)\.jsonl$", 1)
+        lines = spark.read.text(f"{root}/{names[0]}/{names[1]}.jsonl").select(
+            "value",
+            # a file, or a folder of that name with part files
+            F.regexp_extract(at, r"([^/]+)/[^/]+\.jsonl(?:/[^/]+)?$", 1).alias("system"),
+            F.regexp_extract(at, r"([^/]+)\.jsonl(?:/[^/]+)?$", 1).alias("variant"),
         )
-    rows = spark.read.schema(schema).json(root)
-    return rows.filter(F.col("system").isin(list(systems)) & F.col("variant").isin(list(variants)))
+    else:
+        stored = T.StructType([T.StructField("value", _S), T.StructField("system", _S), T.StructField("variant", _S)])
+        lines = spark.read.schema(stored).text(root)
+        lines = lines.filter(F.col("system").isin(list(systems)) & F.col("variant").isin(list(variants)))
+    # options keep the optimizer from narrowing the schema to the selected fields
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    rows = lines.filter(F.trim("value") != "").withColumn("rec", F.from_json("value", schema, options))
+    bad = F.col("rec").isNull() | F.col(f"rec.{_BAD}").isNotNull() | F.col("rec.problem_id").isNull()
+    return rows.withColumn("bad", bad)
+
+
+def _fields(rows: DataFrame) -> DataFrame:
+    own = [f.name for f in TRIAL_SCHEMA if f.name not in ("system", "variant")]
+    record = rows.select("value", "system", "variant", *[F.col(f"rec.{c}").alias(c) for c in own])
+    return record.select("value", *[f.name for f in TRIAL_SCHEMA])
 
 
 def read_trials(
@@ -69,11 +88,12 @@ def read_trials(
     """Trials of the known systems and variants.
 
     ``layout="files"`` reads ``<system>/<variant>.jsonl``; ``"table"`` the partitioned
-    folders of ``write_trials``.  Blank lines are skipped and malformed ones left to
-    ``quarantined_trials``; a field of the wrong type makes a line malformed where it is read.
+    folders of ``write_trials``.  Blank lines are skipped.  Malformed lines, fields of the
+    wrong type and records without ``problem_id`` are left to ``quarantined_trials``; every
+    other line is here, whichever columns are selected.
     """
-    rows = _raw_trials(spark, root, systems, variants, layout)
-    return _checked(rows.filter(F.col(_BAD).isNull() & F.col("problem_id").isNotNull()).drop(_BAD))
+    rows = _parsed(spark, root, systems, variants, layout).filter(~F.col("bad"))
+    return _checked(_fields(rows).drop("value"))
 
 
 def quarantined_trials(
@@ -83,9 +103,9 @@ def quarantined_trials(
     variants: Sequence[str] = tuple(lx.VARIANTS),
     layout: str = "table",
 ) -> DataFrame:
-    """Malformed lines next to the fields that could be read from them."""
-    rows = _raw_trials(spark, root, systems, variants, layout)
-    return rows.filter(F.col(_BAD).isNotNull() & (F.trim(F.col(_BAD)) != "")).withColumnRenamed(_BAD, "line")
+    """The other lines, next to the fields that could be read from them."""
+    rows = _parsed(spark, root, systems, variants, layout).filter("bad")
+    return _fields(rows).withColumnRenamed("value", "line")
 
 
 def write_trials(trials: DataFrame, root: str, append: bool = False) -> None:
@@ -97,11 +117,6 @@ def read_pilot_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PILOT_SCHEMA).json(path)
 
 
-def pilot_record(df: DataFrame) -> DataFrame:
-    """Pilot rows keep the first 200 characters of the question."""
-    return df.withColumn("question", F.substring("question", 1, QUESTION_PREVIEW))
-
-
 def pilot_as_trials(pilot: DataFrame, system: str = "bandit") -> DataFrame:
     """The narrower pilot log under the trial columns."""
     return pilot.select(
