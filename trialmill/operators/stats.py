@@ -96,19 +96,24 @@ def bootstrap_accuracy(
 
 def _poisson_sums(by: list[str], value: str, resamples: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # one B-vector per group of this batch, so the memory is groups x resamples
+        # two vectors per group of the partition; they leave it once, at its end
+        sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for key, part in pdf.groupby(by, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 # the last place keeps the plain counts: they give the point estimate
-                weight, total = np.zeros(resamples + 1), np.zeros(resamples + 1)
-                for v, n, s in zip(part[value], part["__n"], part["__seed"]):
-                    w = np.append(np.random.default_rng(int(s)).poisson(float(n), resamples), n)
-                    weight += w
-                    total += w * float(v)
-                out = pd.DataFrame({"replicate": np.append(np.arange(resamples), POINT), "w": weight, "wv": total})
-                for c, k in zip(by, key if isinstance(key, tuple) else (key,)):
-                    out[c] = k
-                yield out
+                total = sums.setdefault(key, np.zeros((2, resamples + 1)))
+                weight = np.empty(resamples + 1)
+                for v, n, s in zip(part[value].to_numpy(float), part["__n"].to_numpy(float), part["__seed"]):
+                    weight[:-1] = np.random.default_rng(int(s)).poisson(n, resamples)
+                    weight[-1] = n
+                    total[0] += weight
+                    total[1] += weight * v
+        for key, (weight, total) in sums.items():
+            out = pd.DataFrame({"replicate": np.append(np.arange(resamples), POINT), "w": weight, "wv": total})
+            for c, k in zip(by, key):
+                out[c] = k
+            yield out
 
     return run
 

@@ -391,3 +391,8 @@ def _dr(s, d):
 
 
 add("i7_train_policy_dr", _dr)
+add(
+    "i7_policy_beats_slow",
+    lambda s, d: _dr(s, d).select(F.col("total"), (F.col("avg_loss") <= F.col("always_slow_loss") + 1e-6).alias("beats_slow")),
+    f"{L} SELECT count(*) AS total, true AS beats_slow FROM labels_v",
+)

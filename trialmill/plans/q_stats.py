@@ -32,6 +32,60 @@ add(
     ),
 )
 
+
+
+def _banded(ci, moments, by):
+    """An interval against the normal one: exact point, all resamples, ends within 0.3 standard errors."""
+    both = ci.join(moments, by)
+    near = lambda end, sign: F.abs(F.col(end) - (F.col("m") + sign * 1.959964 * F.col("se"))) <= 0.3 * F.col("se")
+    return both.select(
+        *by, F.round("point_estimate", 9).alias("point_estimate"), F.col("n_bootstrap").cast("int").alias("n_bootstrap"),
+        near("ci_lower", -1).alias("lower_is_near"), near("ci_upper", 1).alias("upper_is_near"),
+        (F.abs(F.col("std_error") / F.col("se") - 1) < 0.1).alias("error_is_near"),
+    )
+
+
+def _moments(df, value, by):
+    v = F.col(value).cast("double")
+    return df.groupBy(*by).agg(F.avg(v).alias("m"), (F.stddev_pop(v) / F.sqrt(F.count(v))).alias("se"))
+
+
+_BAND = f"{stats.RESAMPLES} AS n_bootstrap, true AS lower_is_near, true AS upper_is_near, true AS error_is_near"
+add(
+    "f1_accuracy_band",
+    lambda s, d: _banded(stats.bootstrap_accuracy(trials(s, d)), _moments(trials(s, d), "correct", BY), BY),
+    f"{T} SELECT system, variant, round(avg(CAST(correct AS DOUBLE)), 9) AS point_estimate, {_BAND} FROM trials GROUP BY 1, 2",
+)
+
+
+def _tokens(s, d):
+    return trials(s, d).withColumn("tokens", F.col("tokens_input") + F.col("tokens_output"))
+
+
+add(
+    "f2_mean_band",
+    lambda s, d: _banded(stats.bootstrap_mean(_tokens(s, d), "tokens", BY), _moments(_tokens(s, d), "tokens", BY), BY),
+    f"{T} SELECT system, variant, round(avg(tokens_input + tokens_output), 9) AS point_estimate, {_BAND} FROM trials GROUP BY 1, 2",
+)
+
+
+def _difference_band(s, d):
+    base, noop = (trials(s, d).filter(F.col("variant") == v) for v in ("base", "noop"))
+    a, b = (_moments(x, "correct", ["system"]) for x in (base, noop))
+    both = a.select("system", F.col("m").alias("m1"), F.col("se").alias("s1")).join(
+        b.select("system", F.col("m").alias("m2"), F.col("se").alias("s2")), "system"
+    )
+    moments = both.select("system", (F.col("m1") - F.col("m2")).alias("m"), F.sqrt(F.pow("s1", F.lit(2)) + F.pow("s2", F.lit(2))).alias("se"))
+    return _banded(stats.bootstrap_difference(base, noop, "correct", ["system"]), moments, ["system"])
+
+
+add(
+    "f3_difference_band",
+    _difference_band,
+    f"""{T} SELECT system, round(avg(CAST(correct AS DOUBLE)) FILTER (variant = 'base')
+      - avg(CAST(correct AS DOUBLE)) FILTER (variant = 'noop'), 9) AS point_estimate, {_BAND} FROM trials GROUP BY 1""",
+)
+
 _STEPS = stats._POISSON_STEPS
 _W = " + ".join(f"(CASE WHEN u >= {x!r} THEN 1 ELSE 0 END)" for x in _STEPS)
 _KEYED = "concat_ws('/', system, variant, problem_id)"
@@ -184,6 +238,25 @@ def _with_intervals(s, d):
 add("f8_attach_intervals", _with_intervals)
 
 
+def _intervals_hold(s, d):
+    """Each interval of the robustness table lies around its own metric."""
+    t = trials(s, d)
+    r = stats.attach_intervals(t, {"robustness": metrics.robustness(t)})["robustness"]
+    held = lambda lo, x, hi: (F.col(lo) <= F.col(x)) & (F.col(x) <= F.col(hi))
+    return r.select(
+        "system", "n_base", "n_noop", held("base_ci_lower", "base_accuracy", "base_ci_upper").alias("base_held"),
+        held("noop_ci_lower", "noop_accuracy", "noop_ci_upper").alias("noop_held"),
+        held("drop_ci_lower", "accuracy_drop", "drop_ci_upper").alias("drop_held"),
+    )
+
+
+add(
+    "f8_intervals_hold",
+    _intervals_hold,
+    f"{T}, {_ROB} SELECT system, n_base, n_noop, true AS base_held, true AS noop_held, true AS drop_held FROM robust",
+)
+
+
 def _full(s, d):
     """Every table of the report as (table, row) with the row in JSON."""
     tables = report.full_report(trials(s, d), "fixed_slow", "baseline_large")
