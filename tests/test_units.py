@@ -210,7 +210,7 @@ def test_relations_follow_chains_and_reject_cycles(spark):
     assert got == {"a": 5, "b": 15, "c": 7, "d": 14}
     loop = spark.createDataFrame([(1, "multiple", "a", "a", 2)], rel.schema)
     with pytest.raises(RuntimeError):
-        ledger.derive_relations(loop, start, max_rounds=3)
+        ledger.derive_relations(loop, start)
 
 
 def test_pareto_ties(spark):

@@ -20,8 +20,9 @@ from . import checks
 from .distractors import SENTENCES
 from .prefix import running
 
-MAX_ATTEMPTS = 500
-ATTEMPT_CHUNKS = ((0, 8), (8, 72), (72, MAX_ATTEMPTS))
+# default number of draws an instance is given
+ATTEMPTS = 500
+DISTRACTORS = (1, 2, 3)
 # compiled templates live in the query plan
 MAX_TEMPLATES = 5_000
 DEFAULT_NAMES = ["Ada", "Bela", "Chidi", "Dara", "Emre", "Farah", "Goran", "Hana", "Imani", "Jun"]
@@ -270,10 +271,17 @@ def _acceptance(t: Template, names: Sequence[str], seed: int) -> Callable[[Colum
     return accepted
 
 
+def _chunks(attempts: int) -> list[tuple[int, int]]:
+    """Growing ranges of attempt numbers: most instances fit early."""
+    ends = [e for e in (8, 72) if e < attempts] + [attempts]
+    return list(zip([0, *ends], ends))
+
+
 def generate_instances(
-    instances: DataFrame, templates: Sequence[Template], seed: int = 42, names: Sequence[str] = tuple(DEFAULT_NAMES)
+    instances: DataFrame, templates: Sequence[Template], seed: int = 42, names: Sequence[str] = tuple(DEFAULT_NAMES),
+    attempts: int = ATTEMPTS,
 ) -> DataFrame:
-    """Draw each instance until its conditions and answer range hold, at most 500 times.
+    """Draw each instance until its conditions and answer range hold, at most ``attempts`` times.
 
     ``attempt`` is null where no draw fits.  Attempts run in growing chunks inside the
     row: ``coalesce`` evaluates a later chunk only if the earlier ones found nothing.
@@ -282,7 +290,7 @@ def generate_instances(
     def first_fit(t: Template) -> Column:
         ok = _acceptance(t, names, seed)
         chunks = [
-            F.get(F.filter(F.sequence(F.lit(lo), F.lit(hi - 1)), ok), 0) for lo, hi in ATTEMPT_CHUNKS
+            F.get(F.filter(F.sequence(F.lit(lo), F.lit(hi - 1)), ok), 0) for lo, hi in _chunks(attempts)
         ]
         return F.coalesce(*chunks)
 
@@ -427,6 +435,12 @@ def distractor_number(rule: Column, quantity: Column, key: Column, *salt: object
     return (low + F.floor(uniform(key, *salt) * (high - low + 1))).cast("bigint")
 
 
+def _distractor_count(n: int) -> int:
+    if n not in DISTRACTORS:
+        raise ValueError(f"a question takes {DISTRACTORS[0]} to {DISTRACTORS[-1]} distractors, not {n}")
+    return n
+
+
 def pick_distractors(
     problems: DataFrame,
     n: int = 1,
@@ -436,7 +450,7 @@ def pick_distractors(
     table: dict[str, list[tuple[str, str]]] | None = None,
 ) -> DataFrame:
     """Add ``distractors``: one to three filled sentences on the topics of the question."""
-    n = max(1, min(3, n))
+    _distractor_count(n)
     prepared = problems.withColumn("__low", F.lower(F.col(question))).withColumns(
         {
             "__options": _options(tx.topics_of_lowered(F.col("__low"), lx.TOPIC_WORDS), table or SENTENCES),
@@ -502,7 +516,7 @@ def with_injection_point(
 
 def insertion_order(key: Column, n: int, seed: int = 42) -> Column:
     """A shuffled subset of the three places; a single insertion is always in the middle."""
-    places = ["middle", "start", "end"][: max(1, min(3, n))]
+    places = ["middle", "start", "end"][: _distractor_count(n)]
     tagged = F.array(*[F.struct(uniform(key, seed, "place", p).alias("u"), F.lit(p).alias("p")) for p in places])
     return F.transform(F.array_sort(tagged), lambda x: x["p"])
 
@@ -511,7 +525,7 @@ def inject(
     problems: DataFrame, n: int = 1, key: str = "id", question: str = "question", seed: int = 42, compat: bool = False
 ) -> DataFrame:
     """Insert the first ``n`` distractors into the question text, one after the other."""
-    n = max(1, min(3, n))
+    _distractor_count(n)
     out = problems.withColumn("injection_positions", insertion_order(F.col(key), n, seed)).withColumn(
         "modified_question", F.col(question)
     )

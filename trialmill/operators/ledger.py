@@ -159,29 +159,32 @@ def rate_totals(rates: DataFrame, durations: DataFrame, quantities: DataFrame) -
     return distance.union(total).union(priced).distinct()
 
 
-def derive_relations(relations: DataFrame, values: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def derive_relations(relations: DataFrame, values: DataFrame) -> DataFrame:
     """Values reachable through multiple/percent relations, to the fixpoint.
 
     Each round joins only the values found in the round before and ends in a written
-    table; rounds grow with the longest chain of relations, not with
-    the rows.  A cycle that keeps producing new values raises after ``max_rounds``.
+    table; rounds grow with the longest chain of relations, not with the rows.  A value that
+    leaves 64 bits stops the job.  A chain without a cycle visits an entity once, so new values
+    after as many rounds as a problem has entities prove a cycle, which stops the job too.
     """
     rel = cut_lineage(
         relations.select("problem_id", "kind", "entity", F.col("other").alias("__from"), "amount").distinct()
     )
     known = cut_lineage(values.select("problem_id", "entity", "val").distinct())
+    entities = rel.select("problem_id", "entity").union(known.select("problem_id", "entity")).distinct()
+    longest = entities.groupBy("problem_id").count().agg(F.max("count")).first()[0] or 0
+    result = F.when(F.col("kind") == "multiple", ar.mul(F.col("val"), F.col("amount"))).when(
+        F.col("kind") == "percent", ar.percent_of(F.col("amount"), F.col("val"))
+    )
+    lost = F.col("kind").isin("multiple", "percent") & F.col("amount").isNotNull() & F.col("val").isNotNull() & result.isNull()
+    where = F.concat_ws(" of problem ", F.col("entity").cast("string"), F.col("problem_id").cast("string"))
+    checked = F.when(lost, F.raise_error(F.concat(F.lit("derived value leaves 64 bits: entity "), where))).otherwise(result)
     fresh = known
     found = [known]
-    for _ in range(max_rounds):
+    for _ in range(longest + 1):
         step = rel.join(
             fresh.select("problem_id", F.col("entity").alias("__from"), "val"), ["problem_id", "__from"]
-        ).select(
-            "problem_id",
-            "entity",
-            F.when(F.col("kind") == "multiple", ar.mul(F.col("val"), F.col("amount")))
-            .when(F.col("kind") == "percent", ar.percent_of(F.col("amount"), F.col("val")))
-            .alias("val"),
-        )
+        ).select("problem_id", "entity", checked.alias("val"))
         step = step.filter(F.col("val").isNotNull()).distinct()
         for earlier in found:
             step = step.join(earlier, ["problem_id", "entity", "val"], "left_anti")
@@ -191,7 +194,7 @@ def derive_relations(relations: DataFrame, values: DataFrame, max_rounds: int =
         found.append(fresh)
         if len(found) > 8:
             found = [cut_lineage(reduce(DataFrame.union, found))]
-    raise RuntimeError("relations keep deriving new values: check them for a cycle")
+    raise RuntimeError("relations keep deriving new values: they form a cycle")
 
 
 def total_quantity(quantities: DataFrame) -> DataFrame:
@@ -475,9 +478,11 @@ def hard_violations(
 
 
 def _sound(folded: DataFrame, violations: DataFrame | None) -> DataFrame:
-    if violations is None:
-        return folded
-    return folded.join(violations.select("problem_id").distinct(), "problem_id", "left_anti")
+    """Chains of problems that have a model: those that broke a hard rule while folding, or are named, have none."""
+    hard = folded.filter(F.exists("broken", lambda r: r["rule"] != "error_div_zero")).select("problem_id")
+    if violations is not None:
+        hard = hard.union(violations.select("problem_id"))
+    return folded.join(hard.distinct(), "problem_id", "left_anti")
 
 
 def timeline(folded: DataFrame, violations: DataFrame | None = None) -> DataFrame:

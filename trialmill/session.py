@@ -22,6 +22,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tri
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="trialmill-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
