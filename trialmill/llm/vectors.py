@@ -105,13 +105,28 @@ def usable(b: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(rows, np.int64), vectors
 
 
-def _prepared(rows: DataFrame) -> DataFrame:
-    """(label, dim, key, id, vec) of the rows that can link; ``vec`` holds doubles."""
+def _kind(rows: DataFrame) -> str:
+    """How vectors travel: single-precision ones as they are, all others as doubles."""
+    return "<f4" if rows.schema["vec"].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def unit_vectors(raws: list[bytes], dim: int, kind: str) -> np.ndarray:
+    """Rows of length one in double precision.
+
+    Scaled first by the largest component, so that lengths neither overflow nor vanish.
+    """
+    x = np.frombuffer(b"".join(raws), kind).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _prepared(rows: DataFrame, kind: str) -> DataFrame:
+    """(label, dim, key, id, vec) of the rows that can link."""
 
     def run(batches):
         for b in batches:
             at, vectors = usable(b.column("vec"))
-            raws = [(v + 0.0).tobytes() for v in vectors]
+            raws = [(v + 0.0).astype(kind).tobytes() for v in vectors]
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
                 [b.column("label").take(take), pa.array([len(v) for v in vectors], pa.int32()), pa.array([xxh3_128_digest(r) for r in raws], pa.binary()), b.column("id").take(take), pa.array(raws, pa.binary())],
@@ -121,7 +136,7 @@ def _prepared(rows: DataFrame) -> DataFrame:
     return rows.where("id IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL").mapInArrow(run, "label string, dim int, key binary, id long, vec binary")
 
 
-def _placed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+def _placed(nodes: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
     """One row per vector and table: (bucket, id, copies, table, bands, code, factor, vec)."""
 
     def run(batches):
@@ -131,11 +146,8 @@ def _placed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
                 turn = turns.setdefault(int(dim), rotation(int(dim)))
-                x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(-1, dim)
-                # Scaled first by the largest component, so that lengths neither overflow nor vanish.
-                x = x / np.abs(x).max(1, keepdims=True)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                code, factor = codes(unit, turn)
+                x = unit_vectors(part.column("vec").to_pylist(), int(dim), kind)
+                code, factor = codes(x, turn)
                 band = bands(code, bits, tables)
                 labels = part.column("label").to_pylist()
                 row = np.repeat(np.arange(len(x)), tables)
@@ -144,11 +156,11 @@ def _placed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                 take = pa.array(row)
                 packed = [band[r].tobytes() for r in range(len(x))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int64()), part.column("id").take(take), part.column("copies").take(take), pa.array(table_), part.column("dim").take(take), pa.array(packed, pa.binary()).take(take), pa.array([c.tobytes() for c in code], pa.binary()).take(take), pa.array(factor, pa.float64()).take(take), pa.array([u.tobytes() for u in unit], pa.binary()).take(take)],
-                    ["bucket", "id", "copies", "tab", "dim", "bands", "code", "factor", "unit"],
+                    [pa.array(bucket, pa.int64()), part.column("id").take(take), part.column("copies").take(take), pa.array(table_), part.column("dim").take(take), pa.array(packed, pa.binary()).take(take), pa.array([c.tobytes() for c in code], pa.binary()).take(take), pa.array(factor, pa.float64()).take(take), part.column("vec").take(take)],
+                    ["bucket", "id", "copies", "tab", "dim", "bands", "code", "factor", "vec"],
                 )
 
-    return nodes.mapInArrow(run, "bucket long, id long, copies long, tab int, dim int, bands binary, code binary, factor double, unit binary")
+    return nodes.mapInArrow(run, "bucket long, id long, copies long, tab int, dim int, bands binary, code binary, factor double, vec binary")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,7 +175,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def compare(t: pa.Table, threshold: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(t: pa.Table, threshold: float, turn: np.ndarray, vec_kind: str = "<f8") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, smallest linked id, links that first meet here) of the linked rows of one pair of blocks."""
     order = np.argsort(np.asarray(t.column("id")), kind="stable")
     t = t.take(pa.array(order))
@@ -172,7 +184,8 @@ def compare(t: pa.Table, threshold: float, turn: np.ndarray) -> tuple[np.ndarray
     table_ = t.column("tab")[0].as_py()
     n = len(ids)
     stack = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(n, -1)
-    unit, band, code = stack("unit", np.float64), stack("bands", np.int32), stack("code", np.uint8)
+    unit = unit_vectors(t.column("vec").to_pylist(), t.column("dim")[0].as_py(), vec_kind)
+    band, code = stack("bands", np.int32), stack("code", np.uint8)
     factor, copies = np.asarray(t.column("factor")), np.asarray(t.column("copies"))
     rows, columns = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
     turned = unit[columns].astype(np.float32) @ turn
@@ -206,21 +219,22 @@ def compare(t: pa.Table, threshold: float, turn: np.ndarray) -> tuple[np.ndarray
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) per row of ``df``."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vec"), F.col(label_column).cast("string").alias("label"))
-    ready = cut(_prepared(rows), "vectors")
+    kind = _kind(rows)
+    ready = cut(_prepared(rows, kind), "vectors")
     nodes = cut(ready.groupBy("label", "dim", "key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "nodes")
     most = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0] or 0
     bits, tables = tables_for(most, threshold)
-    placed = _placed(nodes, bits, tables)
+    placed = _placed(nodes, bits, tables, kind)
     placed = cut(placed, "placed")
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
     dealt = placed.join(sizes.select("bucket", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks")), "bucket")
     dealt = dealt.withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     sides = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "bucket", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "id", "copies", "tab", "dim", "bands", "code", "factor", "unit"
+        "bucket", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "id", "copies", "tab", "dim", "bands", "code", "factor", "vec"
     )
 
     def run(group: pa.Table) -> pa.Table:
-        out = compare(group, threshold, _turn(group.column("dim")[0].as_py()))
+        out = compare(group, threshold, _turn(group.column("dim")[0].as_py()), kind)
         return pa.table(dict(zip(("id", "root", "links"), map(pa.array, out), strict=True)))
 
     found = cut(sides.groupBy("bucket", "_i", "_j").applyInArrow(run, "id long, root long, links long"), "found")
