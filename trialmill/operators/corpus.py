@@ -610,12 +610,12 @@ def build_corpus(
     seed: int = 42,
     names: Sequence[str] = tuple(DEFAULT_NAMES),
 ) -> DataFrame:
-    """Write every variant under ``output`` and return generation counts.
+    """Write every variant and the summary of all under ``output`` and return generation counts.
 
     The distractor variant reads the written base variant and builds it first if needed.
     """
     from ..sources.datasets import read_dataset, write_dataset
-    from .metrics import generation_stats
+    from .metrics import generation_stats, pipeline_summary
 
     todo = list(variants)
     if "noop" in todo and "base" not in todo:
@@ -643,4 +643,6 @@ def build_corpus(
             out = out.unionByName(p)
         return out
 
-    return generation_stats(stack(asked), stack(made))
+    stats = generation_stats(stack(asked), stack(made))
+    pipeline_summary(stats).write.mode("overwrite").json(f"{output}/summary")
+    return stats

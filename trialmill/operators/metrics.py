@@ -512,6 +512,13 @@ def generation_stats(requested: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
+def pipeline_summary(stats: DataFrame) -> DataFrame:
+    """Generation counts per variant with a row of totals."""
+    counts = [f.name for f in stats.schema if f.name != "variant"]
+    summed = stats.rollup("variant").agg(*[F.sum(c).alias(c) for c in counts], *_total_marks("variant"))
+    return summed.select(_or_total("variant", "total"), *counts)
+
+
 def dataset_metadata(records: DataFrame) -> DataFrame:
     """Record, template and validity counts per variant and overall."""
     bad = F.size(record_errors()) > 0

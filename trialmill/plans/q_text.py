@@ -8,7 +8,8 @@ from ..functions import arithmetic as ar
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import checks, metrics
-from ..sources.datasets import load_problems
+from ..session import scratch_path
+from ..sources.datasets import load_problems, read_metadata, write_metadata
 from .fixtures import cte, table, view
 from .registry import add
 
@@ -541,6 +542,42 @@ add(
     count(*) FILTER (errors <> '') AS errors, count(*) FILTER (variant = 'noop') AS noop_records FROM r
     GROUP BY GROUPING SETS ((variant), ())""",
 )
+_META = f"""{P}, r AS (SELECT *, CASE WHEN instance % 2 = 0 THEN 'base' ELSE 'noop' END AS variant, {_ERRS} AS errors FROM problems)
+    SELECT coalesce(variant, 'total') AS variant, count(*) AS generated, count(DISTINCT template_id) AS templates,
+    count(*) FILTER (errors <> '') AS errors, count(*) FILTER (variant = 'noop') AS noop_records"""
+
+
+def _metadata(s, d):
+    path = scratch_path(s, "metadata")
+    write_metadata(_records(s, d), path)
+    back = read_metadata(s, path)
+    return back.select("variant", "generated", "templates", "errors", "noop_records", "canary",
+                       F.array_contains("fields", "question").alias("names_fields"), F.col("generated_at").isNotNull().alias("dated"))
+
+
+add(
+    "a5_metadata_document",
+    _metadata,
+    f"""{_META}, '{tx.CANARY}' AS canary, true AS names_fields, true AS dated FROM r GROUP BY GROUPING SETS ((variant), ())""",
+)
+
+
+def _summary(s, d):
+    records = _records(s, d)
+    asked = records.groupBy("variant", "template_id").agg((F.count(F.lit(1)) + 1).alias("instances"))
+    return metrics.pipeline_summary(metrics.generation_stats(asked, records)).select(
+        "variant", "instances_requested", "instances_generated", "instances_failed")
+
+
+add(
+    "a5_pipeline_summary",
+    _summary,
+    f"""{P}, r AS (SELECT *, CASE WHEN instance % 2 = 0 THEN 'base' ELSE 'noop' END AS variant FROM problems),
+    v AS (SELECT variant, count(*) AS g, count(DISTINCT template_id) AS t FROM r GROUP BY 1)
+    SELECT coalesce(variant, 'total') AS variant, CAST(sum(g + t) AS BIGINT) AS instances_requested,
+    CAST(sum(g) AS BIGINT) AS instances_generated, CAST(sum(t) AS BIGINT) AS instances_failed
+    FROM v GROUP BY GROUPING SETS ((variant), ())""",
+)
 add(
     "a9_load_problems",
     lambda s, d: load_problems(_records(s, d), ["base"], 500),

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators.metrics import oracle_stats
+from ..operators.metrics import dataset_metadata, oracle_stats
 
 DATASET_SCHEMA = (
     "id string, question string, answer string, template_id string, is_noop boolean, instance int, "
     "final_answer string, original_question string, original_answer string, variant string, canary string"
 )
+METADATA_SCHEMA = (
+    "variant string, generated long, templates long, errors long, noop_records long, fields array<string>, canary string, "
+    "generated_at string"
+)
 SPAN_SCHEMA = (
     "id string, name string, run_type string, parent_id string, start_time string, end_time string, error string, "
     "inputs map<string,string>, outputs map<string,string>, metadata map<string,string>"
@@ -30,6 +34,19 @@ def write_dataset(df: DataFrame, path: str, append: bool = False) -> None:
     df.drop("final_number").write.mode("append" if append else "overwrite").json(path)
 
 
+def write_metadata(records: DataFrame, path: str) -> None:
+    """One JSON document per variant and one for the whole: counts, field names, marker and time of writing."""
+    fields = F.array(*[F.lit(c) for c in records.columns])
+    documents = dataset_metadata(records).withColumns(
+        {"fields": fields, "canary": F.lit(tx.CANARY), "generated_at": F.current_timestamp().cast("string")}
+    )
+    documents.write.mode("overwrite").json(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METADATA_SCHEMA).json(path)
+
+
 def load_problems(records: DataFrame, variants: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """(problem_id, question, answer, template_id, variant) rows, the first ``limit`` by id."""
     rows = records if variants is None else records.filter(F.col("variant").isin(list(variants)))
