@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialmill.llm import language, minhash, packing, secrets, suffixes
-from trialmill.llm.common import cut
+from trialmill.llm.common import cut, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without any letter (``und``); a missing language is filled in."""
+    small_batches(spark)
     model = language.fit(docs, F.lit(True))
     found = language.identify(docs, model, keep=COLUMNS)
     kept = found.where(F.col("lang_pred") != language.UNKNOWN) if model.languages else found.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
@@ -39,6 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of one id stay or go together; the same id and text stays once.
     """
+    small_batches(spark)
     found = minhash.near_duplicates(docs, words=5)
     kept = found.where(F.col("kept")).select("doc_id").distinct()
     gone = cut(found.where(~F.col("kept")).select("doc_id").distinct().join(kept, "doc_id", "left_anti"), "gone")
@@ -47,16 +49,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages of 400 bytes or more that occur elsewhere; texts with nothing left go."""
+    small_batches(spark)
     return _measured(suffixes.without_repeats(docs.select(*COLUMNS)).where(F.col("text").rlike(r"\S")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; all documents stay."""
+    small_batches(spark)
     return _measured(secrets.mask_secrets(docs.select(*COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, VOCABULARY)
 
 

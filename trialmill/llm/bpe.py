@@ -28,8 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Words of one generation in a worker's memory of encoded words.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+#: Pairs of tokens that a worker remembers.
+CACHE_PAIRS = 500_000
 
 # The split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -174,6 +178,8 @@ class Codec:
                     pair = last << 20 | token
                     fit = known.get(pair)
                     if fit is None:
+                        if len(known) >= CACHE_PAIRS:
+                            known.clear()
                         fit = known[pair] = last == self._NONE or self.fits(last, token)
                     if fit:
                         break
@@ -274,7 +280,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in slices(batches, 1):
             ids = [c.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
@@ -302,7 +308,7 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in slices(batches, 1):
             n, first, second = [], [], []
             for text in b.column(1).to_pylist():
                 ids = c.encode(text)

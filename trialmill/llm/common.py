@@ -14,7 +14,19 @@ from trialmill.session import shared_dir
 BATCH_BYTES = 2_000_000
 
 
+#: Rows of one Arrow batch: rows hold whole texts, and a batch stands in memory on both sides of the pipe.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``ARROW_ROWS``; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,3 +73,10 @@ def text_batches(column, limit: int = BATCH_BYTES):
         held += size
     if start < n:
         yield start, n
+
+
+def slices(batches, column: int, limit: int = BATCH_BYTES):
+    """The same rows in record batches of about ``limit`` bytes of text: what a task holds at a time."""
+    for b in batches:
+        for lo, hi in text_batches(b.column(column), limit):
+            yield b.slice(lo, hi - lo)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import cut
+from .common import cut, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -225,7 +225,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches):
         c = codec(path)
         end = int(end_id).to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [[] for _ in names]
             keep = []
             for i, text in enumerate(b.column(1).to_pylist()):

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 KINDS = ("assign", "access", "hex", "lexed")
 LEAST_SCORE = 1.0
 MASK = "[secret]"
@@ -170,7 +172,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """Per whole text: span counts, the digest of the base spans and all spans.  No shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             counts = {k: [] for k in KINDS}
             digest, every = [], []
             for text in b.column(1).to_pylist():
@@ -195,7 +197,7 @@ def mask_secrets(docs: DataFrame, text_column: str = "text") -> DataFrame:
     at = names.index(text_column)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, at):
             columns = b.columns
             columns[at] = pa.array([masked(t) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)

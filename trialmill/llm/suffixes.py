@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, mix64, text_batches
+from .common import cut, mix64, slices, text_batches
 
 LENGTH = 400
 GROUP_ROWS = 20_000
@@ -434,7 +434,7 @@ def _finish(docs: DataFrame, length: int, id_column: str, text_column: str, keep
     types = [docs.schema[c].dataType.simpleString() for c in outside]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, len(names)):
             n = [[], [], [], [], []]
             left = []
             for text, found, all_ in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist(), b.column("_whole").to_pylist(), strict=True):

@@ -33,6 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 TRAIN_ROWS = 12_000
 TRAIN_CHARS = 200_000
 WINDOW = 40
@@ -210,7 +212,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
     def run(batches):
         scorer = Scorer(model) if model.weights else None
-        for b in batches:
+        for b in slices(batches, 1):
             out = [scorer.score(t) if scorer else model.base for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["id", "score"])
 
