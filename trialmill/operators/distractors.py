@@ -6,7 +6,7 @@ Own wording: any table of (topic, template, rule) rows can replace it.
 # topic -> (number rule, sentence)
 SENTENCES: dict[str, list[tuple[str, str]]] = {
     "agriculture": [
-        ("smaller", "About {N} of the {object} had a dull skin."),
+        ("smaller", "Two crows pecked at {N} of the {object} at dawn."),
         ("smaller", "Some {N} of the {object} came from the far field."),
         ("smaller", "A neighbour admired {N} of the {object}."),
         ("any", "The barn behind the orchard is {N} years old."),
@@ -42,7 +42,7 @@ SENTENCES: dict[str, list[tuple[str, str]]] = {
         ("any", "The attic stairs count {N} steps."),
     ],
     "travel": [
-        ("any", "The road passes {N} yellow signs."),
+        ("any", "A goat watched {N} trucks climb the pass."),
         ("any", "The radio plays song number {N}."),
         ("any", "A bridge on the way is {N} years old."),
         ("any", "The seat covers came in {N} colours."),
@@ -55,7 +55,7 @@ SENTENCES: dict[str, list[tuple[str, str]]] = {
     ],
     "time": [
         ("time", "The tower bell was cast at {N} o'clock."),
-        ("any", "The wall calendar shows {N} photographs."),
+        ("any", "The hourglass in the hall holds {N} spoons of sand."),
         ("any", "A diary on the desk has {N} blank pages."),
         ("any", "The alarm knows {N} melodies."),
         ("any", "Somebody across the street owns {N} watches."),
