@@ -90,6 +90,7 @@ CREDENTIAL_PATTERNS = [
 ]
 REDACTED = "[REDACTED]"
 
+# Words by which solver messages are told apart, and fence tags.
 SYNTAX_HINTS = ["syntax error", "unexpected", "parsing failed", "parse error"]
 GROUNDING_HINTS = ["unsafe", "global variable", "grounding stopped"]
 

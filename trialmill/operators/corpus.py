@@ -81,6 +81,7 @@ def read_templates(spark: SparkSession, path: str, variant: str) -> tuple[DataFr
 
 def parse_templates(raw: DataFrame, variant: str) -> DataFrame:
     """Split annotated questions into text, variables, conditions and formula."""
+    # The section marks and assignments of the template file format.
     annotated = F.col("question_annotated")
     pieces = F.split(annotated, "\n\n#init:", 2)
     block = F.coalesce(F.get(pieces, 1), F.lit(""))
