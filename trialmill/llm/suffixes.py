@@ -35,7 +35,8 @@ from xxhash import xxh3_64_intdigest
 from .common import cut, mix64, slices, text_batches
 
 LENGTH = 400
-GROUP_ROWS = 20_000
+#: Places of one anchor that a task collects: with their contexts about 100 MB at most.
+GROUP_ROWS = 100_000
 #: Bytes hashed at a time; longer texts are cut into overlapping slices.
 SLICE = 400_000
 
