@@ -228,8 +228,8 @@ def company(docs: DataFrame, shared, text_column: str) -> np.ndarray:
 
     cells = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros((TOP + TAILS) * (ANCHORS + 1), np.int64)
-    found = cells.toPandas()  # at most (TOP + TAILS) * (ANCHORS + 1) rows
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    found = cells.toArrow()  # at most (TOP + TAILS) * (ANCHORS + 1) rows of two numbers
+    out[np.asarray(found.column("cell"))] = np.asarray(found.column("n"))
     return out.reshape(-1, ANCHORS + 1)
 
 
