@@ -92,6 +92,18 @@ def test_packing_rows(make_docs):
     assert sorted(r["offset"] for r in repeated) == [0, 2, 4]
 
 
+def test_packing_of_many_empty_texts(make_docs):
+    random.seed(3)
+    texts = [(i, " ".join(random.choices(["the", "of", "zebra", "stone"], k=random.randrange(1, 1500)))) for i in range(20)]
+    texts += [(100 + i, (None, "")[i % 2]) for i in range(5_000)]
+    rows = packing.pack_documents(make_docs(texts), PATH).collect()
+    assert len(rows) == len(texts)
+    assert check_packing(rows, texts) == packing.lower_bound(Counter(r["length"] for r in rows), 2048)
+    # A dive itself takes bins of 2,048 pieces.
+    dive = packing.complete_bins({1: 5_000, 700: 9, 1_500: 4}, 2048)
+    assert sum(t * sum(b) for t, b in dive) == 5_000 + 9 * 700 + 4 * 1_500
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60))
 def test_plan_holds_every_piece(sizes):

@@ -54,45 +54,64 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], waste: int, li
     used: dict[int, int] = {}
     stack: list[int] = []
 
-    def visit(start: int, left: int) -> bool:
-        nonlocal best, looked
+    # Explicit frames [next size, room left, whether a piece fitted]: a bin may take as many pieces as it has tokens.
+    frames: list[list] = []
+    start, left = 0, room
+    while True:
+        # A new node: a leaf ends in ``stop``, any other node gets a frame.
         looked += 1
+        stop = False
         if left < smallest or start == len(sizes):
             if left <= best:
                 # Dominated if the last (shortest) piece can grow into the unused room.
-                if left and stack and any(counts[s] > used.get(s, 0) for s in range(stack[-1] + 1, stack[-1] + left + 1) if s in counts):
-                    return False
-                best = min(best, left)
-                found.append((left, tuple(stack)))
-            return left <= enough or looked > limit
-        # Binary search for the first size that fits.
-        lo, hi = start, len(sizes)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if sizes[mid] > left:
-                lo = mid + 1
+                if not (left and stack and any(counts[s] > used.get(s, 0) for s in range(stack[-1] + 1, stack[-1] + left + 1) if s in counts)):
+                    best = min(best, left)
+                    found.append((left, tuple(stack)))
+                    stop = left <= enough or looked > limit
             else:
-                hi = mid
-        fitted = False
-        for k in range(lo, len(sizes)):
-            s = sizes[k]
-            if counts[s] <= used.get(s, 0):
-                continue
-            fitted = True
-            used[s] = used.get(s, 0) + 1
-            stack.append(s)
-            stop = visit(k, left - s)
-            stack.pop()
-            used[s] -= 1
-            if stop or looked > limit:
-                return True
-        if not fitted and left <= best:
-            best = min(best, left)
-            found.append((left, tuple(stack)))
-            return left <= enough
-        return False
-
-    visit(0, room)
+                stop = left <= enough or looked > limit
+            leaf = True
+        else:
+            # Binary search for the first size that fits.
+            lo, hi = start, len(sizes)
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if sizes[mid] > left:
+                    lo = mid + 1
+                else:
+                    hi = mid
+            frames.append([lo, left, False])
+            leaf = False
+        # Go on to the next child, back to parents whose sizes are used up.
+        while frames:
+            frame = frames[-1]
+            if leaf:
+                s = stack.pop()
+                used[s] -= 1
+                if stop or looked > limit:
+                    frames.clear()
+                    break
+            k = frame[0]
+            while k < len(sizes) and counts[sizes[k]] <= used.get(sizes[k], 0):
+                k += 1
+            if k < len(sizes):
+                s = sizes[k]
+                frame[0], frame[2] = k + 1, True
+                used[s] = used.get(s, 0) + 1
+                stack.append(s)
+                start, left = k, frame[1] - s
+                break
+            frames.pop()
+            leaf, stop = True, False
+            if not frame[2] and frame[1] <= best:
+                best = frame[1]
+                found.append((frame[1], tuple(stack)))
+                stop = frame[1] <= enough
+            if not frames:
+                break
+        if not frames:
+            break
+
     found.sort(key=lambda f: (f[0], tuple(-s for s in f[1])))
     return [f for _, f in found]
 
@@ -202,7 +221,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, searched: int = SE
     incumbent = best_fit(histogram, capacity)
     used = sum(t for t, _ in incumbent)
     bound = lower_bound(histogram, capacity)
-    first = complete_bins(histogram, capacity)
+    first = complete_bins(histogram, capacity) if used > bound else None
     if first is not None and (n := sum(t for t, _ in first)) < used:
         incumbent, used = first, n
     runs = max(1, len(first or incumbent))
