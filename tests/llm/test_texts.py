@@ -197,6 +197,17 @@ def test_lexed_spans():
     assert found == {"hQ9x7Lm2Pz4v", "Zk83nd72Hs0aQ", "9fK2mQ7xLp3w"}
 
 
+def test_lexed_spans_of_any_size():
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choices("abcdefghABCDEFGH0123456789", k=n))
+    key, parts, long_name = make(1_600), [make(16) for _ in range(300)], "x" * 300 + "_password"
+    chain = "v = ''\n" + "".join(f'v = v + "{p}"\n' for p in parts) + "db_password = v\n"
+    text = f"<privateKey>{key}</privateKey>\n{chain}{long_name} = 'hQ9x7Lm2Pz4v'\n"
+    assert {text[s:e] for _, s, e in secrets.lexed_spans(text)} == {key, *parts, "hQ9x7Lm2Pz4v"}
+    # Long runs of name characters, and values that grow by themselves, take linear time.
+    assert secrets.lexed_spans("a." * 300_000 + "\n" + "v = v + v\n" * 20_000) == []
+
+
 def test_secret_rows(make_docs):
     texts = [None, "", "token: abcdefghijkl é AKIA" + "Z" * 16 + " 0123456789abcdef", "é" * 50_000 + " secret=abcdefghijklmnop"]
     rows = {r["doc_id"]: r for r in secrets.scan(make_docs(enumerate(texts))).collect()}

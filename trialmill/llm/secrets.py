@@ -46,10 +46,12 @@ SENSITIVE = {
 #: Literals that stand in for a value.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|none|null|true|false|todo|changeme|your[-_ ].*|example.*|<.*>|\$\{.*\}|\{\{.*\}\})$")
 
-_PAIR = re.compile(
-    r"""(?x)
-    (?: (?<![\w.-]) --? )?                                   # command-line option
-    (?<![\w$])(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]{0,127})(?P=q)
+# A run of name characters is read once, from its first valid start (``_AFTER``: in the run where a match ended),
+# so names of any length take linear time.  A quoted name starts at its quote; dashes of options belong to the run.
+_ASSIGNED = r"""(?x)
+    (?: (?<![\w$])(?P<q>["'])(?P<quoted>[A-Za-z_][\w.-]*+)(?P=q)
+      | %s(?:[.-]|(?:(?<=[\w$])|(?![A-Za-z_]))\w)*+(?P<plain>[A-Za-z_][\w.-]*+)
+    )
     [\x20\t]* (?: := | => | (?<![=!<>])=(?!=) | : ) [\x20\t]*
     (?P<value>
         (?: "(?:[^"\\\n]|\\.)*" | '(?:[^'\\\n]|\\.)*' | [A-Za-z_][\w.]*(?=[\x20\t]*\+) )
@@ -57,8 +59,8 @@ _PAIR = re.compile(
       | [^\s"'<>;,(){}\[\]]+
     )
     """
-)
-_TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{0,127})>(?P<value>[^<>\n]{4,512})</(?P=name)>")
+_PAIR, _AFTER = re.compile(_ASSIGNED % r"(?<![\w.-])"), re.compile(_ASSIGNED % "")
+_TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*+)>(?P<value>[^<>\n]{4,}+)</(?P=name)>")
 _OPERAND = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][\w.]*)""")
 _NAME = re.compile(r"[A-Za-z_][\w.]*\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -93,11 +95,22 @@ def literal_weight(literal: str) -> float:
     return min(1.0, entropy / 4.0) * (0.4 if classes == 1 else 0.8 if classes == 2 else 1.0)
 
 
+def _assignments(text: str):
+    at = 0
+    while m := (at and _AFTER.match(text, at)) or _PAIR.search(text, at):
+        yield m
+        at = m.end()
+
+
 def pairs(text: str):
-    """(name, operands) of each assignment; an operand is (start, end) of a literal or a name."""
+    """(name, operands, bare) of each assignment; an operand is (start, end) of a literal or a name.
+
+    A bare word is the name of an earlier value if there is one, and else a literal.
+    """
     if "=" not in text and ":" not in text and "</" not in text:
         return
-    for m in _PAIR.finditer(text):
+    for m in _assignments(text):
+        name = m["quoted"] or m["plain"]
         value, at = m["value"], m.start("value")
         if value[0] in "\"'" or "+" in value:
             operands = []
@@ -107,35 +120,44 @@ def pairs(text: str):
                 else:
                     g = 1 if o[1] is not None else 2
                     operands.append((at + o.start(g), at + o.end(g)))
-            yield m["name"], operands
+            yield name, operands, False
         elif _NAME.match(value) and not any(c.isdigit() for c in value):
-            yield m["name"], [value, (at, at + len(value))]
+            yield name, [value, (at, at + len(value))], True
         else:
-            yield m["name"], [(at, at + len(value))]
+            yield name, [(at, at + len(value))], False
     for m in _TAG.finditer(text):
-        yield m["name"], [(m.start("value"), m.end("value"))]
+        yield m["name"], [(m.start("value"), m.end("value"))], False
 
 
 def lexed_spans(text: str, least: float = LEAST_SCORE) -> list[tuple[str, int, int]]:
     """Literals whose sensitive targets and own shape together reach ``least``.
 
-    A later assignment to a name replaces what the name held, as a program would.
+    A later assignment to a name replaces what the name held, as a program would.  Values
+    link to the earlier values that they are made of, and weights go down these links once,
+    so time and memory are linear in the operands.
     """
-    held: dict[str, list[tuple[int, int]]] = {}
-    reach: dict[tuple[int, int], float] = {}
-    for name, operands in pairs(text):
-        spans: list[tuple[int, int]] = []
+    held: dict[str, int] = {}  # name -> its value
+    weights: list[float] = []
+    made_of: list[list] = []  # per value: literals as (start, end), earlier values by number
+    for name, operands, bare in pairs(text):
+        parts = []
         for o in operands:
             if isinstance(o, tuple):
-                spans.append(o)
+                parts.append(o)
             elif o in held:
-                spans = [s for s in spans] + held[o]
-                if len(operands) == 2 and operands[0] == o and isinstance(operands[1], tuple):
-                    break  # a bare word that names an earlier value
-        weight = name_weight(name)
-        for s in spans:
-            reach[s] = max(reach.get(s, 0.0), weight)
-        held[name] = spans[:64]
+                parts.append(held[o])
+                if bare:
+                    break
+        held[name] = len(weights)
+        weights.append(name_weight(name))
+        made_of.append(parts)
+    reach: dict[tuple[int, int], float] = {}
+    for k in range(len(weights) - 1, -1, -1):
+        for part in made_of[k]:
+            if isinstance(part, tuple):
+                reach[part] = max(reach.get(part, 0.0), weights[k])
+            else:
+                weights[part] = max(weights[part], weights[k])
     found = []
     for (start, end), weight in reach.items():
         if weight and weight + literal_weight(text[start:end]) >= least + 0.3 and literal_weight(text[start:end]) > 0.3:
