@@ -274,3 +274,17 @@ def test_toxicity_held_out(tables, make_docs):
     empty = toxicity.fit([])
     assert toxicity.score(make_docs([(0, "a")]), empty).collect()[0]["score"] == 0.0
     assert toxicity.score(make_docs([]), model).count() == 0
+
+
+def test_toxicity_without_typical_stretches():
+    """Two toxic texts are too few for a typical stretch; the texts are told apart all the same."""
+    rng = random.Random(6)
+    make = lambda words: " ".join(rng.choices(words, k=60))
+    plain, rude = [[a + b + c for a in first for b in ("ander", "ilom", "ustra") for c in ("ten", "vok")] for first in (("b", "g", "m"), ("kr", "z", "x"))]
+    rows = [(make(plain), 0) for _ in range(90)]
+    for i in (3, 6, 5, 8):  # two for the dictionaries, two for the curve
+        rows[i] = (make(rude), 1)
+    model = toxicity.fit(rows)
+    assert not toxicity.typical_stretches([toxicity.clean(rows[i][0]) for i in (3, 6)], [toxicity.clean(t) for t, y in rows if not y])
+    scorer = toxicity.Scorer(model)
+    assert min(scorer.score(make(rude)) for _ in range(20)) > max(scorer.score(make(plain)) for _ in range(20))
