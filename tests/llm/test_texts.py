@@ -250,6 +250,17 @@ def test_language_held_out(tables, make_docs):
     assert language.identify(make_docs([]), model).count() == 0
 
 
+def test_language_set_holds_more_than_four():
+    rng = random.Random(8)
+    words = {f"l{i}": ["".join(rng.choices(letters, k=6)) for _ in range(60)] for i, letters in enumerate(("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"))}
+    half = [np.bincount(language._grams(language._words([" ".join(w)])[0])[1].ravel(), minlength=2 << language.BITS).reshape(2, -1) + 0.5 for w in words.values()]
+    model = language.Model(list(words), np.stack([np.log(h / h.sum(1, keepdims=True)).ravel() for h in half], 1).astype(np.float32))
+    mixed = [w for of in words.values() for w in of]
+    (found, share, every), (one, _, alone) = language.mixtures([" ".join(mixed), " ".join(words["l2"])], model)
+    assert set(every) == set(words) and found in words and share < 0.5
+    assert (one, alone) == ("l2", ["l2"])
+
+
 def test_mixture_shares_add_up():
     rng = np.random.default_rng(1)
     like = np.exp(-rng.random((30, 3))).astype(np.float32)

@@ -33,8 +33,6 @@ TRAIN_CHARS = 100_000
 BITS = 16
 ROUNDS = 6
 UNKNOWN = "und"
-#: Languages that one document's set may hold.
-MOST = 4
 
 _LETTER = regex.compile(r"\p{L}")
 # Bytes that are no letters part words.
@@ -158,13 +156,12 @@ def mixtures(texts: list[str | None], model: Model) -> list[tuple[str, float, li
     docs_of = np.repeat(np.arange(len(starts)), n_words)
     full, _ = _mixture(like, starts, docs_of, n_words)
     order = np.argsort(-full, axis=1, kind="stable")
-    most = min(MOST, len(model.languages))
     best_value = np.full(len(starts), -np.inf)
     chosen = np.ones(len(starts), np.int64)
     top_share = np.zeros(len(starts))
     top_lang = order[:, 0].copy()
     open_ = np.arange(len(starts))
-    for k in range(1, most + 1):
+    for k in range(1, len(model.languages) + 1):
         # Only documents whose set may still grow are fitted again.
         rows = np.concatenate([np.arange(starts[i], starts[i] + n_words[i]) for i in open_]) if len(open_) < len(starts) else np.arange(len(docs_of))
         sub_n = n_words[open_]
