@@ -1,13 +1,17 @@
 """Files, quarantine, corpus jobs, restarts and plan shapes."""
 
 import json
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trialmill.functions import lexicon as lx
 from trialmill.functions import text as tx
-from trialmill.operators import checks, corpus, pairs
+from trialmill.operators import checks, corpus, pairs, templates
+from trialmill.operators.templates import Template, Variable
 from trialmill.plans.fixtures import table, view
 from trialmill.plans.q_corpus import TEMPLATES
 from trialmill.sources import datasets
@@ -48,40 +52,142 @@ def test_templates_from_files(spark, tmp_path):
         "It is {n + m}.",
     )
     (tmp_path / "0002.json").write_text("{not json")
-    parsed, bad = corpus.read_templates(spark, str(tmp_path), "p1")
+    parsed, bad = templates.read_templates(spark, str(tmp_path), "p1")
     assert bad.count() == 1
-    (t,) = corpus.load_templates(parsed)
-    assert t.template_id == "p1_0001" and t.conditions == ["n > 4"] and t.formula == "n + m"
-    kinds = {v.name: (v.kind, v.lo, v.hi, v.step, v.items, v.default) for v in t.variables}
-    assert kinds["n"] == ("range", 2, 10, 2, [], "3") and kinds["m"][4] == [8, 16] and kinds["place"][5] == "home"
-    records, failed = corpus.build_variant(corpus.instance_table(spark, [t], 40), [t], "p1")
+    t = parsed.first()
+    assert t["template_id"] == "p1_0001" and t["conditions"] == ["n > 4"] and t["formula"] == "n + m"
+    kinds = {v["name"]: (v["kind"], v["lo"], v["hi"], v["step"], v["collection"], v["default"]) for v in t["variables"]}
+    assert kinds["n"] == ("range", 2, 10, 2, None, "3") and kinds["m"][4] == "[8, 16]" and kinds["place"][5] == "home"
+    instances = templates.instance_table(parsed, 40)
+    records = templates.build_variant(instances, templates.compile_templates(parsed), "p1")
     rows = records.collect()
-    assert len(rows) == 40 and failed.count() == 0
+    assert len(rows) == 40 and templates.unmet(instances, records).count() == 0
     for r in rows:
         assert " birds" in r["question"] and r["answer"].endswith(f"#### {r['final_answer']}")
         assert "{" not in r["question"] and "fish at home." in r["question"]
+        assert any(w in r["question"] for w in lx.SAMPLE_COLLECTIONS["fractions"])
     assert records.select("question").distinct().count() > 10
 
 
-def test_unsatisfiable_template_fails_every_instance(spark):
-    t = corpus.Template("bad", "{x}", [corpus.Variable("x", "range", 1, 5)], "x", ["x > 9"])
-    records, failed = corpus.build_variant(corpus.instance_table(spark, [t], 5), [t], "base")
-    assert records.count() == 0 and failed.count() == 5
+def compiled(spark, *rows):
+    return templates.compile_templates(templates.template_rows(spark, rows))
+
+
+def test_instances_without_a_fit(spark):
+    x = Variable("x", "range", 1, 5)
+    odd = [
+        Template("never", "{x}", [x], "x", ["x > 9"]),
+        Template("no_formula", "{x}", [x], ""),
+        Template("not_allowed", "{x}", [x], "__import__('os')"),
+        Template("unknown", "{x}", [x], "x + z"),
+        Template("zero", "{x}", [x], "x / (x - x)"),
+        Template("text", "{w}", [Variable("w", "sample", items=["a", "b"])], "w + 1"),
+        Template("negative", "{x}", [x], "-x"),
+    ]
+    fine = Template("fine", "{x} {w, none} {x +} {y,7} {x * 2}", [x], "x", ["not x == 3 or x > 4"])
+    parsed = templates.template_rows(spark, [*odd, fine])
+    ready = templates.compile_templates(parsed)
+    instances = templates.instance_table(parsed, 1_005)
+    records = templates.build_variant(instances, ready, "base").collect()
+    assert {r["template_id"] for r in records} == {"fine"} and len(records) == 1_005
+    assert all(r["question"] == f"{r['final_answer']} none x + 7 {2 * int(r['final_answer'])}" and r["final_answer"] != "3" for r in records)
+    failed = templates.unmet(instances, templates.build_variant(instances, ready, "base"))
+    assert failed.groupBy("template_id").count().count() == 7
+    errors = {r["template_id"] for r in ready.filter("error is not null").collect()}
+    assert errors == {"not_allowed", "unknown"}
+
+
+def test_compiled_steps_agree_with_python(spark):
+    rng = np.random.default_rng(2)
+    names = ["a", "b", "c"]
+    formulas = [
+        "a + b * c", "(a - b) ** 2", "a // b + a % b", "abs(a - b) / c", "min(a, b, c) + max(a, b)", "round(a / c, 1)", "int(a / c)",
+        "float(a) - 2.5", "a - -b", "round(a / b)",
+    ]
+    conditions = ["a < b <= c", "not a == b and c != 1", "a > 5 or b > 5", "divides(a, b)", "is_int(a / b)", "a >= b or a / (a - b) < 0", "True"]
+    rows, want = [], {}
+    for i in range(60):
+        f, c = formulas[i % len(formulas)], conditions[i % len(conditions)]
+        values = {n: int(v) for n, v in zip(names, rng.integers(1, 12, 3))}
+        rows.append(Template(f"t{i}", "{a}", [Variable(n, "range", v, v) for n, v in values.items()], f, [c]))
+        scope = values | {"is_int": lambda x: x == int(x), "divides": lambda x, y: y % x == 0}
+        try:
+            answer = eval(f, {"__builtins__": {}}, scope | {"abs": abs, "min": min, "max": max, "round": round, "int": int, "float": float})
+            holds = eval(c, {"__builtins__": {}}, scope)
+        except ZeroDivisionError:
+            holds = False
+        if holds and 0 <= answer <= checks.MAX_ANSWER:
+            want[f"t{i}"] = float(answer)
+    parsed = templates.template_rows(spark, rows)
+    made = templates.generate_instances(templates.instance_table(parsed, 1), templates.compile_templates(parsed), attempts=1)
+    got = {r["template_id"]: r["final_answer"] for r in made.collect() if r["attempt"] is not None}
+    assert got == pytest.approx(want) and len(want) > 20
+
+
+def test_plan_does_not_grow_with_the_templates(spark):
+    def plan(n):
+        rows = [Template(f"t{i}", f"{{x}} things {i}", [Variable("x", "range", 1, 9)], f"x + {i}", [f"x > {i % 5}"]) for i in range(n)]
+        parsed = templates.template_rows(spark, rows)
+        made = templates.build_variant(templates.instance_table(parsed, 3), templates.compile_templates(parsed), "base")
+        text = made._jdf.queryExecution().analyzed().toString()
+        return len(re.sub(r"#\d+L?", "", text)), made
+
+    few, many = plan(4), plan(400)
+    assert many[0] <= few[0] * 1.02
+    assert many[1].count() == 1_200
 
 
 def test_corpus_job(spark, tmp_path):
-    stats = corpus.build_corpus(spark, {"base": TEMPLATES, "p1": TEMPLATES[:2]}, str(tmp_path), ["p1", "noop"], instances=6)
+    parsed = {v: templates.template_rows(spark, rows) for v, rows in (("base", TEMPLATES), ("p1", TEMPLATES[:2]))}
+    out = str(tmp_path)
+    parts = corpus.build_corpus(spark, parsed, out, ["p1", "noop"], instances=6)
+    assert list(parts) == ["base", "p1", "noop"]
+    stats = corpus.corpus_stats(spark, parts, out)
     got = {r["variant"]: r.asDict() for r in stats.collect()}
     assert got["base"]["instances_generated"] == got["noop"]["instances_generated"] == 24
-    assert got["p1"]["templates_loaded"] == 2 and all(r["validation_errors"] == 0 for r in got.values())
-    base, noop = (datasets.read_dataset(spark, f"{tmp_path}/{v}") for v in ("base", "noop"))
+    assert got["p1"]["templates_loaded"] == 2 and all(r["validation_errors"] == r["instances_failed"] == 0 for r in got.values())
+    assert spark.read.json(f"{out}/summary").filter("variant = 'total'").first()["instances_generated"] == 60
+    base, noop = (datasets.read_dataset(spark, parts[v].path) for v in ("base", "noop"))
     assert checks.noop_invariant(base, noop).filter("not holds").count() == 0
     assert noop.filter("question = original_question").count() == 0
     assert base.first()["canary"] == tx.CANARY
-    again = corpus.build_variant(corpus.instance_table(spark, TEMPLATES, 6).repartition(5), TEMPLATES, "base")[0]
+    ready = templates.compile_templates(parsed["base"])
+    again = templates.build_variant(templates.instance_table(parsed["base"], 6).repartition(5), ready, "base")
     assert {r["question"] for r in again.collect()} == {r["question"] for r in base.collect()}
 
 
+def written(folder):
+    return {str(f): f.stat().st_mtime_ns for f in folder.rglob("*") if f.is_file()}
+
+
+def test_corpus_job_goes_on_where_it_stopped(spark, tmp_path):
+    parsed = {v: templates.template_rows(spark, TEMPLATES[:2]) for v in ("base", "p1", "p2")}
+    out = str(tmp_path)
+    first = corpus.build_corpus(spark, parsed, out, ["base", "p2"], instances=4)
+    before = written(tmp_path)
+    every = corpus.build_corpus(spark, parsed, out, instances=4)
+    after = written(tmp_path)
+    assert before.items() <= after.items() and first.items() <= every.items()
+    # the same rows in another order are the same input; nothing is written
+    shuffled = {v: t.orderBy(F.desc("template_id")) for v, t in parsed.items()}
+    assert corpus.build_corpus(spark, shuffled, out, instances=4) == every
+    assert written(tmp_path) == after
+    # other inputs go beside the first ones, and only what depends on them is built
+    changed = parsed | {"base": templates.template_rows(spark, TEMPLATES[1:3])}
+    other = corpus.build_corpus(spark, changed, out, instances=4)
+    assert other["p1"] == every["p1"] and other["base"].path != every["base"].path and other["noop"].path != every["noop"].path
+    assert after.items() <= written(tmp_path).items()
+    # a part that lost records is built again, and so is one whose entry was not committed
+    for f in Path(every["p1"].path).glob("part-*"):
+        f.write_text("")
+    for f in Path(corpus._manifest_path(out, "p2", every["p2"].fingerprint)).glob("*"):
+        f.write_text("")
+    assert corpus.build_corpus(spark, parsed, out, instances=4) == every
+    assert corpus.read_corpus(spark, every).groupBy("variant").count().count() == 4
+    with pytest.raises(ValueError, match="unknown variants"):
+        corpus.build_corpus(spark, parsed, out, ["p3"])
+
+
 def test_names_run_out_quietly(spark):
     names = spark.createDataFrame([("A", 0), ("B", 0), ("C", 1), ("A", 1)], "name string, block int")
     slots = spark.createDataFrame([(p, i) for p in (1, 2) for i in range(5)], "problem_id int, slot int")

@@ -1,4 +1,4 @@
-"""Seeded corpus generation: templates, sampling, rendering, names and distractors.
+"""Corpus jobs: names, distractors and the restartable build of all variants.
 
 The parallel axis is a DataFrame of (template_id, instance) rows.  Every draw is a
 function of that key, so a row is produced by its own task alone, without a shuffle.
@@ -6,353 +6,24 @@ function of that key, so a row is produced by its own task alone, without a shuf
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+import hashlib
+from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.draws import choose, pick, uniform
-from . import checks
+from ..sources.datasets import read_dataset, write_dataset
 from .distractors import SENTENCES
+from .metrics import generation_stats, pipeline_summary
 from .prefix import running
+from .templates import ATTEMPTS, DEFAULT_NAMES, build_variant, compile_templates, instance_table
 
-# default number of draws an instance is given
-ATTEMPTS = 500
 DISTRACTORS = (1, 2, 3)
-# compiled templates live in the query plan
-MAX_TEMPLATES = 5_000
-DEFAULT_NAMES = ["Ada", "Bela", "Chidi", "Dara", "Emre", "Farah", "Goran", "Hana", "Imani", "Jun"]
-
-
-@dataclass
-class Variable:
-    """range: (lo, hi, step), hi included; sample: items; literal: default."""
-
-    name: str
-    kind: str
-    lo: int = 0
-    hi: int = 0
-    step: int = 1
-    items: list = field(default_factory=list)
-    default: str | None = None
-    numeric: bool = False
-
-
-@dataclass
-class Template:
-    template_id: str
-    question: str
-    variables: list[Variable]
-    formula: str
-    conditions: list[str] = field(default_factory=list)
-    answer: str = ""
-    original_question: str = ""
-    original_answer: str = ""
-
-
-# --- reading ---------------------------------------------------------------------------
-
-_TEMPLATE_SCHEMA = (
-    "question string, answer string, id_orig bigint, question_annotated string, answer_annotated string, "
-    "_corrupt_record string"
-)
-_VARIABLE_TYPE = (
-    "array<struct<name:string,kind:string,lo:bigint,hi:bigint,step:bigint,collection:string,default:string,"
-    "numeric:boolean>>"
-)
-
-
-def read_templates(spark: SparkSession, path: str, variant: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed templates of a folder with one JSON file each, and the files that are no valid template."""
-    raw = (
-        spark.read.schema(_TEMPLATE_SCHEMA)
-        .option("multiLine", True)
-        .json(path)
-        .withColumn("file", F.col("_metadata.file_path"))
-    )
-    bad = F.col("_corrupt_record").isNotNull() | F.col("question_annotated").isNull()
-    parsed = parse_templates(raw.filter(~bad).drop("_corrupt_record"), variant)
-    return parsed, raw.filter(bad).select("file", F.col("_corrupt_record").alias("content"))
-
-
-def parse_templates(raw: DataFrame, variant: str) -> DataFrame:
-    """Split annotated questions into text, variables, conditions and formula."""
-    # The section marks and assignments of the template file format.
-    annotated = F.col("question_annotated")
-    pieces = F.split(annotated, "\n\n#init:", 2)
-    block = F.coalesce(F.get(pieces, 1), F.lit(""))
-    init = F.regexp_extract(block, r"(?s)^\s*(.*?)(?=#conditions:|#answer:|$)", 1)
-    cond = F.regexp_extract(block, r"(?s)#conditions:\s*(.*?)(?=#answer:|$)", 1)
-    formula = tx.strip(F.regexp_extract(block, r"(?s)#answer:\s*(.+?)$", 1))
-
-    def dashed(text: Column) -> Column:
-        lines = F.filter(F.transform(F.split(text, "\n"), tx.strip), lambda x: x.startswith("-"))
-        return F.transform(lines, lambda x: tx.strip(F.substring(x, F.lit(2), F.char_length(x))))
-
-    placeholders = F.transform(
-        F.regexp_extract_all(F.get(pieces, 0), F.lit(r"\{([^}]+)\}"), F.lit(1)), lambda x: F.split(x, ",", 3)
-    )
-    named = F.array_distinct(
-        F.transform(
-            placeholders, lambda p: F.struct(tx.strip(F.get(p, 0)).alias("name"), tx.strip(F.get(p, 1)).alias("default"))
-        )
-    )
-    assigned = F.transform(
-        F.filter(dashed(init), lambda x: F.contains(x, F.lit("="))),
-        lambda x: F.struct(
-            F.regexp_extract(x, r"^\s*\$?(\w+)\s*=", 1).alias("name"),
-            x.startswith("$").alias("dollar"),
-            tx.strip(F.regexp_extract(x, r"(?s)=(.*)$", 1)).alias("rhs"),
-        ),
-    )
-    rng = r"^range\s*\(\s*(\d+)\s*,\s*(\d+)(?:\s*,\s*(\d+))?\s*\)"
-
-    def variable(p: Column) -> Column:
-        a = F.get(F.filter(F.col("__assigned"), lambda x: x["name"] == p["name"]), 0)
-        rhs = a["rhs"]
-        is_range = F.coalesce(F.regexp_like(rhs, F.lit(rng)), F.lit(False))
-        sample = F.nullif(F.regexp_extract(rhs, r"^sample\s*\(\s*(.+?)\s*\)", 1), F.lit(""))
-        collection = F.coalesce(sample, F.when(rhs.startswith("["), rhs))
-        kind = F.when(is_range, "range").when(collection.isNotNull(), "sample").otherwise("literal")
-        return F.struct(
-            p["name"].alias("name"),
-            kind.alias("kind"),
-            F.when(is_range, F.regexp_extract(rhs, rng, 1).try_cast("bigint")).alias("lo"),
-            F.when(is_range, F.regexp_extract(rhs, rng, 2).try_cast("bigint")).alias("hi"),
-            F.when(
-                is_range, F.coalesce(F.nullif(F.regexp_extract(rhs, rng, 3), F.lit("")).try_cast("bigint"), F.lit(1))
-            ).alias("step"),
-            collection.alias("collection"),
-            p["default"].alias("default"),
-            (is_range | F.coalesce(a["dollar"], p["default"].try_cast("double").isNotNull())).alias("numeric"),
-        )
-
-    stem = F.regexp_extract(F.col("file"), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return (
-        raw.withColumn("__assigned", assigned)
-        .withColumn("__named", named)
-        .select(
-            F.concat_ws("_", F.lit(variant), stem).alias("template_id"),
-            tx.strip(F.get(pieces, 0)).alias("question_template"),
-            F.coalesce("answer_annotated", F.lit("")).alias("answer_template"),
-            F.transform("__named", variable).cast(_VARIABLE_TYPE).alias("variables"),
-            dashed(cond).alias("conditions"),
-            formula.alias("formula"),
-            F.coalesce("question", F.lit("")).alias("original_question"),
-            F.coalesce("answer", F.lit("")).alias("original_answer"),
-            tx.detect_template_topics(F.get(pieces, 0)).alias("topics"),
-        )
-    )
-
-
-def _items(collection: str) -> list:
-    if collection.startswith("["):
-        quoted = re.findall(r"'([^']*)'|\"([^\"]*)\"|(-?\d+(?:\.\d+)?)", collection)
-        return [a or b if not n else (float(n) if "." in n else int(n)) for a, b, n in quoted]
-    if collection in lx.SAMPLE_COLLECTIONS:
-        known = lx.SAMPLE_COLLECTIONS[collection]
-        return list(known.items()) if isinstance(known, dict) else list(known)
-    if collection == "names" or collection.startswith("names_"):
-        return ["names"]
-    return [collection]
-
-
-def load_templates(templates: DataFrame) -> list[Template]:
-    """Template rows as plan-building objects.  Templates are hand-written files, and the count is checked."""
-    rows = templates.limit(MAX_TEMPLATES + 1).collect()
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates: split the folder into several jobs")
-    out = []
-    for r in rows:
-        variables = [
-            Variable(v["name"], v["kind"], v["lo"] or 0, v["hi"] or 0, v["step"] or 1,
-                     _items(v["collection"]) if v["collection"] else [], v["default"], v["numeric"])
-            for v in r["variables"]
-        ]
-        out.append(
-            Template(r["template_id"], r["question_template"], variables, r["formula"], list(r["conditions"]),
-                     r["answer_template"], r["original_question"], r["original_answer"])
-        )
-    return out
-
-
-# --- sampling --------------------------------------------------------------------------
-
-
-def _instance_key(seed: int) -> Column:
-    return F.concat_ws("/", F.lit(str(seed)), F.col("template_id"), F.col("instance").cast("string"))
-
-
-def _draw(v: Variable, key: Column, attempt: Column, names: Sequence[str]) -> dict[str, Column]:
-    """Value columns of one variable; a fraction sample also has its wording under ``<name>_text``."""
-    if v.kind == "range":
-        size = max((v.hi - v.lo) // v.step + 1, 1)
-        return {v.name: (F.lit(v.lo) + F.lit(v.step) * pick(size, key, v.name, attempt)).cast("double")}
-    if v.kind == "sample":
-        items = list(names) if v.items == ["names"] else v.items
-        if not items:
-            return {v.name: F.lit("")}
-        if isinstance(items[0], tuple):
-            at = pick(len(items), key, v.name, attempt)
-            return {
-                v.name: F.get(F.array(*[F.lit(float(x)) for _, x in items]), at),
-                f"{v.name}_text": F.get(F.array(*[F.lit(w) for w, _ in items]), at),
-            }
-        if all(isinstance(x, (int, float)) for x in items):
-            return {v.name: choose(F.array(*[F.lit(float(x)) for x in items]), key, v.name, attempt)}
-        return {v.name: choose(F.array(*[F.lit(str(x)) for x in items]), key, v.name, attempt)}
-    if v.default is not None:
-        if v.numeric:
-            return {v.name: F.lit(float(v.default))}
-        return {v.name: F.lit(v.default)}
-    if "name" in v.name.lower():
-        return {v.name: choose(F.array(*[F.lit(n) for n in names]), key, v.name, attempt)}
-    return {}
-
-
-def _values(t: Template, key: Column, attempt: Column, names: Sequence[str]) -> dict[str, Column]:
-    out: dict[str, Column] = {}
-    for v in t.variables:
-        out |= _draw(v, key, attempt, names)
-    return out
-
-
-def _per_template(templates: Sequence[Template], build: Callable[[Template], Column]) -> Column:
-    out = None
-    for t in templates:
-        hit = F.col("template_id") == t.template_id
-        out = F.when(hit, build(t)) if out is None else out.when(hit, build(t))
-    return out
-
-
-def _show(value: Column) -> Column:
-    """Text form of a value that prints whole numbers without a fraction; text values pass through."""
-    text = value.cast("string")
-    return F.regexp_replace(text, r"^(-?\d+)\.0$", "$1")
-
-
-def sample_variables(
-    instances: DataFrame, templates: Sequence[Template], seed: int = 42, names: Sequence[str] = tuple(DEFAULT_NAMES),
-    attempt: Column | None = None,
-) -> DataFrame:
-    """Add ``variables`` (name to text) drawn for each (template_id, instance) row."""
-    at = F.lit(0) if attempt is None else attempt
-    key = _instance_key(seed)
-
-    def as_map(t: Template) -> Column:
-        pairs = []
-        for name, value in _values(t, key, at, names).items():
-            pairs += [F.lit(name), _show(value)]
-        return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-
-    return instances.withColumn("variables", _per_template(templates, as_map))
-
-
-def _acceptance(t: Template, names: Sequence[str], seed: int) -> Callable[[Column], Column]:
-    key = _instance_key(seed)
-    drawn_names = list(_values(t, key, F.lit(0), names))
-
-    def fits(drawn: Column) -> Column:
-        values = {n: drawn[n] for n in drawn_names}
-        answer = checks.template_expression(t.formula, values) if t.formula else F.lit(None).cast("double")
-        ok = F.coalesce(answer.between(0, checks.MAX_ANSWER), F.lit(False))
-        for c in t.conditions:
-            ok = ok & checks.template_condition(c, values)
-        return ok
-
-    def accepted(attempt: Column) -> Column:
-        # one struct per attempt: conditions and formula read the same draws
-        values = _values(t, key, attempt, names)
-        return F.exists(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), fits)
-
-    return accepted
-
-
-def _chunks(attempts: int) -> list[tuple[int, int]]:
-    """Growing ranges of attempt numbers: most instances fit early."""
-    ends = [e for e in (8, 72) if e < attempts] + [attempts]
-    return list(zip([0, *ends], ends))
-
-
-def generate_instances(
-    instances: DataFrame, templates: Sequence[Template], seed: int = 42, names: Sequence[str] = tuple(DEFAULT_NAMES),
-    attempts: int = ATTEMPTS,
-) -> DataFrame:
-    """Draw each instance until its conditions and answer range hold, at most ``attempts`` times.
-
-    ``attempt`` is null where no draw fits.  Attempts run in growing chunks inside the
-    row: ``coalesce`` evaluates a later chunk only if the earlier ones found nothing.
-    """
-
-    def first_fit(t: Template) -> Column:
-        ok = _acceptance(t, names, seed)
-        chunks = [
-            F.get(F.filter(F.sequence(F.lit(lo), F.lit(hi - 1)), ok), 0) for lo, hi in _chunks(attempts)
-        ]
-        return F.coalesce(*chunks)
-
-    # an outer explode of zero or one attempt: later filters and projections read its output
-    # instead of searching again
-    found = F.array_compact(F.array(_per_template(templates, first_fit)))
-    drawn = instances.select("*", F.explode_outer(found).alias("attempt"))
-    key = _instance_key(seed)
-    at = F.coalesce("attempt", F.lit(0))
-
-    def answer(t: Template) -> Column:
-        return checks.template_expression(t.formula, _values(t, key, at, names))
-
-    out = sample_variables(drawn, templates, seed, names, at)
-    return out.withColumn("final_answer", F.when(F.col("attempt").isNotNull(), _per_template(templates, answer)))
-
-
-def _parts(template: str) -> list[tuple[str, str]]:
-    """(text | slot, content) pieces of a template."""
-    out, at = [], 0
-    for m in re.finditer(r"\{([^}]+)\}", template):
-        out += [("text", template[at : m.start()]), ("slot", m.group(1))]
-        at = m.end()
-    return [*out, ("text", template[at:])]
-
-
-def _fill(template: str, t: Template, key: Column, attempt: Column, names: Sequence[str]) -> Column:
-    values = _values(t, key, attempt, names)
-    pieces = []
-    for kind, content in _parts(template):
-        if kind == "text":
-            pieces.append(F.lit(content))
-            continue
-        name, _, default = (x.strip() for x in content.partition(","))
-        if name in values:
-            pieces.append(_show(values[name]))
-            continue
-        try:
-            value = _show(checks.template_expression(name, values))
-            pieces.append(F.coalesce(value, F.lit(default.split(",")[0].strip() or name)))
-        except (ValueError, SyntaxError):
-            pieces.append(F.lit(default.split(",")[0].strip() or name))
-    return F.concat(*pieces)
-
-
-def render(
-    generated: DataFrame, templates: Sequence[Template], seed: int = 42, names: Sequence[str] = tuple(DEFAULT_NAMES)
-) -> DataFrame:
-    """Question and answer text of generated instances; the answer ends in a marker line."""
-    key, at = _instance_key(seed), F.coalesce("attempt", F.lit(0))
-    final = _show(F.col("final_answer"))
-
-    def answer(t: Template) -> Column:
-        if not t.answer:
-            return F.concat(F.lit("#### "), final)
-        body = _fill(t.answer, t, key, at, names)
-        return body if "####" in t.answer else F.concat(body, F.lit("\n#### "), final)
-
-    return generated.withColumn(
-        "question", _per_template(templates, lambda t: _fill(t.question, t, key, at, names))
-    ).withColumn("answer", _per_template(templates, answer))
 
 
 # --- names -----------------------------------------------------------------------------
@@ -572,78 +243,130 @@ def noop_lineage(base: DataFrame, noop: DataFrame) -> DataFrame:
 
 # --- whole corpus ----------------------------------------------------------------------
 
+#: Parts of a corpus and the parts they are made from, in the order in which they are built.
+GRAPH: dict[str, tuple[str, ...]] = {"base": (), "p1": (), "p2": (), "noop": ("base",)}
+_MANIFEST = "part string, fingerprint string, path string, seed long, templates long, requested long, rows long"
 
-def instance_table(spark: SparkSession, templates: Sequence[Template], n: int) -> DataFrame:
-    ids = F.array(*[F.lit(t.template_id) for t in templates])
-    return spark.range(n).select(F.explode(ids).alias("template_id"), F.col("id").cast("int").alias("instance"))
 
+@dataclass(frozen=True)
+class Part:
+    """A finished part: where its records lie and what they were made from."""
+
+    part: str
+    fingerprint: str
+    path: str
+    seed: int
+    templates: int
+    requested: int
+    rows: int
+
+
+def _hash(*parts: object) -> str:
+    return hashlib.sha256("\x1f".join(map(str, parts)).encode()).hexdigest()[:16]
+
+
+def _content(df: DataFrame) -> str:
+    """A fingerprint of a table's rows, whatever their order: count and two sums of row hashes."""
+    row = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
+    sums = [F.sum(F.xxhash64(F.lit(salt), row).cast("decimal(38,0)")) for salt in (1, 2)]
+    return _hash(*df.agg(F.count(F.lit(1)), *sums).first())
 
-def build_variant(
-    instances: DataFrame, templates: Sequence[Template], variant: str, seed: int = 42,
-    names: Sequence[str] = tuple(DEFAULT_NAMES),
-) -> tuple[DataFrame, DataFrame]:
-    """Dataset records of one template variant, and the instances no draw could satisfy."""
-    made = generate_instances(instances, templates, seed, names)
-    failed = made.filter(F.col("attempt").isNull()).select("template_id", "instance")
-    text = render(made.filter(F.col("attempt").isNotNull()), templates, seed, names)
-    records = text.select(
-        tx.record_id(F.lit(variant), F.col("template_id"), F.col("instance")).alias("id"),
-        "question",
-        "answer",
-        "template_id",
-        F.lit(False).alias("is_noop"),
-        "instance",
-        _show(F.col("final_answer")).alias("final_answer"),
-        _per_template(templates, lambda t: F.lit(t.original_question)).alias("original_question"),
-        _per_template(templates, lambda t: F.lit(t.original_answer)).alias("original_answer"),
-        F.lit(variant).alias("variant"),
-    )
-    return records, failed
+
+def _manifest_path(output: str, name: str, fingerprint: str) -> str:
+    return f"{output}/manifest/{name}-{fingerprint}"
+
+
+def finished(spark: SparkSession, output: str, name: str, fingerprint: str) -> Part | None:
+    """The manifest entry of a part made from these inputs, if its records are all still there."""
+    try:
+        entry = spark.read.schema(_MANIFEST).json(_manifest_path(output, name, fingerprint)).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if entry is None:  # written, but not committed
+        return None
+    part = Part(**entry.asDict())
+    there = spark.read.text(part.path).count()  # one line a record
+    return part if there == part.rows else None
 
 
 def build_corpus(
     spark: SparkSession,
-    templates: dict[str, Sequence[Template]],
+    templates: dict[str, DataFrame],
     output: str,
-    variants: Sequence[str] = ("base", "p1", "p2", "noop"),
+    variants: Sequence[str] = tuple(GRAPH),
     instances: int = 50,
     distractors: int = 1,
     seed: int = 42,
     names: Sequence[str] = tuple(DEFAULT_NAMES),
-) -> DataFrame:
-    """Write every variant and the summary of all under ``output`` and return generation counts.
-
-    The distractor variant reads the written base variant and builds it first if needed.
+    attempts: int = ATTEMPTS,
+) -> dict[str, Part]:
+    """Build every asked variant, and what it is made from, under ``output``; return the parts.
+
+    ``templates`` holds the parsed templates of each template variant.  A part's records go to a folder
+    named by the fingerprint of its inputs: template rows or base part, seed, instances, names, draws.
+    Its manifest entry is written last.  A part whose entry is there and whose records count as the entry
+    says is not built again, so a stopped job goes on at the part where it stopped, and a job
+    with other inputs leaves the finished parts of the first in place.
     """
-    from ..sources.datasets import read_dataset, write_dataset
-    from .metrics import generation_stats, pipeline_summary
-
-    todo = list(variants)
-    if "noop" in todo and "base" not in todo:
-        todo = ["base", *todo]
-    todo.sort(key=lambda v: v == "noop")
-    asked, made = [], []
-    for i, v in enumerate(todo):
-        target = f"{output}/{v}"
-        if v == "noop":
-            records = build_noop(read_dataset(spark, f"{output}/base"), distractors, seed)
-            write_dataset(tx.attach_canary(records.drop("base_id", "distractors", "injection_positions")), target)
-            asked.append(read_dataset(spark, f"{output}/base").groupBy("template_id").agg(
-                F.count(F.lit(1)).alias("instances")).withColumn("variant", F.lit(v)))
+    unknown = set(variants) - set(GRAPH)
+    if unknown:
+        raise ValueError(f"unknown variants {sorted(unknown)}, choose from {list(GRAPH)}")
+    wanted = set(variants) | {need for v in variants for need in GRAPH[v]}
+    done: dict[str, Part] = {}
+    for i, name in enumerate(GRAPH):
+        if name not in wanted:
+            continue
+        # a variant's seed does not depend on which others are built
+        own_seed = seed + i * 1000
+        if GRAPH[name]:
+            sources = [done[need] for need in GRAPH[name]]
+            made_from = _hash(*[s.fingerprint for s in sources], distractors, sorted(SENTENCES.items()))
         else:
-            table = instance_table(spark, templates[v], instances)
-            records, _ = build_variant(table, templates[v], v, seed + i * 1000, names)
-            write_dataset(tx.attach_canary(records), target)
-            asked.append(table.groupBy("template_id").agg(F.count(F.lit(1)).alias("instances")).withColumn(
-                "variant", F.lit(v)))
-        made.append(read_dataset(spark, target))
-
-    def stack(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    stats = generation_stats(stack(asked), stack(made))
-    pipeline_summary(stats).write.mode("overwrite").json(f"{output}/summary")
+            made_from = _content(templates[name])
+        fingerprint = _hash(name, made_from, own_seed if not GRAPH[name] else seed, instances, *names, attempts)
+        found = finished(spark, output, name, fingerprint)
+        done[name] = found or _build(spark, name, output, fingerprint, templates.get(name), done, own_seed, instances, distractors, seed, names, attempts)
+    return done
+
+
+def _build(
+    spark: SparkSession, name: str, output: str, fingerprint: str, parsed: DataFrame | None, done: dict[str, Part],
+    own_seed: int, instances: int, distractors: int, seed: int, names: Sequence[str], attempts: int,
+) -> Part:
+    path = f"{output}/{name}/{fingerprint}"
+    if GRAPH[name]:
+        base = done[GRAPH[name][0]]
+        records = build_noop(read_dataset(spark, base.path), distractors, seed).drop("base_id", "distractors", "injection_positions")
+        n_templates, requested, own_seed = base.templates, base.rows, seed
+    else:
+        compiled = compile_templates(parsed)
+        records = build_variant(instance_table(parsed, instances), compiled, name, own_seed, names, attempts)
+        n_templates = parsed.count()
+        requested = n_templates * instances
+    write_dataset(tx.attach_canary(records), path)
+    part = Part(name, fingerprint, path, own_seed, n_templates, requested, spark.read.text(path).count())
+    entry = spark.createDataFrame([tuple(vars(part).values())], _MANIFEST)
+    entry.coalesce(1).write.mode("overwrite").json(_manifest_path(output, name, fingerprint))
+    return part
+
+
+def read_corpus(spark: SparkSession, parts: dict[str, Part]) -> DataFrame:
+    """The records of all parts."""
+    return read_dataset(spark, [p.path for p in parts.values()])
+
+
+def corpus_stats(spark: SparkSession, parts: dict[str, Part], output: str | None = None) -> DataFrame:
+    """Generation counts of each part; with ``output`` also written there with a row of totals."""
+    asked = spark.createDataFrame([(p.part, p.templates, p.requested) for p in parts.values()], "variant string, n long, requested long")
+    # each template asks for the same number of instances
+    per_template = asked.select(
+        "variant", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("template_id"), (F.col("requested") / F.col("n")).alias("instances")
+    )
+    stats = generation_stats(per_template, read_corpus(spark, parts)).withColumns(
+        {c: F.col(c).cast("long") for c in ("instances_requested", "instances_failed")}
+    )
+    if output is not None:
+        pipeline_summary(stats).write.mode("overwrite").json(f"{output}/summary")
     return stats

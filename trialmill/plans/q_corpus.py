@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, corpus, metrics
-from ..operators.corpus import Template, Variable
+from ..operators import checks, corpus, metrics, templates
 from ..operators.distractors import SENTENCES
-from ..session import spread
+from ..operators.templates import Template, Variable
+from ..session import scratch_path, spread
 from .fixtures import cte, table, view
 from .q_text import _topics_sql, lx, objects_sql
 from .registry import add
@@ -45,6 +45,10 @@ TEMPLATES = [
 SEED = 42
 
 
+def compiled(s):
+    return templates.compile_templates(templates.template_rows(s, TEMPLATES))
+
+
 def instances(s, d):
     """Every part is an instance of every template."""
     ids = F.array(*[F.lit(t.template_id) for t in TEMPLATES])
@@ -61,7 +65,7 @@ def _at(n: int, var: str) -> str:
     return f"floor({_u('key', repr(var), 'CAST(a AS VARCHAR)')} * {n})"
 
 
-_NAME_LIST = "[" + ", ".join(f"'{n}'" for n in corpus.DEFAULT_NAMES) + "]"
+_NAME_LIST = "[" + ", ".join(f"'{n}'" for n in templates.DEFAULT_NAMES) + "]"
 _INST = f"""WITH ins AS (SELECT t AS template_id, p_partkey AS instance, '{SEED}/' || t || '/' || p_partkey AS key
       FROM part, (VALUES ('t1'), ('t2'), ('t3'), ('t4')) v(t))"""
 _X = f"""CASE template_id WHEN 't1' THEN 5 + {_at(56, "x")} WHEN 't2' THEN 10 + {_at(81, "x")}
@@ -78,7 +82,7 @@ _GEN = f"""{_INST}, tries AS (SELECT *, r.a FROM ins, range(500) r(a)), {_DRAWN}
 
 
 def generated(s, d):
-    return corpus.generate_instances(instances(s, d), TEMPLATES, SEED)
+    return templates.generate_instances(instances(s, d), compiled(s), SEED)
 
 
 def _shown(df):
@@ -92,12 +96,12 @@ _VARS = """CASE template_id WHEN 't1' THEN concat('name=', name, ',x=', CAST(x A
     ELSE concat('x=', CAST(x AS BIGINT), ',y=', CAST(y AS BIGINT)) END"""
 add(
     "h2_sample_variables",
-    lambda s, d: _shown(corpus.sample_variables(instances(s, d), TEMPLATES, SEED)),
+    lambda s, d: _shown(templates.sample_variables(instances(s, d), compiled(s), SEED)),
     f"{_INST}, tries AS (SELECT *, 0 AS a FROM ins), {_DRAWN} SELECT template_id, instance, {_VARS} AS variables FROM ok",
 )
 add(
     "h3_generate_instances",
-    lambda s, d: _shown(generated(s, d)),
+    lambda s, d: _shown(generated(s, d)).drop("drawn"),
     f"{_GEN} SELECT template_id, instance, attempt, {_VARS} AS variables, CAST(answer AS DOUBLE) AS final_answer FROM gen",
 )
 _N = {v: f"CAST({v} AS BIGINT)" for v in ("x", "y", "answer")}
@@ -110,13 +114,13 @@ _RENDER = f"""ren AS (SELECT template_id, instance, CASE template_id
     ELSE concat('#### ', {_N["answer"]}) END AS answer, CAST({_N["answer"]} AS VARCHAR) AS final_answer FROM gen)"""
 add(
     "h4_render",
-    lambda s, d: corpus.render(generated(s, d), TEMPLATES, SEED).select("template_id", "instance", "question", "answer"),
+    lambda s, d: templates.render(generated(s, d), compiled(s)).select("template_id", "instance", "question", "answer"),
     f"{_GEN}, {_RENDER} SELECT template_id, instance, question, answer FROM ren",
 )
 
 
 def base(s, d):
-    return corpus.build_variant(instances(s, d), TEMPLATES, "base", SEED)[0]
+    return templates.build_variant(instances(s, d), compiled(s), "base", SEED)
 
 
 add(
@@ -297,7 +301,133 @@ def _parsed(s, d):
         "variables",
         lambda v: F.concat_ws(":", v["name"], v["kind"], *[F.coalesce(v[c].cast("string"), F.lit("")) for c in ("lo", "hi", "step")]),
     )
-    return corpus.parse_templates(raw, "p1").select(
+    return templates.parse_templates(raw, "p1").select(
         "template_id", "question_template", F.array_join(shown, ";").alias("variables"),
         F.array_join("conditions", "|").alias("conditions"), "formula",
     )
+
+
+# --- template files and the whole corpus --------------------------------------------------------
+
+_BRANDS = """brands AS (SELECT replace(p_brand, '#', '_') AS brand, max(p_size) + 30 AS hi, count(*) % 9 AS low, count(*) AS n
+    FROM part GROUP BY 1)"""
+_ANNOTATED = {
+    "base": "A shop has {x,50} {kind} kits. {name,Ann} takes {y,2}. How many kits are left?\n\n#init:\n- $x = range(1, @hi@)\n"
+    "- $y = range(1, 50)\n- name = sample(names)\n- kind = ['@brand@']\n\n#conditions:\n- x > y + @low@\n\n#answer: x - y",
+    "p1": "{name,Ann} packs {x,3} bags. Each holds {n,2} pens and {y,4} cards. How many things are packed?\n\n#init:\n- $x = range(2, @hi@, 2)\n"
+    "- $n = [2, 3, 5]\n- $y = range(1, 9)\n- name = sample(names)\n\n#conditions:\n- x * (n + y) < 400 or y == 1\n\n#answer: x * (n + y)",
+    "p2": "{x,9} birds sit on {n,3} trees. Then {y,4} more come to each. How many are on a tree?\n\n#init:\n- $x = range(10, @hi@)\n"
+    "- $n = range(2, 9)\n- $y = range(1, 9)\n\n#conditions:\n- divides(n, x)\n- not x == @low@\n\n#answer: x / n + y",
+}
+_SOLUTIONS = {"base": "{x} - {y} = {x - y}.", "p1": "", "p2": "{x / n} + {y}\n#### {x / n + y}"}
+
+
+def _brands(s, d):
+    p = table(s, d, "part").groupBy(F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand"))
+    return p.agg((F.max("p_size") + 30).alias("hi"), (F.count("*") % 9).alias("low"), F.count("*").alias("n"))
+
+
+def _template_files(s, d, variant, bad=False):
+    """A folder of template files, one a brand, each a folder of one part file as Spark writes it."""
+    root, brands = scratch_path(s, f"templates-{variant}"), _brands(s, d)
+    text = F.lit(_ANNOTATED[variant])
+    for c in ("hi", "low", "brand"):
+        text = F.replace(text, F.lit(f"@{c}@"), F.col(c).cast("string"))
+    document = F.struct(
+        F.concat(F.lit("of "), "brand").alias("question"), F.lit("given").alias("answer"), F.col("n").alias("id_orig"),
+        text.alias("question_annotated"), F.lit(_SOLUTIONS[variant]).alias("answer_annotated"),
+    )
+    files = brands.select(F.concat("brand", F.lit(".json")).alias("f"), F.to_json(document).alias("value"))
+    if bad:
+        broken = F.when(F.col("n") % 2 == 0, F.concat(F.lit("{broken "), "brand")).otherwise(F.to_json(F.struct(F.col("brand").alias("question"))))
+        files = files.unionByName(brands.select(F.concat(F.lit("odd_"), "brand", F.lit(".json")).alias("f"), broken.alias("value")))
+    files.write.partitionBy("f").text(root)
+    return root
+
+
+def _read_back(s, d):
+    parsed, bad = templates.read_templates(s, _template_files(s, d, "p1", bad=True), "p1")
+    shown = F.transform(
+        "variables",
+        lambda v: F.concat_ws(":", v["name"], v["kind"], *[F.coalesce(v[c].cast("string"), F.lit("")) for c in ("lo", "hi", "step", "collection", "default")]),
+    )
+    steps = templates.compile_templates(parsed).select("template_id", F.size("steps").alias("n_steps"), "error")
+    good = parsed.join(steps, "template_id").select(
+        "template_id", "question_template", F.array_join(shown, ";").alias("variables"), F.array_join("conditions", "|").alias("conditions"),
+        "formula", "original_question", "n_steps", "error",
+    )
+    stem = F.regexp_extract("file", r"f=([^/]+)\.json/", 1)
+    nothing = F.lit(None).cast("string")
+    odd = bad.select(
+        stem.alias("template_id"), F.trim(F.regexp_replace("content", r"\s+$", "")).alias("question_template"), *[nothing.alias(c) for c in ("variables", "conditions", "formula", "original_question")],
+        F.lit(None).cast("int").alias("n_steps"), F.lit("bad file").alias("error"),
+    )
+    return good.unionByName(odd)
+
+
+add(
+    "h1_read_templates",
+    _read_back,
+    f"""WITH {_BRANDS} SELECT concat('p1_', brand) AS template_id,
+      '{_ANNOTATED["p1"].partition(chr(10))[0]}' AS question_template,
+      concat('name:sample::::names:Ann;x:range:2:', hi, ':2::3;n:sample::::[2, 3, 5]:2;y:range:1:9:1::4') AS variables,
+      'x * (n + y) < 400 or y == 1' AS conditions, 'x * (n + y)' AS formula, concat('of ', brand) AS original_question,
+      CAST(10 AS INT) AS n_steps, NULL AS error FROM brands
+    UNION ALL SELECT concat('odd_', brand), CASE WHEN n % 2 = 0 THEN concat(chr(123), 'broken ', brand) END, NULL, NULL, NULL, NULL, NULL, 'bad file' FROM brands""",
+)
+
+
+def _corpus(s, d):
+    """A job that is stopped after one variant, then asked for all."""
+    output = scratch_path(s, "corpus")
+    parsed = {v: templates.read_templates(s, _template_files(s, d, v), v)[0] for v in _ANNOTATED}
+    n = max(1, table(s, d, "part").count() // 40)
+    corpus.build_corpus(s, parsed, output, ["p1"], instances=n, seed=SEED)
+    return corpus.read_corpus(s, corpus.build_corpus(s, parsed, output, instances=n, seed=SEED))
+
+
+def _variant_sql(v: str, seed: int, draws: dict[str, str], fits: str, answer: str, question: str, solution: str) -> str:
+    drawn = ", ".join(f"{x} AS {n}" for n, x in draws.items())
+    firsts = ", ".join(f"arg_min({n}, a) AS {n}" for n in draws)
+    return f"""{v}_d AS (SELECT *, {drawn} FROM (SELECT concat('{v}_', brand) AS template_id, i AS instance, brand, hi, low, a,
+        concat('{seed}/{v}_', brand, '/', i) AS key FROM brands, range(greatest(1, (SELECT count(*) FROM part) // 40)) r(i), range(500) s(a))),
+      {v}_f AS (SELECT template_id, instance, any_value(brand) AS brand, {firsts} FROM {v}_d WHERE {fits} GROUP BY 1, 2),
+      {v}_r AS (SELECT concat('{v}_', template_id, '_', printf('%04d', instance)) AS id, {question} AS question, {solution} AS answer, template_id,
+        instance, CAST({answer} AS VARCHAR) AS final_answer, concat('of ', brand) AS original_question FROM {v}_f)"""
+
+
+def _draw_sql(lo: str, n: str, var: str, step: str = "1") -> str:
+    return f"CAST({lo} + {step} * floor({_u('key', repr(var), 'CAST(a AS VARCHAR)')} * ({n})) AS BIGINT)"
+
+
+_WHO = f"{_NAME_LIST}[CAST({_at(10, 'name')} AS INT) + 1]"
+_CORPUS_SQL = ", ".join([
+    _BRANDS,
+    _variant_sql(
+        "base", SEED, {"x": _draw_sql("1", "hi", "x"), "y": _draw_sql("1", "50", "y"), "name": _WHO}, "x > y + low", "x - y",
+        "concat('A shop has ', x, ' ', brand, ' kits. ', name, ' takes ', y, '. How many kits are left?')",
+        "concat(x, ' - ', y, ' = ', x - y, '.', chr(10), '#### ', x - y)",
+    ),
+    _variant_sql(
+        "p1", SEED + 1000, {"x": _draw_sql("2", "(hi - 2) // 2 + 1", "x", "2"), "n": f"[2, 3, 5][CAST({_at(3, 'n')} AS INT) + 1]", "y": _draw_sql("1", "9", "y"), "name": _WHO},
+        "x * (n + y) < 400 OR y = 1", "x * (n + y)",
+        "concat(name, ' packs ', x, ' bags. Each holds ', n, ' pens and ', y, ' cards. How many things are packed?')",
+        "concat('#### ', x * (n + y))",
+    ),
+    _variant_sql(
+        "p2", SEED + 2000, {"x": _draw_sql("10", "hi - 9", "x"), "n": _draw_sql("2", "8", "n"), "y": _draw_sql("1", "9", "y")}, "x % n = 0 AND x <> low", "x // n + y",
+        "concat(x, ' birds sit on ', n, ' trees. Then ', y, ' more come to each. How many are on a tree?')",
+        "concat(x // n, ' + ', y, chr(10), '#### ', x // n + y)",
+    ),
+])
+_CORPUS_COLUMNS = ["id", "question", "answer", "template_id", "instance", "final_answer", "original_question", "variant", "is_noop", "canary"]
+add(
+    "h9_build_corpus",
+    lambda s, d: _corpus(s, d).select(*_CORPUS_COLUMNS),
+    f"""WITH {_CORPUS_SQL}, problems AS (SELECT * FROM base_r), {_PICKS}, {_injected(1)}, every AS (
+      SELECT *, 'base' AS variant, false AS is_noop FROM base_r UNION ALL SELECT *, 'p1', false FROM p1_r UNION ALL SELECT *, 'p2', false FROM p2_r
+      UNION ALL SELECT concat('noop_', template_id, '_', printf('%04d', instance)), trim(t), answer, template_id, instance, final_answer,
+        p.question, 'noop', true FROM problems p JOIN s1 ON p.id = s1.id)
+    SELECT id, question, answer, template_id, CAST(instance AS INT) AS instance, final_answer, original_question, variant, is_noop,
+      '{corpus.tx.CANARY}' AS canary FROM every""",
+)
