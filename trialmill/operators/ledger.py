@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import arithmetic as ar
 from ..session import cut_lineage
@@ -159,42 +161,81 @@ def rate_totals(rates: DataFrame, durations: DataFrame, quantities: DataFrame) -
     return distance.union(total).union(priced).distinct()
 
 
+#: Factors are kept up to this magnitude; beyond it only the value zero has a product in 64 bits.
+_FACTOR_LIMIT = 2**63
+#: Relations followed one by one before chains of multiples are jumped along.
+_SINGLE_ROUNDS = 8
+
+
 def derive_relations(relations: DataFrame, values: DataFrame) -> DataFrame:
     """Values reachable through multiple/percent relations, to the fixpoint.
 
-    Each round joins only the values found in the round before and ends in a written
-    table; rounds grow with the longest chain of relations, not with the rows.  A value that
-    leaves 64 bits stops the job.  A chain without a cycle visits an entity once, so new values
-    after as many rounds as a problem has entities prove a cycle, which stops the job too.
+    The first rounds follow one relation each.  What is still new then lies on long chains: factors of chains of 1, 2,
+    4, ... multiples are composed, and after k such rounds every value within 2^k multiples is known, so a
+    chain of ten thousand takes fourteen.  A percentage rounds down at every relation and ends such a jump.
+    Each round looks for values that are not known yet, with one anti join, and ends in a written table.
+
+    A value that leaves 64 bits stops the job.  A chain without a cycle visits an entity once, so values that
+    are new beyond as many relations as a problem has entities prove a cycle, which stops the job too.
     """
+    key = ["problem_id", "entity", "val"]
     rel = cut_lineage(
-        relations.select("problem_id", "kind", "entity", F.col("other").alias("__from"), "amount").distinct()
+        relations.select("problem_id", "kind", "entity", F.col("other").alias("__from"), "amount")
+        .filter(F.col("kind").isin("multiple", "percent") & F.col("amount").isNotNull())
+        .distinct()
     )
-    known = cut_lineage(values.select("problem_id", "entity", "val").distinct())
-    entities = rel.select("problem_id", "entity").union(known.select("problem_id", "entity")).distinct()
+    given = cut_lineage(values.select(*key).distinct())
+    entities = rel.select("problem_id", "entity").union(given.select("problem_id", "entity")).distinct()
     longest = entities.groupBy("problem_id").count().agg(F.max("count")).first()[0] or 0
-    result = F.when(F.col("kind") == "multiple", ar.mul(F.col("val"), F.col("amount"))).when(
-        F.col("kind") == "percent", ar.percent_of(F.col("amount"), F.col("val"))
-    )
-    lost = F.col("kind").isin("multiple", "percent") & F.col("amount").isNotNull() & F.col("val").isNotNull() & result.isNull()
+    result = F.when(F.col("kind") == "multiple", ar.mul(F.col("val"), F.col("amount"))).otherwise(ar.percent_of(F.col("amount"), F.col("val")))
     where = F.concat_ws(" of problem ", F.col("entity").cast("string"), F.col("problem_id").cast("string"))
-    checked = F.when(lost, F.raise_error(F.concat(F.lit("derived value leaves 64 bits: entity "), where))).otherwise(result)
-    fresh = known
-    found = [known]
-    for _ in range(longest + 1):
-        step = rel.join(
-            fresh.select("problem_id", F.col("entity").alias("__from"), "val"), ["problem_id", "__from"]
-        ).select("problem_id", "entity", checked.alias("val"))
-        step = step.filter(F.col("val").isNotNull()).distinct()
-        for earlier in found:
-            step = step.join(earlier, ["problem_id", "entity", "val"], "left_anti")
-        fresh = cut_lineage(step)
-        if fresh.isEmpty():
-            return reduce(DataFrame.union, found)
+    found = [given]
+
+    def new(step: DataFrame, value: Column) -> DataFrame:
+        """Values of a step that no table holds yet, kept as one more table."""
+        wrong = F.raise_error(F.concat(F.lit("derived value leaves 64 bits: entity "), where))
+        named = step.select("problem_id", "entity", F.when(value.isNull(), wrong).otherwise(value).alias("val"))
+        fresh = cut_lineage(named.distinct().join(reduce(DataFrame.union, found), key, "left_anti"))
         found.append(fresh)
         if len(found) > 8:
-            found = [cut_lineage(reduce(DataFrame.union, found))]
-    raise RuntimeError("relations keep deriving new values: they form a cycle")
+            found[:] = [cut_lineage(reduce(DataFrame.union, found))]
+        return fresh
+
+    def after(links: DataFrame, start: DataFrame) -> DataFrame:
+        return links.join(start.filter("val is not null").select("problem_id", F.col("entity").alias("__from"), "val"), ["problem_id", "__from"])
+
+    def passed(n: int) -> None:
+        if n > longest:
+            raise RuntimeError("relations keep deriving new values: they form a cycle")
+
+    fresh, steps, single = given, 0, 0
+    while not fresh.isEmpty():
+        passed(steps)
+        if single < _SINGLE_ROUNDS:
+            fresh, steps, single = new(after(rel, fresh), result), steps + 1, single + 1
+            continue
+        # all that follows from the fresh values by multiples alone, then one percentage
+        jumps = rel.filter("kind = 'multiple'").select("problem_id", "entity", "__from", F.col("amount").cast("decimal(38,0)").alias("__factor"))
+        grown, reach = fresh, 1
+        while True:
+            more = new(after(jumps, grown), (F.col("val").cast("decimal(38,0)") * F.col("__factor")).try_cast("bigint"))
+            if more.isEmpty():
+                break
+            passed(steps + reach)
+            grown, reach = cut_lineage(grown.union(more)), 2 * reach
+            jumps = _doubled(jumps)
+        fresh, steps, single = new(after(rel.filter("kind = 'percent'"), grown), result), steps + 1, 0
+    return reduce(DataFrame.union, found)
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Jumps of twice the length: factors multiplied, those beyond 64 bits held at the limit."""
+    second = jumps.select("problem_id", F.col("__from").alias("__middle"), "entity", F.col("__factor").alias("__more"))
+    product = F.col("__factor") * F.col("__more")
+    limit = F.lit(str(_FACTOR_LIMIT)).cast("decimal(38,0)")
+    held = F.greatest(-limit, F.least(limit, product)).cast("decimal(38,0)")
+    first = jumps.withColumnRenamed("entity", "__middle")
+    return cut_lineage(first.join(second, ["problem_id", "__middle"]).select("problem_id", "entity", "__from", held.alias("__factor")).distinct())
 
 
 def total_quantity(quantities: DataFrame) -> DataFrame:
@@ -248,7 +289,7 @@ def solutions(
 # --- timelines -----------------------------------------------------------------------
 
 CHAIN = ["problem_id", "entity", "attr"]
-# steps folded in one pass; longer chains continue from the state of the pass before
+# steps folded in one row, and maps composed in one row
 BLOCK = 256
 
 
@@ -377,85 +418,303 @@ _SEGMENTS = "array<struct<lo:bigint,hi:bigint,val:bigint>>"
 _BROKEN = "array<struct<rule:string,step:bigint>>"
 
 
+def _chain_maps():
+    """What stretches of a chain do to the state before them, as functions that compose.
+
+    A stretch maps the state (has, val) at its first step to the state after its last one.  Three cases make up the map:
+    no usable state (``u``), a state without a value (``n``), both constants, and a value x (``x``), a constant or a list of
+    links.  A link is floor((a x + b) / d) with the interval of x on which no step on the way leaves 64 bits, or a step
+    with several effects as it stands.  Sums, products and quotients melt into one link; a product after a quotient starts
+    the next one, and a set_to makes everything before it constant.
+    """
+    # a closure travels to the workers by value, so they need pyarrow but not this package
+    import json
+
+    import pyarrow as pa
+
+    low, high = -(2**63), 2**63 - 1
+    lanes = ("add", "mul", "pos", "neg", "put")
+
+    def apply(s, avail, val):
+        """(has, val) after one step, the rule that ``_advance`` states in columns."""
+        found = {v for v in (s["put_lo"], s["put_hi"]) if v is not None}
+        if avail and val is not None:
+            for lane in lanes[:4]:
+                for v in (s[f"{lane}_lo"], s[f"{lane}_hi"]):
+                    if v is not None:
+                        r = val + v if lane == "add" else val * v if lane == "mul" else val // v
+                        if low <= r <= high:
+                            found.add(r)
+        has = bool((avail and s["needs_prior"]) or s["put_lo"] is not None)
+        return has, (found.pop() if has and len(found) == 1 else None)
+
+    def inside(link, y_lo, y_hi):
+        """The interval of x on which floor((a x + b) / d) lies between the bounds, cut with the link's own."""
+        a, b, d, x_lo, x_hi = link
+        lo, hi = d * y_lo - b, d * y_hi + d - 1 - b  # lo <= a x <= hi
+        if a == 0:
+            return (x_lo, x_hi) if lo <= 0 <= hi else (1, 0)
+        if a < 0:
+            lo, hi, a = -hi, -lo, -a
+        return max(x_lo, -((-lo) // a)), min(x_hi, hi // a)
+
+    def plain(a, b, d):
+        """The link of a single sum, product or quotient: the result has to fit in 64 bits."""
+        return [a, b, d, *inside([a, b, d, low, high], low, high)]
+
+    def melted(first, link):
+        """One link for two in a row, or None where a product follows a quotient."""
+        (fa, fb, fd, _, _), (a, b, d, lo, hi) = first, link
+        if fd == 1:
+            out = [a * fa, a * fb + b, d]
+        elif a == 1:  # floor((floor(p / fd) + b) / d) = floor((p + b fd) / (fd d))
+            out = [fa, fb + b * fd, fd * d]
+        elif a == 0:
+            out = [0, b, d]
+        else:
+            return None
+        lo, hi = inside(first, lo, hi)
+        if lo > hi:
+            return [0, 0, 1, 1, 0]
+        # links are monotone: equal at both ends is equal everywhere, which keeps the numbers small
+        ends = [(out[0] * x + out[1]) // out[2] for x in (lo, hi)]
+        return [0, ends[0], 1, lo, hi] if ends[0] == ends[1] else [*out, lo, hi]
+
+    def then(links, more):
+        """The links of a stretch followed by those of the next one."""
+        links = list(links)
+        for link in more:
+            both = melted(links[-1], link) if links and isinstance(links[-1], list) and isinstance(link, list) else None
+            if both is None:
+                links.append(link)
+            else:
+                links[-1] = both
+        return links
+
+    def value_of(links, x):
+        for link in links:
+            if isinstance(link, dict):
+                x = apply(link, True, x)[1]
+            elif x is not None:
+                a, b, d, lo, hi = link
+                x = (a * x + b) // d if lo <= x <= hi else None
+        return x
+
+    def run_step(summary, s, persistent):
+        """The map of a stretch and one more step."""
+        linked = summary is None or persistent or summary["end"] == s["step"]
+        if summary is None:
+            u, n, x = (False, None), (True, None), []
+        else:
+            u, n, x = summary["u"], summary["n"], summary["x"]
+        out = {"first": s["step"] if summary is None else summary["first"], "end": s["step"] + 1}
+        out["u"], out["n"] = (apply(s, linked and c[0], c[1]) for c in (u, n))
+        if isinstance(x, tuple):
+            out["x"] = apply(s, linked and x[0], x[1])
+        elif not linked:
+            out["x"] = apply(s, False, None)
+        else:
+            effects = {(k, s[f"{k}_{e}"]) for k in lanes for e in ("lo", "hi") if s[f"{k}_{e}"] is not None}
+            if all(k == "put" for k, _ in effects):  # also a division by zero, which has no value
+                out["x"] = (True, effects.pop()[1] if len(effects) == 1 else None)
+            elif len(effects) > 1:
+                out["x"] = then(x, [s])
+            else:
+                ((k, v),) = effects
+                if k == "neg":  # floor(y / v) = floor(-y / -v)
+                    out["x"] = then(x, [plain(-1, 0, -v)])
+                else:
+                    out["x"] = then(x, [plain(*{"add": (1, v, 1), "mul": (v, 0, 1), "pos": (1, 0, v)}[k])])
+        return out
+
+    def follow(summary, has, at, val, persistent):
+        """(has, val) after a stretch that starts from a state."""
+        if not (has and (persistent or at == summary["first"])):
+            return summary["u"]
+        if val is None:
+            return summary["n"]
+        x = summary["x"]
+        return x if isinstance(x, tuple) else (True, value_of(x, val))
+
+    def join(a, b, persistent):
+        """The map of two stretches in a row."""
+        out = {"first": a["first"], "end": b["end"]}
+        for lane in ("u", "n"):
+            out[lane] = follow(b, a[lane][0], a["end"], a[lane][1], persistent)
+        if isinstance(a["x"], tuple):
+            out["x"] = follow(b, a["x"][0], a["end"], a["x"][1], persistent)
+        elif not (persistent or a["end"] == b["first"]):
+            out["x"] = b["u"]
+        else:
+            out["x"] = b["x"] if isinstance(b["x"], tuple) else then(a["x"], b["x"])
+        return out
+
+    def dumped(summary):
+        return None if summary is None else json.dumps(summary)
+
+    def loaded(text):
+        summary = json.loads(text)
+        for lane in ("u", "n", "x"):
+            # a constant is [has, val]; a list of links starts with a list or a step
+            if lane != "x" or (len(summary[lane]) == 2 and isinstance(summary[lane][0], bool)):
+                summary[lane] = tuple(summary[lane])
+        return summary
+
+    def slices(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 32):
+                yield b.slice(lo, 32)
+
+    def summaries_of_steps(batches):
+        for b in slices(batches):
+            out = []
+            for steps, persistent in zip(b.column("steps").to_pylist(), b.column("persistent").to_pylist()):
+                summary = None
+                for s in steps:
+                    summary = run_step(summary, s, persistent)
+                out.append(dumped(summary))
+            kept = b.drop_columns(["steps"])
+            yield kept.append_column("summary", pa.array(out, pa.string()))
+
+    def summaries_of_blocks(batches):
+        for b in slices(batches):
+            out = []
+            for parts, persistent in zip(b.column("parts").to_pylist(), b.column("persistent").to_pylist()):
+                summary = None
+                for part in parts:
+                    step = loaded(part["summary"])
+                    summary = step if summary is None else join(summary, step, persistent)
+                out.append(dumped(summary))
+            yield b.drop_columns(["parts"]).append_column("summary", pa.array(out, pa.string()))
+
+    def starts_of_parts(schema):
+        def run(batches):
+            for b in slices(batches):
+                rows = []
+                for row in b.to_pylist():
+                    at, has, val = row["at"], row["has"], row["val"]
+                    keys = {k: v for k, v in row.items() if k in schema.names}
+                    for part in row["parts"]:
+                        rows.append(keys | {"__block": part["block"], "at": at, "has": has, "val": val})
+                        if part["summary"] is not None:
+                            summary = loaded(part["summary"])
+                            (has, val), at = follow(summary, has, at, val, row["persistent"]), summary["end"]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        return run
+
+    return summaries_of_steps, summaries_of_blocks, starts_of_parts
+
+
+def _block_starts(blocks: DataFrame, width: int, levels: int) -> DataFrame:
+    """The state before every block of the chains that have several: (chain, block, at, has, val).
+
+    Maps of blocks are composed level by level, ``width`` at a time, all blocks of a level in parallel; then
+    the states go down the same levels.  A row holds at most ``width`` maps, however long its chain, and the
+    number of levels is the logarithm of the longest chain.
+    """
+    of_steps, of_blocks, starts_of = _chain_maps()
+    keys = [*CHAIN, "persistent", "given_at", "given_has", "given_val", "__last"]
+    schema = blocks.select(*CHAIN, "__block").schema
+    maps = blocks.filter("__block < __last").select(*keys, "__block", "steps").mapInArrow(
+        of_steps, blocks.select(*keys, "__block").schema.add("summary", "string")
+    )
+    # the last block needs no map, but a start
+    ends = blocks.filter("__block = __last").select(*keys, "__block", F.lit(None).cast("string").alias("summary"))
+    level = cut_lineage(maps.unionByName(ends))
+    stack = []
+    for _ in range(levels - 1):
+        grouped = cut_lineage(
+            level.groupBy(*keys, F.floor(F.col("__block") / width).cast("int").alias("__up")).agg(
+                F.array_sort(F.collect_list(F.struct(F.col("__block").alias("block"), "summary"))).alias("parts")
+            )
+        )
+        stack.append(grouped)
+        ready = F.forall("parts", lambda p: p["summary"].isNotNull())
+        up = grouped.select(*keys, F.col("__up").alias("__block"), "parts")
+        whole = up.filter(ready).mapInArrow(of_blocks, up.drop("parts").schema.add("summary", "string"))
+        level = whole.unionByName(up.filter(~ready).select(*keys, "__block", F.lit(None).cast("string").alias("summary")))
+    state = ["at", "has", "val"]
+    kinds = T.StructType([*schema.fields, *[T.StructField(n, k) for n, k in (("at", T.LongType()), ("has", T.BooleanType()), ("val", T.LongType()))]])
+    started = starts_of(to_arrow_schema(kinds))
+    given = [F.col(f"given_{c}").alias(c) for c in state]
+    top = level.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__block").alias("block"), "summary"))).alias("parts"))
+    starts = top.select(*CHAIN, "persistent", *given, "parts").mapInArrow(started, kinds)
+    for grouped in reversed(stack):
+        below = grouped.select(*CHAIN, "persistent", F.col("__up").alias("__block"), "parts").join(cut_lineage(starts), [*CHAIN, "__block"])
+        starts = below.drop("__block").mapInArrow(started, kinds)
+    return starts
+
+
 def fold_timeline(
-    initial: DataFrame, ops: DataFrame, max_steps: DataFrame, transfers: DataFrame | None = None
+    initial: DataFrame, ops: DataFrame, max_steps: DataFrame, transfers: DataFrame | None = None, width: int | None = None
 ) -> DataFrame:
     """Run every (entity, attribute) chain through its steps.
 
-    One row per chain with its state segments (first step, last step, value) and
-    the rules it broke.  ``initial`` holds (problem_id, entity, attr, val) at step 0.
+    Rows of (chain, max_step, segments, broken): the state segments (first step, last step, value) and the rules
+    broken in a block of ``width`` (``BLOCK``) steps.  ``initial`` holds (problem_id, entity, attr, val) at step 0.  Blocks of one chain
+    are folded side by side: the state before each comes from composed maps, so the number of
+    jobs follows the logarithm of the longest chain and no row holds more than ``width`` steps.
     """
+    width = width or BLOCK
     effects = _effects(ops, transfers)
     horizon = max_steps.groupBy("problem_id").agg(F.max("max_step").cast("bigint").alias("max_step"))
     steps = _step_extremes(effects).join(horizon, "problem_id").filter("step between 0 and max_step")
     fields = [c for c in steps.columns if c not in (*CHAIN, "max_step")]
     blocks = (
-        steps.withColumn("__block", (F.col("step") / BLOCK).cast("int"))
+        steps.withColumn("__block", F.floor(F.col("step") / width).cast("int"))
         .groupBy(*CHAIN, "__block")
         .agg(F.array_sort(F.collect_list(F.struct("step", *[f for f in fields if f != "step"]))).alias("steps"))
     )
     first = initial.groupBy(*CHAIN).agg(F.min("val").cast("bigint").alias("lo"), F.max("val").cast("bigint").alias("hi"))
     seeded = first.select(
-        *CHAIN,
-        F.lit(0).cast("bigint").alias("at"),
-        F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("val"),
-        F.lit(True).alias("given"),
-        (F.col("lo") != F.col("hi")).alias("split"),
-    )
-    last_block = horizon.agg(F.max((F.col("max_step") / BLOCK).cast("int"))).first()[0] or 0
-    if last_block > 0:
-        blocks = cut_lineage(blocks)
-    chains = seeded.join(effects.select(*CHAIN).distinct(), CHAIN, "full_outer").join(horizon, "problem_id", "left")
-    state = chains.select(
-        *CHAIN,
-        F.coalesce("max_step", F.lit(0).cast("bigint")).alias("max_step"),
-        (F.coalesce("given", F.lit(False)) & (F.coalesce("max_step", F.lit(0)) > 0)).alias("persistent"),
-        F.struct(
-            F.coalesce("at", F.lit(0).cast("bigint")).alias("at"),
-            F.col("val"),
-            F.coalesce("given", F.lit(False)).alias("has"),
-            F.array().cast(_SEGMENTS).alias("out"),
-            F.when(
-                F.coalesce("split", F.lit(False)),
-                F.array(F.struct(F.lit("two_values").alias("rule"), F.lit(0).cast("bigint").alias("step"))),
-            )
-            .otherwise(F.array().cast(_BROKEN))
-            .cast(_BROKEN)
-            .alias("bad"),
-        ).alias("state"),
+        *CHAIN, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("val"), F.lit(True).alias("given"), (F.col("lo") != F.col("hi")).alias("split")
     )
-    outputs = []
-    for b in range(last_block + 1):
-        here = blocks.filter(F.col("__block") == b).drop("__block")
-        ran = state.join(here, CHAIN, "left").withColumn(
-            "state",
-            F.when(
-                F.col("steps").isNotNull(),
-                F.aggregate("steps", F.col("state"), lambda acc, s: _advance(acc, s, F.col("persistent"))),
-            ).otherwise(F.col("state")),
+    blocks = cut_lineage(blocks)
+    last = blocks.groupBy(*CHAIN).agg(F.max("__block").alias("__last"))
+    given, split = F.coalesce("given", F.lit(False)), F.coalesce("split", F.lit(False))
+    chains = cut_lineage(
+        seeded.join(effects.select(*CHAIN).distinct(), CHAIN, "full_outer").join(horizon, "problem_id", "left").join(last, CHAIN, "left").select(
+            *CHAIN,
+            F.coalesce("max_step", F.lit(0).cast("bigint")).alias("max_step"),
+            (given & (F.coalesce("max_step", F.lit(0)) > 0)).alias("persistent"),
+            F.lit(0).cast("bigint").alias("given_at"), given.alias("given_has"), F.col("val").alias("given_val"),
+            split.alias("split"), "__last",
         )
-        ran = ran.drop("steps")
-        if b == last_block:
-            end = F.when(F.col("persistent"), F.greatest("max_step", "state.at")).otherwise(F.col("state.at"))
-            tail = F.struct(F.col("state.at").alias("lo"), end.alias("hi"), F.col("state.val").alias("val"))
-            out = F.when(F.col("state.has"), F.array_append("state.out", tail)).otherwise(F.col("state.out"))
-            outputs.append(ran.select(*CHAIN, "max_step", out.alias("segments"), F.col("state.bad").alias("broken")))
-        else:
-            ran = cut_lineage(ran)
-            outputs.append(
-                ran.select(*CHAIN, "max_step", F.col("state.out").alias("segments"), F.col("state.bad").alias("broken"))
-            )
-            state = ran.withColumn(
-                "state",
-                F.struct(
-                    F.col("state.at").alias("at"),
-                    F.col("state.val").alias("val"),
-                    F.col("state.has").alias("has"),
-                    F.array().cast(_SEGMENTS).alias("out"),
-                    F.array().cast(_BROKEN).alias("bad"),
-                ),
-            )
-    return cut_lineage(reduce(DataFrame.union, outputs))
+    )
+    work = blocks.join(chains.filter("__last is not null"), CHAIN)
+    deepest = last.agg(F.max("__last")).first()[0] or 0
+    state = ["at", "has", "val"]
+    if deepest:
+        levels, size = 1, width
+        while size <= deepest:
+            levels, size = levels + 1, size * width
+        starts = _block_starts(work.filter("__last > 0"), width, levels)
+        work = work.join(starts, [*CHAIN, "__block"], "left")
+        before = {c: F.when(F.col("at").isNotNull(), F.col(c)).otherwise(F.col(f"given_{c}")) for c in state}
+    else:
+        before = {c: F.col(f"given_{c}") for c in state}
+    none = [F.array().cast(_SEGMENTS).alias("out"), F.array().cast(_BROKEN).alias("bad")]
+    opened = work.withColumn("state", F.struct(*[before[c].alias(c) for c in ("at", "val", "has")], *none))
+    ran = opened.withColumn("state", F.aggregate("steps", F.col("state"), lambda acc, s: _advance(acc, s, F.col("persistent"))))
+
+    def tail(at: Column, val: Column) -> Column:
+        end = F.when(F.col("persistent"), F.greatest("max_step", at)).otherwise(at)
+        return F.struct(at.alias("lo"), end.alias("hi"), val.alias("val"))
+
+    closes = (F.col("__block") == F.col("__last")) & F.col("state.has")
+    segments = F.when(closes, F.array_append("state.out", tail(F.col("state.at"), F.col("state.val")))).otherwise(F.col("state.out"))
+    folded = ran.select(*CHAIN, "max_step", segments.alias("segments"), F.col("state.bad").alias("broken"))
+    # what holds without any step: untouched states, and two values given for one
+    rest = chains.filter("__last is null or split")
+    untouched = F.col("__last").isNull() & F.col("given_has")
+    still = rest.select(
+        *CHAIN, "max_step",
+        F.when(untouched, F.array(tail(F.col("given_at"), F.col("given_val")))).otherwise(F.array().cast(_SEGMENTS)).cast(_SEGMENTS).alias("segments"),
+        F.when(F.col("split"), F.array(F.struct(F.lit("two_values").alias("rule"), F.lit(0).cast("bigint").alias("step"))))
+        .otherwise(F.array().cast(_BROKEN)).cast(_BROKEN).alias("broken"),
+    )
+    return cut_lineage(folded.unionByName(still))
 
 
 def hard_violations(
@@ -515,15 +774,37 @@ def final_value(folded: DataFrame, violations: DataFrame | None = None) -> DataF
     )
 
 
-def soft_violations(
+def _cover(lo: Column, hi: Column) -> Column:
+    """The aligned stretches (level, place) of 2^level steps that make up lo..hi: at most two a level."""
+
+    def at(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        left = F.call_function("div", lo + size - 1, size)
+        right = F.call_function("div", hi + 1, size)
+        here = left < right
+        first = here & (left % 2 == 1)
+        last = here & (right % 2 == 1) & (left + left % 2 < right)
+        return F.array(
+            F.when(first, F.struct(k.alias("level"), left.alias("place"))), F.when(last, F.struct(k.alias("level"), (right - 1).alias("place")))
+        )
+
+    levels = F.sequence(F.lit(0), F.length(F.bin(hi + 1)))
+    return F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())
+
+
+def soft_violation_spans(
     folded: DataFrame, transfers: DataFrame | None = None, physical: list[str] | None = None,
     violations: DataFrame | None = None,
 ) -> DataFrame:
-    """Negative physical states and transfers larger than what the giver holds."""
-    states = persist(folded, violations)
+    """Negative physical states and transfers larger than what the giver holds, as (rule, first step, last step).
+
+    States are not blown up to steps.  A state's stretch of steps is made up of a few aligned stretches of 2^k steps and
+    a transfer's step lies in one of each size, so the two meet in an equality join.
+    """
+    states = _sound(folded, violations).select(*CHAIN, F.inline("segments"))
     attrs = PHYSICAL_ATTRIBUTES if physical is None else physical
     low = states.filter(F.col("attr").isin(attrs) & (F.col("val") < 0)).select(
-        "problem_id", F.lit("negative_value").alias("rule"), "entity", "attr", "step"
+        "problem_id", F.lit("negative_value").alias("rule"), "entity", "attr", F.col("lo").alias("first_step"), F.col("hi").alias("last_step")
     )
     if transfers is None:
         return low.distinct()
@@ -532,10 +813,23 @@ def soft_violations(
         F.col("step").cast("bigint").alias("step"), "amount",
     )
     # the largest transfer of a giver and step decides, so copies of it are not joined one by one
-    largest = moves.groupBy(*CHAIN, "step").agg(F.max("amount").alias("amount"))
-    short = (
-        largest.join(states, [*CHAIN, "step"])
-        .filter("val < amount")
-        .select("problem_id", F.lit("insufficient_amount").alias("rule"), "entity", "attr", "step")
+    largest = moves.filter("step >= 0").groupBy(*CHAIN, "step").agg(F.max("amount").alias("amount"))
+    widest = states.agg(F.max(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
+    # no stretch is larger than the longest state
+    sizes = F.sequence(F.lit(0), F.lit(max(int(widest).bit_length() - 1, 0)))
+    at = largest.select("*", F.explode(sizes).alias("level")).withColumn("place", F.expr("shiftright(step, level)"))
+    covered = states.filter("val is not null").select(*CHAIN, "val", F.inline(_cover(F.col("lo"), F.col("hi"))))
+    short = at.join(covered, [*CHAIN, "level", "place"]).filter("val < amount").select(
+        "problem_id", F.lit("insufficient_amount").alias("rule"), "entity", "attr", F.col("step").alias("first_step"), F.col("step").alias("last_step")
     )
     return low.union(short).distinct()
+
+
+def soft_violations(
+    folded: DataFrame, transfers: DataFrame | None = None, physical: list[str] | None = None,
+    violations: DataFrame | None = None,
+) -> DataFrame:
+    """``soft_violation_spans`` with one row for each step that breaks a rule."""
+    spans = soft_violation_spans(folded, transfers, physical, violations)
+    steps = F.sequence("first_step", "last_step")
+    return spans.select("problem_id", "rule", "entity", "attr", F.explode(steps).alias("step")).distinct()

@@ -390,15 +390,71 @@ def _single_moves(s, d):
     horizon = moves.select("problem_id", F.lit(2).cast("bigint").alias("max_step"))
     empty = view(s, d, "ops").filter("step < 0")
     run = ledger.fold_timeline(start, empty, horizon, moves)
-    return ledger.soft_violations(run, moves, ["click", "purchase"], ledger.hard_violations(run, empty, horizon, moves))
+    return run, moves, ["click", "purchase"], ledger.hard_violations(run, empty, horizon, moves)
 
 
+add(
+    "j18_soft_violation_spans",
+    lambda s, d: ledger.soft_violation_spans(*_single_moves(s, d)),
+    """WITH m AS (SELECT event_id AS problem_id, user_id AS src, event_type AS item, CAST(round(value * 100) AS BIGINT) AS amount,
+      user_id * 100 % 3000 AS val FROM events)
+    SELECT problem_id, 'insufficient_amount' AS rule, src AS entity, item AS attr, CAST(0 AS BIGINT) AS first_step,
+      CAST(0 AS BIGINT) AS last_step FROM m WHERE val < amount
+    UNION ALL SELECT problem_id, 'negative_value', src, item, 1, 2 FROM m WHERE val < amount AND item IN ('click', 'purchase')""",
+)
 add(
     "j18_soft_violations",
-    _single_moves,
+    lambda s, d: ledger.soft_violations(*_single_moves(s, d)),
     """WITH m AS (SELECT event_id AS problem_id, user_id AS src, event_type AS item, CAST(round(value * 100) AS BIGINT) AS amount,
       user_id * 100 % 3000 AS val FROM events)
     SELECT problem_id, 'insufficient_amount' AS rule, src AS entity, item AS attr, CAST(0 AS BIGINT) AS step FROM m WHERE val < amount
     UNION ALL SELECT problem_id, 'negative_value', src, item, CAST(t AS BIGINT) FROM m, range(1, 3) r(t)
       WHERE val < amount AND item IN ('click', 'purchase')""",
 )
+
+
+# --- long chains --------------------------------------------------------------------------------
+
+
+def _long_relations(s, d):
+    """Every order is worth as much as the one before it, or as much below zero; the first one's value is given."""
+    orders = table(s, d, "orders").select(
+        (F.col("o_custkey") * 0).alias("problem_id"), F.lit("multiple").alias("kind"), F.col("o_orderkey").alias("entity"),
+        (F.col("o_orderkey") - 1).alias("other"), F.when(F.col("o_custkey") % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).cast("bigint").alias("amount"),
+    )
+    first = orders.agg(F.min("problem_id").alias("problem_id"), (F.min("entity") - 1).alias("entity"), F.lit(750).cast("bigint").alias("val"))
+    return ledger.derive_relations(orders, first)
+
+
+add(
+    "j9_long_chain",
+    _long_relations,
+    """SELECT 0 AS problem_id, o_orderkey AS entity, CAST(750 * CASE WHEN sum(o_custkey % 2) OVER (ORDER BY o_orderkey) % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) AS val
+    FROM orders UNION ALL SELECT 0, min(o_orderkey) - 1, 750 FROM orders""",
+)
+
+
+def _long_fold(s, d):
+    """All events of a type as one chain of operations, one a step."""
+    e = table(s, d, "events")
+    kind = F.when(F.col("event_id") % 977 == 0, "set_to").when(F.col("event_id") % 3 == 0, "add_to").when(F.col("event_id") % 3 == 1, "sub_from")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    ops = e.select(
+        F.col("event_type").alias("problem_id"), F.lit(1).alias("entity"), F.lit("worth").alias("attr"), F.col("event_id").alias("step"),
+        kind.otherwise(F.when(F.col("event_id") % 2 == 0, "mul_by").otherwise("div_by")).alias("op"),
+        F.when((F.col("event_id") % 977 != 0) & (F.col("event_id") % 3 == 2), F.lit(1)).otherwise(cents).cast("bigint").alias("amount"),
+    )
+    start = ops.select("problem_id", "entity", "attr").distinct().withColumn("val", F.lit(500).cast("bigint"))
+    return ledger.fold_timeline(start, ops, ops.groupBy("problem_id").agg((F.max("step") + 1).alias("max_step")))
+
+
+add(
+    "j14_long_chain",
+    lambda s, d: ledger.timeline(_long_fold(s, d)).drop("entity", "attr"),
+    """WITH o AS (SELECT event_type AS problem_id, event_id AS step, event_id % 977 = 0 AS put, CAST(round(value * 100) AS BIGINT) AS x,
+      CASE WHEN event_id % 977 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN -1 ELSE 0 END AS sign FROM events),
+    g AS (SELECT *, sum(CASE WHEN put THEN 1 ELSE 0 END) OVER (PARTITION BY problem_id ORDER BY step) AS part FROM o)
+    SELECT problem_id, step + 1 AS step, CAST(CASE WHEN part = 0 THEN 500 ELSE first(x) OVER w END + sum(sign * x) OVER w AS BIGINT) AS val
+    FROM g WINDOW w AS (PARTITION BY problem_id, part ORDER BY step)
+    UNION ALL SELECT DISTINCT problem_id, 0, 500 FROM o""",
+)
