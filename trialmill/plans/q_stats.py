@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, stats
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import trials as log
 from . import report
 from .fixtures import cte, view
@@ -223,8 +223,13 @@ add(
 )
 
 
+def _log(s, d):
+    """The trials as a written log, which is what its tables read."""
+    return cut_lineage(trials(s, d))
+
+
 def _with_intervals(s, d):
-    t = trials(s, d)
+    t = _log(s, d)
     tables = {"robustness": metrics.robustness(t), "complexity": metrics.complexity_decay(t), "cost": metrics.cost_summary(t),
               "self_correction": metrics.self_correction(t), "routing": metrics.routing_summary(t)}
     out = stats.attach_intervals(t, tables)
@@ -237,6 +242,55 @@ def _with_intervals(s, d):
 
 add("f8_attach_intervals", _with_intervals)
 
+# every interval of the five tables: table, prefix, the value resampled, and the rows that count
+_BANDS = [
+    ("robustness", "base", "correct", "variant = 'base'"),
+    ("robustness", "noop", "correct", "variant = 'noop'"),
+    ("complexity", "base", "correct", "variant = 'base'"),
+    ("complexity", "p1", "correct", "variant = 'p1'"),
+    ("complexity", "p2", "correct", "variant = 'p2'"),
+    ("cost", "tokens", "tokens_input + tokens_output", "true"),
+    ("cost", "time", "execution_time_ms", "true"),
+    ("self_correction", "correction", "correct", "iterations > 1"),
+    ("routing", "fast", "correct", "path_taken = 'fast'"),
+    ("routing", "slow", "correct", "path_taken = 'slow'"),
+]
+
+
+def _interval_bands(s, d):
+    """Each interval of each table next to the normal one: its ends within 0.3 standard errors and one row's weight."""
+    t = _log(s, d)
+    tables = {"robustness": metrics.robustness(t), "complexity": metrics.complexity_decay(t), "cost": metrics.cost_summary(t),
+              "self_correction": metrics.self_correction(t), "routing": metrics.routing_summary(t)}
+    out = stats.attach_intervals(t, tables)
+    ends = reduce(DataFrame.unionByName, [
+        out[name].select(F.lit(name).alias("table"), F.lit(p).alias("metric"), "system", F.col(f"{p}_ci_lower").alias("lo"), F.col(f"{p}_ci_upper").alias("hi"))
+        for name, p, _, _ in _BANDS
+    ])
+    values = F.array(*[
+        F.struct(F.lit(name).alias("table"), F.lit(p).alias("metric"), F.when(F.expr(rows), F.expr(f"CAST({value} AS DOUBLE)")).alias("v"))
+        for name, p, value, rows in _BANDS
+    ])
+    v = F.col("v")
+    moments = t.select("system", F.inline(values)).filter("v is not null").groupBy("table", "metric", "system").agg(
+        F.avg(v).alias("m"), (F.stddev_pop(v) / F.sqrt(F.count(v))).alias("se"), F.count(v).alias("n"), F.max(F.abs(v)).alias("top")
+    )
+    slack = 0.3 * F.col("se") + F.col("top") / F.col("n")
+    near = lambda end, sign: F.abs(F.col(end) - (F.col("m") + sign * 1.959964 * F.col("se"))) <= slack
+    return moments.join(ends, ["table", "metric", "system"]).select(
+        "table", "metric", "system", F.round("m", 6).alias("value"), near("lo", -1).alias("lower_is_near"), near("hi", 1).alias("upper_is_near")
+    )
+
+
+add(
+    "f8_interval_bands",
+    _interval_bands,
+    f"{T} " + " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", '{p}' AS metric, system, round(avg(CAST({value} AS DOUBLE)), 6) AS value, true AS lower_is_near, true AS upper_is_near
+        FROM trials WHERE {rows} GROUP BY 3""" for name, p, value, rows in _BANDS
+    ),
+)
+
 
 def _intervals_hold(s, d):
     """Each interval of the robustness table lies around its own metric."""
