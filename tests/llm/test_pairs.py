@@ -93,6 +93,41 @@ def test_interval_tree_finds_all_maximal_repeats():
             pairs = [p for p in pairs if sum(p) >= need]
             assert best[i] == ((max(p[0] for p in pairs), max(p[1] for p in pairs)) if pairs else None)
             assert bool(mine) >= bool(pairs)
+        order = rng.sample(range(100), len(sides))
+        best = suffixes.reach(left, right, need, order)
+        for i in range(len(sides)):
+            pairs = [(suffixes.common(left[i], left[j]), suffixes.common(right[i], right[j])) for j in range(len(sides)) if order[j] < order[i]]
+            pairs = [p for p in pairs if sum(p) >= need]
+            assert best[i] == ((max(p[0] for p in pairs), max(p[1] for p in pairs)) if pairs else None)
+
+
+def brute_first_copies(texts, length):
+    """Texts without bytes that an earlier equal window covers, in the order of (text key, place); ids are the numbers."""
+    raws = [(t or "").encode() for t in texts]
+    order = sorted(range(len(raws)), key=lambda i: (hashlib.sha256(raws[i]).digest()[:16], i))
+    seen, out, held_by_key = set(), {}, set()
+    for i in order:
+        raw = raws[i]
+        if raw in held_by_key and len(raw) >= length:
+            out[i] = ""
+            continue
+        held = bytearray(len(raw))
+        for k in range(len(raw) - length + 1):
+            window = raw[k : k + length]
+            if window in seen and raw not in held_by_key:
+                held[k : k + length] = b"\x01" * length
+            seen.add(window)
+        held_by_key.add(raw)
+        out[i] = bytes(x for x, h in zip(raw, held, strict=True) if not h).decode("utf-8", "ignore")
+    return [out[i] for i in range(len(raws))]
+
+
+@pytest.mark.parametrize("group_rows", [20_000, 2])
+def test_one_copy_of_a_passage_stays(make_docs, group_rows):
+    texts = passages(random.Random(5)) + ["c" * 700 + "d", "x" + "c" * 90]
+    left = suffixes.without_repeats(make_docs(enumerate(texts)), 60, group_rows=group_rows, keep_first=True).collect()
+    got = {r["doc_id"]: r["text"] or "" for r in left}
+    assert [got[i] for i in range(len(texts))] == brute_first_copies(texts, 60)
 
 
 def test_repeated_rows_and_columns(make_docs, spark):
@@ -100,9 +135,46 @@ def test_repeated_rows_and_columns(make_docs, spark):
     left = suffixes.without_repeats(docs, 60)
     assert left.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, ""), (1, ""), (1, ""), (2, "plain")]
+    # with one copy kept, rows of the smallest id keep their text up to the run's own repeats
+    left = suffixes.without_repeats(make_docs([(2, "word list " * 3 + "q" * 40), (1, "word list " * 3 + "q" * 40), (1, "word list " * 3 + "q" * 40)]), 60, keep_first=True)
+    assert sorted((r["doc_id"], len(r["text"])) for r in left.collect()) == [(1, 70), (1, 70), (2, 0)]
     assert suffixes.repeated_bytes(make_docs([]), 60).count() == 0
-    groups = suffixes.repeat_groups(make_docs([(1, "x" + "q" * 3 + "abcdefgh" * 8), (2, "zz" + "abcdefgh" * 8 + "!")]), 60).collect()
-    assert {r["size"] for r in groups} >= {64}
+
+
+def test_repeat_groups_by_brute_force(make_docs):
+    rng = random.Random(12)
+    texts = passages(rng)[:34] + ["z" * 300]
+    length = 60
+    rows = suffixes.repeat_groups(make_docs(enumerate(texts)), length).collect()
+    raws = {hashlib.sha256((t or "").encode()).digest()[:16]: (t or "").encode() for t in texts}
+    groups, held = {}, {k: bytearray(len(r)) for k, r in raws.items()}
+    for r in rows:
+        for start in range(r["start"], r["start"] + r["span"]):
+            groups.setdefault((r["anchor"], r["to_left"], r["size"], r["group"]), set()).add((bytes(r["key"]), start))
+    for (_, _, size, _), places in groups.items():
+        strings = {raws[k][s : s + size] for k, s in places}
+        assert len(strings) == 1 and len(places) > 1 and size >= length
+        for k, s in places:
+            held[k][s : s + size] = b"\x01" * size
+    seen = Counter(raw[i : i + length] for raw in raws.values() for i in range(len(raw) - length + 1))
+    for k, raw in raws.items():
+        want = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                want[i : i + length] = b"\x01" * length
+        assert held[k] == want
+    # every occurrence of a repeated window is in one group with all its others
+    for window, n in seen.items():
+        if n > 1:
+            places = {(k, i) for k, raw in raws.items() for i in range(len(raw) - length + 1) if raw[i : i + length] == window}
+            assert any(all(any(k2 == k and s <= i and i + length <= s + size for k2, s in g) for k, i in places) for (_, _, size, _), g in groups.items())
+            break
+
+
+def test_a_long_run_of_one_byte(make_docs):
+    texts = ["a" * 3_000_000 + "b", "plain " * 30]
+    rows = {r["doc_id"]: r for r in suffixes.repeated_bytes(make_docs(enumerate(texts))).collect()}
+    assert (rows[0]["n_bytes"], rows[0]["n_removed"], rows[0]["n_spans"], rows[1]["n_removed"]) == (3_000_001, 3_000_000, 1, 0)
 
 
 # Near duplicates
@@ -332,7 +404,8 @@ def test_pipeline_stages(spark, make_docs):
     assert {r["doc_id"] for r in out["language"]} == {1, 2, 3, 6, 7, 8, 9}
     assert {r["doc_id"] for r in out["near_duplicates"]} == {1, 6, 7, 8, 9}
     cut = {r["doc_id"]: r["text"] for r in out["repeated_passages"]}
-    assert passage[10:-10] not in cut[6] and passage[10:-10] not in cut[7] and cut[1] == base
+    assert (passage in cut[6]) != (passage in cut[7]) and cut[1] == base  # one copy stays
+    assert all(passage in cut[i] or passage[10:-10] not in cut[i] for i in (6, 7))
     assert all("abcd1234efgh5678" not in r["text"] and r["n_chars"] == len(r["text"]) for r in out["secrets"])
     assert {r["doc_id"] for r in out["packing"]} == {1, 6, 7, 8, 9}
     empty = _kept(spark, make_docs([]).selectExpr("doc_id", "text", "'' lang", "'' source", "0L n_chars"))

@@ -3,23 +3,28 @@
 A passage is a byte string of at least ``length`` bytes that starts at two places or more, in
 one text or in several.  Two equal strings of ``length`` bytes share an anchor: the
 ``GRAM``-byte stretch with the smallest hash among those inside them.  Texts send only
-their anchors; anchors seen once are dropped, and for the others the bytes to the left
-and right come together by anchor.
+their anchors; anchors seen once are dropped.
 
-Per anchor a suffix array (places sorted by what follows) with its common-prefix lengths is
+What decides about a place is its context, the bytes around the anchor that a passage can reach.  Places
+of one anchor and equal context are counted and go on as one, before any of their bytes are sent: a context that occurs
+twice repeats as a whole, and only anchors with different contexts compare them.  A run of one
+byte has equal contexts all along and goes as one place.
+
+Per anchor a suffix array (contexts sorted by what follows) with its common-prefix lengths is
 scanned with a stack, which visits every interval of the prefix tree once, deepest first.
-Within an interval the places are ordered by what precedes them, read backwards, and the same scan over
+Within an interval the contexts are ordered by what precedes them, read backwards, and the same scan over
 these finds where left extensions differ.  Each pair of intervals is a maximal repeat with all of its
 places, not only neighbours; those long enough mark their bytes.
 
-Groups beyond ``GROUP_ROWS`` places are not collected.  For them windows around the anchor
+Anchors with more than ``GROUP_ROWS`` different contexts are not collected.  For them windows around the anchor
 become keys, and the outermost windows counted twice mark their bytes; the result is the same.
 
-Texts that are equal as a whole collapse first: all their windows repeat.
+Either every occurrence of a passage counts (``repeated_bytes``), or all but the first in the order of (text
+key, place), so that one copy stays (``without_repeats(..., keep_first=True)``).
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; repeated
-rows count as repeated texts, so a long one loses all its bytes in every row; a null id is
-an id like any other; other columns are ignored.
+rows count as repeated texts, so a long one loses all its bytes in every row, or with ``keep_first``
+in every row but those of the smallest id; a null id is an id like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -163,34 +168,47 @@ def tree(left: list[bytes], right: list[bytes], need: int):
         yield length, members, [common(left[a], left[b]) for a, b in zip(members, members[1:], strict=False)]
 
 
-def reach(left: list[bytes], right: list[bytes], need: int) -> list[tuple[int, int] | None]:
-    """How far each place's repeats extend to the left and right of the anchor; None without one.
+def _nearest_earlier(shared: list[int], order: list) -> list[int]:
+    """For each member the longest prefix that it shares with an earlier one, -1 without one.
+
+    ``shared[i]`` is what members i and i + 1 have in common.  Of the earlier members on a side the
+    nearest shares most; a stack of rising orders finds it.
+    """
+
+    def one_side(shared, order):
+        best, stack = [], []
+        for k, own in enumerate(order):
+            if stack:
+                stack[-1][1] = min(stack[-1][1], shared[k - 1])
+            while stack and stack[-1][0] > own:
+                gap = stack.pop()[1]
+                if stack:
+                    stack[-1][1] = min(stack[-1][1], gap)
+            best.append(stack[-1][1] if stack else -1)
+            stack.append([own, 1 << 62])
+        return best
+
+    after = one_side(shared[::-1], order[::-1])[::-1]
+    return [max(a, b) for a, b in zip(one_side(shared, order), after, strict=True)]
 
-    A repeat is long enough if both extensions reach ``need`` together.
+
+def reach(left: list[bytes], right: list[bytes], need: int, order: list | None = None) -> list[tuple[int, int] | None]:
+    """How far each context's repeats extend to the left and right of the anchor; None without one.
+
+    A repeat is long enough if both extensions reach ``need`` together.  With ``order`` only
+    repeats of earlier contexts count.  Contexts are different from each other.
     """
     most = [[-1, -1] for _ in left]
-    same: dict[tuple[bytes, bytes], list[int]] = {}
-    for i, sides in enumerate(zip(left, right, strict=True)):
-        same.setdefault(sides, []).append(i)
-    firsts = []
-    for (a, b), places in same.items():
-        firsts.append(places[0])
-        if len(places) > 1 and len(a) + len(b) >= need:
-            most[places[0]] = [len(a), len(b)]
-    if len(firsts) > 1:
-        for length, members, shared in tree([left[i] for i in firsts], [right[i] for i in firsts], need):
-            for k, to_left in enumerate(shared):
-                if length + to_left >= need:
-                    for m in (members[k], members[k + 1]):
-                        best = most[firsts[m]]
-                        best[0] = max(best[0], to_left)
-                        best[1] = max(best[1], length)
-    out: list[tuple[int, int] | None] = [None] * len(left)
-    for places in same.values():
-        a, b = most[places[0]]
-        for p in places:
-            out[p] = (a, b) if a >= 0 else None
-    return out
+    if len(left) > 1:
+        for length, members, shared in tree(left, right, need):
+            if order is None:
+                found = [max(a, b) for a, b in zip([-1, *shared], [*shared, -1], strict=True)]
+            else:
+                found = _nearest_earlier(shared, [order[m] for m in members])
+            for m, to_left in zip(members, found, strict=True):
+                if to_left >= 0 and length + to_left >= need:
+                    most[m] = [max(most[m][0], to_left), max(most[m][1], length)]
+    return [(a, b) if a >= 0 else None for a, b in most]
 
 
 def maximal_repeats(left: list[bytes], right: list[bytes], need: int):
@@ -221,8 +239,33 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(_raw(text), 256)), 1, 16)
 
 
+def _stretches(raw: bytes, places: list[int], hashes: list[int], gram: int, need: int):
+    """(anchor, place, span, context, left size, right size) of a text's anchors.
+
+    Neighbouring places with one hash hold one byte throughout; those whose context lies within
+    such a run have equal contexts and go as one stretch of ``span`` places.
+    """
+    i, n = 0, len(places)
+    while i < n:
+        j = i + 1
+        while j < n and places[j] == places[j - 1] + 1 and hashes[j] == hashes[i]:
+            j += 1
+        inner = (i + need, j - need) if j - i > 2 * need + 1 else (j, j)
+        k = i
+        while k < j:
+            at = places[k]
+            left, right = raw[max(0, at - need) : at], raw[at + gram : at + gram + need]
+            span = inner[1] - k if k == inner[0] else 1
+            yield hashes[k], at, span, xxh3_64_intdigest(b"%d:%b|%b" % (len(left), left, right)) - (1 << 63), len(left), len(right)
+            k += span
+        i = j
+
+
 def anchor_rows(docs: DataFrame, length: int, text_column: str) -> DataFrame:
-    """(key, size, hashes, places) of each row's text.  No shuffle."""
+    """(key, size, found) of each row's text: its anchors and their contexts.  No shuffle."""
+    gram = gram_of(length)
+    need = length - gram
+    kind = pa.struct([("anchor", pa.int64()), ("place", pa.int64()), ("span", pa.int64()), ("context", pa.int64()), ("nl", pa.int16()), ("nr", pa.int16())])
 
     def run(batches):
         for b in batches:
@@ -230,50 +273,57 @@ def anchor_rows(docs: DataFrame, length: int, text_column: str) -> DataFrame:
             for lo, hi in text_batches(texts, SLICE):
                 raws = [(t or "").encode() for t in texts.slice(lo, hi - lo).to_pylist()]
                 owner, place, h = anchors(raws, length)
-                cuts = np.searchsorted(owner, np.arange(len(raws) + 1)).astype(np.int32)
+                cuts = np.searchsorted(owner, np.arange(len(raws) + 1)).tolist()
+                rows, ends = [], [0]
+                for raw, first, last in zip(raws, cuts, cuts[1:], strict=False):
+                    rows += _stretches(raw, place[first:last].tolist(), h[first:last].view(np.int64).tolist(), gram, need)
+                    ends.append(len(rows))
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                found = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([hashlib.sha256(r).digest()[:16] for r in raws], pa.binary()),
                         pa.array([len(r) for r in raws], pa.int64()),
-                        pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64))),
-                        pa.ListArray.from_arrays(cuts, pa.array(place.astype(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found),
                     ],
-                    ["key", "size", "hashes", "places"],
+                    ["key", "size", "found"],
                 )
 
-    return docs.select(F.col(text_column).alias("text")).mapInArrow(run, "key binary, size long, hashes array<long>, places array<long>")
+    item = "struct<anchor: long, place: long, span: long, context: long, nl: smallint, nr: smallint>"
+    return docs.select(F.col(text_column).alias("text")).mapInArrow(run, f"key binary, size long, found array<{item}>")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int, text_column: str) -> DataFrame:
-    """(anchor, n, key, place, left, right): the bytes around each wanted anchor; left is reversed."""
+    """(anchor, kinds, context, key, place, left, right): the bytes around each wanted place; left is reversed."""
     gram = gram_of(length)
-    reach_ = length - gram
+    need = length - gram
 
     def run(batches):
         for b in batches:
             for lo, hi in text_batches(b.column(1)):
                 part = b.slice(lo, hi - lo)
-                row, hashes, sizes, places, left, right = [], [], [], [], [], []
+                row, named, left, right = [], [], [], []
                 for i, (text, found) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     raw = (text or "").encode()
                     for f in found:
                         at = f["place"]
                         row.append(i)
-                        hashes.append(f["anchor"])
-                        sizes.append(f["n"])
-                        places.append(at)
-                        left.append(raw[max(0, at - reach_) : at][::-1])
-                        right.append(raw[at + gram : at + gram + reach_])
-                    if len(row) > 20_000 or i + 1 == part.num_rows:
+                        named.append((f["anchor"], f["kinds"], f["context"], at))
+                        left.append(raw[max(0, at - need) : at][::-1])
+                        right.append(raw[at + gram : at + gram + need])
+                    if len(row) > 20_000 or (row and i + 1 == part.num_rows):
+                        anchor, kinds, context, place = (pa.array(c, pa.int64()) for c in zip(*named, strict=True))
+                        keys = part.column(0).take(pa.array(row, pa.int64()))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), part.column(0).take(pa.array(row, pa.int64())), pa.array(places, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                            ["anchor", "n", "key", "place", "left", "right"],
+                            [anchor, kinds, context, keys, place, pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                            ["anchor", "kinds", "context", "key", "place", "left", "right"],
                         )
-                        row, hashes, sizes, places, left, right = [], [], [], [], [], []
+                        row, named, left, right = [], [], [], []
 
     # One row of each distinct text; its shuffle also serves the join.
     texts = docs.select(text_key(F.col(text_column)).alias("key"), F.col(text_column).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    return texts.join(wanted, "key").select("key", "text", "found").mapInArrow(run, "anchor long, n long, key binary, place long, left binary, right binary")
+    kinds = "anchor long, kinds long, context long, key binary, place long, left binary, right binary"
+    return texts.join(wanted, "key").select("key", "text", "found").mapInArrow(run, kinds)
 
 
 def _groups(batches):
@@ -297,25 +347,24 @@ def _groups(batches):
         yield pa.Table.from_batches(held)
 
 
-def _by_tree(batches, need: int):
+def _by_tree(batches, need: int, keep_first: bool):
     for t in _groups(batches):
         if not t.num_rows:
             continue
-        ids = np.asarray(t.column("anchor"))
-        keys, places = t.column("key").to_pylist(), t.column("place").to_pylist()
+        ids, contexts_ = np.asarray(t.column("anchor")), np.asarray(t.column("context"))
         left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
+        order = list(zip(t.column("key").to_pylist(), t.column("place").to_pylist(), strict=True)) if keep_first else None
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]).tolist()
-        out_key, out_place, out_left, out_right = [], [], [], []
+        at, to_left, to_right = [], [], []
         for lo, hi in zip(starts, [*starts[1:], len(ids)], strict=True):
-            for i, found in zip(range(lo, hi), reach(left[lo:hi], right[lo:hi], need), strict=True):
+            for i, found in zip(range(lo, hi), reach(left[lo:hi], right[lo:hi], need, order and order[lo:hi]), strict=True):
                 if found:
-                    out_key.append(keys[i])
-                    out_place.append(places[i])
-                    out_left.append(found[0])
-                    out_right.append(found[1])
+                    at.append(i)
+                    to_left.append(found[0])
+                    to_right.append(found[1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out_key, pa.binary()), pa.array(out_place, pa.int64()), pa.array(out_left, pa.int64()), pa.array(out_right, pa.int64())],
-            ["key", "place", "to_left", "to_right"],
+            [pa.array(ids[at], pa.int64()), pa.array(contexts_[at], pa.int64()), pa.array(to_left, pa.int64()), pa.array(to_right, pa.int64())],
+            ["anchor", "context", "to_left", "to_right"],
         )
 
 
@@ -356,57 +405,88 @@ def _windows(batches, need: int):
         yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(lefts, pa.int64()), pa.array(hashes, pa.int64())], ["member", "to_left", "window"])
 
 
-def _by_windows(hot: DataFrame, need: int) -> DataFrame:
-    """Reach of the places in groups that are too large to collect: (key, place, to_left, to_right).
+def _by_windows(hot: DataFrame, need: int, keep_first: bool) -> DataFrame:
+    """Reach of the contexts of anchors that have too many to collect: (anchor, context, to_left, to_right).
 
-    Only a place's outermost repeated windows matter.  Cells whose core is unique hold none;
+    Only a context's outermost repeated windows matter.  Cells whose core is unique hold none;
     of the others the outermost are opened, and the next ones where these hold none.  A
-    cell is opened for every place that has its core, so counts are whole.
+    cell is opened for every context that has its core, so counts are whole.  Where the first copy
+    stays, a window or core counts for all but the first of those that share it.
     """
-    hot = cut(hot.withColumn("member", F.monotonically_increasing_id()), "hot")
-    cells = cut(hot.select("member", "anchor", "left", "right").mapInArrow(lambda b: _cells(b, need), "member long, cell int, core long"), "cells")
-    shared = cells.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
+    hot = cut(hot.withColumn("member", F.monotonically_increasing_id()).withColumn("rank", F.struct("key", "place")), "hot")
+    cells = hot.select("member", "anchor", "left", "right").mapInArrow(lambda b: _cells(b, need), "member long, cell int, core long")
+    cells = cut(cells.join(hot.select("member", "rank"), "member"), "cells")
+    shared = cells.groupBy("core").agg(F.count("*").alias("_n"), F.min("rank").alias("_first")).where("_n > 1").select("core", "_first")
     cells = cut(cells.join(shared, "core"), "shared")
-    found, waiting = None, cells
+    found, waiting = None, cells.where("rank > _first") if keep_first else cells
     while waiting.limit(1).count():
         ends = waiting.groupBy("member").agg(F.max("cell").alias("_top"), F.min("cell").alias("_low"))
         outer = waiting.join(ends, "member").where("cell = _top OR cell = _low").select("core").distinct()
         opened = cut(cells.join(outer, "core").groupBy("member").agg(F.collect_set("cell").alias("cells")), "opened")
         windows = hot.select("member", "anchor", "left", "right").join(opened, "member").mapInArrow(lambda b: _windows(b, need), "member long, to_left long, window long")
-        windows = cut(windows, "windows")
-        twice = windows.groupBy("window").agg(F.count("*").alias("_n")).where("_n > 1").select("window")
-        hits = windows.join(twice, "window").groupBy("member").agg(F.max("to_left").alias("top"), F.min("to_left").alias("low"))
+        windows = cut(windows.join(hot.select("member", "rank"), "member"), "windows")
+        twice = windows.groupBy("window").agg(F.count("*").alias("_n"), F.min("rank").alias("_first")).where("_n > 1").select("window", "_first")
+        hits = windows.join(twice, "window").where("rank > _first" if keep_first else "true").groupBy("member").agg(F.max("to_left").alias("top"), F.min("to_left").alias("low"))
         found = cut(hits if found is None else found.union(hits).groupBy("member").agg(F.max("top").alias("top"), F.min("low").alias("low")), "hits")
         # Open cells beyond what is known at either end.
         left = waiting.join(outer, "core", "left_anti").join(found, "member", "left")
         waiting = cut(left.where(f"top IS NULL OR cell > top DIV {CELL} OR cell < low DIV {CELL}").select("core", "member", "cell"), "waiting")
     if found is None:
-        return hot.select("key", "place", F.lit(0).cast("long").alias("to_left"), F.lit(0).cast("long").alias("to_right")).where("false")
-    return hot.select("member", "key", "place").join(found, "member").select("key", "place", F.col("top").alias("to_left"), (F.lit(need) - F.col("low")).alias("to_right"))
+        return hot.select("anchor", "context", F.lit(0).cast("long").alias("to_left"), F.lit(0).cast("long").alias("to_right")).where("false")
+    return hot.select("member", "anchor", "context").join(found, "member").select("anchor", "context", F.col("top").alias("to_left"), (F.lit(need) - F.col("low")).alias("to_right"))
 
 
-def covered(docs: DataFrame, length: int = LENGTH, text_column: str = "text", group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+def _distinct_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, contexts): each anchor place, and each repeated anchor's contexts with copies, first place and kinds."""
+    # One row per distinct text; equal texts have equal anchors.
+    once = rows.where(F.size("found") > 0).dropDuplicates(["key"])
+    each = once.select("key", F.inline("found"))
+    # Copies of a context are counted before anything of them is sent.
+    kinds = each.groupBy("anchor", "context").agg(
+        F.sum("span").alias("copies"), F.min(F.struct("key", "place")).alias("first"), F.first("nl").alias("nl"), F.first("nr").alias("nr")
+    )
+    kinds = cut(kinds, "kinds")
+    repeated = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("n")).where("n > 1")
+    return each, cut(kinds.join(repeated.select("anchor", "kinds"), "anchor"), "repeated")
+
+
+def covered(
+    docs: DataFrame, length: int = LENGTH, text_column: str = "text", group_rows: int = GROUP_ROWS, keep_first: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(copies, spans): (key, size, copies) per distinct text, and (key, start, end) of repeated bytes."""
     gram = gram_of(length)
     need = length - gram
     rows = cut(anchor_rows(docs, length, text_column), "anchors")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.first("size").alias("size"))
-    # One row per distinct text; equal texts have equal anchors.
-    once = rows.where(F.size("hashes") > 0).dropDuplicates(["key"])
-    each = once.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("_a")).select(F.col("_a.hashes").alias("anchor"), "key", F.col("_a.places").alias("place"))
-    repeated = cut(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-
-    wanted = each.join(repeated, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "n", "place")).alias("found"))
+    each, repeated = _distinct_contexts(rows)
+    # A context that occurs twice repeats as a whole; different ones of an anchor are compared, one place of each.
+    wanted = repeated.where("kinds > 1").groupBy("first.key").agg(F.collect_list(F.struct("anchor", "kinds", "context", "first.place")).alias("found"))
     around = contexts(docs, wanted, length, text_column)
-    hot = repeated.where(F.col("n") > group_rows).limit(1).count() > 0
+    hot = repeated.where(F.col("kinds") > group_rows).limit(1).count() > 0
     if hot:
         around = cut(around, "contexts")
-    usual = around.where(F.col("n") <= group_rows).repartition("anchor").sortWithinPartitions("anchor")
-    every = usual.mapInArrow(lambda batches: _by_tree(batches, need), "key binary, place long, to_left long, to_right long")
+    usual = around.where(F.col("kinds") <= group_rows).repartition("anchor").sortWithinPartitions("anchor")
+    compared = usual.mapInArrow(lambda batches: _by_tree(batches, need, keep_first), "anchor long, context long, to_left long, to_right long")
     if hot:
-        every = every.union(_by_windows(around.where(F.col("n") > group_rows), need))
-    spans = every.select("key", (F.col("place") - F.col("to_left")).alias("start"), (F.col("place") + gram + F.col("to_right")).alias("end"))
-    return copies, spans
+        compared = compared.union(_by_windows(around.where(F.col("kinds") > group_rows), need, keep_first))
+    whole = (F.col("copies") > 1) & (F.col("nl") + F.col("nr") >= need)
+    judged = repeated.select("anchor", "context", "first", whole.alias("whole")).join(compared, ["anchor", "context"], "left").where("whole OR to_left IS NOT NULL")
+    marked = each.join(judged, ["anchor", "context"])
+
+    def stretch(place: Column, to_left: Column, to_right: Column) -> Column:
+        return F.struct((place - to_left).alias("start"), (F.col("place") + F.col("span") - 1 + gram + to_right).alias("end"))
+
+    full = stretch(F.col("place"), F.col("nl").cast("long"), F.col("nr").cast("long"))
+    partial = F.when(F.col("to_left").isNotNull(), stretch(F.col("place"), F.col("to_left"), F.col("to_right")))
+    if keep_first:
+        own = F.struct("key", "place") == F.col("first")
+        # The first place of a context is repeated only as far as an earlier context goes; the rest of its run is a copy.
+        rest = F.when(F.col("whole") & (F.col("span") > 1), stretch(F.col("place") + 1, F.col("nl").cast("long"), F.col("nr").cast("long")))
+        only = F.when(F.col("to_left").isNotNull(), F.struct((F.col("place") - F.col("to_left")).alias("start"), (F.col("place") + gram + F.col("to_right")).alias("end")))
+        found = F.when(own, F.array_compact(F.array(only, rest))).when(F.col("whole"), F.array(full)).otherwise(F.array().cast("array<struct<start: long, end: long>>"))
+    else:
+        found = F.array(F.when(F.col("whole"), full).otherwise(partial))
+    return copies, marked.select("key", F.inline(found))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -420,18 +500,22 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _finish(docs: DataFrame, length: int, id_column: str, text_column: str, keep: list[str], digest: bool, group_rows: int):
+def _finish(docs: DataFrame, length: int, id_column: str, text_column: str, keep: list[str], digest: bool, group_rows: int, keep_first: bool = False):
     """The rows of ``docs`` with what is left of each text."""
-    copies, spans = covered(docs, length, text_column, group_rows)
+    copies, spans = covered(docs, length, text_column, group_rows, keep_first)
     per_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    # Equal texts of ``length`` bytes or more lose everything.
+    # Equal texts of ``length`` bytes or more lose everything, or all but those of the smallest id do.
     whole = copies.where((F.col("copies") > 1) & (F.col("size") >= length)).select("key", F.lit(True).alias("_whole"))
+    if keep_first:
+        ids = docs.select(text_key(F.col(text_column)).alias("key"), F.col(id_column).alias("_id")).groupBy("key").agg(F.min("_id").alias("_least"))
+        whole = whole.join(ids, "key")
     removed = cut(per_text.join(whole, "key", "full"), "spans")
     # Numbered names inside, so that columns of any name pass through.
     outside = [id_column, *keep]
     names = [f"_c{i}" for i in range(len(outside))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(outside, names, strict=True)], F.col(text_column).alias("_text"), text_key(F.col(text_column)).alias("key"))
-    joined = rows.join(removed, "key", "left").select(*names, "_text", "_spans", "_whole")
+    gone = F.col("_whole") & ~F.col("_c0").eqNullSafe(F.col("_least")) if keep_first else F.col("_whole")
+    joined = rows.join(removed, "key", "left").select(*names, "_text", "_spans", gone.alias("_whole"))
     types = [docs.schema[c].dataType.simpleString() for c in outside]
 
     def run(batches):
@@ -470,43 +554,53 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     return _finish(docs, length, id_column, text_column, [], True, group_rows)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """The same rows and columns with repeated bytes taken out of the text.
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, text_column: str = "text", group_rows: int = GROUP_ROWS, keep_first: bool = False
+) -> DataFrame:
+    """The same rows and columns with repeated bytes taken out of the text; with ``keep_first`` one copy stays.
 
-    A character that a cut leaves in part goes as a whole.
+    A character that a cut leaves in part goes as a whole.  The first column other than the text is the id.
     """
     first, *keep = [c for c in docs.columns if c != text_column]
-    rest = _finish(docs, length, first, text_column, keep, False, group_rows)
+    rest = _finish(docs, length, first, text_column, keep, False, group_rows, keep_first)
     return rest.select(*[F.col("_left").alias(c) if c == text_column else F.col(c) for c in docs.columns])
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, text_column: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(anchor, size, key, start) of every place of every maximal repeat with at most ``group_rows`` places.
+def repeat_groups(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -> DataFrame:
+    """(anchor, to_left, size, group, key, start, span) of every place of every maximal repeat.
 
-    ``key`` names the text (``text_key``).  A repeat longer than twice ``length`` shows once per anchor
+    Rows with equal (anchor, to_left, size, group) are the places of one repeat; ``key`` names the text (``text_key``) and ``span``
+    counts neighbouring starts, more than one in a run of one byte.  Places with equal contexts share every repeat: they are
+    compared as one and joined back as rows.  A repeat longer than twice ``length`` shows once per anchor
     in it, with the extent visible from there.
     """
     gram = gram_of(length)
     need = length - gram
-    rows = cut(anchor_rows(docs, length, text_column), "anchors").where(F.size("hashes") > 0).dropDuplicates(["key"])
-    each = rows.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("_a")).select(F.col("_a.hashes").alias("anchor"), "key", F.col("_a.places").alias("place"))
-    repeated = each.groupBy("anchor").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= group_rows))
-    wanted = each.join(repeated, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "n", "place")).alias("found"))
+    rows = cut(anchor_rows(docs, length, text_column), "anchors")
+    each, repeated = _distinct_contexts(rows)
+    wanted = repeated.where("kinds > 1").groupBy("first.key").agg(F.collect_list(F.struct("anchor", "kinds", "context", "first.place")).alias("found"))
     around = contexts(docs, wanted, length, text_column).repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches):
         for t in _groups(batches):
-            ids = np.asarray(t.column("anchor"))
-            keys, places = t.column("key").to_pylist(), t.column("place").to_pylist()
+            ids, named = np.asarray(t.column("anchor")), np.asarray(t.column("context"))
             left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
             starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]).tolist() if len(ids) else []
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for lo, hi in zip(starts, [*starts[1:], len(ids)], strict=True):
                 for to_left, to_right, members in maximal_repeats(left[lo:hi], right[lo:hi], need):
                     for m in members:
-                        for to, value in zip(out, (int(ids[lo]), to_left + gram + to_right, keys[lo + m], places[lo + m] - to_left), strict=True):
-                            to.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["anchor", "size", "key", "start"])
-
-    return around.mapInArrow(run, "anchor long, size long, key binary, start long")
+                        for to, value in zip(out, (ids[lo], to_left, to_right, named[lo + members[0]], named[lo + m]), strict=True):
+                            to.append(int(value))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["anchor", "to_left", "to_right", "group", "context"])
+
+    several = around.mapInArrow(run, "anchor long, to_left long, to_right long, group long, context long")
+    alone = repeated.where((F.col("copies") > 1) & (F.col("nl") + F.col("nr") >= need)).select(
+        "anchor", F.col("nl").cast("long").alias("to_left"), F.col("nr").cast("long").alias("to_right"), F.col("context").alias("group"), "context"
+    )
+    # a context that another one continues is in that repeat already
+    several = cut(several, "several")
+    alone = alone.join(several, ["anchor", "to_left", "to_right", "context"], "left_anti")
+    groups = several.unionByName(alone).join(each.select("anchor", "context", "key", "place", "span"), ["anchor", "context"])
+    size = F.col("to_left") + gram + F.col("to_right")
+    return groups.select("anchor", "to_left", size.alias("size"), "group", "key", (F.col("place") - F.col("to_left")).alias("start"), "span")
