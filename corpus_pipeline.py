@@ -19,6 +19,8 @@ from trialmill.llm.common import cut, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Bytes from which a repeated passage goes: fifty words of prose and their blanks are 250 bytes and more.
+PASSAGE = 250
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -48,9 +50,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out passages of 400 bytes or more that occur elsewhere; texts with nothing left go."""
+    """Takes out passages of ``PASSAGE`` bytes or more but for one copy of each; texts with nothing left go."""
     small_batches(spark)
-    return _measured(suffixes.without_repeats(docs.select(*COLUMNS)).where(F.col("text").rlike(r"\S")))
+    rest = suffixes.without_repeats(docs.select(*COLUMNS), PASSAGE, keep_first=True)
+    return _measured(rest.where(F.col("text").rlike(r"\S")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
