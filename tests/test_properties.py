@@ -1,12 +1,14 @@
 """Properties: partition counts, hot keys, brute-force timelines, bootstrap shape, reduction moments."""
 
+import datetime as dt
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trialmill.operators import ledger, metrics, pairs, rank, routing, stats
+from trialmill.operators import ledger, metrics, pairs, prefix, rank, routing, stats
 from trialmill.operators.prefix import running
 
 
@@ -44,9 +46,35 @@ def test_running_keeps_null_keys(spark):
 
 def test_running_spreads_a_hot_key(spark, skewed):
     """The hot group's slices are several, none holding all of it."""
-    sliced = skewed.repartitionByRange(8, F.col("k"), F.col("o")).groupBy(F.spark_partition_id().alias("p"), "k").count()
+    bounds = prefix._bounds(skewed, ["k", "o"], 16)
+    sliced = skewed.groupBy("k", prefix._slice_of([F.col("k"), F.col("o")], bounds).alias("p")).count()
     hot = [r["count"] for r in sliced.filter("k = 'hot'").collect()]
-    assert len(hot) > 1 and max(hot) < 1000
+    assert len(hot) > 3 and max(hot) < 500
+
+
+def test_running_exchanges_rows_once(spark, skewed):
+    got = running(skewed.select("k", "o", "v"), ["k"], ["o"], "r", {"s": "v"}, total="n")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    # the rows' own exchange, and those of the few totals of cut groups
+    assert final.count("hashpartitioning(__slice") <= 2 and "rangepartitioning" not in final and "Scan parquet" not in final
+
+
+def test_running_over_kinds_of_columns(spark):
+    rng = random.Random(2)
+    words = ["", "a", "ab", "é", "z", None]
+    rows = [
+        (rng.choice(words), rng.choice([None, float("nan"), -0.5, 1e300, 2.0]), dt.datetime(2024, 3, 31, rng.randrange(24), rng.randrange(60), 0, rng.randrange(1000)),
+         dt.date(2024, 1, rng.randrange(1, 28)), i) for i in range(900)
+    ]
+    df = spark.createDataFrame(rows, "w string, x double, t timestamp, d date, i long")
+    for keys, order in ((["w"], ["t", "i"]), (["x", "w"], ["d", "i"]), ([], ["w", "x", "i"]), (["d"], [F.col("i") * -1])):
+        got = {r["i"]: r["r"] for r in running(df, keys, order, rank="r").collect()}
+        plain = Window.partitionBy(*keys).orderBy(*order)
+        want = {r["i"]: r["r"] for r in df.withColumn("r", F.row_number().over(plain)).collect()}
+        assert got == want
+    assert running(df.limit(0), ["w"], ["i"], rank="r").count() == 0
 
 
 def test_hot_groups_keep_whole_results(spark, skewed):
@@ -69,6 +97,8 @@ def test_split_first(spark):
     split = rank.split_first(df, 100, 50)
     assert dict(split.dtypes)["position"] == "bigint"
     assert {(r["problem_id"], r["split"]) for r in split.collect()} == {(i, "train" if i < 100 else "test") for i in range(150)}
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and rank.split_first(df, 400, 300).count() == 500
 
 
 def test_pareto_by_brute_force(spark):

@@ -96,11 +96,9 @@ def attempt_outcome(attempts: DataFrame, max_retries: int = 5) -> DataFrame:
 def split_first(df: DataFrame, n_train: int, n_test: int, order: Sequence[str] = ("problem_id",)) -> DataFrame:
     """The first ``n_train`` rows as train and the next ``n_test`` as test.
 
-    A sorted limit keeps ``n_train + n_test`` rows; these are ranked by slices.
+    Rows are ranked slice by slice, and slices beyond the asked rows are left out before the exchange: no task sorts all of a split.
     """
-    total = n_train + n_test
-    first = df.orderBy(*order).limit(total)
-    ranked = running(first, [], order, rank="position")
+    ranked = running(df, [], order, rank="position", upto=n_train + n_test)
     return ranked.withColumn("split", F.when(F.col("position") <= n_train, "train").otherwise("test"))
 
 
