@@ -212,6 +212,49 @@ def test_policy_state_survives_a_replay(spark, tmp_path):
         np.testing.assert_allclose(weights[a], [a, 1, 2], atol=1e-5)
 
 
+def test_readers_always_see_a_whole_version(spark, tmp_path):
+    table = str(tmp_path / "summary")
+    with pytest.raises(ValueError, match="published"):
+        stream.read_current(spark, table)
+    first = spark.range(5).toDF("n")
+    stream.publish(first, table, "a", 0)
+    reader = stream.read_current(spark, table)
+    seen = []
+    for batch in range(1, 7):
+        # what a reader holds stays readable while the next versions come in
+        path = stream.publish(spark.range(10 * batch).toDF("n"), table, "a", batch)
+        if batch <= stream.KEEP_VERSIONS:
+            seen.append(reader.count())
+        assert stream.read_current(spark, table).count() == 10 * batch
+        # a batch published before is not written again
+        assert stream.publish(first, table, "a", batch) == path
+    assert set(seen) == {5}
+    # a version that is written but not published is not read
+    spark.range(3).toDF("n").write.parquet(f"{table}/versions/999999999999-a-9")
+    assert stream.read_current(spark, table).count() == 60
+    # another query starts its numbers anew and goes behind the last version
+    stream.publish(first, table, "b", 0)
+    assert stream.read_current(spark, table).count() == 5
+    assert len(list((tmp_path / "summary" / "published").iterdir())) == stream.KEEP_VERSIONS + 1
+    assert len(list((tmp_path / "summary" / "versions").iterdir())) == stream.KEEP_VERSIONS + 2
+
+
+def test_resume_keeps_no_state(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(300).select(
+        F.when(F.col("id") % 50 > 0, (F.col("id") % 200).cast("string")).alias("problem_id"), F.lit("s").alias("system"),
+        F.lit("base").alias("variant"), F.lit(True).alias("correct"),
+    )
+    for run, part in enumerate((rows.filter("problem_id < '15'"), rows, rows.limit(100))):
+        part.repartition(3).write.mode("append").json(source)
+        checkpoint = str(tmp_path / ("lost" if run == 2 else "check"))  # the last run starts without its checkpoint
+        query = stream.stream_resume(stream.stream_source(spark, source, rows.schema, 2), out, checkpoint)
+        query.awaitTermination()
+        assert not query.lastProgress["stateOperators"]
+    got = spark.read.parquet(out)
+    assert got.count() == got.select("problem_id").distinct().count() == rows.select("problem_id").distinct().count()
+
+
 # --- plans -------------------------------------------------------------------------------------
 
 

@@ -224,7 +224,7 @@ def _running(s, d):
     root, out, check = _stream_files(s, d), scratch_path(s, "running"), scratch_path(s, "check")
     source = stream.stream_source(s, root, files_per_batch=2)
     stream.stream_trials(source, out, check).awaitTermination()
-    return s.read.parquet(out)
+    return stream.read_current(s, out)
 
 
 add("k1_stream_trials", _running, f"{T} SELECT system, variant, {_RUN} FROM trials GROUP BY system, variant")

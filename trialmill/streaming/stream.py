@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.metrics import run_summary
+from ..session import drop_path
 from ..sources.datasets import SPAN_SCHEMA, dated_spans
 from ..sources.trials import TRIAL_SCHEMA
 
@@ -22,11 +26,67 @@ def stream_source(spark: SparkSession, path: str, schema=TRIAL_SCHEMA, files_per
     return reader.json(path)
 
 
+# --- published tables -------------------------------------------------------------------
+
+_PUBLISHED = "sequence long, source string, batch_id long, path string"
+#: Versions that stay readable behind the newest one.
+KEEP_VERSIONS = 3
+
+
+def _source(checkpoint: str) -> str:
+    """A short name of the query that writes: batch numbers are its own."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+
+def published(spark: SparkSession, table: str) -> DataFrame:
+    """The published versions of a table; empty where there is none yet."""
+    try:
+        return spark.read.schema(_PUBLISHED).json(f"{table}/published/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _PUBLISHED)
+
+
+def publish(df: DataFrame, table: str, source: str, batch_id: int, keep: int = KEEP_VERSIONS) -> str:
+    """Write a new version beside the others, then the entry that makes it the current one.
+
+    A reader sees the version before or the new one, each whole.  A batch that was published before, as after a restart
+    between its entry and the checkpoint, is not written again.  A version is deleted once ``keep`` newer ones are published.
+    """
+    spark = df.sparkSession
+    known = published(spark, table).orderBy("sequence").collect()  # at most keep + 1 entries
+    mine = [r for r in known if (r["source"], r["batch_id"]) == (source, batch_id)]
+    if mine:
+        return mine[-1]["path"]
+    sequence = 1 + max((r["sequence"] for r in known), default=-1)
+    path = f"{table}/versions/{sequence:012d}-{source}-{batch_id}"
+    df.write.mode("overwrite").parquet(path)
+    entry = spark.createDataFrame([(sequence, source, batch_id, path)], _PUBLISHED)
+    entry.coalesce(1).write.mode("overwrite").json(f"{table}/published/{sequence:012d}")
+    for old in known[: max(0, len(known) - keep)]:
+        # the entry first: what is listed is always there
+        drop_path(spark, f"{table}/published/{old['sequence']:012d}")
+        drop_path(spark, old["path"])
+    return path
+
+
+def read_current(spark: SparkSession, table: str) -> DataFrame:
+    """The newest published version."""
+    newest = published(spark, table).orderBy(F.desc("sequence")).first()
+    if newest is None:
+        raise ValueError(f"nothing is published under {table} yet")
+    return spark.read.parquet(newest["path"])
+
+
 def stream_trials(trials: DataFrame, table: str, checkpoint: str, by: Sequence[str] = ("system", "variant")) -> StreamingQuery:
-    """Running run summary: one state row per (system, variant), the whole table rewritten per batch."""
+    """Running run summary: one state row per (system, variant), each batch published as a whole version of ``table``.
+
+    Read it with ``read_current``.
+    """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        publish(batch, table, _source(checkpoint), batch_id)
 
     return (
         run_summary(trials, by)
@@ -41,18 +101,35 @@ def stream_trials(trials: DataFrame, table: str, checkpoint: str, by: Sequence[s
 def stream_resume(
     trials: DataFrame, output: str, checkpoint: str, keys: Sequence[str] = ("system", "variant", "problem_id")
 ) -> StreamingQuery:
-    """Append each key once across restarts: offsets and seen keys live in the checkpoint.
+    """Append each key once, across batches, restarts and lost checkpoints.
 
-    A key may return at any time, so no watermark can drop it; for long logs choose the
-    RocksDB state store, which keeps the seen keys on disk.
+    A batch keeps the first of its rows per key that the output does not hold yet, in a folder of its own; a replayed
+    batch replaces its folder.  What was seen is read from the output's key columns, so there is no state that grows
+    with the keys, and a key may return at any time.  Null keys are keys like any other.
     """
+    keys = list(keys)
+
+    def append_new(batch: DataFrame, batch_id: int) -> None:
+        spark, folder = batch.sparkSession, f"{_source(checkpoint)}-{batch_id}"
+        rows = batch.dropDuplicates(keys)
+        try:
+            held = spark.read.schema(batch.schema.add("batch", "string")).parquet(output)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            held = None
+        if held is not None:
+            names = [f"__seen{i}" for i in range(len(keys))]
+            seen = held.filter(F.col("batch") != folder).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+            same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+            rows = rows.join(seen, same, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{output}/batch={folder}")
+
     return (
-        trials.dropDuplicates(list(keys))
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
+        trials.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(output)
+        .foreachBatch(append_new)
+        .start()
     )
 
 
