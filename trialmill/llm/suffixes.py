@@ -441,13 +441,14 @@ def _distinct_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # One row per distinct text; equal texts have equal anchors.
     once = rows.where(F.size("found") > 0).dropDuplicates(["key"])
     each = once.select("key", F.inline("found"))
+    repeated = each.groupBy("anchor").agg(F.sum("span").alias("n")).where("n > 1").select("anchor")
     # Copies of a context are counted before anything of them is sent.
-    kinds = each.groupBy("anchor", "context").agg(
+    contexts_ = each.groupBy("anchor", "context").agg(
         F.sum("span").alias("copies"), F.min(F.struct("key", "place")).alias("first"), F.first("nl").alias("nl"), F.first("nr").alias("nr")
     )
-    kinds = cut(kinds, "kinds")
-    repeated = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("n")).where("n > 1")
-    return each, cut(kinds.join(repeated.select("anchor", "kinds"), "anchor"), "repeated")
+    of_repeated = cut(contexts_.join(repeated, "anchor"), "repeated")
+    kinds = of_repeated.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    return each.select("key", "anchor", "place", "span", "context"), of_repeated.join(kinds, "anchor")
 
 
 def covered(
@@ -470,7 +471,7 @@ def covered(
     if hot:
         compared = compared.union(_by_windows(around.where(F.col("kinds") > group_rows), need, keep_first))
     whole = (F.col("copies") > 1) & (F.col("nl") + F.col("nr") >= need)
-    judged = repeated.select("anchor", "context", "first", whole.alias("whole")).join(compared, ["anchor", "context"], "left").where("whole OR to_left IS NOT NULL")
+    judged = repeated.select("anchor", "context", "first", "nl", "nr", whole.alias("whole")).join(compared, ["anchor", "context"], "left").where("whole OR to_left IS NOT NULL")
     marked = each.join(judged, ["anchor", "context"])
 
     def stretch(place: Column, to_left: Column, to_right: Column) -> Column:
