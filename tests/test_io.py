@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trialmill.functions import lexicon as lx
 from trialmill.functions import text as tx
-from trialmill.operators import checks, corpus, pairs, templates
+from trialmill.operators import checks, corpus, pairs, routing, templates
 from trialmill.operators.templates import Template, Variable
 from trialmill.plans.fixtures import table, view
 from trialmill.plans.q_corpus import TEMPLATES
@@ -205,8 +205,8 @@ def test_policy_state_survives_a_replay(spark, tmp_path):
     for attempt in ("first", "replayed"):  # a fresh checkpoint replays the same batch numbers
         source = stream.stream_source(spark, str(tmp_path / "in"), logged.schema, 2)
         stream.stream_policy(source, str(tmp_path / "state"), str(tmp_path / attempt)).awaitTermination()
-    weights = stream.fit_from_moments(spark.read.parquet(str(tmp_path / "state")).drop("batch_id"), 2)
-    whole = stream.fit_from_moments(stream.policy_moments(logged), 2)
+    weights = routing.fit_from_moments(spark.read.parquet(str(tmp_path / "state")).drop("batch_id"), 2)
+    whole = routing.fit_from_moments(routing.policy_moments(logged), 2)
     for a in (0, 1):
         np.testing.assert_allclose(weights[a], whole[a], atol=1e-8)
         np.testing.assert_allclose(weights[a], [a, 1, 2], atol=1e-5)

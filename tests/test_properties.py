@@ -249,3 +249,48 @@ def test_doubly_robust_policy_learns_the_split(spark, tmp_path):
         labels.select(F.col("slow_correct").alias("correct"), F.lit(1).alias("action"), "fast_correct", "slow_correct")
     ).first()
     assert value["avg_loss"] < always_slow["avg_loss"]
+
+
+def logged_problems(spark, informative):
+    """Easy texts, which the fast path answers, are short and lie at one end of the first dimension."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(4000):
+        easy = bool(rng.random() < 0.6)
+        shown = easy if informative else bool(rng.random() < 0.6)
+        text = "How many? 3 and 4." if shown else "How much is half of it if nobody knows, because all of the years differ? " * 3
+        vector = [float(x) for x in rng.normal(size=4) + [2.0 if shown else -2.0, 0, 0, 0]]
+        rows.append(("base", str(i), text, vector, easy or bool(rng.random() < 0.1), bool(rng.random() < 0.95)))
+    labels = spark.createDataFrame(rows, "variant string, problem_id string, question string, reduced array<double>, fast_correct boolean, slow_correct boolean")
+    log = routing.routing_features(routing.simulate_logging(labels))
+    return log.withColumn("logged_cost", F.col("logged_cost") * 10 + F.when(F.col("logged_action") == 0, 0.1).otherwise(1.0)).persist()
+
+
+@pytest.mark.parametrize("informative", [True, False])
+def test_policy_on_features(spark, informative):
+    log = logged_problems(spark, informative)
+    part = F.col("problem_id").cast("int") % 5
+    learned = routing.train_policy_on_features(log.filter(part < 3), 16 + 4)
+    policy = routing.safe_policy(learned, log.filter(part == 3))
+    test = policy.predict(log.filter(part == 4))
+    assert len(test.first()["features"]) == 20
+    right = F.when(F.col("policy_action") == 0, F.col("fast_correct")).otherwise(F.col("slow_correct"))
+    paid = F.when(right, 0.0).otherwise(10.0) + F.when(F.col("policy_action") == 0, 0.1).otherwise(1.0)
+    slow = F.when(F.col("slow_correct"), 0.0).otherwise(10.0) + 1.0
+    got = test.agg(F.avg(paid).alias("loss"), F.avg(slow).alias("slow"), F.avg("policy_action").alias("slow_rate")).first()
+    if informative:
+        assert policy.always is None and got["loss"] < got["slow"] - 0.2 and 0.2 < got["slow_rate"] < 0.6
+    else:
+        assert policy.always == 1 and got["loss"] == got["slow"]
+    bound = routing.policy_gain_bound(log.filter(part == 4), learned).first()
+    gap = learned.predict(log.filter(part == 4)).agg(F.avg(paid - slow)).first()[0]
+    assert bound["lower"] <= gap <= bound["upper"]
+    log.unpersist()
+
+
+def test_moments_do_not_depend_on_partitions(spark):
+    log = logged_problems(spark, True)
+    one, many = (routing.fit_from_moments(routing.policy_moments(log.repartition(n)), 20, 1.0) for n in (1, 13))
+    for a in (0, 1):
+        np.testing.assert_allclose(one[a], many[a], rtol=1e-9, atol=1e-9)
+    log.unpersist()

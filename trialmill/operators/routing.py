@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cost as fc
+from ..functions import text as tx
 from ..functions.draws import uniform
 from .metrics import cost_saved, decision_metrics, ratio
 
@@ -341,6 +345,131 @@ def train_policy_dr(
     return RoutingPolicy(models)
 
 
+# --- linear policies by moments ---------------------------------------------------------
+
+
+def _moments():
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # one matrix per action; it leaves the partition once, at its end
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for action, part in pdf.groupby("logged_action"):
+                x = np.column_stack([np.ones(len(part)), np.stack(part["features"].to_numpy())])
+                y = part["logged_cost"].to_numpy(dtype=float)
+                full = np.column_stack([x.T @ x, x.T @ y])
+                sums[int(action)] = sums.get(int(action), 0) + full
+        for action, full in sums.items():
+            i, j = np.indices(full.shape)
+            yield pd.DataFrame({"action": action, "i": i.ravel(), "j": j.ravel(), "total": full.ravel()})
+
+    return run
+
+
+def policy_moments(logged: DataFrame) -> DataFrame:
+    """Per action, the sums X'X and X'c (last column) of (features, logged_cost) with an intercept."""
+    rows = logged.select(F.col("logged_action").cast("int"), "features", F.col("logged_cost").cast("double"))
+    partial = rows.mapInPandas(_moments(), "action int, i int, j int, total double")
+    return partial.groupBy("action", "i", "j").agg(F.sum("total").alias("total"))
+
+
+def fit_from_moments(moments: DataFrame, width: int, l2: float = 1e-6) -> dict[int, np.ndarray]:
+    """Ridge weights per action, intercept first.  The moments are (width+1) x (width+2) numbers per action."""
+    summed = moments.groupBy("action", "i", "j").agg(F.sum("total").alias("total")).collect()
+    out = {}
+    for action in sorted({r["action"] for r in summed}):
+        full = np.zeros((width + 1, width + 2))
+        for r in summed:
+            if r["action"] == action:
+                full[r["i"], r["j"]] = r["total"]
+        out[action] = np.linalg.solve(full[:, :-1] + l2 * np.eye(width + 1), full[:, -1])
+    return out
+
+
+def routing_features(df: DataFrame, question: str = "question", reduced: str | None = "reduced") -> DataFrame:
+    """Add ``features``: explicit and semantic text features in the router's scaling, and the reduced embedding.
+
+    Training and serving both call this.  Missing text counts as empty, a missing embedding as zeros where its width is known.
+    """
+    with_text = df.withColumn("__text", F.coalesce(question, F.lit("")))
+    with_text = with_text.withColumn("__low", F.lower("__text"))
+    text, low = F.col("__text"), F.col("__low")
+    e, m = tx.explicit_features(text, low), tx.semantic_features(text, low)
+    counts = [e["len_chars"] / 1000.0, e["len_tokens"] / 500.0, e["n_sentences"] / 100.0, e["n_numbers"] / 100.0]
+    flags = [e[k] for k in ("has_fraction", "has_percentage", "has_money", "has_comparison", "has_time")]
+    kinds = [e["question_type"] == k for k in ("how_many", "how_much", "what_is")]
+    numbers = [*counts, *flags, *kinds, m["token_cnt"], m["has_neg"], m["has_logic"], m["has_quant"]]
+    out = F.array(*[x.cast("double") for x in numbers])
+    if reduced:
+        out = F.concat(out, F.transform(reduced, lambda v: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), v.cast("double"))) / 5.0))
+    return with_text.withColumn("features", out).drop("__text", "__low")
+
+
+@dataclass(frozen=True)
+class LinearPolicy:
+    """Predicted cost per action, linear in ``features``; the cheaper action wins, fast on a tie.
+
+    ``always`` names the one action of a policy that was not good enough to be used.
+    """
+
+    weights: tuple[tuple[float, ...], tuple[float, ...]]
+    always: int | None = None
+
+    def predict(self, df: DataFrame, features: str = "features") -> DataFrame:
+        def cost(w: Sequence[float]) -> Column:
+            products = F.zip_with(F.col(features), F.array(*[F.lit(float(x)) for x in w[1:]]), lambda x, y: x * y)
+            return F.aggregate(products, F.lit(float(w[0])), lambda a, x: a + x)
+
+        out = df.withColumns({"fast_cost": cost(self.weights[0]), "slow_cost": cost(self.weights[1])})
+        cheaper = F.when(F.col("fast_cost") <= F.col("slow_cost"), F.lit(fc.FAST)).otherwise(F.lit(fc.SLOW))
+        action = cheaper if self.always is None else F.lit(self.always)
+        return out.withColumn("scores", F.array("fast_cost", "slow_cost")).withColumn("policy_action", action)
+
+
+def train_policy_on_features(logged: DataFrame, width: int, l2: float = 1.0) -> LinearPolicy:
+    """Doubly robust warm start by normal equations: one pass sums the logged costs' moments, a second one those of the
+    corrected costs of both actions on every row.  Only (width + 1) x (width + 2) numbers an action leave the tasks."""
+    direct = fit_from_moments(policy_moments(logged), width, l2)
+    blank = np.zeros(width + 1)
+    first = LinearPolicy(tuple(tuple(map(float, direct.get(a, blank))) for a in (fc.FAST, fc.SLOW)))
+    rows = first.predict(logged)
+    both = F.array(*[
+        F.struct(
+            F.lit(a).alias("action"),
+            (F.col(c) + F.when(F.col("logged_action") == a, (F.col("logged_cost") - F.col(c)) / F.col("propensity")).otherwise(F.lit(0.0))).alias("target"),
+        ) for a, c in ((fc.FAST, "fast_cost"), (fc.SLOW, "slow_cost"))
+    ])
+    corrected = rows.select("features", F.inline(both)).select("features", F.col("action").alias("logged_action"), F.col("target").alias("logged_cost"))
+    found = fit_from_moments(policy_moments(corrected), width, l2)
+    return LinearPolicy(tuple(tuple(map(float, found.get(a, blank))) for a in (fc.FAST, fc.SLOW)))
+
+
+def policy_gain_bound(logged: DataFrame, policy: LinearPolicy, baseline: int = fc.SLOW, z: float = 3.0) -> DataFrame:
+    """How much a policy's loss lies above always taking ``baseline``, on logged rows it was not trained on.
+
+    Doubly robust per row, with its mean, standard error and ``z`` standard errors to either side.
+    """
+    rows = policy.predict(logged)
+    cost = lambda a: F.when(a == fc.FAST, F.col("fast_cost")).otherwise(F.col("slow_cost"))
+
+    def robust(a: Column) -> Column:
+        guess = cost(a)
+        return guess + F.when(F.col("logged_action") == a, (F.col("logged_cost") - guess) / F.col("propensity")).otherwise(F.lit(0.0))
+
+    gap = robust(F.col("policy_action")) - robust(F.lit(baseline))
+    found = rows.select(gap.alias("gap")).agg(
+        F.count("gap").alias("n"), F.avg("gap").alias("difference"), F.coalesce(F.stddev_samp("gap") / F.sqrt(F.count("gap")), F.lit(0.0)).alias("std_error")
+    )
+    d, e = F.col("difference"), F.col("std_error")
+    return found.select("n", "difference", "std_error", (d - z * e).alias("lower"), (d + z * e).alias("upper"))
+
+
+def safe_policy(policy: LinearPolicy, validation: DataFrame, baseline: int = fc.SLOW, z: float = 3.0) -> LinearPolicy:
+    """The policy, or always ``baseline`` where the validation rows do not show that it loses less."""
+    bound = policy_gain_bound(validation, policy, baseline, z).first()
+    better = bound["n"] > 0 and bound["upper"] < 0
+    return policy if better else LinearPolicy(policy.weights, always=baseline)
+
+
 def solve_problems(problems: DataFrame, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a user's solver over pending problems and grade it; the solver adds ``final_answer``."""
     from ..functions.text import grade

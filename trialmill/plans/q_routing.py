@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cost as fc
+from ..functions.draws import uniform
 from ..operators import metrics, pairs, routing
+from ..session import cut_lineage
 from .fixtures import cte, table, view
 from .registry import add, rounded
 
@@ -372,18 +374,39 @@ add(
 
 
 def logged_features(s, d):
-    """Logged examples with a small feature vector: one-hot variant and the length of the problem key."""
-    from pyspark.ml.functions import array_to_vector
+    """Logged decisions with text features and reduced vectors of their problems, and the part each is dealt to.
 
-    log = routing.simulate_logging(labels(s, d))
-    onehot = [(F.col("variant") == v).cast("double") for v in ("base", "p1", "p2")]
-    numbers = F.array(*onehot, F.length("problem_id").cast("double"))
-    return log.withColumn("features", array_to_vector(numbers)).withColumn("numbers", numbers)
+    A problem's question is the document, and its embedding the vector, that its number falls on.
+    """
+    docs, vectors = table(s, d, "documents"), _reduced(s, d)[0]
+    n_docs, n_vecs = docs.count(), vectors.count()
+    log = routing.simulate_logging(labels(s, d)).withColumns({
+        "__doc": F.col("problem_id").cast("bigint") % n_docs, "__vec": F.col("problem_id").cast("bigint") % n_vecs,
+    })
+    paid = log.withColumn("logged_cost", F.col("logged_cost") * fc.ALPHA + fc.BETA * fc.action_cost(F.col("logged_action")))
+    text = routing.routing_features(docs.select((F.col("doc_id") % n_docs).alias("__doc"), "text"), "text", None).select("__doc", F.col("features").alias("__words"))
+    vecs = vectors.select((F.col("vec_id") % n_vecs).alias("__vec"), "reduced")
+    squeezed = F.transform("reduced", lambda v: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), v)) / 5.0)
+    onehot = F.array(*[(F.col("variant") == v).cast("double") for v in ("base", "p1", "p2")])
+    joined = paid.join(text, "__doc").join(vecs, "__vec").withColumn("features", F.concat(onehot, "__words", squeezed))
+    u = uniform(F.concat_ws("/", *routing.LABEL_KEY), "part")
+    part = F.when(u < 0.6, "train").when(u < 0.8, "validate").otherwise("test")
+    return joined.withColumn("part", part).drop("__doc", "__vec", "__words", "reduced")
+
+
+#: variant, four counts, five flags, three question types, four semantic features, the reduced vector
+WIDTH = 3 + 16 + COMPONENTS
+
+
+def _policy(log):
+    """Trained on one part and held to always-slow on another."""
+    learned = routing.train_policy_on_features(log.filter("part = 'train'"), WIDTH)
+    return learned, routing.safe_policy(learned, log.filter("part = 'validate'"))
 
 
 def _dr(s, d):
-    log = logged_features(s, d)
-    policy = routing.train_policy_dr(log)
+    log = cut_lineage(logged_features(s, d))
+    _, policy = _policy(log)
     chosen = policy.predict(log)
     value = routing.replay_policy(chosen, chosen.select("variant", "problem_id", F.col("policy_action").alias("action")))
     slow = chosen.agg(F.avg(fc.loss(F.col("slow_correct"), F.lit(1))).alias("always_slow_loss"))
@@ -396,3 +419,30 @@ add(
     lambda s, d: _dr(s, d).select(F.col("total"), (F.col("avg_loss") <= F.col("always_slow_loss") + 1e-6).alias("beats_slow")),
     f"{L} SELECT count(*) AS total, true AS beats_slow FROM labels_v",
 )
+
+
+def _held_out(s, d):
+    """On rows the policy never saw: its true loss against always-slow, and whether the bound from the log holds the truth."""
+    log = cut_lineage(logged_features(s, d))
+    learned, policy = _policy(log)
+    test = log.filter("part = 'test'")
+    fast, slow = (fc.loss(F.col(c), F.lit(a)) for c, a in (("fast_correct", 0), ("slow_correct", 1)))
+    taken = F.when(F.col("policy_action") == 0, fast).otherwise(slow)
+    truth = policy.predict(test).agg(F.count("*").alias("n_test"), F.avg(taken).alias("loss"), F.avg(slow).alias("slow_loss"))
+    unsafe = learned.predict(test).agg(F.avg(taken - slow).alias("gap"))
+    bound = routing.policy_gain_bound(test, learned)
+    parts = log.groupBy().agg(*[F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "validate")], F.min(F.size("features")).alias("width"))
+    both = truth.crossJoin(unsafe).crossJoin(bound).crossJoin(parts)  # one row each
+    return both.select(
+        "n_train", "n_validate", "n_test", F.col("width").cast("int").alias("n_features"), (F.col("loss") <= F.col("slow_loss") + 1e-9).alias("no_worse_than_slow"),
+        F.col("gap").between(F.col("lower") - 1e-9, F.col("upper") + 1e-9).alias("bound_holds"),
+    )
+
+
+add(
+    "i7_held_out_policy",
+    _held_out,
+    f"""{L}, p AS (SELECT {_u("(variant || '/' || problem_id)", "part")} AS u FROM labels_v)
+    SELECT count(*) FILTER (u < 0.6) AS n_train, count(*) FILTER (u >= 0.6 AND u < 0.8) AS n_validate, count(*) FILTER (u >= 0.8) AS n_test,
+      {WIDTH} AS n_features, true AS no_worse_than_slow, true AS bound_holds FROM p""",
+)

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.metrics import run_summary
+from ..operators.routing import policy_moments
 from ..session import drop_path
 from ..sources.datasets import SPAN_SCHEMA, dated_spans
 from ..sources.trials import TRIAL_SCHEMA
@@ -136,39 +135,6 @@ def stream_resume(
 # --- policy learning --------------------------------------------------------------------
 
 
-def _moments():
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for action, part in pdf.groupby("logged_action"):
-                x = np.column_stack([np.ones(len(part)), np.stack(part["features"].to_numpy())])
-                y = part["logged_cost"].to_numpy(dtype=float)
-                full = np.column_stack([x.T @ x, x.T @ y])
-                i, j = np.indices(full.shape)
-                yield pd.DataFrame({"action": int(action), "i": i.ravel(), "j": j.ravel(), "total": full.ravel()})
-
-    return run
-
-
-def policy_moments(logged: DataFrame) -> DataFrame:
-    """Per action, the sums X'X and X'c (last column) of (features, logged_cost) with an intercept."""
-    rows = logged.select(F.col("logged_action").cast("int"), "features", F.col("logged_cost").cast("double"))
-    partial = rows.mapInPandas(_moments(), "action int, i int, j int, total double")
-    return partial.groupBy("action", "i", "j").agg(F.sum("total").alias("total"))
-
-
-def fit_from_moments(moments: DataFrame, width: int, l2: float = 1e-6) -> dict[int, np.ndarray]:
-    """Ridge weights per action, intercept first.  The moments are (width+1) x (width+2) numbers per action."""
-    summed = moments.groupBy("action", "i", "j").agg(F.sum("total").alias("total")).collect()
-    out = {}
-    for action in sorted({r["action"] for r in summed}):
-        full = np.zeros((width + 1, width + 2))
-        for r in summed:
-            if r["action"] == action:
-                full[r["i"], r["j"]] = r["total"]
-        out[action] = np.linalg.solve(full[:, :-1] + l2 * np.eye(width + 1), full[:, -1])
-    return out
-
-
 def stream_policy(logged: DataFrame, state: str, checkpoint: str, enabled: bool = True) -> StreamingQuery:
     """Add each micro-batch's moments to a state table.
 
