@@ -437,18 +437,28 @@ def _by_windows(hot: DataFrame, need: int, keep_first: bool) -> DataFrame:
 
 
 def _distinct_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(places, contexts): each anchor place, and each repeated anchor's contexts with copies, first place and kinds."""
-    # One row per distinct text; equal texts have equal anchors.
-    once = rows.where(F.size("found") > 0).dropDuplicates(["key"])
+    """(places, contexts): the places of repeated anchors, and each of these anchors' contexts with copies, first place and kinds.
+
+    ``rows`` is a written table with a row number.
+    """
+    # One row per distinct text; equal texts have equal anchors.  Only keys of repeated texts are joined.
+    numbered = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("number").alias("_least")).where("_n > 1").select("key", "_least")
+    once = rows.where(F.size("found") > 0).join(numbered, "key", "left").where("_least IS NULL OR number = _least")
     each = once.select("key", F.inline("found"))
     repeated = each.groupBy("anchor").agg(F.sum("span").alias("n")).where("n > 1").select("anchor")
+    places = cut(each.join(repeated, "anchor", "left_semi"), "places")
     # Copies of a context are counted before anything of them is sent.
-    contexts_ = each.groupBy("anchor", "context").agg(
+    contexts_ = places.groupBy("anchor", "context").agg(
         F.sum("span").alias("copies"), F.min(F.struct("key", "place")).alias("first"), F.first("nl").alias("nl"), F.first("nr").alias("nr")
     )
-    of_repeated = cut(contexts_.join(repeated, "anchor"), "repeated")
-    kinds = of_repeated.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    return each.select("key", "anchor", "place", "span", "context"), of_repeated.join(kinds, "anchor")
+    contexts_ = cut(contexts_, "repeated")
+    kinds = contexts_.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    return places.select("key", "anchor", "place", "span", "context"), contexts_.join(kinds, "anchor")
+
+
+def _numbered_rows(docs: DataFrame, length: int, text_column: str) -> DataFrame:
+    """``anchor_rows`` as a written table with a number for each row."""
+    return cut(anchor_rows(docs, length, text_column).withColumn("number", F.monotonically_increasing_id()), "anchors")
 
 
 def covered(
@@ -457,7 +467,7 @@ def covered(
     """(copies, spans): (key, size, copies) per distinct text, and (key, start, end) of repeated bytes."""
     gram = gram_of(length)
     need = length - gram
-    rows = cut(anchor_rows(docs, length, text_column), "anchors")
+    rows = _numbered_rows(docs, length, text_column)
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.first("size").alias("size"))
     each, repeated = _distinct_contexts(rows)
     # A context that occurs twice repeats as a whole; different ones of an anchor are compared, one place of each.
@@ -577,8 +587,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, text_column: str = "tex
     """
     gram = gram_of(length)
     need = length - gram
-    rows = cut(anchor_rows(docs, length, text_column), "anchors")
-    each, repeated = _distinct_contexts(rows)
+    each, repeated = _distinct_contexts(_numbered_rows(docs, length, text_column))
     wanted = repeated.where("kinds > 1").groupBy("first.key").agg(F.collect_list(F.struct("anchor", "kinds", "context", "first.place")).alias("found"))
     around = contexts(docs, wanted, length, text_column).repartition("anchor").sortWithinPartitions("anchor")
 
