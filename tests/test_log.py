@@ -37,7 +37,28 @@ def test_report_over_a_log_with_retries(spark, tmp_path):
     total = report["accuracy"].filter("system = 'all'").first()
     assert (total["n"], total["n_correct"]) == (48, sum(r["correct"] for r in rows))
     assert rank.progress(pairs.latest_by_id(read), 3).count() == 16
-    report["trials"].unpersist()
+    # the tables follow from the counted cells alone; only the pairs of the test read the log again
+    for name, plain in (("robustness", metrics.robustness), ("complexity", metrics.complexity_decay), ("cost", metrics.cost_summary),
+                        ("errors", metrics.error_breakdown), ("self_correction", metrics.self_correction)):
+        scans = report[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "problem_id" not in scans and scans.count("Relation [") + scans.count("Relation[") == 1
+        assert set(report[name].collect()) == set(plain(pairs.latest_by_id(read)).collect())
+    assert report["significance"]._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 1
+
+
+def test_cells_of_odd_rows(spark):
+    """Null outcomes, paths, counts and probabilities: cells give what the rows give."""
+    rows = [
+        ("a", "base", None, True, None, 3, 1, 2.5, 0, None, True), ("a", None, "fast", None, "UNSAT", None, None, None, 4, 0.5, None),
+        ("a", "noop", "slow", False, "", 1, 1, 1.0, 1, 0.25, False), (None, "p1", "fast", False, "odd", 2, 2, 2.0, 2, None, False),
+    ]
+    df = spark.createDataFrame(
+        rows * 3, "system string, variant string, path_taken string, correct boolean, error_type string, tokens_input int, tokens_output int, "
+        "execution_time_ms double, iterations int, bandit_probability double, self_corrected boolean",
+    )
+    cells = metrics.report_cells(df)
+    for plain in (metrics.accuracy, metrics.robustness, metrics.complexity_decay, metrics.cost_summary, metrics.error_breakdown, metrics.self_correction, metrics.routing_summary):
+        assert sorted(map(str, plain(cells, weight=metrics.CELL_ROWS).collect())) == sorted(map(str, plain(df).collect()))
 
 
 def test_last_record_counts_as_a_whole(spark):

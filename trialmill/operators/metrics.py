@@ -23,12 +23,38 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
-def _n(condition: Column) -> Column:
-    return F.count_if(condition)
+def _n(condition: Column, weight: str | None = None) -> Column:
+    """How many rows fulfil a condition; with a weight a row stands for that many."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("long"))
 
 
-def _rows() -> Column:
-    return F.count(F.lit(1))
+def _rows(weight: str | None = None) -> Column:
+    return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0).cast("long"))
+
+
+#: Column of ``report_cells`` that counts a cell's trials.
+CELL_ROWS = "rows"
+
+
+def report_cells(trials: DataFrame) -> DataFrame:
+    """The log as counted cells from which every table of a report follows: one aggregate, one scan.
+
+    A cell is a system, variant, path, outcome, error category and whether one round was enough; their number does not grow with
+    the log.  Pass the cells with ``weight=CELL_ROWS`` to the summaries below.
+    """
+    rounds = _rounds()
+    return (
+        map_error_category(trials)
+        .groupBy("system", "variant", "path_taken", "correct", "category", "self_corrected", (rounds == 1).alias("single"))
+        .agg(
+            _rows().alias(CELL_ROWS),
+            *[F.sum(c).alias(c) for c in ("tokens_input", "tokens_output", "execution_time_ms")],
+            F.sum(rounds).alias("rounds"), F.max(rounds).alias("max_rounds"),
+            F.sum("bandit_probability").alias("probabilities"), F.count("bandit_probability").alias("n_probabilities"),
+        )
+    )
 
 
 def _total_marks(*keys: str) -> list[Column]:
@@ -41,11 +67,11 @@ def _or_total(key: str, label: str) -> Column:
     return F.when(F.col(f"__all_{key}") == 1, F.lit(label)).otherwise(F.col(key).cast("string")).alias(key)
 
 
-def accuracy(trials: DataFrame) -> DataFrame:
+def accuracy(trials: DataFrame, weight: str | None = None) -> DataFrame:
     """Per (system, variant), per system and overall; ``all`` marks a total, a null key stays null."""
     return (
         trials.groupBy("system", "variant")
-        .agg(_rows().alias("n"), _n(F.col("correct")).alias("k"))
+        .agg(_rows(weight).alias("n"), _n(F.col("correct"), weight).alias("k"))
         .rollup("system", "variant")
         .agg(F.sum("n").alias("n"), F.sum("k").alias("n_correct"), *_total_marks("system", "variant"))
         .select(
@@ -123,27 +149,18 @@ def run_summary(trials: DataFrame, by: Sequence[str] = ("system", "variant")) ->
     )
 
 
-def _tier_counts(trials: DataFrame, tiers: Sequence[str]) -> DataFrame:
+def _tier_counts(trials: DataFrame, tiers: Sequence[str], weight: str | None = None) -> DataFrame:
     aggs = []
     for t in tiers:
         here = F.col("variant") == t
-        aggs += [_n(here).alias(f"n_{t}"), _n(here & F.col("correct")).alias(f"k_{t}")]
+        aggs += [_n(here, weight).alias(f"n_{t}"), _n(here & F.col("correct"), weight).alias(f"k_{t}")]
     # no filter on the tiers: a system without any of them scores zero, as in ``robustness``
     return trials.groupBy("system").agg(*aggs)
 
 
-def robustness(trials: DataFrame) -> DataFrame:
+def robustness(trials: DataFrame, weight: str | None = None) -> DataFrame:
     """Accuracy kept under distractors; a system that lacks either side scores zero throughout."""
-    tiers = trials.groupBy("system").agg(
-        *[
-            agg
-            for t in ("base", "noop")
-            for agg in (
-                _n(F.col("variant") == t).alias(f"n_{t}"),
-                _n((F.col("variant") == t) & F.col("correct")).alias(f"k_{t}"),
-            )
-        ]
-    )
+    tiers = _tier_counts(trials, ["base", "noop"], weight)
     both = (F.col("n_base") > 0) & (F.col("n_noop") > 0)
     base = F.when(both, ratio(F.col("k_base"), F.col("n_base"))).otherwise(F.lit(0.0))
     noop = F.when(both, ratio(F.col("k_noop"), F.col("n_noop"))).otherwise(F.lit(0.0))
@@ -163,9 +180,9 @@ def improvement_factor(rrr: Column, literature_rrr: float = lx.LITERATURE_RRR) -
     return rrr / F.lit(literature_rrr)
 
 
-def complexity_decay(trials: DataFrame) -> DataFrame:
+def complexity_decay(trials: DataFrame, weight: str | None = None) -> DataFrame:
     """Accuracy over the three complexity tiers with the least-squares line through them."""
-    tiers = _tier_counts(trials, ["base", "p1", "p2"])
+    tiers = _tier_counts(trials, ["base", "p1", "p2"], weight)
     acc = tiers.select(
         "system", *[ratio(F.col(f"k_{t}"), F.col(f"n_{t}")).alias(f"{t}_accuracy") for t in ("base", "p1", "p2")]
     )
@@ -189,7 +206,7 @@ def complexity_decay(trials: DataFrame) -> DataFrame:
     )
 
 
-def cost_summary(trials: DataFrame, variant: str | None = None, prices=None, models=None) -> DataFrame:
+def cost_summary(trials: DataFrame, variant: str | None = None, prices=None, models=None, weight: str | None = None) -> DataFrame:
     rows = trials if variant is None else trials.filter(F.col("variant") == variant)
     tokens = F.col("total_input_tokens") + F.col("total_output_tokens")
     n, k = F.col("n_problems"), F.col("n_correct")
@@ -197,8 +214,8 @@ def cost_summary(trials: DataFrame, variant: str | None = None, prices=None, mod
     return (
         rows.groupBy("system")
         .agg(
-            _rows().alias("n_problems"),
-            _n(F.col("correct")).alias("n_correct"),
+            _rows(weight).alias("n_problems"),
+            _n(F.col("correct"), weight).alias("n_correct"),
             F.sum("tokens_input").alias("total_input_tokens"),
             F.sum("tokens_output").alias("total_output_tokens"),
             F.sum("execution_time_ms").alias("total_time_ms"),
@@ -235,9 +252,10 @@ def cost_summary(trials: DataFrame, variant: str | None = None, prices=None, mod
     )
 
 
-def error_breakdown(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
+def error_breakdown(trials: DataFrame, by: Sequence[str] = ("system",), weight: str | None = None) -> DataFrame:
     """Failures per category with their share of all problems of the group."""
-    counts = map_error_category(trials).groupBy(*by, "category").agg(_rows().alias("rows"))
+    mapped = map_error_category(trials) if weight is None else trials
+    counts = mapped.groupBy(*by, "category").agg(_rows(weight).alias("rows"))
     group = Window.partitionBy(*by)  # at most a dozen rows per group by now
     failed = F.sum(F.when(F.col("category").isNotNull(), F.col("rows")).otherwise(F.lit(0))).over(group)
     total = F.sum("rows").over(group)
@@ -270,21 +288,22 @@ def _rounds() -> Column:
     return F.when(F.col("iterations") > 0, F.col("iterations")).otherwise(F.lit(1))
 
 
-def self_correction(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
-    single, ok = F.col("rounds") == 1, F.col("correct")
+def self_correction(trials: DataFrame, by: Sequence[str] = ("system",), weight: str | None = None) -> DataFrame:
+    if weight is None:
+        trials = trials.withColumn("rounds", _rounds()).withColumns({"single": F.col("rounds") == 1, "max_rounds": F.col("rounds")})
+    single, ok = F.col("single"), F.col("correct")
     return (
-        trials.withColumn("rounds", _rounds())
-        .groupBy(*by)
+        trials.groupBy(*by)
         .agg(
-            _rows().alias("total_problems"),
-            _n(ok).alias("n_correct"),
-            _n(single).alias("single_iteration"),
-            _n(~single).alias("multi_iteration"),
-            _n(single & ok).alias("single_iter_correct"),
-            _n(~single & ok).alias("multi_iter_correct"),
-            _n(F.col("self_corrected")).alias("self_corrected"),
+            _rows(weight).alias("total_problems"),
+            _n(ok, weight).alias("n_correct"),
+            _n(single, weight).alias("single_iteration"),
+            _n(~single, weight).alias("multi_iteration"),
+            _n(single & ok, weight).alias("single_iter_correct"),
+            _n(~single & ok, weight).alias("multi_iter_correct"),
+            _n(F.col("self_corrected"), weight).alias("self_corrected"),
             F.sum("rounds").alias("__rounds"),
-            F.max("rounds").alias("max_iterations"),
+            F.max("max_rounds").alias("max_iterations"),
         )
         .select(
             *by,
@@ -308,21 +327,22 @@ def iteration_histogram(trials: DataFrame, by: Sequence[str] = ("system",)) -> D
     return trials.groupBy(*by, _rounds().alias("iterations")).agg(_rows().alias("n"))
 
 
-def routing_summary(trials: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
+def routing_summary(trials: DataFrame, by: Sequence[str] = ("system",), weight: str | None = None) -> DataFrame:
     """Path mix and accuracy; overall accuracy counts only routed rows as correct, over all rows."""
     fast, slow, ok = F.col("path_taken") == "fast", F.col("path_taken") == "slow", F.col("correct")
     n = F.col("total_problems")
     fast_acc = ratio(F.col("fast_correct"), F.col("fast_path_count"))
     slow_acc = ratio(F.col("slow_correct"), F.col("slow_path_count"))
+    probability = F.avg("bandit_probability") if weight is None else F.try_divide(F.sum("probabilities"), F.sum("n_probabilities"))
     return (
         trials.groupBy(*by)
         .agg(
-            _rows().alias("total_problems"),
-            _n(fast).alias("fast_path_count"),
-            _n(slow).alias("slow_path_count"),
-            _n(fast & ok).alias("fast_correct"),
-            _n(slow & ok).alias("slow_correct"),
-            F.coalesce(F.avg("bandit_probability"), F.lit(0.0)).alias("avg_probability"),
+            _rows(weight).alias("total_problems"),
+            _n(fast, weight).alias("fast_path_count"),
+            _n(slow, weight).alias("slow_path_count"),
+            _n(fast & ok, weight).alias("fast_correct"),
+            _n(slow & ok, weight).alias("slow_correct"),
+            F.coalesce(probability, F.lit(0.0)).alias("avg_probability"),
         )
         .select(
             *by,

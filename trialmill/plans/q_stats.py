@@ -12,11 +12,12 @@ from ..session import cut_lineage, scratch_path
 from ..sources import trials as log
 from . import report
 from .fixtures import cte, view
-from .q_metrics import _ROB
+from .q_metrics import _ROB, _money
 from .q_routing import _u
-from .registry import add, rounded
+from .registry import REGISTRY, add, rounded
 
 T = cte("trials")
+_TESTED = ["variant", "n_both_correct", "n_sys1_only", "n_sys2_only", "n_both_wrong", "statistic", "p_value", "significant"]
 BY = ["system", "variant"]
 
 
@@ -324,6 +325,26 @@ def _full(s, d):
 
 
 add("e26_full_report", _full)
+
+
+def _report_table(name, tidy=lambda df: df):
+    return lambda s, d: tidy(report.full_report(trials(s, d), "fixed_slow", "baseline_large")[name])
+
+
+# every table of the report, which follows from one aggregate, next to the SQL of the table on its own
+for _name, _query, _tidy, _where in [
+    ("accuracy", "e1_accuracy", lambda df: df, "true"),
+    ("robustness", "e4_robustness", lambda df: df, "true"),
+    ("complexity", "e5_complexity_decay", rounded, "true"),
+    ("cost", "e6_cost_summary", _money, "true"),
+    ("errors", "e7_error_breakdown", lambda df: df, "true"),
+    ("self_correction", "e9_self_correction", lambda df: df, "true"),
+    ("routing", "e11_routing_summary", lambda df: df.withColumn("avg_probability", F.round("avg_probability", 9)), "system IN ('bandit', 'random')"),
+    ("significance", "f4_mcnemar", lambda df: rounded(df.select(*_TESTED)), "variant IN ('base', 'noop')"),
+]:
+    add(f"e26_table_{_name}", _report_table(_name, _tidy), f"SELECT * FROM ({REGISTRY[_query].sql}) r WHERE {_where}")
+
+
 def _from_log(s, d):
     """From log files to the report: every record was first logged with the opposite outcome, a day earlier."""
     rows = trials(s, d).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).drop("ts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as m
 from ..operators import stats as st
 from ..operators.pairs import latest_by_id
+from ..session import cut_lineage
 
 ROUTED = ["bandit", "random"]
 
@@ -18,18 +19,20 @@ def full_report(
 ) -> dict[str, DataFrame]:
     """Accuracy, robustness, complexity, cost, errors, self-correction, routing and paired tests.
 
-    With ``deduplicate`` the last record per key is kept and the log is persisted once for
-    all tables; unpersist ``report["trials"]`` when done.
+    With ``deduplicate`` the last record per key counts.  The log is read twice, whatever the number of tables: once into the
+    counted cells that all tables follow from, kept as a small written table, and once for the pairs of the test.
+    Intervals read it once more for what is resampled.
     """
-    rows = latest_by_id(trials).persist() if deduplicate else trials
+    rows = latest_by_id(trials) if deduplicate else trials
+    cells, each = cut_lineage(m.report_cells(rows)), m.CELL_ROWS
     report = {
-        "accuracy": m.accuracy(rows),
-        "robustness": m.robustness(rows),
-        "complexity": m.complexity_decay(rows),
-        "cost": m.cost_summary(rows),
-        "errors": m.error_breakdown(rows),
-        "self_correction": m.self_correction(rows),
-        "routing": m.routing_summary(rows.filter(F.col("system").isin(ROUTED))),
+        "accuracy": m.accuracy(cells, each),
+        "robustness": m.robustness(cells, each),
+        "complexity": m.complexity_decay(cells, each),
+        "cost": m.cost_summary(cells, weight=each),
+        "errors": m.error_breakdown(cells, weight=each),
+        "self_correction": m.self_correction(cells, weight=each),
+        "routing": m.routing_summary(cells.filter(F.col("system").isin(ROUTED)), weight=each),
     }
     if intervals:
         report = st.attach_intervals(rows, report, resamples)
