@@ -250,6 +250,34 @@ def test_language_held_out(tables, make_docs):
     assert language.identify(make_docs([]), model).count() == 0
 
 
+def test_gram_counts_by_brute_force(spark):
+    rows = [("en", "The cat, the hat!"), ("fr", "été d'été"), ("en", "x 12 y"), ("en", ""), ("fr", "L'été"), ("fr", "日本")] * 5
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    size = 1 << language.BITS
+    want = {lang: [0] * (2 * size) for lang in ("en", "fr")}
+    for lang, text in rows:
+        folded = [b if 97 <= b <= 122 or b >= 128 else 32 for b in (" " + text.lower() + " ").encode()]
+        for i, b in enumerate(folded):
+            if b != 32:
+                before, after = folded[i - 1], folded[i + 1]
+                further = 32 if before == 32 else folded[i - 2]
+                three = before << 16 | b << 8 | after
+                four = three | further << 24
+                want[lang][(three * 2654435761 % 2**32) >> (32 - language.BITS)] += 1
+                want[lang][size + (((four ^ four >> 15) * 2246822519 % 2**32) >> (32 - language.BITS))] += 1
+    for parts in (1, 8, 64):
+        got = language.count_grams(docs.repartition(parts), "lang", "text")
+        assert {k: v.tolist() for k, v in got.items()} == want
+    assert language.count_grams(docs.limit(0), "lang", "text") == {}
+
+
+def test_language_of_a_very_long_text(tables, make_docs):
+    docs, _ = tables
+    model = language.fit(docs, F.lit(True))
+    rows = language.identify(make_docs([(1, "the house of the river and " * 60_000), (1, "the house of the river and"), (2, None)]), model).collect()
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in rows) == [(1, "en"), (1, "en"), (2, "und")]
+
+
 def test_language_set_holds_more_than_four():
     rng = random.Random(8)
     words = {f"l{i}": ["".join(rng.choices(letters, k=6)) for _ in range(60)] for i, letters in enumerate(("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"))}

@@ -71,8 +71,12 @@ class Model:
     logs: np.ndarray  # (2 << BITS, languages) log frequencies
 
 
+#: Tasks that count the sample's n-grams; the sample is bounded, the scan before it runs in its own tasks.
+COUNT_TASKS = 8
+
+
 def count_grams(docs: DataFrame, lang_column: str, text_column: str) -> dict[str, np.ndarray]:
-    """n-gram counts per language; each task sends one table per language."""
+    """n-gram counts per language, summed by (language, cell): at most one row a language and cell reaches the driver."""
 
     def run(batches):
         found: dict[str, np.ndarray] = {}
@@ -82,18 +86,19 @@ def count_grams(docs: DataFrame, lang_column: str, text_column: str) -> dict[str
                 if lang not in found:
                     found[lang] = np.zeros(2 << BITS, np.int64)
                 found[lang] += np.bincount(grams.ravel(), minlength=2 << BITS)
-        if found:
-            sparse = {k: np.flatnonzero(v) for k, v in found.items()}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found)), pa.array([sparse[k].tolist() for k in found], pa.list_(pa.int32())), pa.array([v[sparse[k]].tolist() for k, v in found.items()], pa.list_(pa.int64()))],
-                ["lang", "at", "n"],
-            )
+        for lang, table in found.items():
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["lang", "cell", "n"])
 
-    total: dict[str, np.ndarray] = {}
     plain = docs.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    for r in plain.mapInArrow(run, "lang string, at array<int>, n array<long>").toLocalIterator():
-        table = total.setdefault(r["lang"], np.zeros(2 << BITS, np.int64))
-        table[np.array(r["at"], np.int64)] += np.array(r["n"], np.int64)
+    cells = plain.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    total: dict[str, np.ndarray] = {}
+    langs = np.array(cells.column("lang").to_pylist(), object)
+    at, n = np.asarray(cells.column("cell")), np.asarray(cells.column("n"))
+    for lang in sorted(set(langs)):
+        mine = langs == lang
+        total[lang] = np.zeros(2 << BITS, np.int64)
+        total[lang][at[mine]] = n[mine]
     return total
 
 
@@ -110,7 +115,8 @@ def fit(docs: DataFrame, usable, id_column: str = "doc_id", text_column: str = "
     steps = 1_000_000
     keep = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, max(1, min(steps, steps * TRAIN_ROWS // n)))])
     sample = known.where(F.pmod(F.xxhash64(id_column, F.lit("lang")), F.lit(steps)) < keep[F.col(lang_column)])
-    counts = count_grams(sample.select(lang_column, text_column).coalesce(8), lang_column, text_column)
+    counts = count_grams(sample.select(lang_column, text_column).repartition(COUNT_TASKS), lang_column, text_column)
+    # A language without any letter in its sample is not learned.
     languages = sorted(counts)
     logs = []
     for lang in languages:
