@@ -374,6 +374,27 @@ def test_scores(make_docs):
     assert maxent.score(make_docs([]), model, counts).count() == 0
 
 
+def test_named_words_do_not_depend_on_partitions(make_docs, monkeypatch):
+    rng = random.Random(3)
+    docs = make_docs([(i, " ".join(f"w{min(int(rng.expovariate(0.02)), 900)}" for _ in range(40))) for i in range(300)] + [(None, "w1 w2"), (5, "w1 w2"), (5, "w1 w2")])
+    models = [maxent.fit(docs.repartition(n))[0] for n in (1, 8, 64)]
+    for m in models[1:]:
+        assert m.words == models[0].words and (m.unit_class == models[0].unit_class).all()
+        assert (m.counts == models[0].counts).all() and (m.class_v == models[0].class_v).all() and np.allclose(m.class_n, models[0].class_n)
+    scores = []
+    for m in models:
+        m.weights = models[0].weights  # the one part that follows the tasks
+        rows = maxent.score(docs, m, maxent.counted(docs)[0]).collect()
+        scores.append(sorted((r["doc_id"] or -1, round(r["score"], 9), round(r["base_score"], 9)) for r in rows))
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 303
+    # whole counts at a time, never more than the limit
+    counts = maxent.counted(docs)[0]
+    every = sorted((r["n"] for r in counts.collect()), reverse=True)
+    for limit in (0, 1, 10, 100, 10_000):
+        found = sorted((r["n"] for r in maxent.most_frequent(counts, limit).collect()), reverse=True)
+        assert len(found) <= limit and found == every[: len(found)] and (len(found) == len(every) or every[len(found)] not in found)
+
+
 def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(0)
     rows = np.stack([rng.integers(0, 50, 40), rng.integers(maxent.HASHED, maxent.HASHED + 50, 40), rng.integers(maxent._PAIR, maxent._FAR, 40), rng.integers(maxent._FAR, maxent._BIAS, 40)]).astype(np.int32)

@@ -10,8 +10,9 @@ the class.
 
 Classes follow the company words keep: the most frequent words and the end mark have
 classes of their own; every other word goes with the frequent word that it follows more often
-than chance would have it.  Words outside the ``TOP`` most frequent share the statistics of
-their last three bytes.
+than chance would have it.  Words outside the ``TOP`` most frequent (by summed counts, whole counts at a
+time) share the statistics of their last three bytes.  Which words these are does not depend on how the rows are
+dealt to tasks; the averaged gradient steps do, as each task steps through its own rows.
 
 What grows with the corpus stays distributed: counts are a table; a document's rare tokens
 (each below a 1/TOP share of all tokens, so no key is hot) are joined to it by hash.  Broadcast
@@ -32,7 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -53,10 +54,8 @@ _PAIR = 2 * HASHED
 _FAR = _PAIR + CLASSES * CLASSES
 _BIAS = _FAR + CLASSES * (ANCHORS + 1)
 ROWS = _BIAS + 1
-#: Tokens a task counts before it sends what it has.
+#: Distinct tokens a task counts before it sends what it has; sums do not depend on it.
 HELD_TOKENS = 400_000
-#: A word is named, and may be one of the TOP, if a task counted it so often at once.
-LEAST_SEEN = 5
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -74,7 +73,7 @@ def _tail(word: bytes) -> int:
 
 
 def counted(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(h, n, tail) per token of all rows, and (h, word) of those that some task saw often."""
+    """(h, n, tail) per token of all rows, and (h, word): which word a hash stands for, once a task or more."""
 
     def flush(held: Counter) -> pa.RecordBatch:
         words, n = list(held), list(held.values())
@@ -82,7 +81,7 @@ def counted(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, Data
             pa.array([_hash(w) for w in words], pa.int64()),
             pa.array(n, pa.int64()),
             pa.array([_tail(w) for w in words], pa.int32()),
-            pa.array([w if c >= LEAST_SEEN else None for w, c in held.items()], pa.binary()),
+            pa.array(words, pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["h", "n", "tail", "word"])
 
@@ -99,7 +98,19 @@ def counted(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, Data
     partial = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "h long, n long, tail int, word binary")
     partial = cut(partial, "partial")
     counts = cut(partial.groupBy("h").agg(F.sum("n").alias("n"), F.min("tail").alias("tail")), "counts")
-    return counts, partial.where("word IS NOT NULL").select("h", "word")
+    return counts, partial.select("h", "word")
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The tokens of the highest counts, whole counts at a time, as far as they are at most ``limit``.
+
+    The lowest count that fits is read from the counts of counts, so no tokens are sorted.
+    """
+    # Few rows: k distinct counts take k (k + 1) / 2 tokens of text.
+    of_count = counts.groupBy("n").agg(F.count("*").alias("tokens"))
+    upto = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = of_count.select("n", F.sum("tokens").over(upto).alias("held")).where(F.col("held") <= limit).agg(F.min("n")).first()[0]
+    return counts.limit(0) if least is None else counts.where(F.col("n") >= least)
 
 
 @dataclass
@@ -255,8 +266,8 @@ def fit(docs: DataFrame, text_column: str = "text") -> tuple[Model, DataFrame]:
     counts, names = counted(docs, text_column)
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()[0]
     model = Model(n=totals["n"] or 0, v=totals["v"])
-    # Fixed number of rows: the TOP most frequent tokens, as far as they have a name.
-    top = counts.orderBy(F.desc("n"), "h").limit(TOP)
+    # Fixed number of rows: the TOP most frequent tokens by summed counts.
+    top = cut(most_frequent(counts, TOP).select("h", "n"), "top")
     named = names.join(F.broadcast(top), "h").groupBy("h", "n").agg(F.min("word").alias("word")).collect()
     top = sorted(((r["n"], bytes(r["word"])) for r in named), key=lambda r: (-r[0], r[1]))
     model.words = {w: i for i, (_, w) in enumerate(top)}
