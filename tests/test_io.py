@@ -39,6 +39,29 @@ def test_trial_files_and_quarantine(spark, tmp_path):
         log.read_trials(spark, str(tmp_path), layout="files").collect()
 
 
+def test_stream_and_batch_share_a_parser(spark, tmp_path):
+    for system in ("bandit", "random"):
+        folder = tmp_path / "files" / system
+        folder.mkdir(parents=True)
+        for variant in ("base", "p1"):
+            lines = [json.dumps(TRIAL | {"problem_id": f"{system}{i}"}) for i in range(5)]
+            (folder / f"{variant}.jsonl").write_text("\n".join([*lines, "", "{broken", json.dumps({"path_taken": "slow"})]))
+    log.write_trials(log.read_trials(spark, str(tmp_path / "files"), layout="files"), str(tmp_path / "table"))
+    for layout, bad in (("files", 4), ("table", 0)):
+        root = str(tmp_path / layout)
+        for quarantine, read in ((False, log.read_trials), (True, log.quarantined_trials)):
+            out = str(tmp_path / f"{layout}-{quarantine}")
+            rows = log.stream_trial_log(spark, root, ["bandit"], ["base", "p1"], layout, 1, quarantine)
+            query = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start(out)
+            query.awaitTermination()
+            got = spark.read.schema(rows.schema).parquet(out)
+            want = read(spark, root, ["bandit"], ["base", "p1"], layout)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            assert got.count() == (bad if quarantine else 10)
+            if layout == "files":  # files of the other system are never read
+                assert sum(p["numInputRows"] for p in query.recentProgress) == 2 * 8
+
+
 def write_template(folder, name, question, answer=""):
     (folder / f"{name}.json").write_text(json.dumps(
         {"question": "q", "answer": "a", "id_orig": 1, "question_annotated": question, "answer_annotated": answer}))

@@ -71,6 +71,24 @@ add(
     f"""{T} SELECT {_COLS}, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 10 + 40 * length(problem_id) AS question_length
     FROM trials""",
 )
+
+
+def _streamed(s, d):
+    """The same files as a stream, a few at a time, with one system left out; each batch appended to a table."""
+    out, check = scratch_path(s, "streamed"), scratch_path(s, "check")
+    root = _files(s, d)
+    kept = [f"s={x}" for x in lx.SYSTEMS if x != "random"]
+    rows = log.stream_trial_log(s, root, kept, [f"f={x}" for x in lx.VARIANTS], "files", files_per_batch=7)
+    rows.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    return s.read.parquet(out)
+
+
+add(
+    "a1_stream_trial_files",
+    lambda s, d: _plain(_streamed(s, d)).select(*COLS, "timestamp", F.length("question").alias("question_length")),
+    f"""{T} SELECT {_COLS}, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 10 + 40 * length(problem_id) AS question_length
+    FROM trials WHERE system <> 'random'""",
+)
 add(
     "a1_quarantined_trials",
     lambda s, d: _plain(_file_log(s, d, log.quarantined_trials)).groupBy("system", "variant").agg(

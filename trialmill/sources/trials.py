@@ -42,20 +42,24 @@ def _checked(rows: DataFrame) -> DataFrame:
 
 
 def _parsed(
-    spark: SparkSession, root: str, systems: Sequence[str], variants: Sequence[str], layout: str
+    spark: SparkSession, root: str, systems: Sequence[str], variants: Sequence[str], layout: str, files_per_batch: int | None = None,
+    stream: bool = False,
 ) -> DataFrame:
-    """(line, system, variant, rec, bad) of every line that is not blank.
+    """(line, system, variant, rec, bad) of every line that is not blank, of a table or a stream of files.
 
     Lines are read as text and parsed once with the whole schema, so what counts as
     malformed does not depend on the columns a query selects.  A record without
     ``problem_id`` is bad too.
     """
     schema = T.StructType([*TRIAL_SCHEMA.fields, T.StructField(_BAD, _S)])
+    reader = spark.readStream if stream else spark.read
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if layout == "files":
         # one glob: combinations that do not exist are skipped
         names = "{" + ",".join(systems) + "}", "{" + ",".join(variants) + "}"
         at = F.col("_metadata.file_path")
-        lines = spark.read.text(f"{root}/{names[0]}/{names[1]}.jsonl").select(
+        lines = reader.text(f"{root}/{names[0]}/{names[1]}.jsonl").select(
             "value",
             # a file, or a folder of that name with part files
             F.regexp_extract(at, r"([^/]+)/[^/]+\.jsonl(?:/[^/]+)?$", 1).alias("system"),
@@ -63,7 +67,7 @@ def _parsed(
         )
     else:
         stored = T.StructType([T.StructField("value", _S), T.StructField("system", _S), T.StructField("variant", _S)])
-        lines = spark.read.schema(stored).text(root)
+        lines = reader.schema(stored).text(root)
         lines = lines.filter(F.col("system").isin(list(systems)) & F.col("variant").isin(list(variants)))
     # options keep the optimizer from narrowing the schema to the selected fields
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
@@ -96,6 +100,25 @@ def read_trials(
     return _checked(_fields(rows).drop("value"))
 
 
+def stream_trial_log(
+    spark: SparkSession,
+    root: str,
+    systems: Sequence[str] = tuple(lx.SYSTEMS),
+    variants: Sequence[str] = tuple(lx.VARIANTS),
+    layout: str = "table",
+    files_per_batch: int | None = None,
+    quarantine: bool = False,
+) -> DataFrame:
+    """The rows of ``read_trials``, or with ``quarantine`` those of ``quarantined_trials``, as files arrive.
+
+    Batch and stream share one parser.  Folders of other systems and variants are never listed (``files``) or opened (``table``).
+    """
+    rows = _parsed(spark, root, systems, variants, layout, files_per_batch, stream=True)
+    if quarantine:
+        return _fields(rows.filter("bad")).withColumnRenamed("value", "line")
+    return _checked(_fields(rows.filter(~F.col("bad"))).drop("value"))
+
+
 def quarantined_trials(
     spark: SparkSession,
     root: str,
