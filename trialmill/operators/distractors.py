@@ -7,7 +7,7 @@ Own wording: any table of (topic, template, rule) rows can replace it.
 SENTENCES: dict[str, list[tuple[str, str]]] = {
     "agriculture": [
         ("smaller", "Two crows pecked at {N} of the {object} at dawn."),
-        ("smaller", "Some {N} of the {object} came from the far field."),
+        ("smaller", "Mud still clings to {N} of the {object}."),
         ("smaller", "A neighbour admired {N} of the {object}."),
         ("any", "The barn behind the orchard is {N} years old."),
         ("any", "A scarecrow stands {N} steps from the gate."),
@@ -96,7 +96,7 @@ SENTENCES: dict[str, list[tuple[str, str]]] = {
         ("any", "The fence shows {N} posters."),
     ],
     "general": [
-        ("smaller", "A friend mentioned {N} of the {object} in passing."),
+        ("smaller", "Yesterday someone photographed {N} of the {object}."),
         ("any", "There are {N} clouds in a picture on the wall."),
         ("any", "A neighbour has lived there for {N} years."),
         ("any", "The street number is {N}."),
