@@ -71,10 +71,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out to all cores where the input has fewer splits than cores.
+    """Deal the rows out to all cores where the input has fewer files than cores.
 
-    For work that is heavy per row.  A large input already has more splits than
+    For work that is heavy per row.  A large input already has more files than
     cores and passes through unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
