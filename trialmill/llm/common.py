@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialmill.session import shared_dir
+from trialmill.session import drop_path, shared_dir
 
 #: Bytes of text that one Python call handles at a time; a longer text is handled alone.
 BATCH_BYTES = 2_000_000
@@ -45,6 +45,26 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run, dropped as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        """As ``cut``, with the table remembered under its label."""
+        path = scratch(self.spark, label)
+        df.write.parquet(path)
+        self.paths.setdefault(label, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Delete the tables of these labels, or all."""
+        for label in labels or list(self.paths):
+            for path in self.paths.pop(label, []):
+                drop_path(self.spark, path)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo; null ids count as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(0))

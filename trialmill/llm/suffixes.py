@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, mix64, slices, text_batches
+from .common import Scratch, cut, mix64, slices, text_batches
 
 LENGTH = 400
 #: Places of one anchor that a task collects: with their contexts about 100 MB at most.
@@ -405,7 +405,7 @@ def _windows(batches, need: int):
         yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(lefts, pa.int64()), pa.array(hashes, pa.int64())], ["member", "to_left", "window"])
 
 
-def _by_windows(hot: DataFrame, need: int, keep_first: bool) -> DataFrame:
+def _by_windows(hot: DataFrame, need: int, keep_first: bool, tables: Scratch) -> DataFrame:
     """Reach of the contexts of anchors that have too many to collect: (anchor, context, to_left, to_right).
 
     Only a context's outermost repeated windows matter.  Cells whose core is unique hold none;
@@ -413,30 +413,30 @@ def _by_windows(hot: DataFrame, need: int, keep_first: bool) -> DataFrame:
     cell is opened for every context that has its core, so counts are whole.  Where the first copy
     stays, a window or core counts for all but the first of those that share it.
     """
-    hot = cut(hot.withColumn("member", F.monotonically_increasing_id()).withColumn("rank", F.struct("key", "place")), "hot")
+    hot = tables.cut(hot.withColumn("member", F.monotonically_increasing_id()).withColumn("rank", F.struct("key", "place")), "hot")
     cells = hot.select("member", "anchor", "left", "right").mapInArrow(lambda b: _cells(b, need), "member long, cell int, core long")
-    cells = cut(cells.join(hot.select("member", "rank"), "member"), "cells")
+    cells = tables.cut(cells.join(hot.select("member", "rank"), "member"), "cells")
     shared = cells.groupBy("core").agg(F.count("*").alias("_n"), F.min("rank").alias("_first")).where("_n > 1").select("core", "_first")
-    cells = cut(cells.join(shared, "core"), "shared")
+    cells = tables.cut(cells.join(shared, "core"), "shared")
     found, waiting = None, cells.where("rank > _first") if keep_first else cells
     while waiting.limit(1).count():
         ends = waiting.groupBy("member").agg(F.max("cell").alias("_top"), F.min("cell").alias("_low"))
         outer = waiting.join(ends, "member").where("cell = _top OR cell = _low").select("core").distinct()
-        opened = cut(cells.join(outer, "core").groupBy("member").agg(F.collect_set("cell").alias("cells")), "opened")
+        opened = tables.cut(cells.join(outer, "core").groupBy("member").agg(F.collect_set("cell").alias("cells")), "opened")
         windows = hot.select("member", "anchor", "left", "right").join(opened, "member").mapInArrow(lambda b: _windows(b, need), "member long, to_left long, window long")
-        windows = cut(windows.join(hot.select("member", "rank"), "member"), "windows")
+        windows = tables.cut(windows.join(hot.select("member", "rank"), "member"), "windows")
         twice = windows.groupBy("window").agg(F.count("*").alias("_n"), F.min("rank").alias("_first")).where("_n > 1").select("window", "_first")
         hits = windows.join(twice, "window").where("rank > _first" if keep_first else "true").groupBy("member").agg(F.max("to_left").alias("top"), F.min("to_left").alias("low"))
-        found = cut(hits if found is None else found.union(hits).groupBy("member").agg(F.max("top").alias("top"), F.min("low").alias("low")), "hits")
+        found = tables.cut(hits if found is None else found.union(hits).groupBy("member").agg(F.max("top").alias("top"), F.min("low").alias("low")), "hits")
         # Open cells beyond what is known at either end.
         left = waiting.join(outer, "core", "left_anti").join(found, "member", "left")
-        waiting = cut(left.where(f"top IS NULL OR cell > top DIV {CELL} OR cell < low DIV {CELL}").select("core", "member", "cell"), "waiting")
+        waiting = tables.cut(left.where(f"top IS NULL OR cell > top DIV {CELL} OR cell < low DIV {CELL}").select("core", "member", "cell"), "waiting")
     if found is None:
         return hot.select("anchor", "context", F.lit(0).cast("long").alias("to_left"), F.lit(0).cast("long").alias("to_right")).where("false")
     return hot.select("member", "anchor", "context").join(found, "member").select("anchor", "context", F.col("top").alias("to_left"), (F.lit(need) - F.col("low")).alias("to_right"))
 
 
-def _distinct_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _distinct_contexts(rows: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """(places, contexts): the places of repeated anchors, and each of these anchors' contexts with copies, first place and kinds.
 
     ``rows`` is a written table with a row number.
@@ -446,40 +446,42 @@ def _distinct_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = rows.where(F.size("found") > 0).join(numbered, "key", "left").where("_least IS NULL OR number = _least")
     each = once.select("key", F.inline("found"))
     repeated = each.groupBy("anchor").agg(F.sum("span").alias("n")).where("n > 1").select("anchor")
-    places = cut(each.join(repeated, "anchor", "left_semi"), "places")
+    places = tables.cut(each.join(repeated, "anchor", "left_semi"), "places")
+    tables.drop("anchors")
     # Copies of a context are counted before anything of them is sent.
     contexts_ = places.groupBy("anchor", "context").agg(
         F.sum("span").alias("copies"), F.min(F.struct("key", "place")).alias("first"), F.first("nl").alias("nl"), F.first("nr").alias("nr")
     )
-    contexts_ = cut(contexts_, "repeated")
+    contexts_ = tables.cut(contexts_, "repeated")
     kinds = contexts_.groupBy("anchor").agg(F.count("*").alias("kinds"))
     return places.select("key", "anchor", "place", "span", "context"), contexts_.join(kinds, "anchor")
 
 
-def _numbered_rows(docs: DataFrame, length: int, text_column: str) -> DataFrame:
+def _numbered_rows(docs: DataFrame, length: int, text_column: str, tables: Scratch) -> DataFrame:
     """``anchor_rows`` as a written table with a number for each row."""
-    return cut(anchor_rows(docs, length, text_column).withColumn("number", F.monotonically_increasing_id()), "anchors")
+    return tables.cut(anchor_rows(docs, length, text_column).withColumn("number", F.monotonically_increasing_id()), "anchors")
 
 
 def covered(
-    docs: DataFrame, length: int = LENGTH, text_column: str = "text", group_rows: int = GROUP_ROWS, keep_first: bool = False
+    docs: DataFrame, tables: Scratch, length: int = LENGTH, text_column: str = "text", group_rows: int = GROUP_ROWS, keep_first: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(copies, spans): (key, size, copies) per distinct text, and (key, start, end) of repeated bytes."""
+    """(copies, spans): (key, size, copies) of each repeated text, and (key, start, end) of repeated bytes; both read ``tables``."""
     gram = gram_of(length)
     need = length - gram
-    rows = _numbered_rows(docs, length, text_column)
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.first("size").alias("size"))
-    each, repeated = _distinct_contexts(rows)
+    rows = _numbered_rows(docs, length, text_column, tables)
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.max("size").alias("size"))
+    copies = tables.cut(copies.where("copies > 1"), "copies")
+    each, repeated = _distinct_contexts(rows, tables)
     # A context that occurs twice repeats as a whole; different ones of an anchor are compared, one place of each.
     wanted = repeated.where("kinds > 1").groupBy("first.key").agg(F.collect_list(F.struct("anchor", "kinds", "context", "first.place")).alias("found"))
     around = contexts(docs, wanted, length, text_column)
     hot = repeated.where(F.col("kinds") > group_rows).limit(1).count() > 0
     if hot:
-        around = cut(around, "contexts")
+        around = tables.cut(around, "contexts")
     usual = around.where(F.col("kinds") <= group_rows).repartition("anchor").sortWithinPartitions("anchor")
     compared = usual.mapInArrow(lambda batches: _by_tree(batches, need, keep_first), "anchor long, context long, to_left long, to_right long")
     if hot:
-        compared = compared.union(_by_windows(around.where(F.col("kinds") > group_rows), need, keep_first))
+        compared = compared.union(_by_windows(around.where(F.col("kinds") > group_rows), need, keep_first, tables))
     whole = (F.col("copies") > 1) & (F.col("nl") + F.col("nr") >= need)
     judged = repeated.select("anchor", "context", "first", "nl", "nr", whole.alias("whole")).join(compared, ["anchor", "context"], "left").where("whole OR to_left IS NOT NULL")
     marked = each.join(judged, ["anchor", "context"])
@@ -513,14 +515,16 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def _finish(docs: DataFrame, length: int, id_column: str, text_column: str, keep: list[str], digest: bool, group_rows: int, keep_first: bool = False):
     """The rows of ``docs`` with what is left of each text."""
-    copies, spans = covered(docs, length, text_column, group_rows, keep_first)
+    tables = Scratch(docs.sparkSession)
+    copies, spans = covered(docs, tables, length, text_column, group_rows, keep_first)
     per_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     # Equal texts of ``length`` bytes or more lose everything, or all but those of the smallest id do.
-    whole = copies.where((F.col("copies") > 1) & (F.col("size") >= length)).select("key", F.lit(True).alias("_whole"))
+    whole = copies.where(F.col("size") >= length).select("key", F.lit(True).alias("_whole"))
     if keep_first:
         ids = docs.select(text_key(F.col(text_column)).alias("key"), F.col(id_column).alias("_id")).groupBy("key").agg(F.min("_id").alias("_least"))
         whole = whole.join(ids, "key")
     removed = cut(per_text.join(whole, "key", "full"), "spans")
+    tables.drop()  # only the spans are read from here on
     # Numbered names inside, so that columns of any name pass through.
     outside = [id_column, *keep]
     names = [f"_c{i}" for i in range(len(outside))]
@@ -587,7 +591,8 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, text_column: str = "tex
     """
     gram = gram_of(length)
     need = length - gram
-    each, repeated = _distinct_contexts(_numbered_rows(docs, length, text_column))
+    tables = Scratch(docs.sparkSession)
+    each, repeated = _distinct_contexts(_numbered_rows(docs, length, text_column, tables), tables)
     wanted = repeated.where("kinds > 1").groupBy("first.key").agg(F.collect_list(F.struct("anchor", "kinds", "context", "first.place")).alias("found"))
     around = contexts(docs, wanted, length, text_column).repartition("anchor").sortWithinPartitions("anchor")
 
