@@ -78,17 +78,23 @@ def read_bandit_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dated_spans(spans: DataFrame, patterns: Sequence[str] | None = None) -> DataFrame:
-    """Scrubbed spans with the date parts of their start, which name their folder."""
+    """Scrubbed spans with the date parts of their start, which name their folder, dealt out by day.
+
+    A day lies in one task, so that a folder gets one file and not one from every task; a long day is cut by start and id.
+    """
     cols = [c for c in ("inputs", "outputs", "metadata", "error") if c in spans.columns]
-    clean = tx.scrub_credentials(spans, cols) if patterns is None else tx.scrub_credentials(spans, cols, patterns)
     start = F.col("start_time").cast("timestamp")
-    return clean.withColumns(
+    dated = spans.withColumns(
         {
             "year": F.date_format(start, "yyyy"),
             "month": F.date_format(start, "MM"),
             "day": F.date_format(start, "dd"),
         }
     )
+    # before the scrubbing, as the rows are read once more for the bounds
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dated.repartitionByRange(n, "year", "month", "day", *[c for c in ("start_time", "id") if c in spans.columns])
+    return tx.scrub_credentials(dealt, cols) if patterns is None else tx.scrub_credentials(dealt, cols, patterns)
 
 
 def write_spans(spans: DataFrame, base: str, patterns: Sequence[str] | None = None) -> None:
