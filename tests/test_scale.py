@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from trialmill.operators import templates
+from trialmill.operators.templates import Template, Variable
 from trialmill.sources import datasets
 
 
@@ -22,3 +24,22 @@ def test_a_day_is_written_by_few_tasks(spark, tmp_path):
     for path in (days, long_day):
         back = datasets.read_spans(spark, path)
         assert sorted(int(r["id"]) for r in back.collect()) == list(range(400))
+
+
+def test_instances_stay_in_their_tasks(spark, tmp_path):
+    """The planner takes exploded instances for few; sent to the templates, one task would make all instances of a template."""
+    parsed = templates.template_rows(spark, [Template("t", "{x} and {y}", [Variable("x", "range", 1, 99), Variable("y", "range", 1, 99)], "x + y", ["divides(7, x)", "y > x"])])
+    instances, compiled = templates.instance_table(parsed, 20_000), templates.compile_templates(parsed)
+    for name, made in (
+        ("variant", templates.build_variant(instances, compiled, "base")),
+        ("drawn", templates.generate_instances(instances, compiled)),
+        ("sampled", templates.sample_variables(instances, compiled)),
+    ):
+        made.select("instance").write.parquet(str(tmp_path / name))
+        assert len(list((tmp_path / name).glob("*.parquet"))) > 4
+    rows = templates.generate_instances(instances, compiled).select("attempt", "variables", "final_answer").collect()
+    assert len(rows) == 20_000 and max(r["attempt"] for r in rows if r["attempt"] is not None) > 20
+    for r in rows:
+        if r["attempt"] is not None:
+            x, y = int(r["variables"]["x"]), int(r["variables"]["y"])
+            assert x % 7 == 0 and y > x and r["final_answer"] == x + y

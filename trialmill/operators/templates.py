@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.draws import pick
+from ..session import cut_lineage
 from .checks import MAX_ANSWER
 
 # default number of draws an instance is given
@@ -353,6 +354,20 @@ def compile_templates(parsed: DataFrame) -> DataFrame:
 
 # --- sampling and evaluating -----------------------------------------------------------
 
+#: Compiled templates up to this many rows are sent to the instances; more are joined by key.
+_SENT_TEMPLATES = 10_000
+
+
+def _with_template(instances: DataFrame, compiled: DataFrame) -> DataFrame:
+    """Instances next to their compiled template, each left in the task that holds it.
+
+    Instances come out of ``explode``, so the planner takes them for few and would send them to the templates: a task
+    for each template then does all its draws.
+    """
+    rows = cut_lineage(compiled)
+    few = rows.limit(_SENT_TEMPLATES + 1).count() <= _SENT_TEMPLATES
+    return instances.join(F.broadcast(rows) if few else rows.hint("merge"), "template_id")
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
@@ -369,8 +384,8 @@ def _instance_key(seed: int) -> Column:
     return F.concat_ws("/", F.lit(str(seed)), F.col("template_id"), F.col("instance").cast("string"))
 
 
-def _drawn(attempt: Column, seed: int, names: Sequence[str]) -> Column:
-    """(name, number, shown, word) of each variable of the row's template."""
+def _drawn(attempt: Column, seed: int, names: Sequence[str], numbers: bool = False) -> Column:
+    """(name, number, shown, word) of each variable of the row's template, or the ``numbers`` alone."""
     key, pool = _instance_key(seed), F.array(*[F.lit(n) for n in names]).cast("array<string>")
     nothing = F.lit(None).cast("string")
 
@@ -380,6 +395,8 @@ def _drawn(attempt: Column, seed: int, names: Sequence[str]) -> Column:
         def at(i: Column) -> Column:
             item = F.get(v["items"], i)
             number = F.when(v["lo"].isNotNull(), v["lo"] + v["step"] * i).otherwise(item["number"])
+            if numbers:
+                return number
             text = F.when(v["names"], F.get(pool, i)).otherwise(item["shown"])
             return F.struct(v["name"].alias("name"), number.alias("number"), F.coalesce(text, show(number)).alias("shown"),
                             F.coalesce(item["word"], nothing).alias("word"))
@@ -428,15 +445,25 @@ def _step(regs: Column, s: Column) -> Column:
         "pow": F.pow(a, b),
         "round": F.try_divide(F.bround(a * s["number"], 0), s["number"]),
     }
-    out = None
-    for name, value in cases.items():
-        out = F.when(op == name, value) if out is None else out.when(op == name, value)
-    return out
+    names = sorted(cases)
+
+    def chosen(lo: int, hi: int) -> Column:
+        """The case among names[lo:hi], found by halving: five comparisons a step and not one for each operation."""
+        if hi - lo == 1:
+            return F.when(op == names[lo], cases[names[lo]])
+        middle = (lo + hi) // 2
+        return F.when(op < names[middle], chosen(lo, middle)).otherwise(chosen(middle, hi))
 
+    return chosen(0, len(names))
 
-def _registers(steps: Column, drawn: Column) -> Column:
+
+def _registers(steps: Column, numbers: Column) -> Column:
     """All registers after the steps: the variables' numbers first."""
-    return F.aggregate(steps, F.transform(drawn, lambda d: d["number"]), lambda regs, s: F.array_append(regs, _step(regs, s)))
+    return F.aggregate(steps, numbers, lambda regs, s: F.array_append(regs, _step(regs, s)))
+
+
+def _numbers(drawn: Column) -> Column:
+    return F.transform(drawn, lambda d: d["number"])
 
 
 def _as_map(drawn: Column) -> Column:
@@ -445,8 +472,13 @@ def _as_map(drawn: Column) -> Column:
         F.transform(drawn, lambda d: F.struct(d["name"].alias("key"), d["shown"].alias("value"))),
         F.transform(worded, lambda d: F.struct(F.concat(d["name"], F.lit("_text")).alias("key"), d["word"].alias("value"))),
     )
-    # a variable that is named twice keeps its first draw
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1))
+
+    def firsts(all_: Column) -> Column:
+        # a variable that is named twice keeps its first draw
+        keys = F.transform(all_, lambda x: x["key"])
+        return let(keys, lambda k: F.map_from_entries(F.filter(all_, lambda e, i: F.array_position(k, e["key"]) == i + 1)))
+
+    return let(entries, firsts)
 
 
 def sample_variables(
@@ -455,8 +487,8 @@ def sample_variables(
 ) -> DataFrame:
     """Add ``variables`` (name to text) drawn for each (template_id, instance) row."""
     at = F.lit(0) if attempt is None else attempt
-    joined = instances.join(compiled, "template_id")
-    return joined.select(*instances.columns, _as_map(_drawn(at, seed, names)).alias("variables"))
+    joined = _with_template(instances, compiled)
+    return joined.select(*instances.columns, let(_drawn(at, seed, names), _as_map).alias("variables"))
 
 
 _FOUND = "struct<attempt:int,drawn:array<struct<name:string,number:double,shown:string,word:string>>,answer:double>"
@@ -465,20 +497,24 @@ _FOUND = "struct<attempt:int,drawn:array<struct<name:string,number:double,shown:
 def _attempted(joined: DataFrame, seed: int, names: Sequence[str], attempts: int) -> DataFrame:
     """Add ``found``: the first attempt whose conditions and answer range hold, or null."""
 
-    def judged(attempt: Column) -> Column:
-        def with_draw(drawn: Column) -> Column:
-            def with_answer(answer: Column) -> Column:
-                fits = answer.between(0, MAX_ANSWER)
-                return F.when(fits, F.struct(attempt.alias("attempt"), drawn.alias("drawn"), answer.alias("answer"))).cast(_FOUND)
+    def answer_of(numbers: Column) -> Column:
+        return F.element_at(_registers(F.col("steps"), numbers), -1)
 
-            return let(F.element_at(_registers(F.col("steps"), drawn), -1), with_answer)
+    def fitting(attempt: Column) -> Column:
+        answer = answer_of(_drawn(attempt, seed, names, numbers=True))
+        return let(answer, lambda x: F.when(x.between(0, MAX_ANSWER), attempt))
+
+    def found(attempt: Column) -> Column:
+        def with_draw(drawn: Column) -> Column:
+            made = F.struct(attempt.alias("attempt"), drawn.alias("drawn"), answer_of(_numbers(drawn)).alias("answer"))
+            return F.when(attempt.isNotNull(), made).cast(_FOUND)
 
         return let(_drawn(attempt, seed, names), with_draw)
 
-    # coalesce evaluates an attempt only if no earlier one was found
-    first = F.aggregate(
-        F.sequence(F.lit(0), F.lit(attempts - 1)), F.lit(None).cast(_FOUND), lambda found, a: F.coalesce(found, judged(a))
-    )
+    # coalesce evaluates an attempt only if no earlier one was found; the number alone is carried, as a fold copies what it carries
+    # at every element, and the draw that fits is made once more
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.lit(None).cast("int"), lambda n, a: F.coalesce(n, fitting(a)))
+    first = let(first, found)
     # an outer explode of zero or one row: later filters and projections read its output instead of searching again
     return joined.select("*", F.explode_outer(F.filter(F.array(first), lambda x: x.isNotNull())).alias("found"))
 
@@ -491,7 +527,7 @@ def generate_instances(
 
     ``attempt``, ``drawn``, ``variables`` and ``final_answer`` are null where no draw fits.
     """
-    made = _attempted(instances.join(compiled, "template_id"), seed, names, attempts)
+    made = _attempted(_with_template(instances, compiled), seed, names, attempts)
     return made.select(*instances.columns, *_result())
 
 
@@ -516,7 +552,7 @@ def _filled(pieces: str, regs: Column, drawn: Column) -> Column:
 def _rendered(joined: DataFrame) -> DataFrame:
     drawn, final = F.col("drawn"), show(F.col("final_answer"))
     texts = let(
-        _registers(F.col("slots"), drawn),
+        _registers(F.col("slots"), _numbers(drawn)),
         lambda regs: F.struct(
             _filled("question_pieces", regs, drawn).alias("question"), _filled("answer_pieces", regs, drawn).alias("body")
         ),
@@ -532,7 +568,7 @@ def _rendered(joined: DataFrame) -> DataFrame:
 
 def render(generated: DataFrame, compiled: DataFrame) -> DataFrame:
     """Question and answer text of generated instances; the answer ends in a marker line."""
-    return _rendered(generated.join(compiled, "template_id")).select(*generated.columns, "question", "answer")
+    return _rendered(_with_template(generated, compiled)).select(*generated.columns, "question", "answer")
 
 
 def build_variant(
@@ -540,7 +576,7 @@ def build_variant(
     names: Sequence[str] = tuple(DEFAULT_NAMES), attempts: int = ATTEMPTS,
 ) -> DataFrame:
     """Dataset records of one template variant; instances no draw could satisfy have none."""
-    made = _attempted(instances.select("template_id", "instance").join(compiled, "template_id"), seed, names, attempts)
+    made = _attempted(_with_template(instances.select("template_id", "instance"), compiled), seed, names, attempts)
     fits = made.filter(F.col("found").isNotNull()).select(*[c for c in made.columns if c != "found"], *_result())
     return _rendered(fits).select(
         tx.record_id(F.lit(variant), F.col("template_id"), F.col("instance")).alias("id"),
@@ -568,7 +604,8 @@ _BLOCK = 1_000
 def instance_table(templates: DataFrame, n: int) -> DataFrame:
     """Instances 0 to n - 1 of every template, in blocks that are spread over the tasks."""
     blocks = templates.select("template_id", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _BLOCK))).alias("block"))
-    spread = blocks.repartition("template_id", "block")
+    # a number, as blocks are small and would be gathered in a few tasks before they are blown up
+    spread = blocks.repartition(int(templates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = F.col("block") * _BLOCK
     last = F.least(first + _BLOCK - 1, F.lit(n - 1))
     return spread.select("template_id", F.explode(F.sequence(first, last)).alias("instance"))
