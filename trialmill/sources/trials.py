@@ -132,8 +132,9 @@ def quarantined_trials(
 
 
 def write_trials(trials: DataFrame, root: str, append: bool = False) -> None:
-    """JSON lines under ``system=<s>/variant=<v>``; large partitions split into several files."""
-    trials.write.mode("append" if append else "overwrite").partitionBy("system", "variant").json(root)
+    """Packed JSON lines under ``system=<s>/variant=<v>``; every task writes its own files, so none grows with the log."""
+    writer = trials.write.mode("append" if append else "overwrite").option("compression", "gzip")
+    writer.partitionBy("system", "variant").json(root)
 
 
 def read_pilot_log(spark: SparkSession, path: str) -> DataFrame:
