@@ -1,10 +1,19 @@
 """Shapes that must hold as tables grow: files a folder, where rows are worked on, what is read twice."""
 
+import gzip
+import re
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from trialmill.operators import templates
 from trialmill.operators.templates import Template, Variable
+from trialmill.plans import q_io, q_stats
 from trialmill.sources import datasets
+from trialmill.sources import trials as log
+from trialmill.streaming import stream
+
+SF = "/root/testdata/sf0.001"
 
 
 def span_table(spark, day):
@@ -43,3 +52,45 @@ def test_instances_stay_in_their_tasks(spark, tmp_path):
         if r["attempt"] is not None:
             x, y = int(r["variables"]["x"]), int(r["variables"]["y"])
             assert x % 7 == 0 and y > x and r["final_answer"] == x + y
+
+
+def test_logs_are_written_packed_and_read_back(spark, tmp_path):
+    rows = q_io.trial_records(spark, SF)
+    log.write_trials(rows, str(tmp_path / "log"))
+    log.write_trials(rows.limit(5), str(tmp_path / "log"), append=True)
+    files = [f for f in (tmp_path / "log").rglob("part-*")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert log.read_trials(spark, str(tmp_path / "log")).count() == rows.count() + 5
+
+
+def test_every_folder_of_the_file_log_has_its_odd_lines(spark):
+    root = Path(q_io._files(spark, SF))
+    lines = {}
+    for f in root.rglob("part-*"):
+        assert f.name.endswith(".txt.gz")
+        lines.setdefault(f.parent, []).extend(gzip.decompress(f.read_bytes()).decode().split("\n")[:-1])
+    trials = q_io.trial_records(spark, SF)
+    assert len(lines) == trials.select("system", "variant").distinct().count()
+    assert all(sum(x in ("", "{broken") for x in held) == 2 and len(held) > 4 for held in lines.values())
+    assert sum(map(len, lines.values())) == trials.count() + 4 * len(lines)
+
+
+def test_arrivals_follow_the_tasks_of_the_session(spark):
+    root, files = q_io._arrivals(spark, spark.range(1000), 4)
+    assert files == 8 == len(list(Path(root).glob("part-*.json.gz")))
+
+
+def test_resume_takes_nulls_as_keys(spark, tmp_path):
+    schema = "system string, variant string, problem_id string, n int"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first = [("a", None, "1", 1), ("a", None, "1", 1), (None, None, None, 2), ("a", "", "1", 3)]
+    for more in (first, [*first, ("b", None, "1", 4), (None, None, "1", 5)]):
+        spark.createDataFrame(more, schema).write.mode("append").json(source)
+        stream.stream_resume(stream.stream_source(spark, source, spark.createDataFrame([], schema).schema), out, str(tmp_path / "check")).awaitTermination()
+    assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_overlap_draws_only_what_it_compares(spark):
+    plan = q_stats._overlaps(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # nothing else reaches the replicates
+    assert "variant#" in plan and re.search(r"Filter .* IN \(base,noop\)|Filter .*= base\).*= noop\)", plan.split("Generate")[1])

@@ -49,10 +49,13 @@ def _files(s, d):
     odd = F.array(
         F.lit(""), F.lit("{broken"), F.lit('{"problem_id": "x", "path_taken": "slow", "tokens_input": "many"}'), F.lit('{"path_taken": "slow"}')
     )
-    extra = good.select("system", "variant").distinct().select("system", "variant", F.explode(odd).alias("value"))
     # one folder a file; the reader takes the last two parts of the path
-    both = good.unionByName(extra).withColumn("file", F.concat("variant", F.lit(".jsonl")))
-    both.select(F.col("system").alias("s"), F.col("file").alias("f"), "value").write.partitionBy("s", "f").text(root)
+    named = good.select(F.col("system").alias("s"), F.concat("variant", F.lit(".jsonl")).alias("f"), "value")
+    named.write.partitionBy("s", "f").option("compression", "gzip").text(root)
+    # the folders by their names: the rows are not made or read a second time
+    folders = s.read.format("binaryFile").load(root).select("s", "f").distinct()
+    extra = folders.select("s", "f", F.explode(odd).alias("value"))
+    extra.write.mode("append").partitionBy("s", "f").option("compression", "gzip").text(root)
     return root
 
 
@@ -232,15 +235,17 @@ add(
 # --- streams ------------------------------------------------------------------------------------
 
 
-def _stream_files(s, d):
-    root = scratch_path(s, "arrivals")
-    trial_records(s, d).repartition(4).write.json(root)
-    return root
+def _arrivals(s, rows, least):
+    """Rows as JSON files, and how many there are: so many at least, more where the session deals rows to more tasks."""
+    root, files = scratch_path(s, "arrivals"), max(least, int(s.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(files).write.option("compression", "gzip").json(root)
+    return root, files
 
 
 def _running(s, d):
-    root, out, check = _stream_files(s, d), scratch_path(s, "running"), scratch_path(s, "check")
-    source = stream.stream_source(s, root, files_per_batch=2)
+    """The log arrives in two halves."""
+    (root, files), out, check = _arrivals(s, trial_records(s, d), 4), scratch_path(s, "running"), scratch_path(s, "check")
+    source = stream.stream_source(s, root, files_per_batch=(files + 1) // 2)
     stream.stream_trials(source, out, check).awaitTermination()
     return stream.read_current(s, out)
 
@@ -252,10 +257,10 @@ def _resumed(s, d):
     """A first run sees part of the log; a restart sees the rest and a full second copy."""
     root, out, check = scratch_path(s, "arrivals"), scratch_path(s, "resumed"), scratch_path(s, "check")
     rows = trial_records(s, d)
-    rows.filter("variant = 'base'").write.json(root)
+    rows.filter("variant = 'base'").write.option("compression", "gzip").json(root)
     for more in (None, rows):
         if more is not None:
-            more.write.mode("append").json(root)
+            more.write.mode("append").option("compression", "gzip").json(root)
         stream.stream_resume(stream.stream_source(s, root), out, check).awaitTermination()
     return s.read.parquet(out).select("system", "variant", "problem_id", "correct")
 
@@ -264,12 +269,12 @@ add("k2_stream_resume", _resumed, f"{T} SELECT system, variant, problem_id, corr
 
 
 def _learned(s, d):
-    root, state, check = scratch_path(s, "logged"), scratch_path(s, "moments"), scratch_path(s, "check")
+    state, check = scratch_path(s, "moments"), scratch_path(s, "check")
     logged = routing.simulate_logging(labels(s, d))
     features = F.array((F.col("variant") == "base").cast("double"), F.length("problem_id").cast("double"))
     rows = logged.select("logged_action", "logged_cost", features.alias("features"))
-    rows.repartition(4).write.json(root)
-    source = stream.stream_source(s, root, "logged_action int, logged_cost double, features array<double>", 2)
+    root, files = _arrivals(s, rows, 4)
+    source = stream.stream_source(s, root, "logged_action int, logged_cost double, features array<double>", (files + 1) // 2)
     stream.stream_policy(source, state, check).awaitTermination()
     kept = s.read.parquet(state).groupBy("action", "i", "j").agg(F.sum("total").alias("total"))
     return rounded(kept, 6)
@@ -286,8 +291,7 @@ add(
 
 
 def _scrubbed(s, d):
-    root, out, check = scratch_path(s, "arrivals"), scratch_path(s, "spans"), scratch_path(s, "check")
-    spans(s, d).repartition(3).write.json(root)
+    (root, _), out, check = _arrivals(s, spans(s, d), 3), scratch_path(s, "spans"), scratch_path(s, "check")
     stream.stream_scrub(stream.span_source(s, root), out, check, _PATTERNS).awaitTermination()
     return _span_rows(datasets.read_spans(s, out))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -110,7 +109,9 @@ def stream_resume(
 
     def append_new(batch: DataFrame, batch_id: int) -> None:
         spark, folder = batch.sparkSession, f"{_source(checkpoint)}-{batch_id}"
-        rows = batch.dropDuplicates(keys)
+        # one column of all keys, in which nulls are equal: rows are dealt by it once, for the first of each key and for the join
+        key = F.struct(*keys)
+        rows = batch.withColumn("__key", key).dropDuplicates(["__key"])
         try:
             held = spark.read.schema(batch.schema.add("batch", "string")).parquet(output)
         except AnalysisException as e:
@@ -118,11 +119,8 @@ def stream_resume(
                 raise
             held = None
         if held is not None:
-            names = [f"__seen{i}" for i in range(len(keys))]
-            seen = held.filter(F.col("batch") != folder).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
-            same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
-            rows = rows.join(seen, same, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{output}/batch={folder}")
+            rows = rows.join(held.filter(F.col("batch") != folder).select(key.alias("__key")), "__key", "left_anti")
+        rows.drop("__key").write.mode("overwrite").parquet(f"{output}/batch={folder}")
 
     return (
         trials.writeStream.option("checkpointLocation", checkpoint)
