@@ -159,3 +159,62 @@ def test_relations_of_ten_thousand_links(spark):
         ledger.derive_relations(doubled, start)
     ring = links.unionByName(links.limit(1).selectExpr("problem_id", "kind", "0L AS entity", "100L AS other", "1L AS amount"))
     assert ledger.derive_relations(ring.filter("entity <= 100"), start).count() > 100  # a ring of units ends
+
+
+@pytest.mark.parametrize("links", [10, 60])
+def test_contracted_relations_by_brute_force(spark, monkeypatch, links):
+    """Trees of single links with zeros, rings, percentages, entities of several sources and given values inside."""
+    monkeypatch.setattr(ledger, "_CORE_LINKS", links, raising=False)
+    rng = random.Random(11)
+    rel, given = [], []
+    for p in range(5):
+        for e in range(1, 60):
+            kind = rng.choices(["multiple", "percent"], [15, 1])[0]
+            for _ in range(rng.choices([1, 2], [12, 1])[0]):
+                rel.append((p, kind, e, rng.randrange(max(0, e - 4), e), rng.choice([-1, 0, 1, 1, 1, 1]) if kind == "multiple" else 50))
+        rel += [(p, "multiple", 70 + i, 70 + (i + 1) % 9, 1) for i in range(9)]  # a ring that no value reaches
+        rel += [(p, "multiple", 90, 70, 3), (p, "multiple", 80, 80, 2), (p, "multiple", None, 5, 1), (p, "multiple", 91, None, 1)]
+        rel += [(p, "multiple", 100 + i, 100 + (i + 1) % 9, 1) for i in range(9)]  # and one with a given value
+        given += [(p, 0, 40 + p), (p, 0, 41), (p, 20, 5), (p, 30, None), (p, 104, 6)]
+    want = {(p, e, v) for p, e, v in given}
+    work = [w for w in want if w[2] is not None]
+    while work:
+        p, e, v = work.pop()
+        for q, kind, to, other, x in rel:
+            if q == p and e is not None and other == e:
+                made = (p, to, v * x if kind == "multiple" else x * v // 100)
+                if made not in want:
+                    want.add(made)
+                    work.append(made)
+    rel_df = spark.createDataFrame(rel + rel[:30], "problem_id int, kind string, entity int, other int, amount long")
+    got = ledger.derive_relations(rel_df, spark.createDataFrame(given, "problem_id int, entity int, val long")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_contracting_moves_as_much_as_there_are_links(spark, monkeypatch):
+    """The tables written for a chain grow with it and not with its length times the rounds of jumps."""
+    monkeypatch.setattr(ledger, "_CORE_LINKS", 100, raising=False)
+    kept, rows = ledger.cut_lineage, []
+
+    def counted(df):
+        out = kept(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ledger, "cut_lineage", counted)
+    links = spark.range(1, 8_001).select(
+        F.lit(1).alias("problem_id"), F.lit("multiple").alias("kind"), F.col("id").alias("entity"), (F.col("id") - 1).alias("other"),
+        F.lit(1).cast("long").alias("amount"),
+    )
+    got = ledger.derive_relations(links, spark.createDataFrame([(1, 0, 12)], "problem_id int, entity long, val long"))
+    assert got.filter("val = 12").count() == 8_001
+    assert sum(rows) < 9 * 8_000
+
+
+def test_factors_beyond_64_bits_stay_beyond(spark, monkeypatch):
+    """A product of -2^64 is not held at -2^63, which is a value."""
+    monkeypatch.setattr(ledger, "_SINGLE_ROUNDS", 0)
+    links = [(1, "multiple", 1, 0, 2**32), (1, "multiple", 2, 1, -(2**32))]
+    rel = spark.createDataFrame(links, "problem_id int, kind string, entity int, other int, amount long")
+    with pytest.raises(Exception, match="64 bits"):
+        ledger.derive_relations(rel, spark.createDataFrame([(1, 0, 1)], "problem_id int, entity int, val long")).collect()

@@ -161,18 +161,22 @@ def rate_totals(rates: DataFrame, durations: DataFrame, quantities: DataFrame) -
     return distance.union(total).union(priced).distinct()
 
 
-#: Factors are kept up to this magnitude; beyond it only the value zero has a product in 64 bits.
-_FACTOR_LIMIT = 2**63
+#: Factors are held at this magnitude; from there on only the value zero has a product in 64 bits.
+_FACTOR_LIMIT = 2**63 + 1
 #: Relations followed one by one before chains of multiples are jumped along.
 _SINGLE_ROUNDS = 8
+#: Single links that are left to the jumps; longer chains are contracted first.
+_CORE_LINKS = 20_000
 
 
 def derive_relations(relations: DataFrame, values: DataFrame) -> DataFrame:
     """Values reachable through multiple/percent relations, to the fixpoint.
 
-    The first rounds follow one relation each.  What is still new then lies on long chains: factors of chains of 1, 2,
-    4, ... multiples are composed, and after k such rounds every value within 2^k multiples is known, so a
-    chain of ten thousand takes fourteen.  A percentage rounds down at every relation and ends such a jump.
+    Entities that one multiple alone gives a value are contracted first, round by round, and get their values last
+    (``_contract``); what is moved for that follows the number of relations, however long the chains are.
+    In what is left the first rounds follow one relation each.  What is still new then lies on long chains: factors of
+    chains of 1, 2, 4, ... multiples are composed, and after k such rounds every value within 2^k multiples is known.
+    A percentage rounds down at every relation and ends such a jump.
     Each round looks for values that are not known yet, with one anti join, and ends in a written table.
 
     A value that leaves 64 bits stops the job.  A chain without a cycle visits an entity once, so values that
@@ -182,20 +186,25 @@ def derive_relations(relations: DataFrame, values: DataFrame) -> DataFrame:
     rel = cut_lineage(
         relations.select("problem_id", "kind", "entity", F.col("other").alias("__from"), "amount")
         .filter(F.col("kind").isin("multiple", "percent") & F.col("amount").isNotNull())
-        .distinct()
+        .withColumn("amount", F.col("amount").cast("decimal(38,0)"))
+        .withColumnRenamed("amount", "__factor")
     )
     given = cut_lineage(values.select(*key).distinct())
-    entities = rel.select("problem_id", "entity").union(given.select("problem_id", "entity")).distinct()
-    longest = entities.groupBy("problem_id").count().agg(F.max("count")).first()[0] or 0
-    result = F.when(F.col("kind") == "multiple", ar.mul(F.col("val"), F.col("amount"))).otherwise(ar.percent_of(F.col("amount"), F.col("val")))
+    nodes = cut_lineage(_nodes(rel, given))
+    longest = nodes.groupBy("problem_id").count().agg(F.max("count")).first()[0] or 0
+    rel, levels = _contract(rel, nodes)
+    multiplied = (F.col("val").cast("decimal(38,0)") * F.col("__factor")).try_cast("bigint")
+    result = F.when(F.col("kind") == "multiple", multiplied).otherwise(ar.percent_of(F.col("__factor").try_cast("bigint"), F.col("val")))
     where = F.concat_ws(" of problem ", F.col("entity").cast("string"), F.col("problem_id").cast("string"))
     found = [given]
 
+    def named(step: DataFrame, value: Column) -> DataFrame:
+        wrong = F.raise_error(F.concat(F.lit("derived value leaves 64 bits: entity "), where))
+        return step.select("problem_id", "entity", F.when(value.isNull(), wrong).otherwise(value).alias("val"))
+
     def new(step: DataFrame, value: Column) -> DataFrame:
         """Values of a step that no table holds yet, kept as one more table."""
-        wrong = F.raise_error(F.concat(F.lit("derived value leaves 64 bits: entity "), where))
-        named = step.select("problem_id", "entity", F.when(value.isNull(), wrong).otherwise(value).alias("val"))
-        fresh = cut_lineage(named.distinct().join(reduce(DataFrame.union, found), key, "left_anti"))
+        fresh = cut_lineage(named(step, value).distinct().join(reduce(DataFrame.union, found), key, "left_anti"))
         found.append(fresh)
         if len(found) > 8:
             found[:] = [cut_lineage(reduce(DataFrame.union, found))]
@@ -215,27 +224,93 @@ def derive_relations(relations: DataFrame, values: DataFrame) -> DataFrame:
             fresh, steps, single = new(after(rel, fresh), result), steps + 1, single + 1
             continue
         # all that follows from the fresh values by multiples alone, then one percentage
-        jumps = rel.filter("kind = 'multiple'").select("problem_id", "entity", "__from", F.col("amount").cast("decimal(38,0)").alias("__factor"))
+        jumps = rel.filter("kind = 'multiple'").select("problem_id", "entity", "__from", "__factor")
         grown, reach = fresh, 1
         while True:
-            more = new(after(jumps, grown), (F.col("val").cast("decimal(38,0)") * F.col("__factor")).try_cast("bigint"))
+            more = new(after(jumps, grown), multiplied)
             if more.isEmpty():
                 break
             passed(steps + reach)
             grown, reach = cut_lineage(grown.union(more)), 2 * reach
             jumps = _doubled(jumps)
         fresh, steps, single = new(after(rel.filter("kind = 'percent'"), grown), result), steps + 1, 0
+    # only a factor of zero makes different values of an entity equal
+    merging = bool(levels) and not nodes.filter("alone AND __factor = 0").isEmpty()
+    for n, gone in reversed(list(enumerate(levels))):
+        known = reduce(DataFrame.union, found).filter(~_heads(n, "entity"))
+        step = named(after(gone, known), multiplied)
+        found.append(cut_lineage(step.distinct() if merging else step))
     return reduce(DataFrame.union, found)
 
 
+def _nodes(rel: DataFrame, given: DataFrame) -> DataFrame:
+    """One row per entity; ``alone`` are those whose values all come by one multiple, with its source and factor."""
+    links = rel.select("problem_id", "entity", "__from", "__factor", (F.col("kind") == "multiple").alias("__plain"))
+    none = [F.lit(None).cast(rel.schema[c].dataType).alias(c) for c in ("__from", "__factor")]
+    both = links.union(given.select("problem_id", "entity", *none, F.lit(False).alias("__plain")))
+    ends = [f(c).alias(f"__{name}{c}") for c in ("__from", "__factor") for name, f in (("min", F.min), ("max", F.max))]
+    seen = both.groupBy("problem_id", "entity").agg(F.bool_and("__plain").alias("__plain"), *ends)
+    # coins are hashes of names, so all sides must name an entity by the same type
+    kinds = [{d.schema[c].dataType for d, c in sides} for sides in (
+        [(rel, "problem_id"), (given, "problem_id")], [(rel, "entity"), (rel, "__from"), (given, "entity")],
+    )]
+    hashed = all(len(k) == 1 and isinstance(next(iter(k)), (T.IntegralType, T.StringType)) for k in kinds)
+    one = "__plain AND __min__from = __max__from AND __min__factor = __max__factor AND __min__from <> entity AND problem_id IS NOT NULL"
+    alone = F.coalesce(F.expr(one), F.lit(False)) if hashed else F.lit(False)
+    named = seen.withColumn("alone", alone)
+    held = [F.when(F.col("alone"), F.col(f"__min{c}")).alias(c) for c in ("__from", "__factor")]
+    return named.select("problem_id", "entity", *held, "alone")
+
+
+def _heads(n: int, name: str) -> Column:
+    """The coin of an entity in a round."""
+    return F.xxhash64(F.lit(n), F.col("problem_id"), F.col(name)).bitwiseAND(F.lit(1)) == 1
+
+
+def _contract(rel: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(relations left, links taken out in each round).
+
+    In a round every entity throws a coin.  Of those with a single link, the ones with heads whose source has tails are
+    taken out, a quarter in the mean, and links from them are led on to their source.  So no two
+    neighbours go at once, a source is still there when its values are asked for, and the tables of all rounds together
+    are four times the first one.  Sources of other relations stay.
+    """
+    others = cut_lineage(nodes.filter("NOT alone").select(F.col("problem_id").alias("__p"), F.col("entity").alias("__e")))
+    same = F.col("problem_id").eqNullSafe(F.col("__p")) & F.col("entity").eqNullSafe(F.col("__e"))
+    rest = cut_lineage(rel.join(others, same, "left_semi").distinct())
+    links = nodes.filter("alone").drop("alone")
+    if rest.isEmpty():
+        links = links.withColumn("__stays", F.lit(False))
+    else:
+        read = rest.select("problem_id", F.col("__from").alias("entity"), F.lit(True).alias("__stays")).distinct()
+        links = cut_lineage(links.join(read, ["problem_id", "entity"], "left").fillna(False, "__stays"))
+    levels: list[DataFrame] = []
+    while links.filter("NOT __stays").count() > _CORE_LINKS:
+        n = len(levels)
+        moves, out = _heads(n, "__from"), _heads(n, "entity") & ~F.col("__stays")
+        gone = links.filter(~moves & out)
+        over = gone.select("problem_id", F.col("entity").alias("__from"), F.col("__from").alias("__next"), F.col("__factor").alias("__more"))
+        led = links.filter(moves).join(over, ["problem_id", "__from"], "left")
+        factor = F.when(F.col("__more").isNull(), F.col("__factor")).otherwise(_held(F.col("__factor") * F.col("__more")))
+        led = led.select("problem_id", "entity", F.coalesce("__next", "__from").alias("__from"), factor.alias("__factor"), "__stays")
+        # a ring of single links has no value to start from
+        links = cut_lineage(links.filter(~moves & ~out).union(led.filter("entity <> __from")))
+        levels.append(gone)
+    left = links.select("problem_id", F.lit("multiple").alias("kind"), "entity", "__from", "__factor")
+    return left.union(rest.select(*left.columns)), levels
+
+
+def _held(product: Column) -> Column:
+    limit = F.lit(str(_FACTOR_LIMIT)).cast("decimal(38,0)")
+    return F.greatest(-limit, F.least(limit, product)).cast("decimal(38,0)")
+
+
 def _doubled(jumps: DataFrame) -> DataFrame:
     """Jumps of twice the length: factors multiplied, those beyond 64 bits held at the limit."""
     second = jumps.select("problem_id", F.col("__from").alias("__middle"), "entity", F.col("__factor").alias("__more"))
-    product = F.col("__factor") * F.col("__more")
-    limit = F.lit(str(_FACTOR_LIMIT)).cast("decimal(38,0)")
-    held = F.greatest(-limit, F.least(limit, product)).cast("decimal(38,0)")
     first = jumps.withColumnRenamed("entity", "__middle")
-    return cut_lineage(first.join(second, ["problem_id", "__middle"]).select("problem_id", "entity", "__from", held.alias("__factor")).distinct())
+    factor = _held(F.col("__factor") * F.col("__more")).alias("__factor")
+    return cut_lineage(first.join(second, ["problem_id", "__middle"]).select("problem_id", "entity", "__from", factor).distinct())
 
 
 def total_quantity(quantities: DataFrame) -> DataFrame:
