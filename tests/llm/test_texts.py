@@ -327,3 +327,14 @@ def test_toxicity_without_typical_stretches():
     assert not toxicity.typical_stretches([toxicity.clean(rows[i][0]) for i in (3, 6)], [toxicity.clean(t) for t, y in rows if not y])
     scorer = toxicity.Scorer(model)
     assert min(scorer.score(make(rude)) for _ in range(20)) > max(scorer.score(make(plain)) for _ in range(20))
+
+
+def test_library_ids_take_each_word_once():
+    library, calls = bpe.LibraryIds(PATH), []
+    ask = library._ids
+    library._ids = lambda stretches: calls.extend(stretches) or ask(stretches)
+    odd = ["", None, " ", "  a  b ", "one two two\n", "x　 y\x1c z", "two <|endoftext|> two", "don't  stop", "字字 \U0001f642 two"]
+    plain = Tokenizer.from_file(PATH)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in odd]
+    assert [np.frombuffer(i, "<u4").tolist() for i in library.encode(odd) + library.encode(odd)] == want + want
+    assert calls.count(" two") <= 1 + 2 * 3  # once as a word, else as the last stretch of texts with runs of white space

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 
 import ahocorasick
@@ -27,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import slices
 
@@ -34,6 +36,8 @@ from .common import slices
 CACHE_WORDS = 400_000
 #: Pairs of tokens that a worker remembers.
 CACHE_PAIRS = 500_000
+#: Longest word that is remembered by ``LibraryIds``, new words that one call of the library takes, and longest stretch that it takes.
+REMEMBERED, CALL_WORDS, LONGEST = 64, 10_000, 100_000
 
 # The split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -275,6 +279,100 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+class LibraryIds:
+    """Ids by the ``tokenizers`` library, which is given each word once and not each time it occurs.
+
+    Texts are cut at single blanks between visible characters, where a pretoken starts in any case.  What a blank and a
+    word become is remembered, in two generations as in ``_Words``; the new words of all texts of a call go to the library together.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self._path, self._library = path, Tokenizer.from_file(path)
+        self._library.no_padding()
+        self._library.no_truncation()
+        added = {t.content: i for i, t in self._library.get_added_tokens_decoder().items()}
+        self._added = {t: i.to_bytes(4, "little") for t, i in added.items()}
+        self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._long: list[str] = []
+
+    def _ids(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches that start and end at a pretoken's border; very long ones in the codec, which holds less of them."""
+        out = []
+        for k in range(0, len(stretches), CALL_WORDS):
+            part = stretches[k : k + CALL_WORDS]
+            found = self._library.encode_batch_fast([s if len(s) <= LONGEST else "" for s in part], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() if len(s) <= LONGEST else codec(self._path).encode(s) for s, e in zip(part, found, strict=True)]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Remembers a blank and each word, but where the blank may belong to a longer run of white space."""
+        known, old = self._known, self._old
+        new = []
+        for w in words:
+            if w in old:
+                known[w] = old.pop(w)
+            elif w and w.strip() == w:
+                new.append(w)
+        known.update(zip(new, self._ids([" " + w for w in new]), strict=True))
+        self._long += [w for w in new if len(w) > REMEMBERED]
+
+    def _joined(self, split: list[list[str]]) -> list[bytes | None]:
+        """Ids of the words of each text, None where a word cannot be remembered."""
+        out, open_, new = [], [], set()
+        for k, words in enumerate(split):
+            ids = list(map(self._known.get, words))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a word not known yet
+                out.append(None)
+                open_.append(k)
+                new.update([w for w, i in zip(words, ids, strict=True) if i is None])
+        self._learn(new)
+        for k in open_:
+            ids = list(map(self._known.get, split[k]))
+            out[k] = None if None in ids else b"".join(ids)
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        if len(self._known) >= CACHE_WORDS:
+            self._known, self._old = {}, self._known
+        split = [t.split(" ") for t in texts]
+        firsts = [words.pop(0) for words in split]
+        out = self._joined(split)
+        odd = [k for k, first in enumerate(firsts) if out[k] is None or first.strip() != first or not first]
+        # Runs of white space: cut only where a single blank stands between two visible characters.
+        for k in odd:
+            split[k] = _SAFE_BLANK.split(texts[k])
+            firsts[k] = split[k].pop(0)
+        # White space at the end makes the last stretch one that is not remembered.
+        for k, ids in zip(odd, self._joined([split[k][:-1] for k in odd]), strict=True):
+            out[k] = ids + b"".join(self._ids([" " + w for w in split[k][-1:]]))
+        out = [first + ids for first, ids in zip(self._ids(firsts), out, strict=True)]
+        for w in self._long:
+            self._known.pop(w, None)
+        self._long.clear()
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit numbers."""
+        parts = [self._cuts.split(t) if t and any(a in t for a in self._added) else [t or ""] for t in texts]
+        ids = iter(self._plain([p for ps in parts for p in ps if p not in self._added]))
+        return [b"".join([self._added[p] if p in self._added else next(ids) for p in ps]) for ps in parts]
+
+
+_LIBRARIES: dict[str, LibraryIds] = {}
+
+
+def library_ids(path: str) -> LibraryIds:
+    """The library's encoder of a vocabulary file, built once in each Python worker."""
+    if path not in _LIBRARIES:
+        _LIBRARIES[path] = LibraryIds(path)
+    return _LIBRARIES[path]
+
+
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids binary): the token ids of each whole text, little-endian 32-bit."""
 

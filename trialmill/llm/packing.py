@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import library_ids
 from .common import cut, slices
 
 CAPACITY = 2048
@@ -242,13 +242,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     names = ["id", "piece", "start", "length", "ids_crc32"] + (["ids"] if ids else [])
 
     def run(batches):
-        c = codec(path)
+        library = library_ids(path)
         end = int(end_id).to_bytes(4, "little")
         for b in slices(batches, 1):
             rows = [[] for _ in names]
             keep = []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                tokens = c.encode(text) + end
+            for i, encoded in enumerate(library.encode(b.column(1).to_pylist())):
+                tokens = encoded + end
                 n = len(tokens) // 4
                 first = n - (math.ceil(n / capacity) - 1) * capacity
                 starts = [0, *range(first, n, capacity)]
