@@ -28,11 +28,11 @@ and V = 0; repeated rows are scored each; a null id counts as given by ``trainin
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -54,6 +54,8 @@ _PAIR = 2 * HASHED
 _FAR = _PAIR + CLASSES * CLASSES
 _BIAS = _FAR + CLASSES * (ANCHORS + 1)
 ROWS = _BIAS + 1
+#: Exponents within which ``CLASSES`` exponentials can be summed as they are.
+_EXP = 80
 #: Distinct tokens a task counts before it sends what it has; sums do not depend on it.
 HELD_TOKENS = 400_000
 
@@ -72,28 +74,58 @@ def _tail(word: bytes) -> int:
     return zlib.crc32(word[-3:]) & (TAILS - 1)
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """``_hash`` of each word."""
+    return (np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _tails(words: list[bytes]) -> np.ndarray:
+    """``_tail`` of each word."""
+    crc = zlib.crc32
+    return np.fromiter([crc(w[-3:]) for w in words], np.uint32, len(words)).astype(np.int32) & (TAILS - 1)
+
+
+def split_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens_of`` all texts in a row, and how many each text has."""
+    lower = pc.ascii_lower(texts.cast(pa.string()).fill_null(""))
+    # With no white space before it and some after it, a text parts into its words and the empty end mark.
+    lists = pc.ascii_split_whitespace(pc.ascii_ltrim_whitespace(pc.binary_join_element_wise(lower, "", " ")))
+    return lists.flatten().cast(pa.binary()), np.asarray(lists.value_lengths()).astype(np.int64)
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def counted(docs: DataFrame, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(h, n, tail) per token of all rows, and (h, word): which word a hash stands for, once a task or more."""
 
-    def flush(held: Counter) -> pa.RecordBatch:
-        words, n = list(held), list(held.values())
+    def flush(held: pa.Table) -> pa.RecordBatch:
+        words = _listed(held.column("word").combine_chunks())
         columns = [
-            pa.array([_hash(w) for w in words], pa.int64()),
-            pa.array(n, pa.int64()),
-            pa.array([_tail(w) for w in words], pa.int32()),
-            pa.array(words, pa.binary()),
+            pa.array(_hashes(words), pa.int64()),
+            held.column("n").combine_chunks(),
+            pa.array(_tails(words), pa.int32()),
+            held.column("word").combine_chunks(),
         ]
         return pa.RecordBatch.from_arrays(columns, ["h", "n", "tail", "word"])
 
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        total = pa.TableGroupBy(pa.concat_tables(parts), "word", use_threads=False).aggregate([("n", "sum")])
+        return total.rename_columns({"n_sum": "n"})
+
     def run(batches):
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.update(tokens_of(text))
-                if len(held) >= HELD_TOKENS:
-                    yield flush(held)
-                    held.clear()
-        yield flush(held)
+            for lo, hi in text_batches(b.column(0)):
+                found = split_tokens(b.column(0).slice(lo, hi - lo))[0].value_counts()
+                held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+                if sum(map(len, held)) >= 2 * HELD_TOKENS:
+                    held = [summed(held)]
+                    if len(held[0]) >= HELD_TOKENS:
+                        yield flush(held.pop())
+        if held:
+            yield flush(summed(held))
 
     partial = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "h long, n long, tail int, word binary")
     partial = cut(partial, "partial")
@@ -123,13 +155,16 @@ class Model:
     class_n: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
     class_v: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
     weights: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, CLASSES), np.float32))
+    _named: tuple[dict, pa.Array] | None = None
 
-    def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def units(self, words: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Unit of each token (a frequent word, or the tail of a rare one), and where the rare ones stand."""
-        ids = np.fromiter(map(self.words.get, words, _MINUS), np.int32, len(words))
+        if self._named is None or self._named[0] is not self.words:
+            self._named = (self.words, pa.array(list(self.words), pa.binary()))
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        ids = np.array(pc.index_in(words, self._named[1]).fill_null(-1))
         rare = np.flatnonzero(ids < 0)
-        if len(rare):
-            ids[rare] = [TOP + _tail(words[i]) for i in rare.tolist()]
+        ids[rare] = TOP + _tails(_listed(words.take(pa.array(rare))))
         return ids, rare
 
     def inner_logs(self) -> np.ndarray:
@@ -139,48 +174,67 @@ class Model:
         return out
 
 
-class _Repeat:
-    """-1 for ever, for map()."""
-
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return -1
-
-
-_MINUS = _Repeat()
+def anchors_before(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the tokens, where their document starts, and the last very frequent word before each."""
+    n = len(classes)
+    at = np.arange(n)
+    start = np.maximum.accumulate(np.where(first, at, 0))
+    seen = np.where((classes < ANCHORS), at, -1)
+    last = np.r_[-1, np.maximum.accumulate(seen)[:-1]] if n else seen
+    return at, start, np.where(last >= start, classes[np.maximum(last, 0)], ANCHORS)
 
 
 def features(classes: np.ndarray, units: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(4 x tokens) rows of the weight table, from the tokens before each; ``first`` marks documents' first tokens."""
-    n = len(classes)
-    at = np.arange(n)
-    start = np.maximum.accumulate(np.where(first, at, 0))
+    at, start, anchor = anchors_before(classes, first)
     back = []
     for k in (1, 2, 3):
         inside = at - k >= start
         source = np.maximum(at - k, 0)
         back.append((np.where(inside, units[source], 0), np.where(inside, classes[source], _END_CLASS).astype(np.int64)))
     (u1, k1), (u2, k2), (_, k3) = back
-    seen = np.where((classes < ANCHORS), at, -1)
-    last = np.r_[-1, np.maximum.accumulate(seen)[:-1]] if n else seen
-    anchor = np.where(last >= start, classes[np.maximum(last, 0)], ANCHORS)
     mixed = lambda u, salt: ((u.astype(np.uint32) * np.uint32(2654435761) + np.uint32(salt)) >> np.uint32(16)) % HASHED
     return np.stack([mixed(u1, 0), HASHED + mixed(u2, 77_777), _PAIR + k1 * CLASSES + k2, _FAR + k3 * (ANCHORS + 1) + anchor]).astype(np.int32)
 
 
-def class_logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the classes for a batch of feature rows."""
-    z = weights[rows[0]]
+def _sums(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Summed weights of a batch of feature rows, brought to where sums of their exponentials stay in 32-bit floats."""
+    z = weights.take(rows[0], 0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, 0)
     z += weights[_BIAS]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    if not (z.min(initial=0) > -_EXP and z.max(initial=0) < _EXP):
+        z -= z.max(1, keepdims=True)
+    return z
+
+
+def class_logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log probabilities of the classes for a batch of feature rows."""
+    z = _sums(weights, rows)
+    z -= np.log(_row_sums(np.exp(z)))[:, None]
     return z
 
 
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return np.einsum("ij->i", z)
+
+
+def class_shares(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes for a batch of feature rows."""
+    z = _sums(weights, rows)
+    np.exp(z, out=z)
+    z /= _row_sums(z)[:, None]
+    return z
+
+
+def own_logs(weights: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log probability of each token's own class."""
+    z = _sums(weights, rows)
+    own = z[np.arange(len(classes)), classes]
+    np.exp(z, out=z)
+    return own - np.log(_row_sums(z))
+
+
 def train(weights: np.ndarray, stream, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Gradient steps over (rows, classes) batches; returns new weights and how often each row was seen."""
     weights = weights.copy()
@@ -189,17 +243,19 @@ def train(weights: np.ndarray, stream, step: float = STEP) -> tuple[np.ndarray,
     for rows, classes in stream:
         for lo in range(0, len(classes), BATCH):
             r, k = rows[:, lo : lo + BATCH], classes[lo : lo + BATCH]
-            g = np.exp(class_logits(weights, r))
+            g = class_shares(weights, r)
             g[np.arange(len(k)), k] -= 1
-            for part in r:
+            for part in r.astype(np.uint16):  # ROWS are fewer than 2^16, and two bytes are sorted by radix
                 order = np.argsort(part, kind="stable")
                 ordered = part[order]
                 starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                total = np.add.reduceat(g[order], starts, axis=0)
+                # Two neighbouring columns at a time: complex numbers are added part by part.
+                total = np.add.reduceat(g.take(order, 0).view(np.complex64), starts, axis=0).view(np.float32)
                 at = ordered[starts]
                 often = np.diff(np.r_[starts, len(ordered)])
-                size[at] += (total * total).sum(1) / often
-                weights[at] -= (step / np.sqrt(size[at] * often))[:, None] * total
+                size[at] += np.einsum("ij,ij->i", total, total) / often
+                total *= (step / np.sqrt(size[at] * often)).astype(np.float32)[:, None]
+                weights[at] -= total
                 seen[at] += often
             bias = g.sum(0)
             size[_BIAS] += float((bias * bias).sum()) / len(k)
@@ -209,17 +265,14 @@ def train(weights: np.ndarray, stream, step: float = STEP) -> tuple[np.ndarray,
 
 
 def _batches_of(b: pa.RecordBatch, column: int):
-    """Token lists of about a batch of text, with the first token of each document marked."""
+    """Tokens of about a batch of text, with the first token of each document marked."""
     texts = b.column(column)
     for lo, hi in text_batches(texts, 1_000_000):
-        words: list[bytes] = []
-        starts = []
-        for t in texts.slice(lo, hi - lo).to_pylist():
-            starts.append(len(words))
-            words += tokens_of(t)
+        words, sizes = split_tokens(texts.slice(lo, hi - lo))
+        starts = np.cumsum(sizes) - sizes
         first = np.zeros(len(words), bool)
         first[starts] = True
-        yield lo, hi, words, np.array(starts), first
+        yield lo, hi, words, starts, first
 
 
 def company(docs: DataFrame, shared, text_column: str) -> np.ndarray:
@@ -228,12 +281,18 @@ def company(docs: DataFrame, shared, text_column: str) -> np.ndarray:
     def run(batches):
         m: Model = shared.value
         total = np.zeros((TOP + TAILS) * (ANCHORS + 1), np.int64)
+        held, n = [], 0
         for b in batches:
             for _, _, words, _, first in _batches_of(b, 0):
                 units, _ = m.units(words)
-                classes = m.unit_class[units]
-                anchor = (features(classes, units, first)[3] - _FAR) % (ANCHORS + 1)
-                total += np.bincount(units.astype(np.int64) * (ANCHORS + 1) + anchor, minlength=len(total))
+                anchor = anchors_before(m.unit_class[units], first)[2]
+                held.append(units * (ANCHORS + 1) + anchor)
+                n += len(words)
+                if n >= len(total):
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -354,8 +413,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "do
                 rows = features(classes, units, first)
                 value = np.empty(len(words))
                 for k in range(0, len(words), BATCH):
-                    logits = class_logits(m.weights, rows[:, k : k + BATCH])
-                    value[k : k + BATCH] = logits[np.arange(len(logits)), classes[k : k + BATCH]]
+                    value[k : k + BATCH] = own_logs(m.weights, rows[:, k : k + BATCH], classes[k : k + BATCH])
                 value /= np.log(10)
                 known = np.where(units < TOP, top_log[np.minimum(units, len(top_log) - 1)], 0.0)
                 value += np.where(single[classes], 0.0, known - inner[classes])
@@ -363,10 +421,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "do
                 doc = np.repeat(np.arange(len(starts)), sizes)
                 is_known = np.ones(len(words), np.int64)
                 is_known[rare] = 0
-                tails: list[dict[int, int]] = [{} for _ in starts]
-                for i, d in zip(rare.tolist(), doc[rare].tolist(), strict=True):
-                    h = _hash(words[i])
-                    tails[d][h] = tails[d].get(h, 0) + 1
+                # Each document's rare tokens, and how often it has each.
+                h, of = _hashes(_listed(words.take(pa.array(rare)))), doc[rare]
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                each = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])][: len(h)])
+                upto = pa.array(np.searchsorted(of[each], np.arange(len(starts) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[b.column(c).slice(lo, hi - lo) for c in (0, *range(2, b.num_columns))],
@@ -374,8 +434,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "do
                         pa.array(np.add.reduceat(is_known, starts)),
                         pa.array(np.add.reduceat(known, starts) - sizes * base_total),
                         pa.array(np.add.reduceat(value, starts)),
-                        pa.array([list(t) for t in tails], pa.list_(pa.int64())),
-                        pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(upto, pa.array(h[each])),
+                        pa.ListArray.from_arrays(upto, pa.array(np.diff(np.r_[each, len(h)]).astype(np.int32))),
                     ],
                     names,
                 )
