@@ -1,12 +1,15 @@
 """What a token costs in the tasks, and that the cheaper forms give the plain ones' results."""
 
+import random
 import sys
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
-from trialmill.llm import maxent
+from tokenizers import Tokenizer
+from trialmill.llm import bpe, maxent
 
 
 def calls_of(f):
@@ -105,3 +108,42 @@ def test_counts_and_rare_tokens(make_docs):
         words = maxent.tokens_of((texts + ["r1 w1 r1 unseen r2 unseen"])[r["doc_id"]])
         assert (r["n_tokens"], r["n_known"]) == (len(words), sum(w in seen for w in words))
         assert r["base_score"] == pytest.approx(sum(np.log10((seen[w] + 1) / (model.n + model.v + 1)) for w in words))
+
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+BITS = ["the", " The", "'ll", "  ", "\n\n", "\t ", "<|endoftext|>", "é", "ß!", "12345", "日本", "\U0001f642", "\x00", "a" * 300, "b" * 63, " \n x", "\x1c", "\x85", "\xa0", " "]
+
+
+class Counting:
+    """A tokenizers library that remembers how many strings it was given."""
+
+    def __init__(self, library):
+        self.library, self.strings = library, 0
+
+    def encode_batch_fast(self, strings, **options):
+        self.strings += len(strings)
+        return self.library.encode_batch_fast(strings, **options)
+
+
+def test_new_words_go_to_the_library_many_in_a_string():
+    encoder, plain = bpe.LibraryIds(BPE), Tokenizer.from_file(BPE)
+    encoder._library = asked = Counting(encoder._library)
+    words = [f"{'x' * (i % 5)}{i},ab{i % 97}" for i in range(2_000)]
+    texts = [" ".join(words[lo : lo + 500]) for lo in range(0, 2_000, 250)]
+    found = encoder.encode(texts)
+    assert [np.frombuffer(i, "<u4").tolist() for i in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.strings <= len(texts) + 2_000 // bpe.TOGETHER + 1
+    assert calls_of(lambda: encoder.encode(texts)) < 1_000  # 4,000 words, all known
+
+
+def test_library_ids_of_odd_texts_and_small_memories(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    monkeypatch.setattr(bpe, "GATHERED", 7)
+    monkeypatch.setattr(bpe, "TOGETHER", 3)
+    monkeypatch.setattr(bpe, "LONGEST", 250)
+    rng, encoder, plain = random.Random(5), bpe.LibraryIds(BPE), Tokenizer.from_file(BPE)
+    for _ in range(400):
+        texts = ["".join(rng.choice([*BITS, " ", " ", f"w{rng.randrange(60)}", f" v{rng.randrange(60)}."]) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(6))]
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == want
+    assert len(encoder._known.number) < 40 + 6 * 14 and not any(len(w) > bpe.REMEMBERED for w in encoder._known.number)

@@ -18,6 +18,7 @@ Repeated rows give repeated results; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -25,6 +26,7 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,10 @@ CACHE_WORDS = 400_000
 CACHE_PAIRS = 500_000
 #: Longest word that is remembered by ``LibraryIds``, new words that one call of the library takes, and longest stretch that it takes.
 REMEMBERED, CALL_WORDS, LONGEST = 64, 10_000, 100_000
+#: Short words that stand in one string.
+TOGETHER = 200
+#: Ids of one generation in the memory of ``LibraryIds``, and words whose ids are gathered at a time.
+CACHE_IDS, GATHERED = 8_000_000, 500_000
 
 # The split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -279,11 +285,43 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+class _Memory:
+    """Numbers of known words, and their ids one after the other."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.upto = np.zeros(1, np.int64)  # where the ids of each number start, and where the last ones end
+        self.ids = np.zeros(0, "<u4")
+
+    def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.upto) - 1
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """-1 for a word that is not known."""
+        if not self.number:
+            return np.full(len(words), -1)
+        return np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of these words has (none if not known), and all their ids in a row."""
+        known = numbers >= 0
+        starts = self.upto[numbers] * known
+        sizes = (self.upto[numbers + 1] - starts) * known
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+        return sizes, self.ids[at]
+
+
 class LibraryIds:
     """Ids by the ``tokenizers`` library, which is given each word once and not each time it occurs.
 
     Texts are cut at single blanks between visible characters, where a pretoken starts in any case.  What a blank and a
-    word become is remembered, in two generations as in ``_Words``; the new words of all texts of a call go to the library together.
+    word become is remembered, in two generations as in ``_Words``; the new words of all texts of a call go to the library
+    together, in strings of many, whose ids part where a token starts with a blank.  Arrow parts the texts and numbers their
+    different words, so Python looks up each of these once a call; ids are gathered from one array.
     """
 
     def __init__(self, path: str):
@@ -294,8 +332,13 @@ class LibraryIds:
         added = {t.content: i for i, t in self._library.get_added_tokens_decoder().items()}
         self._added = {t: i.to_bytes(4, "little") for t, i in added.items()}
         self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self._known: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        vocab = self._library.get_vocab()
+        blank = byte_alphabet()[32]
+        self._blank = np.zeros(max(vocab.values()) + 1, bool)
+        self._blank[[i for t, i in vocab.items() if t[0] == blank and t not in added]] = True
+        # Only words without a blank may stand in one string; no added token may span two of them.
+        self._together = not any(" " in t for t in added)
+        self._known, self._old = _Memory(), _Memory()
         self._long: list[str] = []
 
     def _ids(self, stretches: list[str]) -> list[bytes]:
@@ -307,52 +350,90 @@ class LibraryIds:
             out += [np.array(e.ids, "<u4").tobytes() if len(s) <= LONGEST else codec(self._path).encode(s) for s, e in zip(part, found, strict=True)]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Remembers a blank and each word, but where the blank may belong to a longer run of white space."""
-        known, old = self._known, self._old
-        new = []
-        for w in words:
-            if w in old:
-                known[w] = old.pop(w)
-            elif w and w.strip() == w:
-                new.append(w)
-        known.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-        self._long += [w for w in new if len(w) > REMEMBERED]
-
-    def _joined(self, split: list[list[str]]) -> list[bytes | None]:
-        """Ids of the words of each text, None where a word cannot be remembered."""
-        out, open_, new = [], [], set()
-        for k, words in enumerate(split):
-            ids = list(map(self._known.get, words))
-            try:
-                out.append(b"".join(ids))
-            except TypeError:  # a word not known yet
-                out.append(None)
-                open_.append(k)
-                new.update([w for w, i in zip(words, ids, strict=True) if i is None])
-        self._learn(new)
-        for k in open_:
-            ids = list(map(self._known.get, split[k]))
-            out[k] = None if None in ids else b"".join(ids)
-        return out
+    def _add(self, words: list[str]) -> None:
+        """Remembers a blank and each of these words, one by one."""
+        ids = self._ids([" " + w for w in words])
+        self._known.add(words, np.array([len(i) // 4 for i in ids], np.int64), np.frombuffer(b"".join(ids), "<u4"))
+
+    def _add_together(self, words: list[str]) -> None:
+        """As ``_add``, for short words without blanks, which the library is given in one string."""
+        for lo in range(0, len(words), CALL_WORDS):
+            groups = [words[k : k + TOGETHER] for k in range(lo, min(lo + CALL_WORDS, len(words)), TOGETHER)]
+            found = self._library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+            ids = np.fromiter(itertools.chain.from_iterable([e.ids for e in found]), "<u4")
+            starts = np.flatnonzero(self._blank[ids])
+            part = words[lo : lo + CALL_WORDS]
+            if len(starts) == len(part) and starts[0] == 0:
+                self._known.add(part, np.diff(starts, append=len(ids)), ids)
+            else:
+                self._add(part)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of a blank and each word, now remembered; -1 where the blank may belong to a longer run of white space."""
+        numbers = self._old.numbers(words)
+        again = np.flatnonzero(numbers >= 0)
+        new = [i for i in np.flatnonzero(numbers < 0).tolist() if (w := words[i]) and w.strip() == w]
+        short = [i for i in new if len(words[i]) <= REMEMBERED and self._together and " " not in words[i]]
+        done = set(short)
+        other = [i for i in new if i not in done] if len(short) < len(new) else []
+        order = [*again.tolist(), *short, *other]
+        first = len(self._known.upto) - 1
+        self._known.add([words[i] for i in again.tolist()], *self._old.take(numbers[again]))
+        self._add_together([words[i] for i in short])
+        if other:
+            self._add([words[i] for i in other])
+            self._long += [words[i] for i in other if len(words[i]) > REMEMBERED]
+        numbers[order] = first + np.arange(len(order))
+        return numbers
+
+    def _joined(self, words: pa.Array, sizes: np.ndarray, skipped: int = 0) -> list[bytes | None]:
+        """Ids of the words of each text but for its first ``skipped`` ones, None where a word cannot be remembered."""
+        upto = np.r_[0, np.cumsum(sizes)]
+        coded = words.dictionary_encode()
+        codes, different = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        wanted = np.ones(len(codes), bool)
+        if skipped:
+            wanted[upto[:-1][sizes > 0]] = False
+        numbers = self._known.numbers(different)
+        asked = np.zeros(len(different), bool)
+        asked[codes[wanted]] = True
+        new = np.flatnonzero(asked & (numbers < 0)).tolist()
+        if new:
+            numbers[new] = self._learn([different[i] for i in new])
+        numbers[~asked] = -1
+        # A stretch of words at a time bounds the index arrays of one very long text.
+        parts, ends = [], [np.zeros(1, np.int64)]
+        for k in range(0, len(codes), GATHERED):
+            part = np.where(wanted[k : k + GATHERED], numbers[codes[k : k + GATHERED]], -1)
+            lengths, ids = self._known.take(part)
+            parts.append(ids.tobytes())
+            ends.append(ends[-1][-1] + np.cumsum(lengths))
+        ids, ends = b"".join(parts), 4 * np.concatenate(ends)[upto]
+        unknown = np.r_[0, np.cumsum(wanted & (numbers[codes] < 0))][upto]
+        borders = zip(ends[:-1].tolist(), ends[1:].tolist(), (np.diff(unknown) > 0).tolist(), strict=True)
+        return [None if odd else ids[lo:hi] for lo, hi, odd in borders]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) >= CACHE_WORDS:
-            self._known, self._old = {}, self._known
-        split = [t.split(" ") for t in texts]
-        firsts = [words.pop(0) for words in split]
-        out = self._joined(split)
+        if len(self._known.number) >= CACHE_WORDS or len(self._known.ids) >= CACHE_IDS:
+            self._known, self._old = _Memory(), self._known
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        sizes = np.asarray(split.value_lengths()).astype(np.int64)
+        words = split.flatten()
+        firsts = words.take(pa.array(np.cumsum(sizes) - sizes)).to_pylist()
+        out = self._joined(words, sizes, 1)
         odd = [k for k, first in enumerate(firsts) if out[k] is None or first.strip() != first or not first]
-        # Runs of white space: cut only where a single blank stands between two visible characters.
-        for k in odd:
-            split[k] = _SAFE_BLANK.split(texts[k])
-            firsts[k] = split[k].pop(0)
-        # White space at the end makes the last stretch one that is not remembered.
-        for k, ids in zip(odd, self._joined([split[k][:-1] for k in odd]), strict=True):
-            out[k] = ids + b"".join(self._ids([" " + w for w in split[k][-1:]]))
+        if odd:
+            # Runs of white space: cut only where a single blank stands between two visible characters.
+            cut = [_SAFE_BLANK.split(texts[k]) for k in odd]
+            # White space at the end makes the last stretch one that is not remembered.
+            inner = [words[1:-1] for words in cut]
+            found = self._joined(pa.array([w for words in inner for w in words], pa.string()), np.array([len(words) for words in inner]))
+            for k, words, ids in zip(odd, cut, found, strict=True):
+                firsts[k] = words[0]
+                out[k] = ids + b"".join(self._ids([" " + w for w in words[1:][-1:]]))
         out = [first + ids for first, ids in zip(self._ids(firsts), out, strict=True)]
         for w in self._long:
-            self._known.pop(w, None)
+            self._known.number.pop(w, None)
         self._long.clear()
         return out
 

@@ -32,6 +32,8 @@ from .common import cut, slices
 
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of text that are encoded at a time: an Arrow batch, unless its texts are long.
+ENCODED_BYTES = 4_000_000
 #: Rows of one (length, bucket) rank window, about.
 BUCKET_ROWS = 5_000
 #: Fillings looked at around one longest piece, and bins that the search fills in all its dives together.
@@ -244,7 +246,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches):
         library = library_ids(path)
         end = int(end_id).to_bytes(4, "little")
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, ENCODED_BYTES):
             rows = [[] for _ in names]
             keep = []
             for i, encoded in enumerate(library.encode(b.column(1).to_pylist())):
