@@ -1,5 +1,6 @@
-"""What a token costs in the tasks, and that the cheaper forms give the plain ones' results."""
+"""What a token costs in the tasks, that the cheaper forms give the plain ones' results, and what op1 leaves of a text."""
 
+import hashlib
 import random
 import sys
 from collections import Counter
@@ -9,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
-from trialmill.llm import bpe, maxent
+from trialmill.llm import bpe, maxent, suffixes
 
 
 def calls_of(f):
@@ -147,3 +148,18 @@ def test_library_ids_of_odd_texts_and_small_memories(monkeypatch):
         want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
         assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == want
     assert len(encoder._known.number) < 40 + 6 * 14 and not any(len(w) > bpe.REMEMBERED for w in encoder._known.number)
+
+
+def test_repeated_bytes_return_what_is_left(make_docs):
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared, copied = prose(90), prose(200)
+    texts = [prose(50) + shared + prose(40), shared + prose(70), copied, copied, prose(120), "", None, "é" + shared]
+    rows = {r["doc_id"]: r for r in suffixes.repeated_bytes(make_docs(list(enumerate(texts))), 60).collect()}
+    for i, t in enumerate(texts):
+        raw, left, at = (t or "").encode(), b"", 0
+        for s in rows[i]["spans"]:
+            left, at = left + raw[at : s["start"]], s["end"]
+        assert rows[i]["text"].encode() == left + raw[at:]
+        assert rows[i]["kept_sha256"] == hashlib.sha256(left + raw[at:]).hexdigest()
+    assert [shared in (rows[i]["text"]) for i in (0, 1, 7)] == [False] * 3 and rows[2]["text"] == rows[3]["text"] == "" and rows[4]["text"] == texts[4]

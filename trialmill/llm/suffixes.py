@@ -536,7 +536,7 @@ def _finish(docs: DataFrame, length: int, id_column: str, text_column: str, keep
     def run(batches):
         for b in slices(batches, len(names)):
             n = [[], [], [], [], []]
-            left = []
+            left = []  # a character that a cut leaves in part goes as a whole
             for text, found, all_ in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist(), b.column("_whole").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 runs = [(0, len(raw))] if all_ else merged(found or [])
@@ -548,24 +548,23 @@ def _finish(docs: DataFrame, length: int, id_column: str, text_column: str, keep
                 if digest:
                     for to, value in zip(n, (len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), [{"start": a, "end": e} for a, e in runs]), strict=True):
                         to.append(value)
-                else:
-                    left.append(rest.decode("utf-8", "ignore") if runs else text)
+                left.append(rest.decode("utf-8", "ignore") if runs or digest else text)
             head = [b.column(i) for i in range(len(names))]
             if digest:
                 ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), ranges]
-                yield pa.RecordBatch.from_arrays([*head, *[pa.array(v, k) for v, k in zip(n, kinds, strict=True)]], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([*head, *[pa.array(v, k) for v, k in zip(n, kinds, strict=True)], pa.array(left, pa.string())], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
             else:
                 yield pa.RecordBatch.from_arrays([*head, pa.array(left, pa.string())], [*names, "_left"])
 
     head = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
-    tail = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" if digest else "_left string"
+    tail = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, text string" if digest else "_left string"
     out = joined.mapInArrow(run, f"{head}, {tail}")
     return out.select(*[F.col(n).alias(c) for c, n in zip(outside, names, strict=True)], *[c for c in out.columns if c not in names])
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Per row: size, bytes covered by repeats of ``length`` bytes, their maximal runs, the digest of the rest."""
+    """Per row: size, bytes covered by repeats of ``length`` bytes, their maximal runs, the digest of the rest, the rest as text."""
     return _finish(docs, length, id_column, text_column, [], True, group_rows)
 
 
