@@ -14,7 +14,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents"), shorter=suffixes.PASSAGE).drop("spans", "passages", "text")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
