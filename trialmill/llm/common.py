@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries that run inside leave no shuffle files: else these stay, with the driver's lists of them, until it collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 class Scratch:
     """Written tables of one run, dropped as soon as nothing reads them any more."""
 
@@ -52,9 +65,10 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
-        """As ``cut``, with the table remembered under its label."""
+        """As ``cut``, with the table remembered under its label; what was shuffled for it goes when it is written."""
         path = scratch(self.spark, label)
-        df.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
         self.paths.setdefault(label, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
