@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialmill.session import drop_path, shared_dir
+from trialmill.session import drop_path, shared_dir, shuffles_dropped
 
 #: Bytes of text that one Python call handles at a time; a longer text is handled alone.
 BATCH_BYTES = 2_000_000
@@ -46,18 +45,6 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Queries that run inside leave no shuffle files: else these stay, with the driver's lists of them, until it collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
 class Scratch:
     """Written tables of one run, dropped as soon as nothing reads them any more."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import routing
-from ..session import scratch_path
+from ..session import drop_path, scratch_path, shuffles_dropped
 from ..sources import datasets, trials as log
 from ..streaming import stream
 from .fixtures import cte, table, view
@@ -43,15 +43,23 @@ add("a1_read_trials", lambda s, d: log.read_trials(s, _written(s, d)).select(*CO
 def _files(s, d):
     """The log in the layout ``<system>/<variant>.jsonl``: each file with a blank line, a broken one, one mistyped and one
     without an id."""
-    root = scratch_path(s, "files")
-    rows = trial_records(s, d).withColumn("question", F.concat(F.lit("How many? "), F.repeat("problem_id", F.lit(40))))
-    good = rows.select("system", "variant", F.to_json(F.struct("*")).alias("value"))
+    root, records = scratch_path(s, "files"), scratch_path(s, "records")
+    rows = trial_records(s, d)
+    # a folder's rows meet in a few tasks, or every task writes a file for every folder
+    files = max(1, int(s.conf.get("spark.sql.shuffle.partitions")) // (len(lx.SYSTEMS) * len(lx.VARIANTS)))
+    with shuffles_dropped(s):
+        # the narrow rows are dealt, not the lines, when nothing that was shuffled for them is left
+        rows.write.parquet(records)
+        dealt = s.read.schema(rows.schema).parquet(records).repartition("system", "variant", F.pmod(F.xxhash64("problem_id"), F.lit(files)))
+        lines = dealt.withColumn("question", F.concat(F.lit("How many? "), F.repeat("problem_id", F.lit(40))))
+        good = lines.select("system", "variant", F.to_json(F.struct("*")).alias("value"))
+        # one folder a file; the reader takes the last two parts of the path
+        named = good.select(F.col("system").alias("s"), F.concat("variant", F.lit(".jsonl")).alias("f"), "value")
+        named.write.partitionBy("s", "f").option("compression", "gzip").text(root)
+    drop_path(s, records)
     odd = F.array(
         F.lit(""), F.lit("{broken"), F.lit('{"problem_id": "x", "path_taken": "slow", "tokens_input": "many"}'), F.lit('{"path_taken": "slow"}')
     )
-    # one folder a file; the reader takes the last two parts of the path
-    named = good.select(F.col("system").alias("s"), F.concat("variant", F.lit(".jsonl")).alias("f"), "value")
-    named.write.partitionBy("s", "f").option("compression", "gzip").text(root)
     # the folders by their names: the rows are not made or read a second time
     folders = s.read.format("binaryFile").load(root).select("s", "f").distinct()
     extra = folders.select("s", "f", F.explode(odd).alias("value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,16 @@ def _checked(rows: DataFrame) -> DataFrame:
     )
 
 
+def _named(path: Column) -> list[Column]:
+    """system and variant of ``<system>/<variant>.jsonl``, a file or a folder of that name with part files."""
+    ending = ".jsonl"
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    # cut at slashes: a pattern would be searched for from each letter of the path, for each line
+    file = F.when(F.endswith(folder, F.lit(ending)), F.substring_index(F.substring_index(path, "/", -3), "/", 2)).otherwise(F.substring_index(path, "/", -2))
+    name = F.substring_index(file, "/", -1)
+    return [F.substring_index(file, "/", 1).alias("system"), F.left(name, F.length(name) - len(ending)).alias("variant")]
+
+
 def _parsed(
     spark: SparkSession, root: str, systems: Sequence[str], variants: Sequence[str], layout: str, files_per_batch: int | None = None,
     stream: bool = False,
@@ -49,7 +59,8 @@ def _parsed(
 
     Lines are read as text and parsed once with the whole schema, so what counts as
     malformed does not depend on the columns a query selects.  A record without
-    ``problem_id`` is bad too.
+    ``problem_id`` is bad too.  The record comes out of a generator, as a filter on it would else be pushed below the
+    parser together with a parser for each of its conditions.
     """
     schema = T.StructType([*TRIAL_SCHEMA.fields, T.StructField(_BAD, _S)])
     reader = spark.readStream if stream else spark.read
@@ -58,20 +69,14 @@ def _parsed(
     if layout == "files":
         # one glob: combinations that do not exist are skipped
         names = "{" + ",".join(systems) + "}", "{" + ",".join(variants) + "}"
-        at = F.col("_metadata.file_path")
-        lines = reader.text(f"{root}/{names[0]}/{names[1]}.jsonl").select(
-            "value",
-            # a file, or a folder of that name with part files
-            F.regexp_extract(at, r"([^/]+)/[^/]+\.jsonl(?:/[^/]+)?$", 1).alias("system"),
-            F.regexp_extract(at, r"([^/]+)\.jsonl(?:/[^/]+)?$", 1).alias("variant"),
-        )
+        lines = reader.text(f"{root}/{names[0]}/{names[1]}.jsonl").select("value", *_named(F.col("_metadata.file_path")))
     else:
         stored = T.StructType([T.StructField("value", _S), T.StructField("system", _S), T.StructField("variant", _S)])
         lines = reader.schema(stored).text(root)
         lines = lines.filter(F.col("system").isin(list(systems)) & F.col("variant").isin(list(variants)))
     # options keep the optimizer from narrowing the schema to the selected fields
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    rows = lines.filter(F.trim("value") != "").withColumn("rec", F.from_json("value", schema, options))
+    rows = lines.filter(F.trim("value") != "").withColumn("rec", F.explode(F.array(F.from_json("value", schema, options))))
     bad = F.col("rec").isNull() | F.col(f"rec.{_BAD}").isNotNull() | F.col("rec.problem_id").isNull()
     return rows.withColumn("bad", bad)
 
